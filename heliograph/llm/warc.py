@@ -97,12 +97,12 @@ r AS (
   UNION ALL SELECT page_id * 4 + 2, regexp_replace(url, '^https?', 'HTTP'), t + 50000, 304, CASE WHEN page_id % 5 = 0 THEN 'stale' ELSE m END, t + 50000, NULL, NULL FROM b),
 x AS (SELECT *, trim(url) AS u, regexp_extract(trim(url), '{_URL}', 1) AS h, regexp_extract(trim(url), '{_URL}', 2) AS p, regexp_extract(trim(url), '{_URL}', 3) AS pa, regexp_extract(trim(url), '{_URL}', 4) AS q FROM r),
 k AS (SELECT record_id, {_KEY} AS url_key, ts, status, etag, day, digest, length FROM x),
-o AS (SELECT *, CASE WHEN status = 304 THEN last_value(CASE WHEN status = 200 THEN struct_pack(id := record_id, etag := etag, digest := digest, length := length) END IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS o FROM k),
-f AS (SELECT *, CASE WHEN status = 200 THEN 'full' WHEN o IS NULL THEN 'missing' WHEN o.etag = etag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM o)
-SELECT record_id, url_key, ts, status, coalesce(o.id, -1) AS original_id, outcome,
+o AS (SELECT *, CASE WHEN status = 304 THEN last_value(CASE WHEN status = 200 THEN struct_pack(id := record_id, etag := etag, digest := digest, length := length) END IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS orig FROM k),
+f AS (SELECT *, CASE WHEN status = 200 THEN 'full' WHEN orig IS NULL THEN 'missing' WHEN orig.etag = etag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM o)
+SELECT record_id, url_key, ts, status, coalesce(orig.id, -1) AS original_id, outcome,
   CASE WHEN outcome = 'full' THEN 'content-length=' || length || '&content-type=text/html&date=' || day || '&etag=' || etag
-       WHEN outcome = 'resolved' THEN 'content-length=' || o.length || '&content-type=text/html&date=' || day || '&etag=' || CASE WHEN record_id % 4 = 1 THEN 'W/' ELSE '' END || etag
+       WHEN outcome = 'resolved' THEN 'content-length=' || orig.length || '&content-type=text/html&date=' || day || '&etag=' || CASE WHEN record_id % 4 = 1 THEN 'W/' ELSE '' END || etag
        ELSE CASE WHEN record_id % 4 = 1 THEN 'content-length=0&' ELSE '' END || 'date=' || day || '&etag=' || CASE WHEN record_id % 4 = 1 THEN 'W/' ELSE '' END || etag END AS headers,
-  CASE WHEN outcome = 'resolved' THEN o.digest ELSE digest END AS digest, coalesce(CASE WHEN outcome = 'resolved' THEN o.length ELSE length END, -1) AS length
+  CASE WHEN outcome = 'resolved' THEN orig.digest ELSE digest END AS digest, coalesce(CASE WHEN outcome = 'resolved' THEN orig.length ELSE length END, -1) AS length
 FROM f
 """
