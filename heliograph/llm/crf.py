@@ -118,8 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     return fit([r["text"] for r in rows], y, weights)
 
 
-def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted, n_lines for every row: the length-weighted mean marginal of good lines of whole texts.
+def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score, predicted, n_lines and the columns keep for every row: the length-weighted mean marginal of good lines of whole texts.
 
     Defined cases: null, empty and newline-only texts get the share of label 1 among the training rows; repeated rows are
     scored each; empty tables give no rows; other columns of docs are ignored.
@@ -141,6 +141,8 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
                 total, good = np.bincount(doc, length, j - i), np.bincount(doc, length * g[:, 1], j - i)
                 full = total > 0
                 out[i:j][full], lines[i:j] = good[full] / total[full], np.diff(first)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(out, 0, 1)), pa.array((out >= threshold).astype(np.int32)), pa.array(lines)], ["doc_id", "score", "predicted", "n_lines"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(out, 0, 1)), pa.array((out >= threshold).astype(np.int32)), pa.array(lines), *b.columns[2:]], ["doc_id", "score", "predicted", "n_lines", *keep])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double, predicted int, n_lines long")
+    kept = docs.select(*keep).schema if keep else []
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *keep)
+    return rows.mapInArrow(run, ", ".join(["doc_id long, score double, predicted int, n_lines long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)]))

@@ -14,8 +14,8 @@ def _hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("l1"), F.xxhash64(F.lit(1), line).alias("l2")]
 
 
-def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_ratio: float = 0.1, min_pages: int = 3) -> DataFrame:
-    """doc_id, text, n_lines, n_dropped for every row: its text without lines that are boilerplate on its host.
+def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_ratio: float = 0.1, min_pages: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, n_lines, n_dropped and the columns keep for every row: its text without lines that are boilerplate on its host.
 
     A line, without spaces at its ends, is boilerplate if more than max_ratio of its host's pages have it, and min_pages at
     least. Pages of equal text on a host count once, so copies don't make their own lines boilerplate. Defined cases: a
@@ -23,7 +23,7 @@ def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     are cleaned each; empty tables give no rows; other columns of docs are ignored.
     """
     text, host = F.col(text_col), F.coalesce(F.col(host_col).cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.struct(F.col(host_col).isNull().alias("none"), host.alias("name")).alias("host"))
+    d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.struct(F.col(host_col).isNull().alias("none"), host.alias("name")).alias("host"), F.struct(F.lit(0).alias("_"), *keep).alias("keep"))
     page = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
     lines = d.where("text is not null").select("host", *page, F.explode(F.array_distinct(F.transform(F.split("text", "\n"), F.trim))).alias("line")).where("line <> ''")
     having = lines.select("host", "t1", "t2", *_hashes(F.col("line"))).distinct().groupBy("host", "l1", "l2").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
@@ -34,10 +34,10 @@ def drop_boilerplate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt = frequent.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     drop = places.join(dealt, ["host", "l1", "l2", "salt"]).groupBy("doc_id", "host", "t1", "t2").agg(F.collect_set("at").alias("drop"))
     drop = drop.select(F.col("doc_id").alias("d"), F.col("host").alias("h"), "t1", "t2", "drop")
-    out = d.select("doc_id", "text", "host", *page).alias("x").join(drop.alias("y"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("x.t1") == F.col("y.t1")) & (F.col("x.t2") == F.col("y.t2")) & (F.col("host") == F.col("h")), "left")
+    out = d.select("doc_id", "text", "host", "keep", *page).alias("x").join(drop.alias("y"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("x.t1") == F.col("y.t1")) & (F.col("x.t2") == F.col("y.t2")) & (F.col("host") == F.col("h")), "left")
     left = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("drop", i))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return out.select("doc_id", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"), n.alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"))
+    return out.select("doc_id", F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")).alias("text"), n.alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).alias("n_dropped"), *[F.col("keep")[c].alias(c) for c in keep])
 
 
 SQL = """
