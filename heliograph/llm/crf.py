@@ -87,7 +87,11 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int =
     """Weights of the field by Adam on the conditional likelihood of the lines' labels, per line, texts weighted."""
     import pyarrow as pa
 
-    x, length, first = line_features(*utf8(pa.array(texts, pa.string())))
+    data, at = utf8(pa.array(texts, pa.string()))
+    parts = [line_features(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in blocks(at)]  # in blocks: a text's bytes take a hundred times their size on the way
+    x = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, _WIDTH))
+    first = np.cumsum([0, *(n for p in parts for n in np.diff(p[2]))])
+    del parts, data
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     y, w = labels[doc], weights[doc] / np.maximum(1, np.diff(first))[doc]
     w, each = w / max(w.sum(), 1e-300), weights / np.maximum(1, np.diff(first))
@@ -106,7 +110,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int =
     return {"theta": theta, "pair": pair, "prior": float((labels * weights).sum() / max(weights.sum(), 1e-300))}
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs_per_label: int = 2500) -> dict:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs_per_label: int = 1500) -> dict:
     """The field of the labelled rows that aren't held out; at most docs_per_label of each label, weighted to all of them."""
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
