@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 RAD = math.pi / 180
@@ -59,46 +59,40 @@ def altitude_of(pressure: Column | float) -> Column:
     return 44331.5 - 4946.62 * F.pow(num(pressure), F.lit(0.190263))
 
 
-def sun_position(year: Column, doy: Column, hours_utc: Column, latitude: float | Column, longitude: float | Column, pressure: float | Column = 101325.0, temperature: float | Column = 12.0) -> dict[str, Column]:
-    """azimuth, elevation, apparent_elevation and solar_time of an instant in UTC; longitude is positive eastwards.
+def with_sun_position(df: DataFrame, year: Column, doy: Column, hours_utc: Column, latitude: float | Column, longitude: float | Column, pressure: float | Column = 101325.0, temperature: float | Column = 12.0) -> DataFrame:
+    """df with azimuth, elevation, apparent_elevation and solar_time of an instant in UTC; longitude is positive eastwards.
 
-    Kepler's equation takes six fixed iterations, so no row's result depends on other rows.
+    Kepler's equation takes six fixed iterations, so no row's result depends on other rows. The steps are named columns,
+    so that what several later terms use is computed once; the optimizer keeps them apart and joins the rest.
     """
-    lat, lon = num(latitude) * RAD, num(longitude)
-    day, hour = doy + F.floor(hours_utc / 24), positive_mod(hours_utc, 24)
-    since_1900 = year - 1900
-    midnight = 365 * since_1900 + F.floor((since_1900 - 1) / 4) - 0.5 + day
-    t0 = midnight / 36525
-    sidereal = 6 / 24 + 38 / 1440 + poly(t0, 45.836, 8640184.542, 0.0929) / 86400
-    sidereal = 360 * (sidereal - F.floor(sidereal))
-    local = positive_mod(360 + positive_mod(sidereal + 360 * (1.0027379093 * hour / 24), 360) + lon, 360)
-    epoch = midnight + hour / 24
-    t = epoch / 36525
-    obliquity = poly(t, 23.452294, -0.0130125, -0.00000164, 0.000000503) * RAD
-    perigee = 281.22083 + 0.0000470684 * epoch + 0.000453 * t * t + 0.000003 * t * t * t
-    anomaly = positive_mod(358.47583 + 0.985600267 * epoch - 0.00015 * t * t - 0.000003 * t * t * t, 360)
-    ecc = poly(t, 0.01675104, -0.0000418, -0.000000126)
-    e = anomaly
+    c = F.col
+    mod = lambda x: F.pmod(x, F.lit(360.0))
+    step = df.withColumns({"_lat": num(latitude) * RAD, "_hour": F.pmod(hours_utc.cast("double"), F.lit(24.0)), "_mid": 365 * (year - 1900) + F.floor((year - 1901) / 4) - 0.5 + doy + F.floor(hours_utc / 24)})
+    step = step.withColumns({"_t0": c("_mid") / 36525, "_epoch": c("_mid") + c("_hour") / 24, "_t": (c("_mid") + c("_hour") / 24) / 36525})
+    t, epoch = c("_t"), c("_epoch")
+    day = 6 / 24 + 38 / 1440 + poly(c("_t0"), 45.836, 8640184.542, 0.0929) / 86400
+    cubes = 0.000003 * t * t * t
+    step = step.withColumns({"_local": mod(360 + mod(360 * F.pmod(day, F.lit(1.0)) + 360 * (1.0027379093 * c("_hour") / 24)) + num(longitude)), "_obliquity": poly(t, 23.452294, -0.0130125, -0.00000164, 0.000000503) * RAD, "_anomaly": mod(358.47583 + 0.985600267 * epoch - 0.00015 * t * t - cubes), "_ecc": poly(t, 0.01675104, -0.0000418, -0.000000126)})
+    e = c("_anomaly")
     for _ in range(6):
-        e = anomaly + ecc * F.sin(e * RAD) / RAD
-    true = 2 * positive_mod(F.atan(F.sqrt((1 + ecc) / (1 - ecc)) * F.tan(e * RAD / 2)) / RAD, 360)
-    ecliptic = (positive_mod(perigee + true, 360) - 20 / 3600) * RAD
-    declination = F.asin(F.sin(obliquity) * F.sin(ecliptic))
-    ascension = F.atan2(F.cos(obliquity) * F.sin(ecliptic), F.cos(ecliptic)) / RAD
-    angle = local - ascension
-    h = angle * RAD
-    angle = angle - F.when(F.abs(angle) > 180, 360 * F.signum(angle)).otherwise(0)
-    az = F.atan2(-F.sin(h), F.cos(lat) * F.tan(declination) - F.sin(lat) * F.cos(h)) / RAD
-    el = F.asin(F.cos(lat) * F.cos(declination) * F.cos(h) + F.sin(lat) * F.sin(declination)) / RAD
-    tan = F.tan(el * RAD)
+        e = c("_anomaly") + c("_ecc") * F.sin(e * RAD) / RAD
+    true = 2 * mod(F.atan(F.sqrt((1 + c("_ecc")) / (1 - c("_ecc"))) * F.tan(e * RAD / 2)) / RAD)
+    step = step.withColumn("_ecliptic", (mod(281.22083 + 0.0000470684 * epoch + 0.000453 * t * t + cubes + true) - 20 / 3600) * RAD)
+    step = step.withColumns({"_dec": F.asin(F.sin("_obliquity") * F.sin("_ecliptic")), "_angle": c("_local") - F.atan2(F.cos("_obliquity") * F.sin("_ecliptic"), F.cos("_ecliptic")) / RAD})
+    h = c("_angle") * RAD
+    step = step.withColumns({"_az": F.atan2(-F.sin(h), F.cos("_lat") * F.tan("_dec") - F.sin("_lat") * F.cos(h)) / RAD, "elevation": F.asin(F.cos("_lat") * F.cos("_dec") * F.cos(h) + F.sin("_lat") * F.sin("_dec")) / RAD})
+    el = c("elevation")
+    step = step.withColumn("_tan", F.tan(el * RAD))
+    tan = c("_tan")
     bend = (
         F.when((el > 5) & (el <= 85), 58.1 / tan - 0.07 / F.pow(tan, F.lit(3)) + 0.000086 / F.pow(tan, F.lit(5)))
         .when((el > -0.575) & (el <= 5), poly(el, 1735, -518.2, 103.4, -12.79, 0.711))
         .when((el > -1) & (el <= -0.575), -20.774 / tan)
         .otherwise(0)
     )
-    apparent = el + bend * (283 / (273 + num(temperature))) * num(pressure) / 101325 / 3600
-    return {"azimuth": F.when(az < 0, az + 360).otherwise(az), "elevation": el, "apparent_elevation": apparent, "solar_time": (180 + angle) / 15}
+    turn = F.when(F.abs(c("_angle")) > 180, 360 * F.signum("_angle")).otherwise(0)
+    out = {"azimuth": F.when(c("_az") < 0, c("_az") + 360).otherwise(c("_az")), "elevation": el, "apparent_elevation": el + bend * (283 / (273 + num(temperature))) * num(pressure) / 101325 / 3600, "solar_time": (180 + c("_angle") - turn) / 15}
+    return step.select(*[c(x) for x in df.columns], *[v.alias(k) for k, v in out.items()])
 
 
 def relative_airmass(zenith: Column) -> Column:

@@ -100,13 +100,13 @@ def stratified_train(df: DataFrame, key: str, target: str, n: int, seed: int = 1
     d = df.withColumn("_b", b).withColumn("_h", h).withColumn("_c", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
     sizes = d.groupBy("_b", "_c").agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy("_b")
-    sizes = sizes.select("_b", "_c", F.coalesce(F.sum("_n").over(w.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(w).alias("_t"))
+    sizes = sizes.select(F.col("_b").alias("_sb"), F.col("_c").alias("_sc"), F.coalesce(F.sum("_n").over(w.orderBy("_c").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(w).alias("_t"))
     quota = F.lit(0)
     for i, (_, _, part, capped) in enumerate(STRATA):
         q = F.lit(n // part)
         quota = F.when(F.col("_b") == i, F.least(q, F.floor(0.7 * F.col("_t"))) if capped else q).otherwise(quota)
-    d = d.withColumn("_r", F.row_number().over(W.partitionBy("_b", "_c").orderBy("_h", key))).join(sizes, [d["_b"].eqNullSafe(sizes["_b"]), d["_c"] == sizes["_c"]])
-    return d.select(*[d[c] for c in df.columns], F.coalesce(F.col("_r") + F.col("_before") <= quota, F.lit(False)).alias("is_train"))
+    d = d.withColumn("_r", F.row_number().over(W.partitionBy("_b", "_c").orderBy("_h", key))).join(sizes, F.col("_b").eqNullSafe(F.col("_sb")) & (F.col("_c") == F.col("_sc")))
+    return d.select(*df.columns, F.coalesce(F.col("_r") + F.col("_before") <= quota, F.lit(False)).alias("is_train"))
 
 
 def recalibration(df: DataFrame, x: str, y: str, bins: int = 20, low: float = 300.0) -> DataFrame:

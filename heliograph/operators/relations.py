@@ -11,7 +11,7 @@ SMALL = 64 << 20  # bytes up to which a side is broadcast
 
 def fits(df: DataFrame, most: int = SMALL) -> bool:
     """True if Catalyst's estimate of df's size, from its files' sizes, is at most so many bytes."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) <= most
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: list[str], how: str = "left") -> DataFrame:

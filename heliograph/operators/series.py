@@ -29,7 +29,7 @@ def bracket(queries: DataFrame, samples: DataFrame, key: list[str], t: str, valu
     last = F.last("_s", ignorenulls=True)
     here = lambda order: last.over(W.partitionBy(*key, "_b").orderBy(order, F.col("_s").isNull(), "_s").rowsBetween(W.unboundedPreceding, 0))
     all_ = all_.withColumn("_p", here(F.col(t).asc())).withColumn("_n", here(F.col(t).desc()))
-    ends = all_.groupBy(*key, "_b").agg(F.max("_s").alias("_l"), F.min_by("_s", F.struct(F.col("_s.t"), -F.col("_s.v").cast("double"))).alias("_f"))
+    ends = all_.groupBy(*key, "_b").agg(F.max("_s").alias("_l"), F.min_by("_s", F.when(F.col("_s").isNotNull(), F.struct(F.col("_s.t"), -F.col("_s.v").cast("double")))).alias("_f"))
     w = W.partitionBy(*key).orderBy("_b")
     ends = ends.select(*key, "_b", F.last("_l", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_cp"), F.first("_f", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("_cn"))
     joined = all_.where("_s is null").alias("q").join(ends.alias("e"), [F.col(f"q.{c}").eqNullSafe(F.col(f"e.{c}")) for c in (*key, "_b")], "left")

@@ -236,10 +236,10 @@ def j15_not_in_training(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
 
 
-@query(f"WITH {SAMPLES}, m AS (SELECT day, max(clear) AS top FROM s GROUP BY day) SELECT l_orderkey, l_linenumber, round(ghi / top, 6) + 0.0 AS share FROM s JOIN m USING (day)")
+@query(f"WITH {SAMPLES}, m AS (SELECT day, max(clear) AS top FROM s GROUP BY day) SELECT l_orderkey, l_linenumber, ghi / top AS share FROM s JOIN m USING (day)")
 def j16_share_of_day_max(spark, sf_dir):
     s = samples(spark, sf_dir)
-    return s.join(s.groupBy("day").agg(F.max("clear").alias("top")), "day").select("l_orderkey", "l_linenumber", r(F.col("ghi") / F.col("top")).alias("share"))
+    return s.join(s.groupBy("day").agg(F.max("clear").alias("top")), "day").select("l_orderkey", "l_linenumber", (F.col("ghi") / F.col("top")).alias("share"))
 
 
 # ---- aggregations ----------------------------------------------------------------------------------
@@ -553,8 +553,7 @@ PLACE = {"latitude": 43.5, "longitude": 11.4, "altitude": 250.0}
 def _sun(e: DataFrame) -> DataFrame:
     ts = F.col("ts")
     hours = F.hour(ts) + F.minute(ts) / 60 + F.second(ts) / 3600
-    sun = S.sun_position(F.year(ts), F.dayofyear(ts), hours, PLACE["latitude"], PLACE["longitude"], S.pressure_of(PLACE["altitude"]))
-    return e.withColumns({k: c for k, c in sun.items()})
+    return S.with_sun_position(e, F.year(ts), F.dayofyear(ts), hours, PLACE["latitude"], PLACE["longitude"], S.pressure_of(PLACE["altitude"]))
 
 
 _M = "({0}) - 360 * floor(({0}) / 360)".format
@@ -591,7 +590,8 @@ SELECT event_id, round(ghi, 4) + 0.0 AS ghi, round(dni, 4) + 0.0 AS dni, round(g
 def clear_sky(spark, sf_dir):
     e = _sun(events(spark, sf_dir)).withColumn("z", 90 - F.col("apparent_elevation")).withColumn("doy", F.dayofyear("ts"))
     z = F.col("z")
-    m = S.ineichen(F.col("doy"), z, S.absolute_airmass(S.relative_airmass(z), S.pressure_of(_A)), _A, 3.5)
+    e = e.withColumn("am", S.absolute_airmass(S.relative_airmass(z), S.pressure_of(_A)))
+    m = S.ineichen(F.col("doy"), z, F.col("am"), _A, 3.5)
     return e.select("event_id", *[r(c, 4).alias(k) for k, c in m.items()], r(S.haurwitz(z), 4).alias("haurwitz"))
 
 
@@ -662,10 +662,10 @@ def diode_curve(spark, sf_dir):
 
 @query(f"""WITH {SAMPLES}, c AS (SELECT *, 1 - ghi / 2000 AS d, cos((doy - 173 - 365 * floor((doy - 173) / 365)) / 183 * pi()) AS m FROM s)
 SELECT l_orderkey, l_linenumber, round(ghi - dni * {COS('zenith')} * CASE sun_flag WHEN 1 THEN 0 WHEN 4 THEN 1 END, 6) + 0.0 AS diffuse, round(0.9 * {COS('zenith')} * dni + 1.14 * ghi * 0.3, 6) + 0.0 AS flat, round({COS('zenith')} * dni + 0.78 * ghi * 0.3, 6) + 0.0 AS tilted,
-round(greatest(0.5 * (1 - d), 1 - (0.8535 + 0.1342 * m) * d - (0.2364 + 0.1374 * m) * d * d - (0.0227 - 0.2178 * m) * d * d * d), 6) + 0.0 AS clear_power FROM c""")
+round(greatest(0.5 * (1 - d), 1 - (0.8535 + 0.1342 * m) * d - (0.2364 + 0.1374 * m) * d * d - (0.0227 - 0.2178 * m) * d * d * d), 9) + 0.0 AS clear_power FROM c""")
 def irradiance_sensor(spark, sf_dir):
     g, z, dni = F.col("ghi"), F.col("zenith"), F.col("dni")
-    return samples(spark, sf_dir).select("l_orderkey", "l_linenumber", r(S.diffuse_sensor(g, dni, z, F.col("sun_flag"))).alias("diffuse"), r(S.reconstruct(dni, g * 0.3, z)).alias("flat"), r(S.reconstruct(dni, g * 0.3, z, True)).alias("tilted"), r(S.clear_power_curve(F.col("doy"), g / 2000)).alias("clear_power"))
+    return samples(spark, sf_dir).select("l_orderkey", "l_linenumber", r(S.diffuse_sensor(g, dni, z, F.col("sun_flag"))).alias("diffuse"), r(S.reconstruct(dni, g * 0.3, z)).alias("flat"), r(S.reconstruct(dni, g * 0.3, z, True)).alias("tilted"), r(S.clear_power_curve(F.col("doy"), g / 2000), 9).alias("clear_power"))
 
 
 # ---- fields ----------------------------------------------------------------------------------------
@@ -720,7 +720,7 @@ def l1_interactions(spark, sf_dir):
     return d.agg(m["n"].alias("n"), r(m["rmse"], 2).alias("rmse"), r(m["r2"], 4).alias("r2"))
 
 
-@query("SELECT p_partkey, round(p_size * p_size, 6) + 0.0 AS p_size_sq, round(sqrt(p_size), 6) + 0.0 AS p_size_root FROM part")
+@query("SELECT p_partkey, round((p_size * p_size)::DOUBLE, 6) + 0.0 AS p_size_sq, round(sqrt(p_size), 6) + 0.0 AS p_size_root FROM part")
 def l3_powers(spark, sf_dir):
     return L.with_powers(table(spark, sf_dir, "part"), ["p_size"]).select("p_partkey", r(F.col("p_size_sq")).alias("p_size_sq"), r(F.col("p_size_root")).alias("p_size_root"))
 
