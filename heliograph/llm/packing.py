@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from .common import written
 
 CACHE = 1_000_000  # words whose ids a worker keeps
-_SPACE = str.maketrans("\t\n\r\x0b\x0c", "     ")
+_SPACES = "\t\n\r\x0b\x0c"  # besides the blank itself
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
 _encoders: dict = {}
 
@@ -29,7 +29,7 @@ class _Encoder:
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.whole, self.kept = Tokenizer.from_file(path), {}
+        self.whole, self.kept = Tokenizer.from_file(path), _Words(self.word)
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # byte-level BPE shows these bytes as themselves
         byte = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
         ranks, end = {}, bytes([255])  # no UTF-8 text holds 255: it stands for the end of a word
@@ -51,17 +51,25 @@ class _Encoder:
         return np.array(ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        kept, parts = self.kept, []
-        for w in text.translate(_SPACE).split(" "):
-            got = kept.get(w)
-            if got is None:
-                if len(kept) >= CACHE:
-                    kept.clear()
-                got = self.word(w)
-                if len(w) < 100:
-                    kept[w] = got
-            parts.append(got)
-        return b"".join(parts)
+        for c in _SPACES:
+            text = text.replace(c, " ")
+        return b"".join(map(self.kept.__getitem__, text.split(" ")))
+
+
+class _Words(dict):
+    """Ids of words; what isn't kept yet is encoded, and kept unless it is long."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, w: str) -> bytes:
+        got = self.encode(w)
+        if len(w) < 100:
+            if len(self) >= CACHE:
+                self.clear()
+            self[w] = got
+        return got
 
 
 def encoder(path: str) -> _Encoder:
@@ -79,8 +87,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_c
         enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for b in batches:
             rows: list = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = enc.encode(t.as_py() or "") + end
+            for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):  # one text at a time: a long one's copy goes before the next
+                ids = memoryview(enc.encode(t.as_py() or "") + end)
                 n = len(ids) // 4
                 rows += [(d, s, min(capacity, n - s), zlib.crc32(ids[4 * s : 4 * (s + capacity)]), n) for s in range(0, n, capacity)]
             cols = list(zip(*rows, strict=True)) or [[]] * 5
