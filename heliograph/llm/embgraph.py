@@ -3,7 +3,9 @@
 Per label, centroids fitted on a bounded sample deal vectors over overlapping shards. Each shard builds a graph: every
 vector's nearest others, pruned so that an edge stays only where no kept neighbour is much closer to its end. The lists
 of a vector from all its shards are united. Each vector is then searched from its shard's medoid: greedily to its
-surroundings, from there over all that lies in range. Every link is confirmed by cosine in double precision.
+surroundings, from there over all that lies in range. Every link is confirmed by cosine in double precision. Links are
+counted where they are found; only the edges of spanning trees leave a task, so a large group of near copies costs no row
+for each of its pairs.
 """
 
 from __future__ import annotations
@@ -82,81 +84,137 @@ def prune(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(x: np.ndarray, graph: list[np.ndarray], start: int, q: int, least: float) -> np.ndarray:
-    """What is at least as like x[q] as least: greedy from start with a beam, then over all neighbours within range."""
+def search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, seeds: np.ndarray, v: np.ndarray, least: float) -> np.ndarray:
+    """Vertices that may be as like v as least: greedy from starts with a beam, then over all neighbours within range.
+
+    graph: boolean matrix of neighbours, either way; seeds: vertices known to be near v, where the range starts too.
+    """
     wide = least - SLACK
     seen = np.zeros(len(x), bool)
-    seen[start] = True
-    ids, sims, open_ = np.array([start]), x[[start]] @ x[q], np.ones(1, bool)
-    while open_.any():
+    seen[starts] = True
+    ids, sims, open_ = starts, x[starts] @ v, np.ones(len(starts), bool)
+    while open_.any() and not (sims >= wide).any():
         i = np.flatnonzero(open_)[sims[open_].argmax()]
         open_[i] = False
-        if (sims >= wide).any():
-            break
-        new = graph[ids[i]]
-        new = new[~seen[new]]
+        new = np.flatnonzero(graph[ids[i]] & ~seen)
         seen[new] = True
-        ids, sims, open_ = np.append(ids, new), np.append(sims, x[new] @ x[q]), np.append(open_, np.ones(len(new), bool))
+        ids, sims, open_ = np.append(ids, new), np.append(sims, x[new] @ v), np.append(open_, np.ones(len(new), bool))
         top = np.argsort(-sims, kind="stable")[:BEAM]
         ids, sims, open_ = ids[top], sims[top], open_[top]
-    front = np.append(ids[sims >= wide], q)  # the query is a vertex: its own edges start the range too
-    inside = np.zeros(len(x), bool)
-    inside[front] = True
-    done = inside.copy()
+    done, inside = np.zeros(len(x), bool), np.zeros(len(x), bool)
+    front = np.union1d(ids[sims >= wide], seeds)
     while len(front):
-        new = np.unique(np.concatenate([graph[f] for f in front])) if len(front) else front
-        new = new[~done[new]]
-        done[new] = True
-        front = new[x[new] @ x[q] >= wide]
+        done[front] = True
+        front = front[x[front] @ v >= wide]
         inside[front] = True
-    inside[q] = False
+        front = np.flatnonzero(graph[front].any(0) & ~done)
     return np.flatnonzero(inside)
 
 
-def links(rows: DataFrame, least: float, *, per_shard: int = 1000, overlap: int = 3, sample: int = 20000) -> DataFrame:
-    """rows (vec_id, label, v), distinct vectors -> distinct pairs a < b of a label with cosine >= least, by the graph."""
+def _asked(base: pd.DataFrame, asked: pd.DataFrame, least: float, same: bool) -> np.ndarray:
+    """Boolean matrix, asked x base: what searches in base's graph find; frames of vec_id, v, near, at most a block each."""
+    x, ids = np.stack(base["v"].to_numpy()), base["vec_id"].to_numpy()
+
+    def within(near) -> np.ndarray:
+        near = np.asarray(near if near is not None else [], np.int64)
+        at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
+        return at[ids[at] == near]
+
+    graph = np.zeros((len(x), len(x)), bool)
+    for i, near in enumerate(base["near"]):
+        graph[i, within(near)] = True
+    graph |= graph.T
+    starts = np.unique([int((x @ x.mean(0)).argmax()), *np.linspace(0, len(x) - 1, BEAM).astype(int)])
+    linked = np.zeros((len(asked), len(x)), bool)
+    for q, (v, near) in enumerate(zip(asked["v"], asked["near"], strict=True)):
+        hit = search(x, graph, starts, np.append(within(near), q) if same else within(near), v, least)
+        linked[q, hit[np.einsum("ij,j->i", x[hit], v) >= least]] = True
+    return linked
+
+
+def _spanning(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, column) of a boolean matrix that join what all its links join; same: rows and columns are one set."""
+    rows, cols = linked.shape
+    group = np.arange(max(rows, cols) if same else rows + cols)
+    a, b = [], []
+    for q in range(rows):
+        hit = np.flatnonzero(linked[q])
+        at = hit if same else hit + rows
+        roots, one = np.unique(group[at], return_index=True)
+        other = roots != group[q]
+        if other.any():
+            a.append(np.full(int(other.sum()), q))
+            b.append(hit[one[other]])
+            group[np.isin(group, roots)] = group[q]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def links(rows: DataFrame, least: float, *, per_shard: int = 1000, overlap: int = 3, block: int = 2000, sample: int = 20000) -> DataFrame:
+    """rows (vec_id, label, v, n), distinct vectors that stand for n each -> rows (a, b, m).
+
+    m > 0: b = a, and m is a part of the number of vectors with cosine >= least to a. m = 0: a and b are linked; these
+    edges join all that is linked. A shard of more vectors than block is dealt over blocks of about that size, and pairs of
+    blocks are searched in tasks of their own, so a hot shard is never in one task, and a pair of vectors is never a row:
+    a task gives a count for each vector and the edges of spanning trees. What several shards find counts once, in the
+    first shard that both vectors have.
+    """
     cents = rows.sparkSession.sparkContext.broadcast(centroids(rows, per_shard, sample))  # sample / 8 vectors a label at most
 
     def deal(batches):
         for p in batches:
             out = []
-            for i, label, v in zip(p["vec_id"], p["label"], p["v"], strict=True):
+            for i, n, label, v in zip(p["vec_id"], p["n"], p["label"], p["v"], strict=True):
                 v = np.asarray(v, float)
                 v = v / np.linalg.norm(v)
-                c = cents.value[f"{len(v)}|{label}"]
-                s = c @ v
-                out += [(i, f"{len(v)}|{label}", int(k), v) for k in np.argsort(-s, kind="stable")[:overlap]]
-            yield pd.DataFrame(out, columns=["vec_id", "grp", "shard", "v"])
+                shards = np.argsort(-(cents.value[f"{len(v)}|{label}"] @ v), kind="stable")[:overlap].tolist()
+                shards += [-1] * (overlap - len(shards))
+                out += [(i, n, f"{len(v)}|{label}", k, shards, v) for k in shards if k >= 0]
+            yield pd.DataFrame(out, columns=["vec_id", "n", "grp", "shard", "shards", "v"])
 
-    dealt = written(rows.mapInPandas(deal, "vec_id long, grp string, shard int, v array<double>"), "shards")
+    dealt = written(rows.select("vec_id", "n", "label", "v").mapInPandas(deal, "vec_id long, n long, grp string, shard int, shards array<int>, v array<double>"), "shards")
+    sizes = dealt.groupBy("grp", "shard").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = dealt.join(sizes, ["grp", "shard"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
 
     def build(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("vec_id")
         x, ids = np.stack(p["v"].to_numpy()), p["vec_id"].to_numpy()
         return pd.DataFrame({"vec_id": ids, "near": [ids[g[g >= 0]] for g in prune(x)]})
 
-    lists = dealt.groupBy("grp", "shard").applyInPandas(build, "vec_id long, near array<long>")
-    lists = written(lists.select("vec_id", F.explode("near").alias("n")).groupBy("vec_id").agg(F.collect_set("n").alias("near")), "lists")
-    both = dealt.join(lists.hint("merge"), "vec_id", "left")
+    lists = dealt.groupBy("grp", "shard", "block").applyInPandas(build, "vec_id long, near array<long>")
+    lists = written(lists.select("vec_id", F.explode("near").alias("near")).groupBy("vec_id").agg(F.collect_set("near").alias("near")), "lists")
+    both = dealt.join(lists.hint("merge"), "vec_id", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    both = both.select("grp", "shard", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "vec_id", "n", "shards", "v", "near")
 
     def find(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("vec_id")
-        x, ids = np.stack(p["v"].to_numpy()), p["vec_id"].to_numpy()
-        graph = []
-        for near in p["near"]:
-            near = np.sort(np.asarray(near if near is not None else [], np.int64))
-            at = np.minimum(np.searchsorted(ids, near), len(ids) - 1)
-            graph.append(at[ids[at] == near])
-        start = int((x @ x.mean(0)).argmax())
-        keys = []
-        for q in range(len(x)):
-            hit = search(x, graph, start, q, least)
-            hit = hit[np.einsum("ij,j->i", x[hit], x[q]) >= least]
-            keys.append(np.minimum(hit, q) * len(x) + np.maximum(hit, q))
-        keys = np.unique(np.concatenate(keys))
-        return pd.DataFrame({"a": ids[keys // len(x)], "b": ids[keys % len(x)]})
-
-    return both.groupBy("grp", "shard").applyInPandas(find, "a long, b long").distinct()
+        shard, same = p["shard"].iat[0], p["lo"].iat[0] == p["hi"].iat[0]
+        base = p[p["block"] == p["lo"]].sort_values("vec_id")
+        asked = base if same else p[p["block"] == p["hi"]].sort_values("vec_id")
+        none = np.zeros(0, np.int64)
+        if base.empty or asked.empty:
+            return pd.DataFrame({"a": none, "b": none, "m": none})
+        ids = base["vec_id"].to_numpy()
+        linked = _asked(base, asked, least, same)
+        linked |= linked.T if same else _asked(asked, base, least, False).T
+        if same:
+            np.fill_diagonal(linked, False)
+        a, b = _spanning(linked, same)
+        mine, theirs = np.stack(asked["shards"].to_numpy()), np.stack(base["shards"].to_numpy())
+        for q in range(len(asked)):
+            hit = np.flatnonzero(linked[q])
+            common = (theirs[hit][:, :, None] == mine[q]).any(2) & (theirs[hit] >= 0)
+            first = np.where(common, theirs[hit], np.iinfo(np.int32).max).min(1, initial=np.iinfo(np.int32).max)
+            linked[q, hit[first != shard]] = False
+        of, n = asked["vec_id"].to_numpy(), base["n"].to_numpy()
+        counts = [(of, np.array([n[row].sum() for row in linked], np.int64))]
+        if not same:
+            n = asked["n"].to_numpy()
+            counts.append((ids, np.array([n[row].sum() for row in linked.T], np.int64)))
+        who, m = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
+        who, m = who[m > 0], m[m > 0]
+        return pd.DataFrame({"a": np.append(who, of[a]), "b": np.append(who, ids[b]), "m": np.append(m, np.zeros(len(a), np.int64))})
+
+    return both.groupBy("grp", "shard", "lo", "hi").applyInPandas(find, "a long, b long, m long")
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, **given) -> DataFrame:
@@ -171,12 +229,10 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     ok = usable(vectors, id_col, vector_col, label_col).where("vec_id is not null")
     ok = written(ok.withColumn("key", F.sha2(F.concat_ws(",", "label", F.col("v").cast("array<string>")).cast("binary"), 256)).dropDuplicates(["vec_id", "key"]), "vectors")
     classes = written(ok.groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "classes")
-    reps = ok.join(classes.select(F.col("class_id").alias("vec_id"), "key").hint("merge"), ["vec_id", "key"], "left_semi").select("vec_id", "label", "v")
-    pairs = written(links(reps, least, **given), "links")
-    sized = lambda side: classes.select(F.col("class_id").alias(side), F.col("n").alias(f"n{side}"))
-    both = pairs.join(sized("a"), "a").join(sized("b"), "b")
-    degree = both.select(F.col("a").alias("class_id"), F.col("nb").alias("m")).union(both.select(F.col("b").alias("class_id"), F.col("na").alias("m"))).groupBy("class_id").agg(F.sum("m").alias("m"))
-    label = components(pairs).select(F.col("id").alias("class_id"), "component")
+    reps = ok.join(classes.select(F.col("class_id").alias("vec_id"), "key", "n").hint("merge"), ["vec_id", "key"]).select("vec_id", "label", "v", "n")
+    found = written(links(reps, least, **given), "links")
+    degree = found.where("m > 0").groupBy(F.col("a").alias("class_id")).agg(F.sum("m").alias("m"))
+    label = components(found.where("m = 0").select("a", "b")).select(F.col("id").alias("class_id"), "component")
     of = classes.join(degree, "class_id", "left").join(label, "class_id", "left").select("key", (F.coalesce("m", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component"))
     per = ok.select("vec_id", "key").join(of, "key").groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component").alias("component"))
     out = vectors.select(F.col(id_col).cast("long").alias("vec_id")).join(per, "vec_id", "left")

@@ -216,6 +216,8 @@ def test_embeddings_equal_brute_force(spark):
     assert {i: r["component_id"] for i, r in got.items()} == want
     n = {i: sum(i in p for p in linked) for i in want}
     assert {i: r["n_links"] for i, r in got.items()} == n
+    dealt = {r["vec_id"]: r for r in embgraph.near_duplicates(d, per_shard=40, block=12).collect()}  # shards of several blocks
+    assert {i: (r["component_id"], r["n_links"]) for i, r in dealt.items()} == {i: (want[i], n[i]) for i in want}
     assert embgraph.audit(d, embgraph.near_duplicates(d, per_shard=40), every=10).first()["recall"] >= 0.9
 
 
