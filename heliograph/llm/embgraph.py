@@ -29,8 +29,9 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
 
 
-def centroids(rows: DataFrame, per_shard: int, sample: int) -> dict[tuple, np.ndarray]:
-    """(label, dimension) -> unit centroids: one for each per_shard vectors of the label, an eighth of the sample at most.
+def centroids(rows: DataFrame, per_shard: int, overlap: int, sample: int) -> dict[tuple, np.ndarray]:
+    """(label, dimension) -> unit centroids: one where the label has per_shard vectors at most, else so many that overlapping
+    shards hold per_shard vectors on average; an eighth of the sample at most.
 
     sample bounds the vectors of a label that the fit sees; what reaches the driver is sample rows a label at most.
     """
@@ -42,7 +43,7 @@ def centroids(rows: DataFrame, per_shard: int, sample: int) -> dict[tuple, np.nd
     for group, g in got.groupby("group"):
         x = np.stack(g["v"].to_numpy())
         x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        k = int(max(1, min(len(x) // 8, -(-sizes[group] // per_shard))))
+        k = 1 if sizes[group] <= per_shard else int(max(1, min(len(x) // 8, -(-sizes[group] * overlap // per_shard))))
         rng = np.random.default_rng(3)
         c = x[rng.choice(len(x), k, replace=False)]
         for _ in range(8 if k > 1 else 1):
@@ -84,31 +85,57 @@ def prune(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def search(x: np.ndarray, graph: np.ndarray, starts: np.ndarray, seeds: np.ndarray, v: np.ndarray, least: float) -> np.ndarray:
-    """Vertices that may be as like v as least: greedy from starts with a beam, then over all neighbours within range.
-
-    graph: boolean matrix of neighbours, either way; seeds: vertices known to be near v, where the range starts too.
+def _enter(x: np.ndarray, near: np.ndarray, starts: np.ndarray, v: np.ndarray, wide: float) -> np.ndarray:
+    """Greedy from starts with a beam, for all rows of v at once: boolean v x vertices, those met at wide or more."""
+    n, width = len(v), max(BEAM, len(starts))
+    ids, sims, open_ = np.zeros((n, width), np.int64), np.full((n, width), -np.inf), np.zeros((n, width), bool)
+    ids[:, : len(starts)], sims[:, : len(starts)], open_[:, : len(starts)] = starts, v @ x[starts].T, True
+    seen = np.zeros((n, len(x)), bool)
+    seen[:, starts] = True
+    while True:
+        live = np.flatnonzero(open_.any(1) & ~(sims >= wide).any(1))
+        if not len(live):
+            break
+        at = np.where(open_[live], sims[live], -np.inf).argmax(1)
+        open_[live, at] = False
+        new = near[ids[live, at]]
+        ok = (new >= 0) & ~seen[live[:, None], new]
+        q, k = np.nonzero(ok)
+        i = new[q, k]
+        seen[live[q], i] = True
+        s = np.full(new.shape, -np.inf)
+        s[q, k] = np.einsum("ij,ij->i", x[i], v[live[q]])
+        every = [np.concatenate(c, 1) for c in ((ids[live], new), (sims[live], s), (open_[live], ok))]
+        top = np.argpartition(-every[1], width - 1, axis=1)[:, :width]
+        ids[live], sims[live], open_[live] = (np.take_along_axis(c, top, 1) for c in every)
+    found = np.zeros((n, len(x)), bool)
+    q, k = np.nonzero(sims >= wide)
+    found[q, ids[q, k]] = True
+    return found
+
+
+def search(x: np.ndarray, near: np.ndarray, starts: np.ndarray, seeds: np.ndarray, v: np.ndarray, least: float) -> np.ndarray:
+    """Boolean v x vertices, those with cosine >= least: greedy from starts with a beam, then over all neighbours in range.
+
+    near: neighbours of each vertex, either way, -1 for none; seeds: boolean, vertices known to be near a row of v, where
+    its range starts too. Cosines are taken only of the vertices that a row's search meets.
     """
-    wide = least - SLACK
-    seen = np.zeros(len(x), bool)
-    seen[starts] = True
-    ids, sims, open_ = starts, x[starts] @ v, np.ones(len(starts), bool)
-    while open_.any() and not (sims >= wide).any():
-        i = np.flatnonzero(open_)[sims[open_].argmax()]
-        open_[i] = False
-        new = np.flatnonzero(graph[ids[i]] & ~seen)
-        seen[new] = True
-        ids, sims, open_ = np.append(ids, new), np.append(sims, x[new] @ v), np.append(open_, np.ones(len(new), bool))
-        top = np.argsort(-sims, kind="stable")[:BEAM]
-        ids, sims, open_ = ids[top], sims[top], open_[top]
-    done, inside = np.zeros(len(x), bool), np.zeros(len(x), bool)
-    front = np.union1d(ids[sims >= wide], seeds)
-    while len(front):
-        done[front] = True
-        front = front[x[front] @ v >= wide]
-        inside[front] = True
-        front = np.flatnonzero(graph[front].any(0) & ~done)
-    return np.flatnonzero(inside)
+    wide, step = least - SLACK, max(1, 2_000_000 // max(1, near.shape[1], x.shape[1]))
+    front = _enter(x, near, starts, v, wide) | seeds
+    done, inside = np.zeros_like(front), np.zeros_like(front)
+    while front.any():
+        done |= front
+        ahead = np.zeros_like(front)
+        rows, cols = np.nonzero(front)
+        for lo in range(0, len(rows), step):
+            q, i = rows[lo : lo + step], cols[lo : lo + step]
+            s = np.einsum("ij,ij->i", x[i], v[q])
+            inside[q[s >= least], i[s >= least]] = True
+            q, new = q[s >= wide], near[i[s >= wide]]
+            ok = new >= 0
+            ahead[np.broadcast_to(q[:, None], new.shape)[ok], new[ok]] = True
+        front = ahead & ~done
+    return inside
 
 
 def _asked(base: pd.DataFrame, asked: pd.DataFrame, least: float, same: bool) -> np.ndarray:
@@ -125,10 +152,18 @@ def _asked(base: pd.DataFrame, asked: pd.DataFrame, least: float, same: bool) ->
         graph[i, within(near)] = True
     graph |= graph.T
     starts = np.unique([int((x @ x.mean(0)).argmax()), *np.linspace(0, len(x) - 1, BEAM).astype(int)])
-    linked = np.zeros((len(asked), len(x)), bool)
-    for q, (v, near) in enumerate(zip(asked["v"], asked["near"], strict=True)):
-        hit = search(x, graph, starts, np.append(within(near), q) if same else within(near), v, least)
-        linked[q, hit[np.einsum("ij,j->i", x[hit], v) >= least]] = True
+    rows, cols = np.nonzero(graph)
+    degree = graph.sum(1)
+    near = np.full((len(x), max(1, int(degree.max()))), -1, np.int64)
+    near[rows, np.arange(len(rows)) - (np.cumsum(degree) - degree)[rows]] = cols
+    v, linked = np.stack(asked["v"].to_numpy()), np.zeros((len(asked), len(x)), bool)
+    for lo in range(0, len(v), 128):
+        seeds = np.zeros((len(v[lo : lo + 128]), len(x)), bool)
+        for q, known in enumerate(asked["near"].iloc[lo : lo + 128]):
+            seeds[q, within(known)] = True
+            if same:
+                seeds[q, lo + q] = True
+        linked[lo : lo + 128] = search(x, near, starts, seeds, v[lo : lo + 128], least)
     return linked
 
 
@@ -159,7 +194,7 @@ def links(rows: DataFrame, least: float, *, per_shard: int = 1000, overlap: int
     a task gives a count for each vector and the edges of spanning trees. What several shards find counts once, in the
     first shard that both vectors have.
     """
-    cents = rows.sparkSession.sparkContext.broadcast(centroids(rows, per_shard, sample))  # sample / 8 vectors a label at most
+    cents = rows.sparkSession.sparkContext.broadcast(centroids(rows, per_shard, overlap, sample))  # sample / 8 vectors a label at most
 
     def deal(batches):
         for p in batches:
