@@ -2,8 +2,9 @@
 
 Every document's shingle set gets, for each of several trees, a label of a few MinHash values. Rows sorted by
 (tree, label) put similar sets side by side; candidates are neighbours with a long common prefix. In sparse regions all
-rows sharing a short prefix are compared, in dense ones only rows sharing ever longer prefixes, and across those the
-neighbours in the order. Candidates are confirmed on full sets, and links joined into components.
+rows sharing a short prefix are compared. In dense ones neighbours by ever longer prefixes are linked first; then all
+pairs of a dense region that are not in one component yet are compared, in blocks against blocks. Candidates are
+confirmed on full sets, and links joined into components.
 """
 
 from __future__ import annotations
@@ -16,7 +17,10 @@ from pyspark.sql import functions as F
 from .common import components, mix64, shingle_sets, written
 
 TREES, DEPTH, LEAST = 24, 8, 4  # trees; MinHash values in a label; those that neighbours share at least
-NEAR = 12  # a region of so many rows at most is compared whole
+NEAR = 12  # a region of so many rows at most is compared whole at once
+BLOCK = 512  # rows of a dense region that are compared together
+SALTS = 16  # a dense region's rows are dealt over so many keys in the join with its sizes
+SLACK = 5.5  # standard deviations below the similarity at which equal MinHash values rule a pair out (once in 10^7)
 _G = np.random.default_rng(11)
 _XOR = _G.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 _MUL = _G.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -70,7 +74,8 @@ def _neighbours(label: np.ndarray, lo: int, hi: int, depth: int, out: list) -> N
 
 
 def candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
-    """reps (doc_id, n_shingles, labels) -> distinct pairs (a < b) of neighbours whose sizes allow the similarity num/den."""
+    """reps (doc_id, n_shingles, labels) -> pairs (a < b) of neighbours whose sizes allow the similarity num/den, and rows
+    (tree, prefix, a) for every row a of a region too dense to be compared whole here."""
     rows = (
         reps.select("doc_id", "n_shingles", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
         .select("tree", F.expr(f"substring(labels, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("label"), "doc_id", "n_shingles")
@@ -82,17 +87,17 @@ def candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
         label = np.frombuffer(b"".join(p["label"]), ">u2").reshape(-1, DEPTH)
         key = np.concatenate([p["tree"].to_numpy()[:, None], label[:, :LEAST]], axis=1)
         cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(p)]
-        out: list = []
+        out: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             if hi - lo > 1:
                 _neighbours(label, lo, hi, LEAST, out)
-        if not out:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
         i, j = (np.concatenate(x) for x in zip(*out, strict=True))
         ids, n = p["doc_id"].to_numpy(), p["n_shingles"].to_numpy()
         ok = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
         a, b = ids[i[ok]], ids[j[ok]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        met = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        dense = p.loc[np.repeat(np.diff(cut) > NEAR, np.diff(cut)), ["tree", "prefix", "doc_id"]].rename(columns={"doc_id": "a"})
+        return pd.concat([met, dense], ignore_index=True).astype({"b": "Int64", "tree": "Int32"})[["tree", "prefix", "a", "b"]]
 
     def run(batches):
         rest = None  # the region that may go on in the next batch
@@ -106,7 +111,136 @@ def candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
         if rest is not None:
             yield pairs(rest.reset_index(drop=True))
 
-    return rows.mapInPandas(run, "a long, b long").distinct()
+    return rows.mapInPandas(run, "tree int, prefix binary, a long, b long")
+
+
+def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all sets x with all sets y."""
+    n = len(x) + len(y)
+    owner = np.repeat(np.arange(n), [len(s) for s in x + y])
+    _, value, times = np.unique(np.concatenate(x + y), return_inverse=True, return_counts=True)
+    keep = times[value] > 1
+    owner, value = owner[keep], (np.cumsum(times > 1) - 1)[value[keep]]
+    order = np.argsort(value, kind="stable")
+    owner, value = owner[order], value[order]
+    out = np.zeros((len(x), len(y)), np.float64)
+    for lo in range(0, int(value[-1]) + 1 if len(value) else 0, 4096):
+        a, b = np.searchsorted(value, [lo, lo + 4096])
+        m = np.zeros((n, 4096), np.float32)
+        m[owner[a:b], value[a:b] - lo] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out.astype(np.int64)
+
+
+def _open_pairs(tree: int, g: dict, x: np.ndarray, y: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows x with rows y, of two components, that meet in no earlier tree and that sizes and MinHash values allow."""
+    v, n, c = g["values"], g["n_shingles"], g["component"]
+    ok = c[x][:, None] != c[y][None]
+    ok &= den * np.minimum(n[x][:, None], n[y][None]) >= num * np.maximum(n[x][:, None], n[y][None])
+    start = np.ascontiguousarray(v.reshape(len(v), TREES, DEPTH)[:, :, :LEAST]).view(np.uint64)[:, :, 0]
+    for t in range(tree):
+        ok &= start[x, t][:, None] != start[y, t][None]
+    if ok.any():
+        equal, share, of = np.zeros(ok.shape, np.int16), num / den, TREES * DEPTH
+        for k in range(of):
+            equal += v[x, k][:, None] == v[y, k][None]
+        ok &= equal >= of * share - SLACK * np.sqrt(of * share * (1 - share))
+    i, j = np.nonzero(ok)
+    return x[i], y[j]
+
+
+def _joined(pairs: np.ndarray) -> np.ndarray:
+    """Of links between components, those of a spanning forest."""
+    up: dict = {}
+
+    def find(i):
+        while (j := up.get(i, i)) != i:
+            up[i] = i = up.get(j, j)
+        return i
+
+    out = []
+    for a, b in np.unique(np.sort(pairs, axis=1), axis=0).tolist():
+        ra, rb = find(a), find(b)
+        if ra != rb:
+            up[rb] = ra
+            out.append((a, b))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def dense_links(near: DataFrame, reps: DataFrame, label: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links (a, b) between the components of label (id, component) that all pairs in dense regions near (tree, prefix,
+    doc_id) give; texts (doc_id, text).
+
+    In a region, pairs within a component are known. So rows of the region's largest component meet only the others, and
+    those meet all: both are dealt over blocks, and pairs of blocks are compared. First by MinHash values, and the rows
+    that then still have a possible partner by their full sets.
+    """
+    rows = near.join(label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    rows = written(rows, "near")
+    sizes = rows.groupBy("tree", "prefix", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("tree", "prefix").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n"))
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    sizes = sizes.select("tree", "prefix", F.col("most.component").alias("largest"), blocks(F.col("most.n")).alias("first"), blocks(F.col("n") - F.col("most.n")).alias("rest")).where("rest > 0")
+    sizes = sizes.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(SALTS)).cast("int"))
+    rows = rows.join(sizes, ["tree", "prefix", "deal"]).withColumn("own", F.col("component") == F.col("largest"))
+    salt = F.xxhash64("doc_id", "tree")
+    rows = rows.withColumn("x", F.when(F.col("own"), F.pmod(salt, "first")).otherwise(F.col("first") + F.pmod(salt, "rest")).cast("int"))
+    rows = rows.withColumn("y", F.explode(F.sequence(F.when(F.col("own"), F.col("first")).otherwise(0), F.col("first") + F.col("rest") - 1)))
+    rows = rows.select("tree", "prefix", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), (F.col("x") <= F.col("y")).alias("left"), "doc_id", "component")
+    key = ["tree", "prefix", "i", "j"]
+
+    def groups(batches):
+        import pyarrow as pa
+
+        rest = None  # the pair of blocks that may go on in the next batch
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if not len(t):
+                continue
+            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+            ks = [t[c].to_numpy() for c in key]
+            cut = [0, *(np.flatnonzero(np.any([c[1:] != c[:-1] for c in ks], axis=0)) + 1)]
+            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+                yield t.slice(lo, hi - lo)
+            rest = t.slice(cut[-1])
+        if rest is not None:
+            yield rest
+
+    def open_pairs(t):
+        g = {c: t[c].to_numpy() for c in ("n_shingles", "component")}
+        g["values"] = np.frombuffer(b"".join(t["labels"].to_pylist()), np.uint16).reshape(len(t), -1)
+        left = t["left"].to_numpy()
+        one = t["i"][0].as_py() == t["j"][0].as_py()
+        x, y = (np.arange(len(t)),) * 2 if one else (np.flatnonzero(left), np.flatnonzero(~left))
+        a, b = _open_pairs(t["tree"][0].as_py(), g, x, y, num, den)
+        return (a[a < b], b[a < b], g) if one else (a, b, g)
+
+    def possible(batches):
+        for t in groups(batches):
+            a, b, _ = open_pairs(t)
+            if len(a):
+                yield from t.take(np.union1d(a, b)).to_batches()
+
+    def exact(batches):
+        import pyarrow as pa
+
+        for t in groups(batches):
+            a, b, g = open_pairs(t)
+            sets, n = list(shingle_sets(t["text"].combine_chunks(), k)), g["n_shingles"]
+            if len(a) < 4 * len(t):
+                both = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(a, b, strict=True)], np.int64)
+            else:
+                x, y = np.unique(a), np.unique(b)
+                both = _common([sets[p] for p in x], [sets[q] for q in y])[np.searchsorted(x, a), np.searchsorted(y, b)]
+            ok = den * both >= num * (n[a] + n[b] - both)
+            out = _joined(np.stack([g["component"][a[ok]], g["component"][b[ok]]], axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
+
+    sort = lambda df: df.repartition(*key).sortWithinPartitions(*key)
+    schema = "tree int, prefix binary, i int, j int, left boolean, doc_id long, component long, n_shingles long, labels binary"
+    rows = sort(rows.join(reps.select("doc_id", "n_shingles", "labels"), "doc_id").select(*[c.split()[0] for c in schema.split(", ")]))
+    rows = written(rows.mapInArrow(possible, schema), "possible")
+    return sort(rows.join(texts, "doc_id")).mapInArrow(exact, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -127,6 +261,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
     return both.mapInArrow(run, "a long, b long")
 
 
+def joined(label: DataFrame, more: DataFrame) -> DataFrame:
+    """label (id, component) after its components, and ids in none, are joined as more (id, component) says."""
+    up = more.select(F.col("id").alias("component"), F.col("component").alias("up"))
+    old = label.join(up, "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+    return old.union(more.join(label.select("id"), "id", "left_anti").select("id", "component"))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept for every row of docs.
 
@@ -141,10 +282,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = written(classes, "classes")
     first = classes.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "h1", "h2", "n_shingles")
     reps = sk.join(first.hint("merge"), ["doc_id", "h1", "h2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    pairs = written(candidates(reps, num, den), "pairs")
+    met = written(candidates(reps, num, den), "met")
+    pairs = written(met.where("b is not null").select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "doc_id", "left_semi")
+    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = every.join(wanted.hint("merge"), "doc_id", "left_semi")
     label = components(confirmed(pairs, written(texts, "texts"), k, num, den))
+    near = met.where("b is null").select("tree", "prefix", F.col("a").alias("doc_id"))
+    label = joined(label, components(dense_links(near, reps, label, every, k, num, den)))
     of = label.select(F.col("id").alias("class_id"), "component")
     classes = classes.join(of, "class_id", "left").select("h1", "h2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component"))
     out = sk.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"], "left")
