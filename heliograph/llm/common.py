@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
+    """The folder that driver and executors share. Where none is configured: a temporary one if Spark is one local process
+    (tests), else ValueError, as executors could not read it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,6 +36,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def kept_as(name: str, results: list[str]) -> str:
+    """The name that a column carried along gets beside an operator's results."""
+    return f"{name}_of_docs" if name in results else name
+
+
 def held_out(doc_id: Column | str) -> Column:
     """True for the ids whose crc32, as text, leaves no rest by 5; those rows never teach a model."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -102,7 +112,11 @@ def blocks(at: np.ndarray, size: int = 1 << 20):
 
 
 def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words (A-Z lower-cased, runs without white space), and the number of words before each text."""
+    """64-bit hashes of all words (A-Z lower-cased, runs without white space), and the number of words before each text.
+
+    For features only: a polynomial modulo 2^64, under which some words of a thousand and more characters are alike. What
+    decides links uses shingle_hashes and numbered_shingles.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
@@ -120,25 +134,62 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return h, np.searchsorted(starts, at)
 
 
-def shingle_sets(texts, k: int):
-    """For each text of an Arrow array, the sorted distinct hashes of its k-word shingles; of all its words together if fewer."""
-    data, at = utf8(texts)
-    for i, j in blocks(at):
-        h, n = word_hashes(data[at[i] : at[j]], at[i : j + 1] - at[i])
-        m = len(h) - k + 1
-        s = np.full(max(0, m), k, np.uint64)
-        for x in range(k if m > 0 else 0):
-            s = mix64(s * np.uint64(0xD6E8FEB86659FD93) + h[x : x + m])
-        for a, b in zip(n[:-1], n[1:], strict=True):
-            if b - a >= k:
-                yield np.unique(s[a : b - k + 1])
-            elif b > a:
-                one = np.full(1, b - a, np.uint64)
-                for x in h[a:b]:
-                    one = mix64(one * np.uint64(0xD6E8FEB86659FD93) + x)
-                yield one
-            else:
-                yield np.zeros(0, np.uint64)
+class _Digests(dict):
+    """128-bit hashes of words as bytes; those of words that aren't long are kept until too many are."""
+
+    def __missing__(self, w: bytes) -> bytes:
+        got = blake2b(w, digest_size=16).digest()
+        if len(w) < 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[w] = got
+        return got
+
+
+class _Numbers(dict):
+    def __missing__(self, w) -> int:
+        self[w] = n = len(self)
+        return n
+
+
+_digests = _Digests()
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def words(text: bytes, size: int = 1 << 20):
+    """The words of a text (A-Z lower-cased, runs without white space), in lists: those of about size bytes at once."""
+    at = 0
+    while at < len(text):
+        cut = _SPACE.search(text, at + size)
+        end = cut.start() if cut else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
+def shingle_hashes(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each distinct k-word shingle of a text (of all words together if fewer), sorted by
+    the first."""
+    h = np.frombuffer(b"".join(b"".join(map(_digests.__getitem__, w)) for w in words(text)), np.uint64).reshape(-1, 2)
+    n = min(k, len(h))
+    s = np.full((len(h) - n + 1 if n else 0, 2), n, np.uint64)
+    for i in range(n):
+        s = mix64(s * np.uint64(0xD6E8FEB86659FD93) + h[i : i + len(s)])
+    first = np.unique(s[:, 0], return_index=True)[1]
+    return s[first, 0], s[first, 1]
+
+
+def numbered_shingles(texts: list[bytes], k: int) -> list[np.ndarray]:
+    """For each text the sorted distinct numbers of its k-word shingles (of all words together if fewer). Shingles of these
+    texts have equal numbers if and only if their words are equal: nothing is hashed."""
+    number, short = _Numbers(), _Numbers()
+    of = [np.concatenate([np.zeros(0, np.int64), *(np.fromiter(map(number.__getitem__, w), np.int64, len(w)) for w in words(t))]) for t in texts]
+    w = np.concatenate([np.zeros(0, np.int64), *of])
+    at = np.cumsum([0, *map(len, of)])
+    s = w
+    for i in range(1, k):
+        s = np.unique(s[: max(0, len(w) - i)] * len(number) + w[i:], return_inverse=True)[1]
+    most = len(w)
+    return [np.unique(s[a : b - k + 1]) if b - a >= k else np.full(min(1, b - a), most + (short[tuple(w[a:b].tolist())] if b > a else 0)) for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 # ---- connected components ---------------------------------------------------------------------

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mix64, shingle_sets, written
+from .common import blocks, components, mix64, numbered_shingles, shingle_hashes, written
 
 TREES, DEPTH, LEAST = 24, 8, 4  # trees; MinHash values in a label; those that neighbours share at least
 NEAR = 12  # a region of so many rows at most is compared whole at once
@@ -34,18 +34,26 @@ def signature(s: np.ndarray) -> bytes:
     return (mix64(low.astype(np.uint64)) & np.uint64(0xFFFF)).astype(">u2").tobytes()
 
 
+def _bytes(text) -> bytes:
+    """UTF-8 of an Arrow string; null: empty."""
+    found = text.as_buffer() if text.is_valid else None
+    return found.to_pybytes() if found else b""
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, labels): h1 and h2 tell different sets apart; labels is null for an empty set."""
+    """(doc_id, n_shingles, h1, h2, labels): h1 and h2, sums over the set of independent halves of 128-bit hashes, tell
+    different sets apart; labels is null for an empty set."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             n, h1, h2, labels = [], [], [], []
-            for s in shingle_sets(b.column(1), k):
+            for text in b.column(1):
+                s, t = shingle_hashes(_bytes(text), k)
                 n.append(len(s))
                 h1.append(int(mix64(s ^ np.uint64(0xA5A5)).sum(dtype=np.uint64).astype(np.int64)))
-                h2.append(int(mix64(s * np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64).astype(np.int64)))
+                h2.append(int(mix64(t).sum(dtype=np.uint64).astype(np.int64)))
                 labels.append(signature(s) if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(labels, pa.binary())], ["doc_id", "n_shingles", "h1", "h2", "labels"])
 
@@ -73,45 +81,98 @@ def _neighbours(label: np.ndarray, lo: int, hi: int, depth: int, out: list) -> N
         todo += [(a, b, depth + 1) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
+def _pairs(label: np.ndarray, regions, ids: np.ndarray, n: np.ndarray, num: int, den: int) -> pd.DataFrame:
+    """Pairs (a < b) of neighbours within regions (lo, hi) of sorted rows, whose sizes allow the similarity."""
+    out: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for lo, hi in regions:
+        _neighbours(label, lo, hi, LEAST, out)
+    i, j = (np.concatenate(x) for x in zip(*out, strict=True))
+    ok = (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])) & (ids[i] != ids[j])
+    a, b = ids[i[ok]], ids[j[ok]]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+PAIR, DENSE, FEW, END = range(4)  # rows of candidates: a pair; a row of a dense region; a row of a small region at the edge of a range; the end of a dense one there
+
+
+def _ranges(batches, num: int, den: int):
+    """From the sorted rows of one range, in frames: pairs of its regions, rows of dense ones, and what lies at its edges.
+
+    What is held is a batch, and of the region that goes on in the next one NEAR rows at most: of a dense one its last row.
+    """
+    rest, dense, first, held = None, False, True, 0  # the open region's rows; is it dense; is it the range's first; rows of it that are given already
+    for p in batches:
+        if not len(p):
+            continue
+        p = p if rest is None else pd.concat([rest, p], ignore_index=True)
+        label = np.frombuffer(b"".join(p["label"]), ">u2").reshape(-1, DEPTH)
+        key = np.concatenate([p["tree"].to_numpy()[:, None], label[:, :LEAST]], axis=1)
+        cut = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1))), len(p))
+        size = np.diff(cut)
+        is_dense = size > NEAR
+        is_dense[0] |= dense
+        given = size > 1  # the regions whose pairs are given now: not a small one at an edge or still open
+        if first:
+            given[0] &= is_dense[0]
+        given[-1] &= is_dense[-1]
+        yield _pairs(label, zip(cut[:-1][given], cut[1:][given], strict=True), p["doc_id"].to_numpy(), p["n_shingles"].to_numpy(), num, den).assign(kind=PAIR)
+        p["kind"] = DENSE
+        rows = np.repeat(is_dense, size)
+        rows[:held] = False
+        yield p[rows]
+        if first and is_dense[0] and not dense:
+            yield p.iloc[:1].assign(kind=END)
+        if first and not is_dense[0] and len(size) > 1:
+            yield p.iloc[: size[0]].assign(kind=FEW)
+        first, dense = first and len(size) == 1, bool(is_dense[-1])
+        rest, held = p.iloc[-1:] if dense else p.iloc[cut[-2] :], int(dense)
+    if rest is not None:
+        yield rest.assign(kind=END if dense else FEW)
+
+
+def edges(p: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
+    """Of a region's rows at the edges of ranges: all pairs if it is small, else its rows not given yet and links along it."""
+    p = p.sort_values(["label", "doc_id"]).drop_duplicates(["doc_id"])
+    whole, at = (p["kind"] == FEW).all() and len(p) <= NEAR, np.arange(len(p))
+    i, j = np.triu_indices(len(p), 1) if whole else (at[:-1], at[1:])
+    ids, n = p["doc_id"].to_numpy(), p["n_shingles"].to_numpy()
+    ok = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
+    a, b = ids[i[ok]], ids[j[ok]]
+    pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+    few = p[p["kind"] == FEW]
+    dense = pd.DataFrame({"tree": few["tree"], "prefix": few["prefix"], "a": few["doc_id"]}) if not whole else None
+    return pd.concat([pairs, dense], ignore_index=True).reindex(columns=["tree", "prefix", "a", "b"]).astype({"tree": "Int64", "a": "Int64", "b": "Int64"})
+
+
+
 def candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
     """reps (doc_id, n_shingles, labels) -> pairs (a < b) of neighbours whose sizes allow the similarity num/den, and rows
-    (tree, prefix, a) for every row a of a region too dense to be compared whole here."""
+    (tree, prefix, a) for every row a of a region too dense to be compared whole here.
+
+    Rows are dealt by ranges of (tree, label, id), so a region of any size is many tasks; of regions at the edges of ranges
+    a few rows for each range meet once more.
+    """
     rows = (
         reps.select("doc_id", "n_shingles", "labels", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
         .select("tree", F.expr(f"substring(labels, tree * {2 * DEPTH} + 1, {2 * DEPTH})").alias("label"), "doc_id", "n_shingles")
-        .withColumn("prefix", F.expr(f"substring(label, 1, {2 * LEAST})"))
-    )
-    rows = rows.repartition("tree", "prefix").sortWithinPartitions("tree", "label", "doc_id")
-
-    def pairs(p: pd.DataFrame) -> pd.DataFrame:
-        label = np.frombuffer(b"".join(p["label"]), ">u2").reshape(-1, DEPTH)
-        key = np.concatenate([p["tree"].to_numpy()[:, None], label[:, :LEAST]], axis=1)
-        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(p)]
-        out: list = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            if hi - lo > 1:
-                _neighbours(label, lo, hi, LEAST, out)
-        i, j = (np.concatenate(x) for x in zip(*out, strict=True))
-        ids, n = p["doc_id"].to_numpy(), p["n_shingles"].to_numpy()
-        ok = den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j])
-        a, b = ids[i[ok]], ids[j[ok]]
-        met = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-        dense = p.loc[np.repeat(np.diff(cut) > NEAR, np.diff(cut)), ["tree", "prefix", "doc_id"]].rename(columns={"doc_id": "a"})
-        return pd.concat([met, dense], ignore_index=True).astype({"b": "Int64", "tree": "Int32"})[["tree", "prefix", "a", "b"]]
+        .repartitionByRange("tree", "label", "doc_id").sortWithinPartitions("tree", "label", "doc_id")
+    )
+    columns = ["kind", "tree", "label", "doc_id", "n_shingles", "a", "b"]
+    schema = "kind int, tree int, label binary, doc_id long, n_shingles long, a long, b long"
 
     def run(batches):
-        rest = None  # the region that may go on in the next batch
-        for p in batches:
-            p = p if rest is None else pd.concat([rest, p], ignore_index=True)
-            last = (p["tree"] == p["tree"].iat[-1]) & (p["prefix"] == p["prefix"].iat[-1]) if len(p) else None
+        for p in _ranges(batches, num, den):
             if len(p):
-                rest = p[last]
-                if not last.all():
-                    yield pairs(p[~last].reset_index(drop=True))
-        if rest is not None:
-            yield pairs(rest.reset_index(drop=True))
+                yield p.reindex(columns=columns).astype({c: "Int64" for c in ("tree", "doc_id", "n_shingles", "a", "b")})
+
+    met = written(rows.mapInPandas(run, schema), "met")
+    prefix = F.expr(f"substring(label, 1, {2 * LEAST})").alias("prefix")
 
-    return rows.mapInPandas(run, "tree int, prefix binary, a long, b long")
+    few = met.where(F.col("kind").isin(FEW, END)).select("kind", "tree", prefix, "label", "doc_id", "n_shingles").groupBy("tree", "prefix").applyInPandas(lambda p: edges(p, num, den), "tree int, prefix binary, a long, b long")
+    none = F.lit(None)
+    pairs = met.where(F.col("kind") == PAIR).select(none.cast("int").alias("tree"), none.cast("binary").alias("prefix"), "a", "b")
+    dense = met.where(F.col("kind") == DENSE).select("tree", prefix, F.col("doc_id").alias("a"), none.cast("long").alias("b"))
+    return pairs.union(dense).union(few)
 
 
 def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -226,7 +287,7 @@ def dense_links(near: DataFrame, reps: DataFrame, label: DataFrame, texts: DataF
 
         for t in groups(batches):
             a, b, g = open_pairs(t)
-            sets, n = list(shingle_sets(t["text"].combine_chunks(), k)), g["n_shingles"]
+            sets, n = numbered_shingles([_bytes(x) for x in t["text"]], k), g["n_shingles"]
             if len(a) < 4 * len(t):
                 both = np.array([len(np.intersect1d(sets[p], sets[q], assume_unique=True)) for p, q in zip(a, b, strict=True)], np.int64)
             else:
@@ -244,7 +305,8 @@ def dense_links(near: DataFrame, reps: DataFrame, label: DataFrame, texts: DataF
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets, of texts (doc_id, text), have den * intersection >= num * union."""
+    """The pairs (a, b) whose full shingle sets, of texts (doc_id, text), have den * intersection >= num * union; the words
+    themselves are compared, not their hashes."""
     of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}"))
     both = pairs.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").select("a", "b", "ta", "tb")
 
@@ -252,10 +314,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
         import pyarrow as pa
 
         for b in batches:
-            ok = []
-            for x, y in zip(shingle_sets(b.column(2), k), shingle_sets(b.column(3), k), strict=True):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
+            size, ok = np.cumsum([0, *(len(x.as_buffer() or b"") + len(y.as_buffer() or b"") if x.is_valid and y.is_valid else 0 for x, y in zip(b.column(2), b.column(3), strict=True))]), []
+            for lo, hi in blocks(size):
+                sets = numbered_shingles([_bytes(x) for c in (2, 3) for x in b.column(c).slice(lo, hi - lo)], k)
+                for x, y in zip(sets[: hi - lo], sets[hi - lo :], strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    ok.append(den * both >= num * (len(x) + len(y) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(run, "a long, b long")
@@ -282,7 +346,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = written(classes, "classes")
     first = classes.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "h1", "h2", "n_shingles")
     reps = sk.join(first.hint("merge"), ["doc_id", "h1", "h2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    met = written(candidates(reps, num, den), "met")
+    reps = written(reps.select("doc_id", "n_shingles", "labels"), "reps")
+    met = candidates(reps, num, den)
     pairs = written(met.where("b is not null").select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
