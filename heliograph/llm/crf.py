@@ -2,7 +2,8 @@
 
 Every line is good or bad. Its features are shares of byte classes, its shape, its repeated words, and the same of the lines around it; the
 chain's two labels are summed out by forward-backward, and the marginals, weighted by line length, give the document's
-score. Lines carry the label of their document in training.
+score. Lines carry the label of their document in training. The field is fitted by a task that
+sees a bounded sample; the driver gets its weights alone.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bounded_sample, held_out, utf8, word_hashes
+from .common import blocks, bounded_sample, held_out, kept_as, utf8, word_hashes
 
 _CLASSES = 40
 _CLASS = np.zeros(256, np.int64)  # 0: other
@@ -83,57 +84,76 @@ def forward_backward(unary: np.ndarray, pair: np.ndarray, first: np.ndarray) ->
     return g, pairs
 
 
-def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> dict:
-    """Weights of the field by Adam on the conditional likelihood of the lines' labels, per line, texts weighted."""
-    import pyarrow as pa
-
-    data, at = utf8(pa.array(texts, pa.string()))
-    parts = [line_features(data[at[i] : at[j]], at[i : j + 1] - at[i]) for i, j in blocks(at)]  # in blocks: a text's bytes take a hundred times their size on the way
-    x = np.concatenate([p[0] for p in parts]) if parts else np.zeros((0, _WIDTH))
-    first = np.cumsum([0, *(n for p in parts for n in np.diff(p[2]))])
-    del parts, data
-    doc = np.repeat(np.arange(len(texts)), np.diff(first))
-    y, w = labels[doc], weights[doc] / np.maximum(1, np.diff(first))[doc]
-    w, each = w / max(w.sum(), 1e-300), weights / np.maximum(1, np.diff(first))
-    each = each / max(1e-300, (each * np.diff(first)).sum())
-    theta, pair = np.zeros(_WIDTH), np.zeros((2, 2))
-    seen = np.zeros((len(texts), 2, 2))
-    np.add.at(seen, (np.arange(len(texts)), labels, labels), np.maximum(0, np.diff(first) - 1))
-    state = [[np.zeros_like(p), np.zeros_like(p)] for p in (theta, pair)]
-    for i in range(1, rounds + 1):
-        score = x @ theta
-        g, pairs = forward_backward(np.stack([np.zeros_like(score), score], 1), pair, first)
-        down = x.T @ (w * (y - g[:, 1])) - decay * theta, ((seen - pairs) * each[:, None, None]).sum(0) - decay * pair
-        for p, d, s in zip((theta, pair), down, state, strict=True):
-            s[0], s[1] = 0.9 * s[0] + 0.1 * d, 0.99 * s[1] + 0.01 * d * d
-            p += rate * (s[0] / (1 - 0.9**i)) / (np.sqrt(s[1] / (1 - 0.99**i)) + 1e-8)
-    return {"theta": theta, "pair": pair, "prior": float((labels * weights).sum() / max(weights.sum(), 1e-300))}
-
-
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs_per_label: int = 1500) -> dict:
-    """The field of the labelled rows that aren't held out; at most docs_per_label of each label, weighted to all of them."""
+STEPS, STEP = 500, 1 << 16  # gradient steps; bytes of texts, one text at least, that a step takes
+
+
+def gradient(p: np.ndarray, x: np.ndarray, first: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Of the conditional log-likelihood of the lines' labels (those of their texts), a mean over lines with weight; p: the
+    weights of features, then of label pairs."""
+    lines = np.diff(first)
+    each = weights / np.maximum(1, lines)
+    w, score = np.repeat(each, lines), x @ p[:_WIDTH]
+    g, pairs = forward_backward(np.stack([np.zeros_like(score), score], 1), p[_WIDTH:].reshape(2, 2), first)
+    seen = np.zeros((len(labels), 2, 2))
+    seen[np.arange(len(labels)), labels, labels] = np.maximum(0, lines - 1)
+    return np.append(x.T @ (w * (np.repeat(labels, lines) - g[:, 1])), ((seen - pairs) * each[:, None, None]).sum(0)) / max(w.sum(), 1e-300)
+
+
+def descend(texts, labels: np.ndarray, weights: np.ndarray, *, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
+    """The field's weights (of features, then of label pairs): the mean over the last half of the steps of Adam, texts
+    weighted. texts: an Arrow array; features are held for a step's texts alone."""
+    data, at = utf8(texts)
+    p = np.zeros(_WIDTH + 4)
+    s, d, mean = np.zeros_like(p), np.zeros_like(p), np.zeros_like(p)
+    parts = list(blocks(at, STEP))
+    for i in range(1, steps + 1 if len(data) else 1):
+        lo, hi = parts[i % len(parts)]
+        x, _, first = line_features(data[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
+        up = gradient(p, x, first, labels[lo:hi], weights[lo:hi]) - decay * p
+        s, d = 0.9 * s + 0.1 * up, 0.99 * d + 0.01 * up * up
+        p = p + rate * (s / (1 - 0.9**i)) / (np.sqrt(d / (1 - 0.99**i)) + 1e-8)
+        mean += p * (i > steps // 2) / (steps - steps // 2)
+    return mean
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs_per_label: int = 1500, bytes_per_doc: int = 1 << 18) -> dict:
+    """The field of the labelled rows that aren't held out, weighted to all of them.
+
+    The sample is bounded by two parameters and made of whole texts: docs_per_label documents of each label (smallest md5 of
+    the id), of them those of at most bytes_per_doc. One task sees it and gives a row of weights. Defined cases: null texts,
+    null ids and labels other than 0 and 1 teach nothing; an id labelled twice counts as 1 if either label is; rows that
+    repeat an id teach each; without a labelled row every text scores 0.5, and empty ones 0; other columns are ignored.
+    """
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("y").alias("y"))
     share = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}  # two rows
     some = bounded_sample(known, "y", ["doc_id"], docs_per_label)
-    rows = sorted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null").join(F.broadcast(some), "doc_id").collect(), key=lambda r: (r["doc_id"], r["text"]))  # 2 x docs_per_label rows
-    y = np.array([r["y"] for r in rows], np.int64)
-    n = np.bincount(y, minlength=2)
-    weights = np.array([share[v] / n[v] for v in y], float)
-    return fit([r["text"] for r in rows], y, weights)
+    weight = F.coalesce(*[F.when(F.col("y") == y, F.lit(n / min(n, docs_per_label))) for y, n in share.items()], F.lit(1.0))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.octet_length("text") <= bytes_per_doc).join(F.broadcast(some), "doc_id")  # 2 x docs_per_label ids
+    rows = rows.select("doc_id", "text", "y", weight.alias("weight"), F.md5(F.col("doc_id").cast("string")).alias("h"), F.lit(0).alias("sample"))
+
+    def fit(t):
+        import pyarrow as pa
+
+        t = t.sort_by([("h", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+        return pa.table({"p": pa.array([descend(t["text"], t["y"].to_numpy(), t["weight"].to_numpy()).tolist()], pa.list_(pa.float64()))})
+
+    got = rows.groupBy("sample").applyInArrow(fit, "p array<double>").collect() if share else []  # one row
+    p = np.array(got[0]["p"]) if got else np.zeros(_WIDTH + 4)
+    return {"theta": p[:_WIDTH], "pair": p[_WIDTH:].reshape(2, 2), "prior": share.get(1, 0) / max(1, sum(share.values()))}
 
 
 def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, predicted, n_lines and the columns keep for every row: the length-weighted mean marginal of good lines of whole texts.
 
-    Defined cases: null, empty and newline-only texts get the share of label 1 among the training rows; repeated rows are
-    scored each; empty tables give no rows; other columns of docs are ignored.
+    Defined cases: null and empty texts get the share of label 1 among the labelled rows; a very long text is scored whole,
+    in memory that follows its length; repeated rows are scored each; empty tables give no rows; other columns of docs are
+    ignored, and kept ones named as a result get the suffix _of_docs.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    m, names = model, [f"k{i}" for i in range(len(keep))]
 
     def run(batches):
         import pyarrow as pa
 
-        m = shared.value
         for b in batches:
             data, at = utf8(b.column(1))
             out, lines = np.full(len(at) - 1, m["prior"]), np.zeros(len(at) - 1, np.int64)
@@ -145,8 +165,9 @@ def score(docs: DataFrame, model: dict, *, id_col: str = "doc_id", text_col: str
                 total, good = np.bincount(doc, length, j - i), np.bincount(doc, length * g[:, 1], j - i)
                 full = total > 0
                 out[i:j][full], lines[i:j] = good[full] / total[full], np.diff(first)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(out, 0, 1)), pa.array((out >= threshold).astype(np.int32)), pa.array(lines), *b.columns[2:]], ["doc_id", "score", "predicted", "n_lines", *keep])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(out, 0, 1)), pa.array((out >= threshold).astype(np.int32)), pa.array(lines), *b.columns[2:]], ["doc_id", "score", "predicted", "n_lines", *names])
 
-    kept = docs.select(*keep).schema if keep else []
-    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *keep)
-    return rows.mapInArrow(run, ", ".join(["doc_id long, score double, predicted int, n_lines long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)]))
+    results = ["doc_id", "score", "predicted", "n_lines"]
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"), *[F.col(c).alias(k) for c, k in zip(keep, names, strict=True)])
+    out = rows.mapInArrow(run, ", ".join(["doc_id long, score double, predicted int, n_lines long", *(f"{k} {rows.schema[k].dataType.simpleString()}" for k in names)]))
+    return out.select(*results, *[F.col(k).alias(kept_as(c, results)) for c, k in zip(keep, names, strict=True)])
