@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 
 from .common import written
 
-BUCKETS = 4096  # of an epoch's order, so that a leaf with a third of all rows is ordered in as many tasks
+DIGITS = 3  # hex digits of an order's hash that deal a leaf's last epoch over 16^DIGITS tasks, so that a hot leaf is many
 
 
 def weight(level: str, weights: Mapping[str, int], other: int = 1) -> Column:
@@ -26,34 +26,42 @@ def weight(level: str, weights: Mapping[str, int], other: int = 1) -> Column:
     return out.cast("long")
 
 
+def _wide(c: str) -> Column:
+    return F.col(c).cast("decimal(38,0)")
+
+
 def share(children: DataFrame, parent: list[str], level: str) -> DataFrame:
     """children (parent, level, cap, w, budget of the parent) with share: each takes budget by weight, up to its cap.
 
     Children that are full at their weight's share, in order of cap per weight, take their caps; the others split what
-    remains by weight, rounded down. Integers throughout.
+    remains by weight, rounded down. Integers throughout, products in 38 digits. Siblings are ordered in ranges, whose sums
+    are carried across, so a parent of any number of children is many tasks.
     """
-    some = F.when(F.col("w") > 0, F.col("w")).otherwise(0)
-    df = children.withColumn("w", some)
-    by = [F.when(F.col("w") > 0, F.col("cap") / F.col("w")).asc_nulls_last(), F.col(level)]
-    w = W.partitionBy(*parent).orderBy(*by) if parent else W.orderBy(*by)
-    whole = W.partitionBy(*parent) if parent else W.partitionBy(F.lit(1))
-    df = df.withColumn("rem", F.col("budget") - F.coalesce(F.sum("cap").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("rest", F.sum("w").over(w.rowsBetween(0, W.unboundedFollowing)))
-    df = df.withColumn("full", (F.col("w") > 0) & (F.col("cap") * F.col("rest") <= F.col("rem") * F.col("w")))
-    left = F.col("budget") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole), F.lit(0))
-    open_ = F.sum(F.when(~F.col("full"), F.col("w"))).over(whole)
-    df = df.withColumn("left", left).withColumn("open", open_)
-    return df.withColumn("share", F.expr("CASE WHEN full THEN cap WHEN w > 0 THEN (left * w) div open ELSE 0L END")).drop("rem", "rest", "full", "left", "open")
+    df = children.withColumn("w", F.when(F.col("w") > 0, F.col("w")).otherwise(0)).withColumn("ratio", F.when(F.col("w") > 0, F.col("cap") / F.col("w")).otherwise(float("inf")))
+    df = written(df.repartitionByRange(*parent, "ratio", level).withColumn("pid", F.spark_partition_id()), "children")
+    sums = df.groupBy("pid", *parent).agg(F.sum("cap").alias("c"), F.sum("w").alias("v"))
+    along, own = W.partitionBy(*parent).orderBy("pid"), W.partitionBy("pid", *parent).orderBy("ratio", level)
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    after = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(1, W.unboundedFollowing)), F.lit(0))
+    sums = sums.select("pid", *parent, before("c", along).alias("c0"), after("v", along).alias("v1"))  # a row a range and parent
+    df = df.withColumn("own_c", before("cap", own)).withColumn("own_v", after("w", own)).join(sums, ["pid", *parent])
+    df = df.withColumn("rem", F.col("budget") - F.col("c0") - F.col("own_c")).withColumn("rest", F.col("w") + F.col("own_v") + F.col("v1"))
+    df = df.withColumn("full", (F.col("w") > 0) & (_wide("cap") * _wide("rest") <= _wide("rem") * _wide("w"))).select(*parent, level, "cap", "w", "budget", "full")
+    df = written(df, "full")
+    total = df.groupBy(*parent).agg(F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))), F.lit(0)).alias("taken"), F.sum(F.when(~F.col("full"), F.col("w"))).alias("open"))
+    df = df.join(total, parent) if parent else df.crossJoin(F.broadcast(total))  # one row
+    left = F.expr("cast((budget - taken) as decimal(38,0)) * w div open")
+    return df.select(*parent, level, F.when(F.col("full"), F.col("cap")).when(F.col("w") > 0, left).otherwise(0).cast("long").alias("share"))
 
 
 def budgets(leaves: DataFrame, levels: list[str], weights: list[Mapping[str, int]], other: list[int], budget: Column) -> DataFrame:
-    """leaves (levels, tokens, cap) with the budget of each leaf."""
-    nodes = leaves.crossJoin(F.broadcast(leaves.agg(F.coalesce(budget, F.lit(0)).cast("long").alias("budget"))))  # one row
+    """leaves (levels, tokens, cap), in few rows and already written, with the budget of each leaf."""
+    given = leaves.agg(F.coalesce(budget, F.lit(0)).cast("long").alias("budget"))  # one row
     for i, level in enumerate(levels):
-        path = levels[: i + 1]
-        child = nodes.groupBy(*path, "budget").agg(F.sum("cap").alias("cap")).withColumn("w", weight(level, weights[i], other[i]))
-        got = share(child, levels[:i], level).select(*path, F.col("share").alias("budget"))
-        nodes = nodes.drop("budget").join(got, path)
-    return nodes
+        child = leaves.groupBy(*levels[: i + 1]).agg(F.sum("cap").alias("cap")).withColumn("w", weight(level, weights[i], other[i]))
+        child = child.join(given, levels[:i]) if i else child.crossJoin(F.broadcast(given))
+        given = share(child, levels[:i], level).withColumnRenamed("share", "budget")
+    return leaves.join(given, levels)
 
 
 def mix(docs: DataFrame, levels: list[tuple[str, Column]], weights: list[Mapping[str, int]], *, id_col: str = "doc_id", tokens: Column, fraction: float = 0.8, max_epochs: int = 2, seed: int = 1, other: list[int] | None = None) -> DataFrame:
@@ -62,18 +70,19 @@ def mix(docs: DataFrame, levels: list[tuple[str, Column]], weights: list[Mapping
     The budget is fraction of all tokens. A leaf's epochs follow each other, each in the order of md5(seed|epoch|id); a
     document is taken whole if its first token is within the leaf's budget. Defined cases: null names of a level are
     'unknown'; null tokens count as 0; rows that repeat an id are one document, the smallest by path and tokens; a weight
-    of 0 takes nothing; empty tables give no rows; other columns of docs are ignored.
+    of 0 takes nothing; a text of any length counts as a whole; empty tables give no rows; other columns of docs are
+    ignored.
     """
     names = [n for n, _ in levels]
     d = docs.select(F.col(id_col).alias("doc_id"), F.struct(*[F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in levels], F.coalesce(tokens.cast("long"), F.lit(0)).alias("tokens")).alias("x"))
     d = written(d.groupBy("doc_id").agg(F.min("x").alias("x")).select("doc_id", "x.*"), "mix")
-    leaves = d.groupBy(*names).agg(F.sum("tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs)
+    leaves = written(d.groupBy(*names).agg(F.sum("tokens").alias("tokens")).withColumn("cap", F.col("tokens") * max_epochs), "leaves")
     plan = budgets(leaves, names, weights, other or [1] * len(names), F.floor(F.sum("tokens") * F.lit(fraction)))
     plan = written(plan.where("tokens > 0 and budget > 0").select(*names, F.expr("budget div tokens").alias("whole"), F.expr("budget % tokens").alias("part")), "plan")
     all_ = d.join(plan, names).select("doc_id", *names, "tokens", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))).alias("epoch"), "whole")
     full = all_.where("epoch < whole").select("doc_id", *names, "tokens", "epoch")
     last = all_.where("epoch = whole and part > 0").withColumn("h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("doc_id").cast("string"))))
-    last = last.withColumn("bucket", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
+    last = last.withColumn("bucket", F.conv(F.substring("h", 1, DIGITS), 16, 10).cast("int"))
     starts = last.groupBy(*names, "bucket").agg(F.sum("tokens").alias("t"))
     starts = starts.select(*names, "bucket", F.coalesce(F.sum("t").over(W.partitionBy(*names).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     w = W.partitionBy(*names, "bucket").orderBy("h", "doc_id").rowsBetween(W.unboundedPreceding, -1)
