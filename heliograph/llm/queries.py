@@ -33,7 +33,7 @@ def op4_warc(spark, sf_dir):
 
 
 def op5_lines(spark, sf_dir):
-    out = linededup.drop_boilerplate(table(spark, sf_dir, "documents"), host_col="source", max_ratio=0.1, min_pages=3)
+    out = linededup.drop_boilerplate(table(spark, sf_dir, "documents"), host_col="source")
     return out.select("doc_id", "n_lines", "n_dropped", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"))
 
 
