@@ -10,18 +10,19 @@ from .common import written
 
 # Header fields that describe the body or the connection; a 304 must not change them.
 KEPT_OF_ORIGINAL = ["connection", "content-encoding", "content-length", "content-md5", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade"]
-_URL = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)([?]?[^#]*)"
+_URL = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)([?]?[^#]*)"
 
 
 def canonical_url(url: Column) -> Column:
-    """Host in lower case without www, path and query; without scheme, user, default port, fragment or a bare query mark.
-    What isn't a URL stays as it is, without spaces around it."""
+    """Host in lower case without www, path and query; without scheme, user, its scheme's default port, fragment or a bare
+    query mark. A host may be an address in brackets. What isn't a URL stays as it is, without spaces around it."""
     u = F.trim(url)
     part = lambda i: F.regexp_extract(u, _URL, i)
-    port = F.when(part(2).isin("", "80", "443"), "").otherwise(F.concat(F.lit(":"), part(2)))
-    path = F.when(part(3) == "", "/").otherwise(part(3))
-    query = F.when(part(4) == "?", "").otherwise(part(4))
-    return F.when(part(1) == "", u).otherwise(F.concat(F.regexp_replace(F.lower(part(1)), r"^www[.]", ""), port, path, query))
+    default = F.when(F.lower(part(1)) == "https", "443").otherwise("80")
+    port = F.when(part(3).isin("") | (part(3) == default), "").otherwise(F.concat(F.lit(":"), part(3)))
+    path = F.when(part(4) == "", "/").otherwise(part(4))
+    query = F.when(part(5) == "?", "").otherwise(part(5))
+    return F.when(part(2) == "", u).otherwise(F.concat(F.regexp_replace(F.lower(part(2)), r"^www[.]", ""), port, path, query))
 
 
 def _plain(headers: Column) -> Column:
@@ -45,16 +46,18 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     Resolved and unverified revisits get the original's digest and length, and its headers updated by those of the 304
     that a 304 may change. Records are ordered in ranges of (URL, time), so that a hot URL is many ranges; the last full
     response before a range is carried into it. Defined cases: null headers are none; a null URL is one key; records
-    without time come before others; of records equal in URL, time and id any order holds; empty tables give no rows;
-    other columns are ignored.
+    without time come before others; records equal in URL, time and id are ordered by status, digest, length and headers,
+    nulls first, so a full response precedes a revisit; repeated rows are resolved each; very long URLs and headers are kept
+    whole; empty tables give no rows; other columns are ignored.
     """
-    r = records.select("record_id", F.coalesce(canonical_url(F.col("url")), F.lit("")).alias("url_key"), "ts", "status", _plain(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))).alias("headers"), "digest", "length")
+    ties = ["status", "digest", "length", "shown"]
+    r = records.select("record_id", F.coalesce(canonical_url(F.col("url")), F.lit("")).alias("url_key"), "ts", "status", _plain(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))).alias("headers"), "digest", "length").withColumn("shown", F.array_sort(F.map_entries("headers")).cast("string"))
     r = r.repartitionByRange("url_key", "ts", "record_id").withColumn("pid", F.spark_partition_id())
     r = written(r, "records")
     full = F.when(F.col("status") == 200, F.struct("record_id", "headers", "digest", "length"))
-    w = W.partitionBy("pid", "url_key").orderBy("ts", "record_id")
+    w = W.partitionBy("pid", "url_key").orderBy("ts", "record_id", *ties)
     own = r.withColumn("seen", F.last(full, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)))
-    last = r.where("status = 200").groupBy("pid", "url_key").agg(F.max_by(F.struct("record_id", "headers", "digest", "length"), F.struct("ts", "record_id")).alias("last"))
+    last = r.where("status = 200").groupBy("pid", "url_key").agg(F.max_by(F.struct("record_id", "headers", "digest", "length"), F.struct("ts", "record_id", *ties)).alias("last"))
     ranges = r.select("pid", "url_key").distinct().join(last, ["pid", "url_key"], "left")
     carry = ranges.select("pid", "url_key", F.last("last", ignorenulls=True).over(W.partitionBy("url_key").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)).alias("carried")).where("carried is not null")
     own = own.join(carry, ["pid", "url_key"], "left").withColumn("o", F.when(F.col("status") == 304, F.coalesce("seen", "carried")))
@@ -88,14 +91,14 @@ def page_records(pages: DataFrame) -> DataFrame:
     return e.select((F.col("page_id") * 4 + F.col("e.k")).alias("record_id"), "e.url", "e.ts", "e.status", "e.headers", F.when(own, F.col("md5")).alias("digest"), F.when(own, F.col("n")).alias("length"))
 
 
-_KEY = "CASE WHEN h = '' THEN u ELSE regexp_replace(lower(h), '^www[.]', '') || CASE WHEN p IN ('', '80', '443') THEN '' ELSE ':' || p END || CASE WHEN pa = '' THEN '/' ELSE pa END || CASE WHEN q = '?' THEN '' ELSE q END END"
+_KEY = "CASE WHEN h = '' THEN u ELSE regexp_replace(lower(h), '^www[.]', '') || CASE WHEN p = '' OR p = CASE WHEN lower(s) = 'https' THEN '443' ELSE '80' END THEN '' ELSE ':' || p END || CASE WHEN pa = '' THEN '/' ELSE pa END || CASE WHEN q = '?' THEN '' ELSE q END END"
 SQL = f"""
 WITH b AS (SELECT page_id, url, md5(coalesce(html, '')) AS m, length(coalesce(html, ''))::BIGINT AS n, (page_id * 7919 % 100000)::BIGINT AS t FROM pages),
 r AS (
   SELECT page_id * 4 AS record_id, url, t AS ts, 200 AS status, m AS etag, t AS day, m AS digest, n AS length FROM b
   UNION ALL SELECT page_id * 4 + 1, regexp_replace(url, '#.*$', '') || '#again', t + 100000, 304, m, t + 100000, NULL, NULL FROM b
   UNION ALL SELECT page_id * 4 + 2, regexp_replace(url, '^https?', 'HTTP'), t + 50000, 304, CASE WHEN page_id % 5 = 0 THEN 'stale' ELSE m END, t + 50000, NULL, NULL FROM b),
-x AS (SELECT *, trim(url) AS u, regexp_extract(trim(url), '{_URL}', 1) AS h, regexp_extract(trim(url), '{_URL}', 2) AS p, regexp_extract(trim(url), '{_URL}', 3) AS pa, regexp_extract(trim(url), '{_URL}', 4) AS q FROM r),
+x AS (SELECT *, trim(url) AS u, regexp_extract(trim(url), '{_URL}', 1) AS s, regexp_extract(trim(url), '{_URL}', 2) AS h, regexp_extract(trim(url), '{_URL}', 3) AS p, regexp_extract(trim(url), '{_URL}', 4) AS pa, regexp_extract(trim(url), '{_URL}', 5) AS q FROM r),
 k AS (SELECT record_id, {_KEY} AS url_key, ts, status, etag, day, digest, length FROM x),
 o AS (SELECT *, CASE WHEN status = 304 THEN last_value(CASE WHEN status = 200 THEN struct_pack(id := record_id, etag := etag, digest := digest, length := length) END IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY ts, record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS orig FROM k),
 f AS (SELECT *, CASE WHEN status = 200 THEN 'full' WHEN orig IS NULL THEN 'missing' WHEN orig.etag = etag THEN 'resolved' ELSE 'mismatch' END AS outcome FROM o)
