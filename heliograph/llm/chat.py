@@ -11,7 +11,6 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 _TURN = re.compile(r"\[INST\](.*?)\n(.*?)\[/INST\]|\[OUT\](.*?)</s>", re.S)
 _BACK = {"\\": "\\", "l": "<", "b": "[", "n": "\n"}
@@ -52,7 +51,8 @@ def fold_events(events: DataFrame) -> DataFrame:
     all before; regenerate drops all before. What an edit or regeneration overrides is dropped before texts are gathered.
     Defined cases: nulls in text add nothing and a null role is ''; messages without an open, or opened twice, count from
     their first event with the first role given; events of equal seq hold in the order open, regenerate, edit, delta,
-    then by text; unknown events are ignored.
+    then by text; identical rows hold each; unknown events are ignored; very long texts stay whole; empty tables give no
+    rows; other columns are ignored.
     """
     rank = F.when(F.col("event") == "open", 0).when(F.col("event") == "regenerate", 1).when(F.col("event") == "edit", 2).when(F.col("event") == "delta", 3)
     ev = events.select("conv_id", F.col("seq").cast("long").alias("seq"), "message_id", rank.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text")).where("kind is not null")
@@ -67,10 +67,11 @@ def fold_events(events: DataFrame) -> DataFrame:
 def format_conversations(messages: DataFrame) -> DataFrame:
     """messages (conv_id, seq, message_id, role, text) -> conv_id, formatted, loss_spans array<struct<start, length>>.
 
-    One row per conversation, the unit of output: what gathers is its final text alone. Messages of equal seq are ordered
-    by message_id, role and text; a null conv_id is a conversation too.
+    One row per conversation, the unit of output: what gathers is its final text alone. Defined cases: messages of equal seq
+    are ordered by role, text and message_id; identical rows are turns each; a null conv_id is a conversation too, null roles
+    and texts are empty; a very long text stays whole; empty tables give no rows; other columns are ignored.
     """
-    turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "message_id", "role", "text"))).alias("turns"))
+    turns = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("seq", "role", "text", "message_id"))).alias("turns"))
 
     def run(batches):
         import pyarrow as pa
@@ -85,20 +86,27 @@ def format_conversations(messages: DataFrame) -> DataFrame:
 
 def event_log(conversations: DataFrame) -> DataFrame:
     """The event log that ends in the rows (conv_id, turn, role, text): a draft and its regeneration in two deltas for an
-    assistant's turn, a wrong text and its edit for any other. Rows of one turn are messages each, by role and text."""
-    i = F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "role", F.coalesce("text", F.lit("")).alias("text"), i.alias("message_id"))
+    assistant's turn, a wrong text and its edit for any other.
+
+    A message's events are numbered from 8 times its turn, so no conversation is numbered in one task. Defined cases: rows of
+    one turn, and identical rows, are messages each, in order of role and text; a null turn comes first; a null text is
+    empty, a null role none; a very long text is one message; empty tables give no rows; other columns are ignored.
+    """
+    rows = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-(1 << 59))).alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text")).agg(F.count(F.lit(1)).alias("n"))
+    name = F.concat_ws("-", F.md5(F.concat_ws("|", F.col("turn").cast("string"), F.col("role").isNull().cast("string"), "role", "text")), F.col("i").cast("string"))
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("message_id", name)
     half = F.floor(F.length("text") / 2).cast("int")
     event = lambda k, name, role, text: F.struct(F.lit(k).alias("k"), F.lit(name).alias("event"), role.cast("string").alias("role"), text.cast("string").alias("text"))
     none = F.lit(None)
     assistant = F.array(event(0, "open", F.col("role"), none), event(1, "delta", none, F.reverse("text")), event(2, "regenerate", none, none), event(3, "delta", none, F.col("text").substr(F.lit(1), half)), event(4, "delta", none, F.expr("substring(text, cast(floor(length(text) / 2) as int) + 1)")))
     other = F.array(event(0, "open", F.col("role"), none), event(1, "delta", none, F.concat(F.col("text"), F.lit("?"))), event(2, "edit", none, F.col("text")))
-    log = rows.select("conv_id", "message_id", F.explode(F.when(F.col("role") == "assistant", assistant).otherwise(other)).alias("e"))
-    return log.select("conv_id", (F.col("message_id") * 8 + F.col("e.k")).alias("seq"), "message_id", "e.event", "e.role", "e.text")
+    log = rows.select("conv_id", "turn", "message_id", F.explode(F.when(F.col("role") == "assistant", assistant).otherwise(other)).alias("e"))
+    return log.select("conv_id", (F.col("turn") * 8 + F.col("e.k")).alias("seq"), "message_id", "e.event", "e.role", "e.text")
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What is read back from formatted conversations: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars."""
+    """What is read back from formatted conversations: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
+    Repeated rows are read each; empty tables give no rows; other columns are ignored."""
 
     def run(batches):
         from hashlib import sha256
@@ -115,4 +123,4 @@ def digests(formatted: DataFrame) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.select("conv_id", "formatted", "loss_spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
