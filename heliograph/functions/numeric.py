@@ -116,3 +116,10 @@ def camera_ray(row: Column, col: Column, centre: tuple[float, float], affine: tu
         z = z * r + float(s)
     n = F.sqrt(x * x + y * y + z * z)
     return [x / n, y / n, z / n]
+
+
+def on_plane(ray: tuple[Column, Column, Column], height: float) -> tuple[Column, Column]:
+    """Where a ray (x, y, z) from the origin meets the plane z = height; null if it doesn't."""
+    x, y, z = ray
+    k = F.when(z * height > 0, height / z)
+    return k * x, k * y

@@ -258,3 +258,21 @@ def clear_power_curve(doy: Column, relative: Column) -> Column:
     d = 1 - relative
     c = [p + q * season for p, q in ((0.8535, 0.1342), (0.2364, 0.1374), (0.0227, -0.2178))]
     return F.greatest(0.5 * relative, 1 - c[0] * d - c[1] * d * d - c[2] * d * d * d)
+
+
+def adr_inverter(vdc: Column, pdc: Column, p: dict) -> Column:
+    """AC power by the loss model of Driesse, Jain and Harrison: losses are quadratic in power, and linear in voltage and in
+    its inverse. p: pnom, vnom, pacmax, pnt and the nine coefficients b."""
+    u, v = pdc / p["pnom"], vdc / p["vnom"]
+    terms = [F.pow(u, F.lit(float(i))) * c for c in (F.lit(1.0), v - 1, F.try_divide(F.lit(1.0), v) - 1) for i in range(3)]
+    loss = sum((b * t for b, t in zip(p["b"], terms, strict=True)), F.lit(0.0))
+    ac = p["pnom"] * (u - loss)
+    night = -abs(p["pnt"])
+    return F.when((vdc == 0) | (ac < night), night).otherwise(F.least(ac, F.lit(float(p["pacmax"]))))
+
+
+def tracker_angle(zenith: Column, azimuth: Column, axis_azimuth: float, most: float = 90.0) -> Column:
+    """Rotation (degrees, positive to the west of a north-south axis seen from the south) of a horizontal single-axis tracker
+    that points its modules at the sun as far as its stops allow; null at night."""
+    z, a = F.radians(zenith), F.radians(azimuth - axis_azimuth)
+    return F.when(zenith < 90, F.greatest(F.lit(-most), F.least(F.lit(most), F.degrees(F.atan2(F.sin(z) * F.sin(a), F.cos(z))))))

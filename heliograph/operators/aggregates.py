@@ -10,11 +10,16 @@ from pyspark.sql import Window as W
 def hazen_quantiles(df: DataFrame, key: list[str], value: str, ps: list[float]) -> DataFrame:
     """key, p, q: quantiles with breakpoints (i - 0.5) / n, clamped to the least and largest value; nulls and NaN are skipped.
 
-    Equal values are counted before they are ranked, so a hot key is sorted by its distinct values.
+    Equal values are counted before they are ranked. Ranks run within ranges of (key, value) and are carried across them, so
+    a hot key is many tasks.
     """
     v = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*key, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    w = W.partitionBy(*key)
-    v = v.withColumn("hi", F.sum("c").over(w.orderBy("v").rowsBetween(W.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(w))
+    v = v.repartitionByRange(*key, "v").withColumn("_r", F.spark_partition_id())
+    along = W.partitionBy(*key)
+    sums = v.groupBy("_r", *key).agg(F.sum("c").alias("s"))
+    sums = sums.select("_r", *key, F.coalesce(F.sum("s").over(along.orderBy("_r").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("b"), F.sum("s").over(along).alias("n"))  # a row a range and key
+    v = v.withColumn("own", F.sum("c").over(W.partitionBy("_r", *key).orderBy("v").rowsBetween(W.unboundedPreceding, 0))).alias("v")
+    v = v.join(sums.alias("s"), [F.col(f"v.{k}").eqNullSafe(F.col(f"s.{k}")) for k in ("_r", *key)]).select(*[F.col(f"v.{k}") for k in key], "v", "c", (F.col("own") + F.col("b")).alias("hi"), "n")
     v = v.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in ps])))
     pos = F.greatest(F.lit(1.0), F.least(F.col("n").cast("double"), F.col("p") * F.col("n") + 0.5))
     lo, hi, first = F.floor(pos), F.ceil(pos), F.col("hi") - F.col("c") + 1
@@ -23,6 +28,16 @@ def hazen_quantiles(df: DataFrame, key: list[str], value: str, ps: list[float])
     return v.withColumn("f", pos - lo).groupBy(*key, "p").agg((a + (b - a) * F.max("f")).alias("q"))
 
 
+def present(c: Column) -> Column:
+    """c with NaN as null, which aggregates skip."""
+    return F.when(~F.isnan(c), c)
+
+
+def complete(values: Column) -> Column:
+    """True for arrays without a null or NaN."""
+    return values.isNotNull() & ~F.exists(values, lambda x: x.isNull() | F.isnan(x))
+
+
 def error_metrics(y: Column, f: Column) -> dict[str, Column]:
     """Aggregates of a forecast f of y; rows with a null in either are skipped."""
     ok = y.isNotNull() & f.isNotNull()

@@ -80,9 +80,81 @@ def enclosed(field: DataFrame, frame: str, contour: Column, inside: Column) -> D
     return d.withColumn("enclosed", inside & (F.col("_l") + F.col("_r") + F.col("_u") + F.col("_d") == 4)).drop("_c", "_l", "_r", "_u", "_d")
 
 
-def saturation_factor(field: DataFrame, frame: str, contour: Column, inside: Column, most: float = 0.6) -> DataFrame:
-    """frame, factor: the share of enclosed pixels, up to most."""
-    return enclosed(field, frame, contour, inside).groupBy(frame).agg(F.least(F.lit(most), F.avg(F.col("enclosed").cast("double"))).alias("factor"))
+def components(pixels: DataFrame, frame: str) -> DataFrame:
+    """pixels (frame, x, y, ...) of a mask with component: the smallest x, then y, of the pixels joined to it by touching
+    sides or corners, as a struct. A frame, an image, is labelled in one task."""
+    import numpy as np
+    import pandas as pd
+
+    kind = pixels.schema[frame].dataType.simpleString()
+
+    def label(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.drop_duplicates().sort_values(["x", "y"])
+        x, y = p["x"].to_numpy(), p["y"].to_numpy()
+        at = {k: i for i, k in enumerate(zip(x.tolist(), y.tolist(), strict=True))}
+        pairs = [(i, j) for (u, v), i in at.items() for d, e in ((0, 1), (1, -1), (1, 0), (1, 1)) if (j := at.get((u + d, v + e))) is not None]
+        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+        up = np.arange(len(p))
+        while True:
+            low = up.copy()
+            np.minimum.at(low, a, up[b])
+            np.minimum.at(low, b, up[a])
+            low = low[low]
+            if (low == up).all():
+                break
+            up = low
+        return p.assign(cx=x[up], cy=y[up])
+
+    found = pixels.select(frame, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).groupBy(frame).applyInPandas(label, f"`{frame}` {kind}, x long, y long, cx long, cy long")
+    return pixels.join(found, [frame, "x", "y"]).withColumn("component", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))).drop("cx", "cy")
+
+
+def areas(labelled: DataFrame, frame: str, least: int = 1, most: int | None = None) -> DataFrame:
+    """frame, component, n, box (x0, x1, y0, y1) and centroid (cx, cy) of the components of least to most pixels."""
+    a = labelled.groupBy(frame, "component").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    return a.where(F.col("n") >= least) if most is None else a.where(F.col("n").between(least, most))
+
+
+def saturation_factor(field: DataFrame, frame: str, contour: Column, inside: Column, most: float = 0.6, least: int = 10, sun_flag: str | None = None) -> DataFrame:
+    """frame, factor: the share of enclosed pixels, without areas of fewer than least, up to most; 0 where sun_flag is 4."""
+    d = enclosed(field, frame, contour, inside)
+    flag = F.max(F.col(sun_flag) == 4) if sun_flag else F.lit(False)
+    total = d.groupBy(frame).agg(F.count(F.lit(1)).alias("_n"), F.coalesce(flag, F.lit(False)).alias("_f"))
+    kept = areas(components(d.where("enclosed").select(frame, "x", "y"), frame), frame, least).groupBy(frame).agg(F.sum("n").alias("_k"))
+    return total.join(kept, frame, "left").select(frame, F.when(F.col("_f"), 0.0).otherwise(F.least(F.lit(most), F.coalesce("_k", F.lit(0)) / F.col("_n"))).alias("factor"))
+
+
+def cloud_mask(red: Column, green: Column, blue: Column, near_sun: Column) -> Column:
+    """Cloud pixels by the red-blue ratio and brightness; around the sun by the green-blue ratio."""
+    return F.when(near_sun, F.try_divide(green, blue) > 0.96).otherwise((F.try_divide(red, blue) > 0.92) & (red + green + blue > 250))
+
+
+def local_minimum(levels: DataFrame, frame: str, level: str, n: str, start: DataFrame) -> DataFrame:
+    """frame, minimum: where a histogram (frame, level, n) of consecutive levels comes to rest, going down from start (frame,
+    threshold): to the left if n falls there and does not to the right, else to the right if it falls there."""
+    w = W.partitionBy(frame).orderBy("l")
+    d = levels.select(frame, F.col(level).cast("double").alias("l"), F.col(n).cast("double").alias("c")).withColumn("p", F.lag("c").over(w)).withColumn("q", F.lead("c").over(w)).join(start, frame)
+    left = F.coalesce(F.col("p") < F.col("c"), F.lit(False))  # a step to the left goes down
+    right = F.coalesce(F.col("q") < F.col("c"), F.lit(False))
+    own = F.col("l") == F.col("threshold")
+    side = F.max(F.when(own & left & ~right, -1).when(own & right, 1).when(own, 0))
+    rest_left = F.max(F.when((F.col("l") < F.col("threshold")) & ~left, F.col("l")))
+    rest_right = F.min(F.when((F.col("l") > F.col("threshold")) & ~right, F.col("l")))
+    return d.groupBy(frame).agg(F.when(side == -1, rest_left).when(side == 1, rest_right).otherwise(F.max("threshold")).alias("minimum"))
+
+
+def polar(field: DataFrame, frame: str, centre: tuple[float, float], angles: list[float], radii: list[float], value: str = "value") -> DataFrame:
+    """frame, a, r, value: the field around a centre (x, y) at indices of angles and radii, bilinear between pixels; null
+    where one of the four is missing."""
+    steps = lambda xs: F.posexplode(F.array(*[F.lit(float(x)) for x in xs]))
+    at = field.select(frame).distinct().select(frame, steps(angles).alias("a", "_a")).select("*", steps(radii).alias("r", "_r"))
+    at = at.withColumn("_x", centre[0] + F.cos("_a") * F.col("_r")).withColumn("_y", centre[1] + F.sin("_a") * F.col("_r")).withColumn("_i", F.floor("_x")).withColumn("_j", F.floor("_y"))
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    at = at.withColumn("_c", corner).withColumn("x", F.col("_i") + F.col("_c.i")).withColumn("y", F.col("_j") + F.col("_c.j"))
+    share = lambda t, u, c: F.when(F.col(c) == 0, 1 - (F.col(t) - F.col(u))).otherwise(F.col(t) - F.col(u))
+    at = at.withColumn("_w", share("_x", "_i", "_c.i") * share("_y", "_j", "_c.j")).where("_w > 0")
+    got = at.join(field.select(frame, "x", "y", F.col(value).alias("_v")), [frame, "x", "y"], "left")
+    return got.groupBy(frame, F.col("a").cast("long").alias("a"), F.col("r").cast("long").alias("r")).agg(F.when(F.count("_v") == F.count(F.lit(1)), F.sum(F.col("_v") * F.col("_w"))).alias(value))
 
 
 def rotation(pairs: DataFrame, a: list[str], b: list[str]) -> list[list[float]]:

@@ -185,3 +185,37 @@ def kernel_regression(df: DataFrame, features: list[str], target: str, gamma: fl
         return other.mapInPandas(run, T.StructType([*other.schema.fields, T.StructField("y_hat", T.DoubleType())]))
 
     return predict
+
+
+def absolute_line(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
+    """key, slope, intercept, error: the line of least total absolute error of each group, a pixel's few samples; of equal
+    ones the flattest, then the lowest. Such a line passes through two samples, or is flat through one where x never varies."""
+    p = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key, F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("p"))
+    g = p.groupBy(*key).agg(F.collect_list("p").alias("g"))  # a pixel's samples
+    slopes = F.flatten(F.transform("g", lambda a: F.transform(F.filter("g", lambda b: b["x"] > a["x"]), lambda b: F.struct(((b["y"] - a["y"]) / (b["x"] - a["x"])).alias("m"), a["x"].alias("x"), a["y"].alias("y")))))
+    flat = F.transform("g", lambda a: F.struct(F.lit(0.0).alias("m"), a["x"].alias("x"), a["y"].alias("y")))
+    line = F.transform(F.concat(slopes, flat), lambda c: F.struct(F.round(F.aggregate("g", F.lit(0.0), lambda s, q: s + F.abs(q["y"] - c["y"] - c["m"] * (q["x"] - c["x"]))), 9).alias("error"), F.abs(c["m"]).alias("steep"), (c["y"] - c["m"] * c["x"]).alias("intercept"), c["m"].alias("slope")))
+    return g.select(*key, F.array_min(line).alias("l")).select(*key, "l.slope", "l.intercept", "l.error")
+
+
+def grid_search(df: DataFrame, features: list[str], target: str, id_col: str, penalties: list[float], folds: int = 5) -> list[tuple[float, float]]:
+    """(penalty, rmse) of ridge regression by cross-validation, best first; a row's fold is its id's crc32.
+
+    One pass: each fold's sums of products suffice for every penalty and every training set.
+    """
+    import numpy as np
+
+    cols = [F.col(c).cast("double") for c in features] + [F.lit(1.0), F.col(target).cast("double")]
+    n = len(cols)
+    ok = df.where(F.expr(" and ".join(f"`{c}` is not null" for c in [*features, target])))
+    sums = ok.groupBy((F.crc32(F.col(id_col).cast("string").cast("binary")) % folds).alias("_f")).agg(*[F.sum(cols[i] * cols[j]).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n)]).collect()  # a row a fold
+    g = [np.array([[r[f"s{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)], float) for r in sums]
+    total, out = sum(g), []
+    for c in penalties:
+        error = count = 0.0
+        for own in g:
+            a = (total - own)[: n - 1, : n - 1] + np.diag([c] * (n - 2) + [0.0])
+            b = np.append(np.linalg.lstsq(a, (total - own)[: n - 1, n - 1], rcond=None)[0], -1.0)
+            error, count = error + b @ own @ b, count + own[n - 2, n - 2]
+        out.append((float(c), float(np.sqrt(max(0.0, error) / max(1.0, count)))))
+    return sorted(out, key=lambda x: (x[1], x[0]))

@@ -26,32 +26,98 @@ def first_match(left: DataFrame, right: DataFrame, on: list[str], order: list[st
     return left.join(first.select(*on, *[F.col("_m")[c].alias(c) for c in others]), on), left.join(first.select(*on), on, "left_anti")
 
 
-def nearest_neighbours(queries: DataFrame, points: DataFrame, qid: str, pid: str, features: list[str], k: int, p: float = 1.0, blocks: int = 16) -> DataFrame:
-    """qid, pid, distance, rank: the k nearest points of each query by a Minkowski distance; ties take the smaller pid.
+def nearest_neighbours(queries: DataFrame, points: DataFrame, qid: str, pid: str, features: list[str], k: int, p: float = 1.0, per_block: int = 2000, own: bool = True) -> DataFrame:
+    """qid, pid, distance, rank: the k nearest points of each query by a Minkowski distance (p >= 1); ties take the smaller pid.
 
-    Queries meet points block by block: every query is sent to each of the blocks of points, keeps its k best there, and
-    those meet once more. Queries are a stated set; points may be of any size.
+    Exact in two rounds over blocks of equal width along the first feature. A query's k-th distance in its own block bounds
+    its search: no nearer point differs more in one feature. So it then meets only the blocks within that distance, or all
+    where its own has fewer than k points. Nulls in features match nothing; own=False leaves out points whose pid is the
+    query's id.
     """
-    q = queries.select(F.col(qid).alias("_q"), *[F.col(c).cast("double").alias(f"q_{c}") for c in features]).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    x = points.select(F.col(pid).alias("_p"), *[F.col(c).cast("double").alias(f"p_{c}") for c in features], F.pmod(F.xxhash64(pid), F.lit(blocks)).cast("int").alias("_b"))
+    first = features[0]
+    n, low, high = points.agg(F.count(first), F.min(first).cast("double"), F.max(first).cast("double")).first()  # one row
+    blocks = max(1, n // per_block)
+    low, width = low or 0.0, ((high or 0.0) - (low or 0.0)) / blocks or 1.0
+    block = lambda c: F.greatest(F.lit(0), F.least(F.lit(blocks - 1), F.floor((c - low) / width))).cast("int")
+    q = queries.select(F.col(qid).alias("_q"), *[F.col(c).cast("double").alias(f"q_{c}") for c in features])
+    x = points.select(F.col(pid).alias("_p"), *[F.col(c).cast("double").alias(f"p_{c}") for c in features]).dropna().withColumn("_b", block(F.col(f"p_{first}")))
     d: Column = F.lit(0.0)
     for c in features:
         gap = F.abs(F.col(f"q_{c}") - F.col(f"p_{c}"))
         d = d + (gap if p == 1 else gap * gap if p == 2 else F.pow(gap, F.lit(p)))
-    pairs = q.join(x, "_b").select("_q", "_b", "_p", (d if p == 1 else F.sqrt(d) if p == 2 else F.pow(d, F.lit(1 / p))).alias("distance"))
-    best = lambda df, *by: df.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy("distance", "_p")).cast("long")).where(F.col("rank") <= k)
-    return best(best(pairs, "_q", "_b"), "_q").select(F.col("_q").alias(qid), F.col("_p").alias(pid), "distance", "rank")
+    d = d if p == 1 else F.sqrt(d) if p == 2 else F.pow(d, F.lit(1 / p))
 
+    def best(q: DataFrame) -> DataFrame:
+        pairs = q.join(x, "_b").where(F.lit(True) if own else ~F.col("_q").eqNullSafe(F.col("_p"))).select("_q", "_p", d.alias("distance")).where("distance is not null")
+        return pairs.withColumn("rank", F.row_number().over(W.partitionBy("_q").orderBy("distance", "_p")).cast("long")).where(F.col("rank") <= k)
 
-def nearest_cell(queries: DataFrame, points: DataFrame, qid: str, pid: str, x: str, y: str, reach: float) -> DataFrame:
-    """qid, pid, distance: the nearest point in the plane within reach (null: none), by cells of side reach and their neighbours."""
+    reach = best(q.withColumn("_b", block(F.col(f"q_{first}")))).groupBy("_q").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_d"))
+    at, wide = F.col(f"q_{first}"), F.col("_d") * (1 + 1e-9)  # a margin for rounding
+    ends = [F.coalesce(block(at - wide), F.lit(0)), F.coalesce(block(at + wide), F.lit(blocks - 1))]
+    return best(q.join(reach, "_q", "left").withColumn("_b", F.explode(F.sequence(*ends)))).select(F.col("_q").alias(qid), F.col("_p").alias(pid), "distance", "rank")
+
+
+def assigned(pairs: DataFrame, frame: str, a: str, b: str, cost: str, alone: float) -> DataFrame:
+    """frame, a, b: the pairs of least total cost in each frame, every a and b once at most; an a or b left alone costs alone.
+
+    pairs: the possible (frame, a, b, cost), a frame's a and b fitting one task, as detections and tracks do; pairs missing
+    from it are impossible. Of equal pairs the cheapest counts.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
+
+    def solve(c: np.ndarray) -> np.ndarray:
+        """For each row of a square matrix its column, by shortest augmenting paths."""
+        n = len(c)
+        u, v, row = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, -1)  # row[j]: the row of column j; column n is virtual
+        for i in range(n):
+            row[n], j, free, least, back = i, n, np.ones(n, bool), np.full(n, np.inf), np.full(n, n)
+            while row[j] >= 0:
+                if j < n:
+                    free[j] = False
+                gap = c[row[j]] - u[row[j]] - v[:n]
+                better = free & (gap < least)
+                least[better], back[better] = gap[better], j
+                to = int(np.where(free, least, np.inf).argmin())
+                step = least[to]
+                done = np.append(~free, True)
+                u[row[done]] += step
+                v[done] -= step
+                least[free] -= step
+                j = to
+            while j < n:
+                row[j], j = row[back[j]], back[j]
+        out = np.zeros(n, np.int64)
+        out[row[:n]] = np.arange(n)
+        return out
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values([cost, a, b]).drop_duplicates([a, b])
+        left, right = np.unique(g[a]), np.unique(g[b])
+        n, m = len(left), len(right)
+        c = np.full((n + m, n + m), 1e15)
+        c[np.searchsorted(left, g[a]), np.searchsorted(right, g[b])] = g[cost]
+        c[:n, m:], c[n:, :m], c[n:, m:] = np.where(np.eye(n) > 0, alone, 1e15), np.where(np.eye(m) > 0, alone, 1e15), 0
+        col = solve(c)[:n]
+        hit = col < m
+        return pd.DataFrame({frame: g[frame].iat[0], a: left[hit], b: right[col[hit]]})
+
+    return pairs.where(F.col(cost).isNotNull()).groupBy(frame).applyInPandas(run, ", ".join(f"`{x}` {kinds[x]}" for x in (frame, a, b)))
+
+
+def nearest_cell(queries: DataFrame, points: DataFrame, qid: str, pid: str, x: str, y: str, reach: float, own: bool = True) -> DataFrame:
+    """qid, pid, distance: the nearest point in the plane within reach (null: none), by cells of side reach and their
+    neighbours; own=False leaves out the point whose pid is the query's id."""
     cell = lambda c: F.floor(F.col(c) / reach).cast("long")
     near = F.sequence(F.lit(-1), F.lit(1))
     p = points.select(F.col(pid).alias("_p"), F.col(x).alias("_x"), F.col(y).alias("_y"), cell(x).alias("_cx"), cell(y).alias("_cy"))
     q = queries.select(F.col(qid).alias("_q"), F.col(x).alias("_u"), F.col(y).alias("_v"), F.explode(near).alias("_i")).select("*", F.explode(near).alias("_j"))
     q = q.select("_q", "_u", "_v", (F.floor(F.col("_u") / reach) + F.col("_i")).cast("long").alias("_cx"), (F.floor(F.col("_v") / reach) + F.col("_j")).cast("long").alias("_cy"))
     d = F.sqrt((F.col("_u") - F.col("_x")) ** 2 + (F.col("_v") - F.col("_y")) ** 2)
-    hit = q.join(p, ["_cx", "_cy"]).select("_q", "_p", d.alias("d")).where(F.col("d") <= reach).groupBy("_q").agg(F.min(F.struct("d", "_p")).alias("m"))
+    met = q.join(p, ["_cx", "_cy"])
+    hit = (met if own else met.where("_q <> _p")).select("_q", "_p", d.alias("d")).where(F.col("d") <= reach).groupBy("_q").agg(F.min(F.struct("d", "_p")).alias("m"))
     return queries.select(qid).join(hit.select(F.col("_q").alias(qid), F.col("m._p").alias(pid), F.col("m.d").alias("distance")), qid, "left")
 
 

@@ -75,6 +75,58 @@ def ahead(queries: DataFrame, samples: DataFrame, key: list[str], t: str, value:
     return interpolate(moved, samples, key, t, value, **given).withColumn(t, F.col("_t")).drop("_t")
 
 
+def resample(series: DataFrame, clock: DataFrame, key: list[str], t: str, value: str, **given) -> DataFrame:
+    """The series (key, t, value) at the times of another clock (key, t): key, t, v, once for each time; null outside its range."""
+    return interpolate(clock.select(*key, t).distinct(), series, key, t, value, **given)
+
+
+def ewma(df: DataFrame, key: list[str], order: list[str], value: str, share: float, start: float) -> DataFrame:
+    """df with v: (1 - share) of the row before's v (at first: start) and share of value; a null value leaves v as it is.
+
+    A series is cut into ranges of its order. In a range v is linear in the v before it, so each range gives two numbers;
+    their chain, a row a range, gives every range its start.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    d = df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumn("_r", F.spark_partition_id())
+
+    def factors(batches):
+        """own: v if the range began at 0; left: the share of the v before the range that is left in v."""
+        last, own, left = None, 0.0, 1.0
+        for p in batches:
+            a, b = np.zeros(len(p)), np.zeros(len(p))
+            for i, (k, x) in enumerate(zip(p[key].itertuples(index=False, name=None), p[value].to_numpy(float), strict=True)):
+                if k != last:
+                    last, own, left = k, 0.0, 1.0
+                if x == x:
+                    own, left = (1 - share) * own + share * x, (1 - share) * left
+                a[i], b[i] = own, left
+            yield p.assign(_own=a, _left=b)
+
+    d = d.mapInPandas(factors, f"{kinds}, _r int, _own double, _left double")
+    ends = d.groupBy("_r", *key).agg(F.max_by(F.struct("_own", "_left"), F.struct(*order)).alias("e"))
+
+    def chain(p: pd.DataFrame) -> pd.DataFrame:
+        p, v, out = p.sort_values("_r"), start, []
+        for own, left in zip(p["_own"], p["_left"], strict=True):
+            out.append(v)
+            v = own + left * v
+        return p[["_r", *key]].assign(_start=out)
+
+    of = ", ".join(["_r int", *(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key), "_start double"])
+    starts = ends.select("_r", *key, "e.*").groupBy(*key).applyInPandas(chain, of)  # a row a range and key
+    return d.join(starts, ["_r", *key]).select(*df.columns, (F.col("_own") + F.col("_left") * F.col("_start")).alias("v"))
+
+
+def regular_suffix(df: DataFrame, key: list[str], t: str, step: float, noise: float) -> DataFrame:
+    """The rows of each series from the last gap on that differs from step by more than noise."""
+    d = df.withColumn("_g", F.col(t) - F.lag(t).over(W.partitionBy(*key).orderBy(t)))
+    cut = d.groupBy(*key).agg(F.max(F.when(F.abs(F.col("_g") - step) > noise, F.col(t))).alias("_c"))
+    return d.join(cut, key).where(F.col("_c").isNull() | (F.col(t) >= F.col("_c"))).select(*df.columns)
+
+
 def minute_mean(df: DataFrame, key: list[str], ts: str, value: str, how=F.avg) -> DataFrame:
     """key, minute, v: an aggregate per whole minute."""
     return df.groupBy(*key, F.date_trunc("minute", F.col(ts).cast("timestamp")).cast("timestamp_ntz").alias("minute")).agg(how(value).alias("v"))

@@ -19,6 +19,7 @@ from ..operators import fields as I
 from ..operators import learning as L
 from ..operators import relations as R
 from ..operators import series as T
+from ..sources.logs import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -108,12 +109,12 @@ def f17_row_predicate(spark, sf_dir):
 
 
 @query(f"""WITH {E}, q AS (SELECT min(t) AS a, max(t) AS z FROM e WHERE event_type = 'purchase'),
-d AS (SELECT *, lead(t) OVER (ORDER BY t) AS nt, lag(t) OVER (ORDER BY t) AS pt FROM e WHERE event_type = 'view' AND user_id = 1)
+d AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nt, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS pt FROM e WHERE event_type = 'view')
 SELECT event_id, t FROM d, q WHERE coalesce(nt, t) >= a AND coalesce(pt, t) <= z""")
 def f9_crop_with_neighbours(spark, sf_dir):
     ends = events(spark, sf_dir, "purchase").agg(F.min("t").alias("a"), F.max("t").alias("z"))
     w = W.partitionBy("user_id").orderBy("t")
-    d = events(spark, sf_dir, "view").where("user_id = 1").withColumn("nt", F.coalesce(F.lead("t").over(w), "t")).withColumn("pt", F.coalesce(F.lag("t").over(w), "t"))
+    d = events(spark, sf_dir, "view").withColumn("nt", F.coalesce(F.lead("t").over(w), "t")).withColumn("pt", F.coalesce(F.lag("t").over(w), "t"))
     return d.crossJoin(F.broadcast(ends)).where("nt >= a AND pt <= z").select("event_id", "t")  # one row
 
 
@@ -190,18 +191,16 @@ def j9_lookup(spark, sf_dir):
     return R.lookup(s, table(spark, sf_dir, "region"), ["r_regionkey"]).select("s_suppkey", "n_name", "r_name")
 
 
-KNN = "q AS (SELECT * FROM part WHERE p_partkey % 100 = 0), d AS (SELECT q.p_partkey AS p_partkey, x.p_partkey AS near, abs(q.p_retailprice - x.p_retailprice) + abs(q.p_size::DOUBLE - x.p_size::DOUBLE) AS distance, x.p_size AS y, row_number() OVER (PARTITION BY q.p_partkey ORDER BY abs(q.p_retailprice - x.p_retailprice) + abs(q.p_size::DOUBLE - x.p_size::DOUBLE), x.p_partkey) AS rank FROM q, part x WHERE x.p_partkey % 100 <> 0)"
+def _knn_sql(features: list[tuple[str, str]], where: str) -> str:
+    distance = " + ".join(f"abs({x.format('q')}::DOUBLE - {x.format('x')}::DOUBLE)" for _, x in features)
+    return f"q AS (SELECT * FROM part WHERE p_partkey % 100 = 0), d AS (SELECT q.p_partkey AS p_partkey, x.p_partkey AS near, {distance} AS distance, x.p_size AS y, row_number() OVER (PARTITION BY q.p_partkey ORDER BY {distance}, x.p_partkey) AS rank FROM q, part x WHERE {where})"
 
 
-def parts(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    return p.where("p_partkey % 100 = 0"), p.where("p_partkey % 100 <> 0").withColumn("near", F.col("p_partkey"))
-
-
-@query(f"WITH {KNN} SELECT p_partkey, near, round(distance, 6) + 0.0 AS distance, rank FROM d WHERE rank <= 10")
+@query(f"WITH {_knn_sql([('price', '{}.p_retailprice'), ('size', '{}.p_size')], 'x.p_partkey <> q.p_partkey')} SELECT p_partkey, near, round(distance, 6) + 0.0 AS distance, rank FROM d WHERE rank <= 10")
 def j10_nearest_neighbours(spark, sf_dir):
-    q, x = parts(spark, sf_dir)
-    return R.nearest_neighbours(q, x, "p_partkey", "near", ["p_retailprice", "p_size"], 10).select("p_partkey", "near", r(F.col("distance")).alias("distance"), "rank")
+    p = table(spark, sf_dir, "part")
+    got = R.nearest_neighbours(p.where("p_partkey % 100 = 0"), p.withColumn("near", F.col("p_partkey")), "p_partkey", "near", ["p_retailprice", "p_size"], 10, own=False)
+    return got.select("p_partkey", "near", r(F.col("distance")).alias("distance"), "rank")
 
 
 OUTLINE = [(0.0, 5.0), (20.0, 0.0), (50.0, 20.0), (40.0, 50.0), (15.0, 35.0)]
@@ -224,11 +223,11 @@ def j12_within_radius(spark, sf_dir):
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, (p_partkey * 37 % 1000)::DOUBLE AS x, (p_partkey * 91 % 1009)::DOUBLE AS y FROM part),
-d AS (SELECT q.id AS q, b.id AS near, sqrt((q.x - b.x) * (q.x - b.x) + (q.y - b.y) * (q.y - b.y)) AS d FROM p q JOIN p b ON q.id % 50 = 0 AND b.id % 50 <> 0 AND abs(q.x - b.x) <= 30 AND abs(q.y - b.y) <= 30),
-m AS (SELECT q, arg_min(near, (d, near)) AS near, min(d) AS d FROM d WHERE d <= 30 GROUP BY q) SELECT id, near, round(d, 6) + 0.0 AS distance FROM p LEFT JOIN m ON id = q WHERE id % 50 = 0""")
+d AS (SELECT q.id AS q, b.id AS near, sqrt((q.x - b.x) * (q.x - b.x) + (q.y - b.y) * (q.y - b.y)) AS d FROM p q JOIN p b ON q.id % 100 = 0 AND b.id <> q.id AND abs(q.x - b.x) <= 30 AND abs(q.y - b.y) <= 30),
+m AS (SELECT q, arg_min(near, (d, near)) AS near, min(d) AS d FROM d WHERE d <= 30 GROUP BY q) SELECT id, near, round(d, 6) + 0.0 AS distance FROM p LEFT JOIN m ON id = q WHERE id % 100 = 0""")
 def j13_nearest_cell(spark, sf_dir):
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 1000).cast("double").alias("x"), (F.col("p_partkey") * 91 % 1009).cast("double").alias("y"))
-    return R.nearest_cell(p.where("id % 50 = 0"), p.where("id % 50 <> 0").withColumn("near", F.col("id")), "id", "near", "x", "y", 30.0).select("id", "near", r(F.col("distance")).alias("distance"))
+    return R.nearest_cell(p.where("id % 100 = 0"), p.withColumn("near", F.col("id")), "id", "near", "x", "y", 30.0, own=False).select("id", "near", r(F.col("distance")).alias("distance"))
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
@@ -278,15 +277,14 @@ def a7_marginals(spark, sf_dir):
     return A.marginals(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], "l_quantity")
 
 
-SIDE = 24  # of the square frames made from parts
-FIELD = f"f AS (SELECT p_size % 5 AS frame, x, y, (p * 31 + x * x * 7 + y * 13 + x * y * p) % 256 AS value FROM (SELECT DISTINCT p_size % 5 AS p_size, p_size % 5 AS p FROM part), (SELECT unnest(range({SIDE})) AS x), (SELECT unnest(range({SIDE})) AS y))"
+SIDE = 24  # of the square frames made from suppliers
+FIELD = f"f AS (SELECT s_suppkey AS frame, x, y, (s_suppkey * 31 + x * x * 7 + y * 13 + x * y * s_suppkey) % 256 AS value FROM supplier, (SELECT unnest(range({SIDE})) AS x), (SELECT unnest(range({SIDE})) AS y))"
 
 
 def field(spark, sf_dir) -> DataFrame:
-    """A frame for each class of part size: x, y in 0..23 and a grey value."""
-    f = table(spark, sf_dir, "part").select((F.col("p_size") % 5).cast("long").alias("frame")).distinct()
+    """A frame for each supplier: x, y in 0..23 and a grey value."""
     axis = F.sequence(F.lit(0).cast("long"), F.lit(SIDE - 1).cast("long"))
-    f = f.select("frame", F.explode(axis).alias("x")).select("frame", "x", F.explode(axis).alias("y"))
+    f = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame"), F.explode(axis).alias("x")).select("frame", "x", F.explode(axis).alias("y"))
     return f.withColumn("value", (F.col("frame") * 31 + F.col("x") * F.col("x") * 7 + F.col("y") * 13 + F.col("x") * F.col("y") * F.col("frame")) % 256)
 
 
@@ -295,9 +293,9 @@ def a8_quadrant_cover(spark, sf_dir):
     return A.quadrant_cover(field(spark, sf_dir).withColumn("cloud", F.col("value") > 140), "frame", "x", "y", "cloud", (12, 12)).select("frame", "quadrant", r(F.col("cover")).alias("cover"))
 
 
-@query(f"WITH {FIELD} SELECT frame::BIGINT AS frame, CASE WHEN y < 3 + 4 * frame THEN 'T' ELSE 'B' END || CASE WHEN x < 5 + 3 * frame THEN 'L' ELSE 'R' END AS quadrant, round(100 * avg(CASE WHEN value > 140 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS cover FROM f WHERE (x - 5 - 3 * frame) * (x - 5 - 3 * frame) + (y - 3 - 4 * frame) * (y - 3 - 4 * frame) <= 36 GROUP BY ALL")
+@query(f"WITH {FIELD} SELECT frame::BIGINT AS frame, CASE WHEN y < 3 + 4 * (frame % 5) THEN 'T' ELSE 'B' END || CASE WHEN x < 5 + 3 * (frame % 5) THEN 'L' ELSE 'R' END AS quadrant, round(100 * avg(CASE WHEN value > 140 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS cover FROM f WHERE (x - 5 - 3 * (frame % 5)) * (x - 5 - 3 * (frame % 5)) + (y - 3 - 4 * (frame % 5)) * (y - 3 - 4 * (frame % 5)) <= 36 GROUP BY ALL")
 def a8_circumsolar_cover(spark, sf_dir):
-    f = field(spark, sf_dir).withColumn("cloud", F.col("value") > 140).withColumn("sx", 5 + 3 * F.col("frame")).withColumn("sy", 3 + 4 * F.col("frame"))
+    f = field(spark, sf_dir).withColumn("cloud", F.col("value") > 140).withColumn("sx", 5 + 3 * (F.col("frame") % 5)).withColumn("sy", 3 + 4 * (F.col("frame") % 5))
     return A.quadrant_cover(f, "frame", "x", "y", "cloud", (0, 0), ("sx", "sy"), 6).select("frame", "quadrant", r(F.col("cover")).alias("cover"))
 
 
@@ -425,12 +423,18 @@ def w5_median_filter(spark, sf_dir):
     return I.median_filter(field(spark, sf_dir), "frame", 1)
 
 
-@query(f"""WITH {FIELD}, c AS (SELECT *, CASE WHEN value > 215 THEN 1 ELSE 0 END AS c FROM f),
+#: Of mask pixels p, the smallest pixel g.id that each reaches by touching sides or corners.
+REACH = f"reach AS (SELECT frame, x, y, x * {SIDE} + y AS id FROM p UNION SELECT p.frame, p.x, p.y, reach.id FROM reach JOIN p ON p.frame = reach.frame AND abs(p.x - reach.x) <= 1 AND abs(p.y - reach.y) <= 1), g AS (SELECT frame, x, y, min(id) AS id FROM reach GROUP BY ALL)"
+
+
+@query(f"""WITH RECURSIVE {FIELD}, c AS (SELECT *, CASE WHEN value > 215 THEN 1 ELSE 0 END AS c FROM f),
 a AS (SELECT *, max(c) OVER (PARTITION BY frame, y ORDER BY x ROWS UNBOUNDED PRECEDING) AS l, max(c) OVER (PARTITION BY frame, y ORDER BY x DESC ROWS UNBOUNDED PRECEDING) AS r, max(c) OVER (PARTITION BY frame, x ORDER BY y ROWS UNBOUNDED PRECEDING) AS u, max(c) OVER (PARTITION BY frame, x ORDER BY y DESC ROWS UNBOUNDED PRECEDING) AS d FROM c),
-b AS (SELECT *, max(l) OVER col + max(r) OVER col + max(u) OVER row_ + max(d) OVER row_ AS sides FROM a WINDOW col AS (PARTITION BY frame, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), row_ AS (PARTITION BY frame, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING))
-SELECT frame::BIGINT AS frame, round(least(0.6::DOUBLE, avg(CASE WHEN value > 140 AND sides = 4 THEN 1.0 ELSE 0.0 END)), 6) + 0.0 AS factor FROM b GROUP BY ALL""")
+b AS (SELECT *, max(l) OVER col + max(r) OVER col + max(u) OVER row_ + max(d) OVER row_ AS sides FROM a WINDOW col AS (PARTITION BY frame, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), row_ AS (PARTITION BY frame, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+p AS (SELECT frame, x, y FROM b WHERE value > 140 AND sides = 4), {REACH}, n AS (SELECT frame, id, count(*) AS n FROM g GROUP BY ALL), k AS (SELECT frame, sum(n) AS k FROM n WHERE n >= 10 GROUP BY ALL)
+SELECT frame::BIGINT AS frame, round(CASE WHEN frame % 4 = 0 THEN 0 ELSE least(0.6::DOUBLE, coalesce(k, 0) / {SIDE * SIDE}) END, 6) + 0.0 AS factor FROM (SELECT DISTINCT frame FROM f) LEFT JOIN k USING (frame)""")
 def w9_saturation_factor(spark, sf_dir):
-    return I.saturation_factor(field(spark, sf_dir), "frame", F.col("value") > 215, F.col("value") > 140).select("frame", r(F.col("factor")).alias("factor"))
+    f = field(spark, sf_dir).withColumn("flag", F.when(F.col("frame") % 4 == 0, 4).otherwise(1))
+    return I.saturation_factor(f, "frame", F.col("value") > 215, F.col("value") > 140, sun_flag="flag").select("frame", r(F.col("factor")).alias("factor"))
 
 
 @query(f"WITH {E}, z AS (SELECT event_id, value < 5 AS low, lag(value < 5) {OVER('')} AS p, lead(value < 5) {OVER('')} AS n FROM e) SELECT event_id FROM z WHERE low AND NOT coalesce(p, true) AND NOT coalesce(n, true)")
@@ -488,10 +492,7 @@ def t5_pareto_front(spark, sf_dir):
 @query("""WITH RECURSIVE e AS (SELECT DISTINCT p_size AS a, p_size + 1 + p_partkey % 5 AS b FROM part), n AS (SELECT a AS node FROM e UNION SELECT b FROM e),
 p AS (SELECT node, 0 AS level FROM n WHERE node NOT IN (SELECT b FROM e) UNION SELECT b, level + 1 FROM p JOIN e ON node = a) SELECT node::BIGINT AS node, max(level)::BIGINT AS level FROM p GROUP BY node""")
 def t6_topological_levels(spark, sf_dir):
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))  # only where none is configured, as in tests
+    spark.sparkContext.setCheckpointDir(scratch(spark, "levels"))
     e = table(spark, sf_dir, "part").select(F.col("p_size").cast("long").alias("a"), (F.col("p_size") + 1 + F.col("p_partkey") % 5).alias("b"))
     return R.topological_levels(e, "a", "b")
 
@@ -653,7 +654,11 @@ def pv_system(spark, sf_dir):
     return s.select("l_orderkey", "l_linenumber", r(F.col("module")).alias("module"), r(F.col("cell")).alias("cell"), r(p["il"]).alias("il"), r(1e9 * p["i0"], 4).alias("i0_nano"), r(S.snl_inverter(40.0 + F.col("l_linenumber"), g * 0.25, INVERTER)).alias("ac"))
 
 
-@query()
+_BALANCE = "il - i0 * (exp((25 + (lo + hi) / 2 * 0.35) / a) - 1) - (25 + (lo + hi) / 2 * 0.35) / rsh > (lo + hi) / 2"  # the current is above the middle
+
+
+@query(f"""WITH RECURSIVE {SAMPLES}, d AS (SELECT l_orderkey, l_linenumber, ghi / 1000 * (8.5 + 0.004 * 10) AS il, 1e-9 * (308.15 / 298.15::DOUBLE) ** 3 * exp(1.121 / (8.617332478e-5 * 298.15) - 1.121 * (1 - 0.0002677 * 10) / (8.617332478e-5 * 308.15)) AS i0, 1.5 * 308.15 / 298.15::DOUBLE AS a, 300 * 1000 / ghi AS rsh FROM s),
+n AS (SELECT *, -10.0::DOUBLE AS lo, il AS hi, 0 AS k FROM d UNION ALL SELECT l_orderkey, l_linenumber, il, i0, a, rsh, CASE WHEN {_BALANCE} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_BALANCE} THEN hi ELSE (lo + hi) / 2 END, k + 1 FROM n WHERE k < 50) SELECT l_orderkey, l_linenumber, round((lo + hi) / 2, 4) + 0.0 AS current FROM n WHERE k = 50""")
 def diode_curve(spark, sf_dir):
     s = samples(spark, sf_dir)
     p = S.desoto(F.col("ghi"), F.lit(35.0), 0.004, DIODE)
@@ -725,10 +730,11 @@ def l3_powers(spark, sf_dir):
     return L.with_powers(table(spark, sf_dir, "part"), ["p_size"]).select("p_partkey", r(F.col("p_size_sq")).alias("p_size_sq"), r(F.col("p_size_root")).alias("p_size_root"))
 
 
-@query(f"WITH {KNN} SELECT p_partkey, round(CASE WHEN sum(distance) > 0 THEN sum(distance * y) / sum(distance) ELSE avg(y) END, 5) + 0.0 AS y FROM d WHERE rank <= 10 GROUP BY p_partkey")
+@query(f"WITH {_knn_sql([('price', '{}.p_retailprice'), ('class', '({}.p_partkey * 7 % 50)')], 'x.p_partkey % 100 <> 0')} SELECT p_partkey, round(CASE WHEN sum(distance) > 0 THEN sum(distance * y) / sum(distance) ELSE avg(y) END, 5) + 0.0 AS y FROM d WHERE rank <= 10 GROUP BY p_partkey")
 def l4_neighbour_regression(spark, sf_dir):
-    q, x = parts(spark, sf_dir)
-    return L.neighbour_regression(q, x, "p_partkey", "near", ["p_retailprice", "p_size"], "p_size").select("p_partkey", r(F.col("y"), 5).alias("y"))
+    p = table(spark, sf_dir, "part").withColumn("class", F.col("p_partkey") * 7 % 50)
+    q, x = p.where("p_partkey % 100 = 0"), p.where("p_partkey % 100 <> 0").withColumn("near", F.col("p_partkey"))  # to be estimated, and known
+    return L.neighbour_regression(q, x, "p_partkey", "near", ["p_retailprice", "class"], "p_size").select("p_partkey", r(F.col("y"), 5).alias("y"))
 
 
 @query("WITH k AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS i, count(*) OVER () AS n FROM part) SELECT p_partkey, i <= floor(0.75 * n) AS is_train FROM k")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +14,39 @@ WIDE, WIDE_POWER, WIDE_STATE = 111, (4, 30, 56, 82), (26, 52, 78, 104)
 NARROW_POWER, NARROW_STATE = (2, 12, 22, 32), (5, 15, 25, 35)
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); where none is set, a temporary one if
+    Spark is one local process, else ValueError."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = f"file://{tempfile.mkdtemp(prefix='shared-')}"
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/{tag}-{uuid.uuid4().hex}"
+
+
+def config(spark: SparkSession, path: str, row: str) -> DataFrame:
+    """The elements named row of XML files, attributes as columns _name and children as columns."""
+    return spark.read.format("xml").option("rowTag", row).load(path)
+
+
+def to_blob(values: Column) -> Column:
+    """An array of numbers as binary; null: null."""
+    return F.to_binary(F.to_json(F.transform(values, lambda x: x.cast("string"))), F.lit("utf-8"))
+
+
+def from_blob(blob: Column) -> Column:
+    """The array of doubles that to_blob wrote."""
+    return F.transform(F.from_json(F.decode(blob, "utf-8"), "array<string>"), lambda x: x.cast("double"))
+
+
+def bytes_of(blob: Column) -> Column:
+    """The bytes of a binary column as numbers 0..255."""
+    digits = F.hex(blob)
+    return F.when(F.length(blob) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.length(blob) - 1), lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")))
+
+
 def days(df: DataFrame, first: str | None = None, last: str | None = None, skip: tuple[str, ...] = (), day: str = "day") -> DataFrame:
     """Rows of the days from first to last, without the skipped: a filter on the partition column, so folders are pruned."""
     if first:
@@ -64,9 +101,14 @@ def weather(spark: SparkSession, path: str, columns: list[str], sentinel: float
 
 
 def numbers(spark: SparkSession, path: str, n: int, separators: str = ",;\t", quote: str = '"') -> DataFrame:
-    """c1..cn, t1..tn: each cell as a number (null where it isn't one or is missing) and as text; any of the separators parts cells."""
-    cells = F.split("value", f"[{separators}](?=(?:[^{quote}]*{quote}[^{quote}]*{quote})*[^{quote}]*$)")
-    text = [F.trim(F.try_element_at(cells, F.lit(i + 1)), F.lit(f"{quote} ")) for i in range(n)]
+    """c1..cn, t1..tn: each cell as a number (null where it isn't one or is missing) and as text; any of the separators parts
+    cells. A quoted cell may hold separators, and its quote doubled."""
+    cells = F.regexp_extract_all(F.concat(F.lit(separators[0]), "value"), F.lit(f"[{separators}]( *{quote}(?:[^{quote}]|{quote}{quote})*{quote} *|[^{separators}]*)"), F.lit(1))
+    text = []
+    for i in range(n):
+        c = F.trim(F.try_element_at(cells, F.lit(i + 1)))
+        quoted = c.startswith(quote) & c.endswith(quote) & (F.length(c) > 1)
+        text.append(F.when(quoted, F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit(quote * 2), F.lit(quote))).otherwise(c))
     return spark.read.text(path).select(*[t.try_cast("double").alias(f"c{i + 1}") for i, t in enumerate(text)], *[t.alias(f"t{i + 1}") for i, t in enumerate(text)])
 
 

@@ -16,6 +16,35 @@ def minute_stream(stream: DataFrame, key: list[str], ts: str, value: str, late:
     return w.select(*key, F.col("window.start").alias("start"), "v", "n")
 
 
+def sliding_stream(stream: DataFrame, key: list[str], ts: str, value: str, length: str, step: str, late: str = "10 minutes") -> DataFrame:
+    """key, start, v, n: means per window of event time that begins every step."""
+    w = stream.withWatermark(ts, late).groupBy(F.window(ts, length, step), *key).agg(F.avg(value).alias("v"), F.count(value).alias("n"))
+    return w.select(*key, F.col("window.start").alias("start"), "v", "n")
+
+
+def session_stream(stream: DataFrame, key: list[str], ts: str, value: str, gap: str, late: str = "10 minutes") -> DataFrame:
+    """key, start, n, total: rows of a key that follow each other within gap."""
+    w = stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap), *key).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+    return w.select(*key, F.col("session_window.start").alias("start"), "n", "total")
+
+
+def median_stream(stream: DataFrame, key: str, ts: str, value: str, n: int) -> DataFrame:
+    """key, ts, v, n: the median of the last n values at each row, in order of ts per batch and key; the state is those values."""
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        kept = list(state.get[0]) if state.exists else []
+        p, v, m = pd.concat(list(frames)).sort_values([ts, value]), [], []
+        for x in p[value].to_numpy(float):
+            kept = [*kept, float(x)][-n:]
+            v.append(float(np.median(kept)))
+            m.append(len(kept))
+        state.update((kept,))
+        yield pd.DataFrame({key: [k[0]] * len(p), ts: p[ts].to_numpy(), "v": v, "n": m})
+
+    kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
+    return stream.select(key, ts, value).groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}, v double, n long", "kept array<double>", "append", "NoTimeout")
+
+
 def delayed_scores(predictions: DataFrame, truth: DataFrame, key: list[str], horizon: str, late: str = "10 minutes") -> DataFrame:
     """key, ts, predicted, actual, error: every prediction (key, ts, predicted) meets the truth (key, ts, actual) of ts + horizon.
 

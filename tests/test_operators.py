@@ -132,6 +132,69 @@ def test_sinks(spark, tmp_path):
     assert logs.sql(spark, "SELECT :a AS a", a="x' OR '1").first()["a"] == "x' OR '1"
 
 
+def test_assignment_equals_brute_force(spark):
+    from itertools import permutations
+
+    rng = np.random.default_rng(2)
+    rows = [(f, a, b, float(rng.integers(0, 40))) for f in range(12) for a in range(f % 5 + 1) for b in range(f % 4 + 1) if rng.random() < 0.8] + [(3, 0, 0, None)]
+    got = relations.assigned(spark.createDataFrame(rows, "f long, a long, b long, c double"), "f", "a", "b", "c", alone=12.0).collect()
+    for f in range(12):
+        cost = {(a, b): c for g, a, b, c in rows if g == f and c is not None}
+        left, right = {a for a, _ in cost}, {b for _, b in cost}
+        total = lambda pairs: sum(cost[p] for p in pairs) + 12.0 * (len(left) + len(right) - 2 * len(pairs))
+        mine = [(r["a"], r["b"]) for r in got if r["f"] == f]
+        assert len({a for a, _ in mine}) == len({b for _, b in mine}) == len(mine)
+        slots = [*right, *[None] * len(left)]
+        best = min(total([p for p in zip(sorted(left), o) if p in cost]) for o in set(permutations(slots, len(left))) if all(b is None or (a, b) in cost for a, b in zip(sorted(left), o))) if left else 0
+        assert total(mine) == pytest.approx(best)
+
+
+def test_smoothing_goes_on_across_ranges_and_nulls(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, t, None if rng.random() < 0.1 else float(rng.normal())) for k in (1, 2, None) for t in range(400)]
+    got = {(r["k"], r["t"]): r["v"] for r in series.ewma(spark.createDataFrame([r for r in rows if r[0]], "k long, t long, x double"), ["k"], ["t"], "x", 0.2, 5.0).collect()}
+    for k in (1, 2):
+        v = 5.0
+        for _, t, x in (r for r in rows if r[0] == k):
+            v = v if x is None else 0.8 * v + 0.2 * x
+            assert got[(k, t)] == pytest.approx(v)
+
+
+def test_neighbours_equal_brute_force_in_blocks(spark):
+    rng = np.random.default_rng(4)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(np.append(rng.exponential(5, 300), [50.0] * 20), rng.normal(size=320)))]
+    d = spark.createDataFrame([*pts, (999, None, 1.0)], "i long, x double, y double")
+    for p in (1.0, 2.0):
+        got = relations.nearest_neighbours(d.where("i % 10 = 0"), d.withColumnRenamed("i", "j"), "i", "j", ["x", "y"], 4, p=p, per_block=20, own=False).collect()
+        for i, x, y in pts[::10]:
+            want = sorted((round(((abs(x - u) ** p + abs(y - v) ** p) ** (1 / p)), 9), j) for j, u, v in pts if j != i)[:4]
+            assert [(round(r["distance"], 9), r["j"]) for r in sorted((r for r in got if r["i"] == i), key=lambda r: r["rank"])] == want
+
+
+def test_grid_search_equals_fits_of_each_fold(spark):
+    import zlib
+
+    rng = np.random.default_rng(5)
+    x, ids = rng.normal(size=(200, 2)), np.arange(200)
+    y = x @ [2.0, -1.0] + 3 + rng.normal(size=200)
+    d = spark.createDataFrame([(int(i), *map(float, a), float(b)) for i, a, b in zip(ids, x, y)], "id long, a double, b double, y double")
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i in ids])
+    for c, e in learning.grid_search(d, ["a", "b"], "y", "id", [0.0, 50.0, 1000.0]):
+        error, z = 0.0, np.column_stack([x, np.ones(200)])
+        for f in range(5):
+            t = z[fold != f]
+            w = np.linalg.solve(t.T @ t + np.diag([c, c, 0.0]), t.T @ y[fold != f])
+            error += ((z[fold == f] @ w - y[fold == f]) ** 2).sum()
+        assert e == pytest.approx(np.sqrt(error / 200))
+
+
+def test_areas_by_corners_and_small_ones_go(spark):
+    px = [(1, x, y) for x, y in [(0, 0), (1, 1), (2, 0), (5, 5), (5, 6), (9, 9)]] + [(2, 0, 0)]
+    got = {(r["frame"], r["component"]["x"], r["component"]["y"]): r["n"] for r in fields.areas(fields.components(spark.createDataFrame(px, "frame long, x long, y long"), "frame"), "frame").collect()}
+    assert got == {(1, 0, 0): 3, (1, 5, 5): 2, (1, 9, 9): 1, (2, 0, 0): 1}
+    assert fields.components(spark.createDataFrame([], "frame long, x long, y long"), "frame").count() == 0
+
+
 def test_streams(spark, tmp_path):
     src = tmp_path / "in"
     spark.sql("SELECT id % 2 AS k, timestamp_seconds(1700000000 + id * 20) AS ts, cast(id AS double) AS u, cast(3 * id AS double) AS z FROM range(60)").write.parquet(str(src))

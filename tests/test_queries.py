@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from heliograph.plans import queries as plans
+from heliograph.plans import more as plans
 
 SF = "/root/testdata/sf0.001"
 
