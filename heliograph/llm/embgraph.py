@@ -1,11 +1,12 @@
 """Near-duplicate embeddings by a robust-pruned flat graph.
 
-Per label, centroids fitted on a bounded sample deal vectors over overlapping shards. Each shard builds a graph: every
-vector's nearest others, pruned so that an edge stays only where no kept neighbour is much closer to its end. The lists
-of a vector from all its shards are united. Each vector is then searched from its shard's medoid: greedily to its
-surroundings, from there over all that lies in range. Every link is confirmed by cosine in double precision. Links are
-counted where they are found; only the edges of spanning trees leave a task, so a large group of near copies costs no row
-for each of its pairs.
+Per label, vectors are split over shards, again and again until a shard is small: centroids, fitted in a task on a bounded
+sample of the shard, give every vector its home, and it visits the other shards to whose border it is near. Each shard
+builds a graph: every vector's nearest others, pruned so that an edge stays only where no kept neighbour is much closer to
+its end. The lists of a vector from all its shards are united. Each vector is then searched from its shard's medoids and
+its own list: greedily to its surroundings, from there over all that lies in range. Every link is confirmed by cosine in
+double precision. A vector's links are counted in its home; only the edges of spanning trees leave a task, so a large group
+of near copies costs no row for each of its pairs.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, components, written
+from .common import components, written
 
 DEGREE, NEAREST, ALPHA, BEAM = 24, 64, 1.2, 16
 BLOCK = 1024  # rows whose cosines are computed at once
+COPIES = 4  # a shard is not split where that would deal a vector to more shards than so many on average: it is one region
+CHUNK = 50_000  # vectors of a shard that a task deals at once
 SLACK = 0.08  # expansion goes through what is so much less alike than the threshold
 
 
@@ -29,31 +32,88 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return vectors.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), v.alias("v"))
 
 
-def centroids(rows: DataFrame, per_shard: int, overlap: int, sample: int) -> dict[tuple, np.ndarray]:
-    """(label, dimension) -> unit centroids: one where the label has per_shard vectors at most, else so many that overlapping
-    shards hold per_shard vectors on average; an eighth of the sample at most.
+def _homes(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(each unit vector's nearest centroid, boolean vectors x centroids: the shards it is in).
 
-    sample bounds the vectors of a label that the fit sees; what reaches the driver is sample rows a label at most.
+    It visits a shard if it is near the border with its own: at most as far as two vectors that are as alike as least lie
+    apart across a border of any direction, three standard deviations included.
     """
-    ids = rows.select("vec_id", "label", F.size("v").alias("dim"), "v").withColumn("group", F.concat_ws("|", "dim", "label"))
-    sizes = {r["group"]: r["count"] for r in ids.groupBy("group").count().collect()}  # a row a label
-    some = bounded_sample(ids.select("vec_id", "group"), "group", ["vec_id"], sample).distinct()
-    got = ids.join(some.hint("merge"), ["vec_id", "group"], "left_semi").select("group", "vec_id", "v").toPandas().sort_values(["group", "vec_id"])
-    out = {}
-    for group, g in got.groupby("group"):
-        x = np.stack(g["v"].to_numpy())
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-        k = 1 if sizes[group] <= per_shard else int(max(1, min(len(x) // 8, -(-sizes[group] * overlap // per_shard))))
-        rng = np.random.default_rng(3)
-        c = x[rng.choice(len(x), k, replace=False)]
-        for _ in range(8 if k > 1 else 1):
+    cos = x @ c.T
+    home = cos.argmax(1)
+    reach = np.sqrt(2 - 2 * least) * min(1.0, 3 / np.sqrt(x.shape[1]))
+    apart = np.linalg.norm(c[:, None] - c[None], axis=2)[home]
+    return home, cos[np.arange(len(x)), home][:, None] - cos <= reach * apart
+
+
+def split(cur: DataFrame, sizes: DataFrame, least: float, per_shard: int, sample: int, fan: int) -> DataFrame:
+    """(grp, c, v): centroids of the shards of sizes (grp, size) that are worth splitting, at most fan each.
+
+    Each fit sees, in a task, about sample vectors of its shard; nothing reaches the driver.
+    """
+    def fit(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("vec_id")
+        x, k = np.stack(p["v"].to_numpy()), int(min(fan, -(-p["size"].iat[0] // per_shard), len(p)))
+        c = x[np.random.default_rng(3).choice(len(x), k, replace=False)]
+        for _ in range(8):
             near = (x @ c.T).argmax(1)
             total = np.zeros_like(c)
             np.add.at(total, near, x)
             norm = np.linalg.norm(total, axis=1, keepdims=True)
             c = np.where(norm > 0, total / np.maximum(norm, 1e-12), c)
-        out[group] = c
-    return out
+        c = np.unique(c, axis=0)
+        if len(c) < 2 or _homes(x, c, least)[1].sum(1).mean() > min(COPIES, len(c) - 1):
+            c = c[:0]
+        return pd.DataFrame({"grp": p["grp"].iat[0], "c": np.arange(len(c)), "v": list(c)})
+
+    some = cur.join(sizes, "grp").where(F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(1 << 30)) * F.col("size") < F.lit(sample << 30))
+    return some.groupBy("grp").applyInPandas(fit, "grp string, c long, v array<double>")
+
+
+def deal(cur: DataFrame, sizes: DataFrame, cents: DataFrame, least: float) -> DataFrame:
+    """The vectors of shards with centroids in their new shards. Centroids reach the tasks as rows ahead of the vectors, once
+    for each CHUNK of them, so neither a broadcast nor a task grows with the table."""
+    chunks = F.ceil(F.col("size") / CHUNK).cast("long")
+    parts = cents.join(sizes, "grp").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    rows = cur.join(sizes.join(cents.select("grp").distinct(), "grp"), "grp").withColumn("salt", F.pmod(F.xxhash64("vec_id"), chunks))
+    none = F.lit(None).cast("long")
+    both = parts.select("grp", "salt", "c", none.alias("vec_id"), none.alias("n"), F.lit(False).alias("home"), "v").union(rows.select("grp", "salt", none, "vec_id", "n", "home", "v"))
+
+    def run(batches):
+        at, c = None, []
+        for p in batches:
+            out = []
+            for key, g in p.groupby(["grp", "salt"], sort=False):
+                if key != at:
+                    at, c = key, []
+                own = g["c"].notna()
+                c += g.loc[own, "v"].tolist()
+                g = g[~own]
+                if len(g):
+                    home, inside = _homes(np.stack(g["v"].to_numpy()), np.stack(c), least)
+                    q, k = np.nonzero(inside)
+                    out.append(pd.DataFrame({"grp": [f"{key[0]}/{i}" for i in k], "vec_id": g["vec_id"].to_numpy("int64")[q], "n": g["n"].to_numpy("int64")[q], "home": g["home"].to_numpy(bool)[q] & (home[q] == k), "v": g["v"].to_numpy()[q]}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    both = both.repartition("grp", "salt").sortWithinPartitions("grp", "salt", F.col("c").asc_nulls_last(), "vec_id")
+    return both.mapInPandas(run, "grp string, vec_id long, n long, home boolean, v array<double>")
+
+
+def shards(rows: DataFrame, least: float, per_shard: int, sample: int, fan: int) -> DataFrame:
+    """rows (vec_id, label, v, n) -> (grp, vec_id, n, home, v unit): each vector in its home shard and in those it visits."""
+    scaled = F.transform("v", lambda x: x / F.array_max(F.transform("v", F.abs)))  # squares neither overflow nor vanish
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    cur = rows.withColumn("v", scaled).withColumn("v", F.transform("v", lambda x: x / norm)).select(F.concat_ws("|", F.size("v").cast("string"), "label").alias("grp"), "vec_id", "n", F.lit(True).alias("home"), "v")
+    done = None
+    while True:  # rounds grow with the logarithm of the table's size
+        cur = written(cur, "shards")
+        sizes = written(cur.groupBy("grp").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 2 * per_shard), "sizes")
+        cents = written(split(cur, sizes, least, per_shard, sample, fan), "centroids")
+        final = cur.join(cents.select("grp").distinct(), "grp", "left_anti")
+        done = final if done is None else done.union(final)
+        if cents.isEmpty():
+            return done
+        cur = deal(cur, sizes, cents, least)
 
 
 def prune(x: np.ndarray) -> np.ndarray:
@@ -151,7 +211,12 @@ def _asked(base: pd.DataFrame, asked: pd.DataFrame, least: float, same: bool) ->
     for i, near in enumerate(base["near"]):
         graph[i, within(near)] = True
     graph |= graph.T
-    starts = np.unique([int((x @ x.mean(0)).argmax()), *np.linspace(0, len(x) - 1, BEAM).astype(int)])
+    starts = [int((x @ x.mean(0)).argmax())]  # the medoid, and those that lie furthest from all before
+    far = x @ x[starts[0]]
+    while len(starts) < min(BEAM, len(x)):
+        starts.append(int(far.argmin()))
+        far = np.maximum(far, x @ x[starts[-1]])
+    starts = np.unique(starts)
     rows, cols = np.nonzero(graph)
     degree = graph.sum(1)
     near = np.full((len(x), max(1, int(degree.max()))), -1, np.int64)
@@ -185,44 +250,30 @@ def _spanning(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def links(rows: DataFrame, least: float, *, per_shard: int = 1000, overlap: int = 3, block: int = 2000, sample: int = 20000) -> DataFrame:
+def links(rows: DataFrame, least: float, *, per_shard: int = 1000, block: int = 2000, sample: int = 4000, fan: int = 32) -> DataFrame:
     """rows (vec_id, label, v, n), distinct vectors that stand for n each -> rows (a, b, m).
 
     m > 0: b = a, and m is a part of the number of vectors with cosine >= least to a. m = 0: a and b are linked; these
     edges join all that is linked. A shard of more vectors than block is dealt over blocks of about that size, and pairs of
     blocks are searched in tasks of their own, so a hot shard is never in one task, and a pair of vectors is never a row:
-    a task gives a count for each vector and the edges of spanning trees. What several shards find counts once, in the
-    first shard that both vectors have.
+    a task gives a count for each vector that has its home there and the edges of spanning trees.
     """
-    cents = rows.sparkSession.sparkContext.broadcast(centroids(rows, per_shard, overlap, sample))  # sample / 8 vectors a label at most
-
-    def deal(batches):
-        for p in batches:
-            out = []
-            for i, n, label, v in zip(p["vec_id"], p["n"], p["label"], p["v"], strict=True):
-                v = np.asarray(v, float)
-                v = v / np.linalg.norm(v)
-                shards = np.argsort(-(cents.value[f"{len(v)}|{label}"] @ v), kind="stable")[:overlap].tolist()
-                shards += [-1] * (overlap - len(shards))
-                out += [(i, n, f"{len(v)}|{label}", k, shards, v) for k in shards if k >= 0]
-            yield pd.DataFrame(out, columns=["vec_id", "n", "grp", "shard", "shards", "v"])
-
-    dealt = written(rows.select("vec_id", "n", "label", "v").mapInPandas(deal, "vec_id long, n long, grp string, shard int, shards array<int>, v array<double>"), "shards")
-    sizes = dealt.groupBy("grp", "shard").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = dealt.join(sizes, ["grp", "shard"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    dealt = written(shards(rows, least, per_shard, sample, fan), "dealt")
+    sizes = dealt.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = dealt.join(sizes, "grp").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
 
     def build(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("vec_id")
         x, ids = np.stack(p["v"].to_numpy()), p["vec_id"].to_numpy()
         return pd.DataFrame({"vec_id": ids, "near": [ids[g[g >= 0]] for g in prune(x)]})
 
-    lists = dealt.groupBy("grp", "shard", "block").applyInPandas(build, "vec_id long, near array<long>")
+    lists = dealt.groupBy("grp", "block").applyInPandas(build, "vec_id long, near array<long>")
     lists = written(lists.select("vec_id", F.explode("near").alias("near")).groupBy("vec_id").agg(F.collect_set("near").alias("near")), "lists")
     both = dealt.join(lists.hint("merge"), "vec_id", "left").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    both = both.select("grp", "shard", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "vec_id", "n", "shards", "v", "near")
+    both = both.select("grp", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "vec_id", "n", "home", "v", "near")
 
     def find(p: pd.DataFrame) -> pd.DataFrame:
-        shard, same = p["shard"].iat[0], p["lo"].iat[0] == p["hi"].iat[0]
+        same = p["lo"].iat[0] == p["hi"].iat[0]
         base = p[p["block"] == p["lo"]].sort_values("vec_id")
         asked = base if same else p[p["block"] == p["hi"]].sort_values("vec_id")
         none = np.zeros(0, np.int64)
@@ -234,22 +285,16 @@ def links(rows: DataFrame, least: float, *, per_shard: int = 1000, overlap: int
         if same:
             np.fill_diagonal(linked, False)
         a, b = _spanning(linked, same)
-        mine, theirs = np.stack(asked["shards"].to_numpy()), np.stack(base["shards"].to_numpy())
-        for q in range(len(asked)):
-            hit = np.flatnonzero(linked[q])
-            common = (theirs[hit][:, :, None] == mine[q]).any(2) & (theirs[hit] >= 0)
-            first = np.where(common, theirs[hit], np.iinfo(np.int32).max).min(1, initial=np.iinfo(np.int32).max)
-            linked[q, hit[first != shard]] = False
-        of, n = asked["vec_id"].to_numpy(), base["n"].to_numpy()
-        counts = [(of, np.array([n[row].sum() for row in linked], np.int64))]
+        of, home = asked["vec_id"].to_numpy(), asked["home"].to_numpy(bool)
+        counts = [(of[home], linked[home] @ base["n"].to_numpy(np.int64))]
         if not same:
-            n = asked["n"].to_numpy()
-            counts.append((ids, np.array([n[row].sum() for row in linked.T], np.int64)))
+            home = base["home"].to_numpy(bool)
+            counts.append((ids[home], linked.T[home] @ asked["n"].to_numpy(np.int64)))
         who, m = np.concatenate([c[0] for c in counts]), np.concatenate([c[1] for c in counts])
         who, m = who[m > 0], m[m > 0]
         return pd.DataFrame({"a": np.append(who, of[a]), "b": np.append(who, ids[b]), "m": np.append(m, np.zeros(len(a), np.int64))})
 
-    return both.groupBy("grp", "shard", "lo", "hi").applyInPandas(find, "a long, b long, m long")
+    return both.groupBy("grp", "lo", "hi").applyInPandas(find, "a long, b long, m long")
 
 
 def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = 0.93, **given) -> DataFrame:
@@ -258,8 +303,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     Vectors of a label with cosine >= least are linked; component_id is the smallest id reachable. Equal vectors are
     searched once and count each. Defined cases: vectors that are null, zero, or hold null or non-finite components, and
     those without label, link with nothing; vectors of different length never link; rows that repeat an id and its vector
-    are one vector, each row getting its result; a null id counts as linked to none; empty tables give no rows; other
-    columns are ignored.
+    are one vector, each row getting its result, and identical rows count once; a null id counts as linked to none; very long
+    vectors are compared whole; empty tables give no rows; other columns are ignored.
     """
     ok = usable(vectors, id_col, vector_col, label_col).where("vec_id is not null")
     ok = written(ok.withColumn("key", F.sha2(F.concat_ws(",", "label", F.col("v").cast("array<string>")).cast("binary"), 256)).dropDuplicates(["vec_id", "key"]), "vectors")

@@ -420,9 +420,27 @@ def test_embeddings_equal_brute_force(spark):
     assert {i: r["n_links"] for i, r in got.items()} == n
     dealt = {r["vec_id"]: r for r in embgraph.near_duplicates(d, per_shard=40, block=12).collect()}  # shards of several blocks
     assert {i: (r["component_id"], r["n_links"]) for i, r in dealt.items()} == {i: (want[i], n[i]) for i in want}
+    deep = {r["vec_id"]: r for r in embgraph.near_duplicates(d, per_shard=4, fan=3, sample=30).collect()}  # shards split again and again
+    assert {i: (r["component_id"], r["n_links"]) for i, r in deep.items()} == {i: (want[i], n[i]) for i in want}
     assert embgraph.audit(d, embgraph.near_duplicates(d, per_shard=40), every=10).first()["recall"] >= 0.9
 
 
+def test_embeddings_without_clusters_keep_their_links(spark):
+    """Diffuse vectors, where shards have no gaps between them, and a partner for each at a cosine of 0.93 to 0.95."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e = rng.normal(size=x.shape)
+    e -= (e * x).sum(1, keepdims=True) * x
+    c = rng.uniform(0.93, 0.95, size=(len(x), 1))
+    y = c * x + np.sqrt(1 - c * c) * e / np.linalg.norm(e, axis=1, keepdims=True)
+    d = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>, label int")
+    shared = embgraph.shards(embgraph.usable(d, "vec_id", "embedding", "label").withColumn("n", F.lit(1).cast("long")), 0.93, 100, 1000, 8)
+    assert shared.where("home").count() == len(x) * 2 and shared.select("grp").distinct().count() > 8
+    got = embgraph.near_duplicates(d, per_shard=100, sample=1000, fan=8)
+    assert embgraph.audit(d, got, every=5).first()["recall"] > 0.97
+
+
 def test_components_of_a_long_chain(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 900)], "a long, b long")
     got = {r["id"]: r["component"] for r in common.components(e).collect()}
