@@ -50,6 +50,7 @@ def split(cur: DataFrame, sizes: DataFrame, least: float, per_shard: int, sample
 
     Each fit sees, in a task, about sample vectors of its shard; nothing reaches the driver.
     """
+
     def fit(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("vec_id")
         x, k = np.stack(p["v"].to_numpy()), int(min(fan, -(-p["size"].iat[0] // per_shard), len(p)))
@@ -63,7 +64,7 @@ def split(cur: DataFrame, sizes: DataFrame, least: float, per_shard: int, sample
         c = np.unique(c, axis=0)
         if len(c) < 2 or _homes(x, c, least)[1].sum(1).mean() > min(COPIES, len(c) - 1):
             c = c[:0]
-        return pd.DataFrame({"grp": p["grp"].iat[0], "c": np.arange(len(c)), "v": list(c)})
+        return pd.DataFrame({"grp": p["grp"].iat[0], "c": np.arange(len(c)), "v": pd.Series(list(c), dtype=object)})
 
     some = cur.join(sizes, "grp").where(F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(1 << 30)) * F.col("size") < F.lit(sample << 30))
     return some.groupBy("grp").applyInPandas(fit, "grp string, c long, v array<double>")
