@@ -20,7 +20,7 @@ from .common import components, written
 
 DEGREE, NEAREST, ALPHA, BEAM = 24, 64, 1.2, 16
 BLOCK = 1024  # rows whose cosines are computed at once
-COPIES = 4  # a shard is not split where that would deal a vector to more shards than so many on average: it is one region
+BORDER = 1.4  # standard deviations across a border that two vectors just alike enough may lie apart and still meet
 CHUNK = 50_000  # vectors of a shard that a task deals at once
 SLACK = 0.08  # expansion goes through what is so much less alike than the threshold
 
@@ -35,25 +35,26 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
 def _homes(x: np.ndarray, c: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(each unit vector's nearest centroid, boolean vectors x centroids: the shards it is in).
 
-    It visits a shard if it is near the border with its own: at most as far as two vectors that are as alike as least lie
-    apart across a border of any direction, three standard deviations included.
+    It visits a shard if it is near the border with its own: at most BORDER times as far as two vectors that are as alike as
+    least lie apart (root mean square) across a border of any direction. More alike ones lie less far apart.
     """
     cos = x @ c.T
     home = cos.argmax(1)
-    reach = np.sqrt(2 - 2 * least) * min(1.0, 3 / np.sqrt(x.shape[1]))
+    reach = np.sqrt(2 - 2 * least) * min(1.0, BORDER / np.sqrt(x.shape[1]))
     apart = np.linalg.norm(c[:, None] - c[None], axis=2)[home]
     return home, cos[np.arange(len(x)), home][:, None] - cos <= reach * apart
 
 
 def split(cur: DataFrame, sizes: DataFrame, least: float, per_shard: int, sample: int, fan: int) -> DataFrame:
-    """(grp, c, v): centroids of the shards of sizes (grp, size) that are worth splitting, at most fan each.
+    """(grp, c, v): centroids of the shards of sizes (grp, size) that are worth splitting, at most fan each: where vectors,
+    with their visits, then meet fewer than half of those that they would meet in the whole shard.
 
     Each fit sees, in a task, about sample vectors of its shard; nothing reaches the driver.
     """
 
     def fit(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("vec_id")
-        x, k = np.stack(p["v"].to_numpy()), int(min(fan, -(-p["size"].iat[0] // per_shard), len(p)))
+        x, k = np.stack(p["v"].to_numpy()), int(min(fan, -(-4 * p["size"].iat[0] // per_shard), len(p)))
         c = x[np.random.default_rng(3).choice(len(x), k, replace=False)]
         for _ in range(8):
             near = (x @ c.T).argmax(1)
@@ -62,7 +63,7 @@ def split(cur: DataFrame, sizes: DataFrame, least: float, per_shard: int, sample
             norm = np.linalg.norm(total, axis=1, keepdims=True)
             c = np.where(norm > 0, total / np.maximum(norm, 1e-12), c)
         c = np.unique(c, axis=0)
-        if len(c) < 2 or _homes(x, c, least)[1].sum(1).mean() > min(COPIES, len(c) - 1):
+        if len(c) < 2 or (_homes(x, c, least)[1].mean(0) ** 2).sum() > 0.5:
             c = c[:0]
         return pd.DataFrame({"grp": p["grp"].iat[0], "c": np.arange(len(c)), "v": pd.Series(list(c), dtype=object)})
 
