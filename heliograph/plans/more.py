@@ -113,10 +113,10 @@ def w18_ranks(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.ntile(4).over(w).cast("long").alias("quarter"), F.dense_rank().over(w).cast("long").alias("rank"), r(F.percent_rank().over(w), 9).alias("share"), F.lag("o_orderkey").over(w).alias("before"), F.lead("o_orderkey").over(w).alias("after"))
 
 
-@query(f"WITH {E}, k AS (SELECT event_id, list_prepend(50.0::DOUBLE, list(value) {OVER('ROWS UNBOUNDED PRECEDING')}) AS k FROM e) SELECT event_id, round(list_reduce(k, lambda v, x: 0.9::DOUBLE * v + 0.1::DOUBLE * x), 6) + 0.0 AS v FROM k")
+@query(f"WITH {E}, k AS (SELECT event_id, list_prepend(50.0::DOUBLE, list(value) {OVER('ROWS UNBOUNDED PRECEDING')}) AS k FROM e) SELECT event_id, round(list_reduce(k, lambda v, x: (1 - 0.1371::DOUBLE) * v + 0.1371::DOUBLE * x), 6) + 0.0 AS v FROM k")
 def w14_smoothing(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", "user_id", "t", "value")
-    return T.ewma(e, ["user_id"], ["t", "event_id"], "value", 0.1, 50.0).select("event_id", r(F.col("v")).alias("v"))
+    return T.ewma(e, ["user_id"], ["t", "event_id"], "value", 0.1371, 50.0).select("event_id", r(F.col("v")).alias("v"))
 
 
 @query(f"WITH {E}, g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS g FROM e), c AS (SELECT user_id, max(t) FILTER (abs(g - 43200000000) > 86400000000) AS c FROM g GROUP BY ALL) SELECT event_id FROM e JOIN c USING (user_id) WHERE c IS NULL OR t >= c")
