@@ -6,9 +6,14 @@ last sample before, the first after) comes from a table of one row per series an
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
+
+from ..sources.logs import scratch
 
 DAY = 86_400_000_000
 
@@ -17,6 +22,42 @@ def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
+def _same(key: list[str], a: str, b: str) -> list[Column]:
+    return [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in key]
+
+
+def running(df: DataFrame, key: list[str], order: list[str], value: Column, name: str, bucket: int = 30 * DAY) -> DataFrame:
+    """df with name: the sum of value over a series' rows up to each, in order, which begins with a number.
+
+    Sums run within buckets of that number, and a table of one row per series and bucket carries them on. Null values add
+    nothing; rows without the number come first.
+    """
+    d = df.withColumn("_v", value).withColumn("_k", F.floor(F.col(order[0]) / bucket))
+    sums = d.groupBy(*key, "_k").agg(F.sum("_v").alias("_s"))
+    before = W.partitionBy(*key).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(*key, "_k", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_c"))
+    own = F.sum("_v").over(W.partitionBy(*key, "_k").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    joined = d.withColumn("_o", F.coalesce(own, F.lit(0))).alias("d").join(sums.alias("s"), _same([*key, "_k"], "d", "s"))
+    return joined.select(*[F.col(f"d.{c}") for c in df.columns], (F.col("_o") + F.col("_c")).alias(name))
+
+
+def windowed(df: DataFrame, key: list[str], order: list[str], before: int, after: int, columns: Callable[[WindowSpec], dict[str, Column]], size: int = 1 << 16, **given) -> DataFrame:
+    """df with columns(w), where w is the window of a series' rows in order and no column looks further than before rows
+    back or after rows ahead; _i is a row's place in its series, from 1.
+
+    A series is cut into ranges of size rows, each with copies of so many rows on either side of it: a hot series is many
+    tasks of equal size.
+    """
+    if size < max(before, after):
+        raise ValueError("a range is shorter than the window")
+    at = F.col("_i") - 1
+    here = F.floor(at / size)
+    to = F.array_compact(F.array(here, F.when(at % size >= size - before, here + 1), F.when((at % size < after) & (here > 0), here - 1)))
+    d = running(df, key, order, F.lit(1), "_i", **given).withColumn("_b", F.explode(to)).withColumn("_own", F.col("_b") == here)
+    got = columns(W.partitionBy(*key, "_b").orderBy("_i"))
+    return d.select("*", *[c.alias(k) for k, c in got.items()]).where("_own").select(*df.columns, *got)
+
+
 def bracket(queries: DataFrame, samples: DataFrame, key: list[str], t: str, value: str, bucket: int = DAY) -> DataFrame:
     """queries with before and after: structs (t, v) of the last sample at or before t and the first at or after it.
 
@@ -32,7 +73,7 @@ def bracket(queries: DataFrame, samples: DataFrame, key: list[str], t: str, valu
     ends = all_.groupBy(*key, "_b").agg(F.max("_s").alias("_l"), F.min_by("_s", F.when(F.col("_s").isNotNull(), F.struct(F.col("_s.t"), -F.col("_s.v").cast("double")))).alias("_f"))
     w = W.partitionBy(*key).orderBy("_b")
     ends = ends.select(*key, "_b", F.last("_l", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1)).alias("_cp"), F.first("_f", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing)).alias("_cn"))
-    joined = all_.where("_s is null").alias("q").join(ends.alias("e"), [F.col(f"q.{c}").eqNullSafe(F.col(f"e.{c}")) for c in (*key, "_b")], "left")
+    joined = all_.where("_s is null").alias("q").join(ends.alias("e"), _same([*key, "_b"], "q", "e"), "left")
     return joined.select(*[F.col(f"q.{c}") for c in queries.columns], F.coalesce("_p", "_cp").alias("before"), F.coalesce("_n", "_cn").alias("after"))
 
 
@@ -120,11 +161,11 @@ def ewma(df: DataFrame, key: list[str], order: list[str], value: str, share: flo
     return d.join(starts, ["_r", *key]).select(*df.columns, (F.col("_own") + F.col("_left") * F.col("_start")).alias("v"))
 
 
-def regular_suffix(df: DataFrame, key: list[str], t: str, step: float, noise: float) -> DataFrame:
+def regular_suffix(df: DataFrame, key: list[str], t: str, step: float, noise: float, **given) -> DataFrame:
     """The rows of each series from the last gap on that differs from step by more than noise."""
-    d = df.withColumn("_g", F.col(t) - F.lag(t).over(W.partitionBy(*key).orderBy(t)))
+    d = windowed(df.select(*key, t), key, [t], 1, 0, lambda w: {"_g": F.col(t) - F.lag(t).over(w)}, **given)
     cut = d.groupBy(*key).agg(F.max(F.when(F.abs(F.col("_g") - step) > noise, F.col(t))).alias("_c"))
-    return d.join(cut, key).where(F.col("_c").isNull() | (F.col(t) >= F.col("_c"))).select(*df.columns)
+    return df.join(cut, key).where(F.col("_c").isNull() | (F.col(t) >= F.col("_c"))).select(*df.columns)
 
 
 def minute_mean(df: DataFrame, key: list[str], ts: str, value: str, how=F.avg) -> DataFrame:
@@ -132,64 +173,84 @@ def minute_mean(df: DataFrame, key: list[str], ts: str, value: str, how=F.avg) -
     return df.groupBy(*key, F.date_trunc("minute", F.col(ts).cast("timestamp")).cast("timestamp_ntz").alias("minute")).agg(how(value).alias("v"))
 
 
-def despike(df: DataFrame, key: list[str], order: list[str], value: str, passes: int = 3, sigmas: float = 6.0) -> DataFrame:
+def despike(df: DataFrame, key: list[str], order: list[str], value: str, passes: int = 3, sigmas: float = 6.0, **given) -> DataFrame:
     """df without spikes: rows further from the median of themselves and both neighbours than the mean of that distance
-    plus sigmas of its standard deviations; repeated passes. The first and the last row of a series stay."""
-    w = W.partitionBy(*key).orderBy(*order)
-    whole = W.partitionBy(*key)
-    for _ in range(passes):
+    plus sigmas of its standard deviations; repeated passes. The first and the last row of a series stay.
+
+    Each pass writes its distances, as both their statistics and the rows are read from them.
+    """
+
+    def distance(w: WindowSpec) -> dict[str, Column]:
         p, n, v = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
         median = p + n + v - F.greatest(p, n, v) - F.least(p, n, v)
-        d = df.withColumn("_d", F.when(p.isNotNull() & n.isNotNull(), F.abs(median - v)))
-        d = d.withColumn("_m", F.avg("_d").over(whole)).withColumn("_sd", F.stddev_samp("_d").over(whole))
-        df = d.where(F.coalesce(F.col("_d") <= F.col("_m") + sigmas * F.col("_sd"), F.lit(True))).drop("_d", "_m", "_sd")
+        return {"_d": F.when(p.isNotNull() & n.isNotNull(), F.abs(median - v))}
+
+    spark, names = df.sparkSession, df.columns
+    for _ in range(passes):
+        path = scratch(spark, "despike")
+        windowed(df, key, order, 1, 1, distance, **given).write.parquet(path)
+        d = spark.read.parquet(path)
+        limit = d.groupBy(*key).agg((F.avg("_d") + sigmas * F.stddev_samp("_d")).alias("_m"))
+        joined = d.alias("d").join(limit.alias("l"), _same(key, "d", "l"))
+        df = joined.where(F.coalesce(F.col("_d") <= F.col("_m"), F.lit(True))).select(*[F.col(f"d.{c}") for c in names])
     return df
 
 
 def clear_sky_test(df: DataFrame, key: list[str], t: str, value: str, reference: str, *, window: int, k: int, threshold: float, max_deviation: float = 0.12, low: float = 80.0) -> DataFrame:
     """df with statistic and is_clear: over the window before a row, the k largest deviations from the reference less the
-    k smallest. Fewer than 2k rows count as clear; a row far from its reference (over low) never does."""
-    w = W.partitionBy(*key).orderBy(t).rangeBetween(-(window - 1), 0)
+    k smallest. Fewer than 2k rows count as clear; a row far from its reference (over low) never does.
+
+    A series is cut into buckets of time no shorter than the window, each with copies of the rows just before it.
+    """
+    width = max(DAY, window)
+    here = F.floor(F.col(t) / width)
+    to = F.when(here.isNull(), F.array(here)).otherwise(F.array_compact(F.array(here, F.when(F.col(t) - here * width > width - window, here + 1))))
+    w = W.partitionBy(*key, "_b").orderBy(t).rangeBetween(-(window - 1), 0)
     kept = F.sort_array(F.collect_list(F.col(value) - F.col(reference)).over(w))
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     far = (F.col(reference) > low) & (F.abs(F.col(reference) - F.col(value)) / F.col(reference) > max_deviation)
-    d = df.withColumn("_k", kept)
+    d = df.withColumn("_b", F.explode(to)).withColumn("_own", F.col("_b").eqNullSafe(here)).withColumn("_k", kept).where("_own")
     statistic = F.when(F.size("_k") >= 2 * k, total(F.slice("_k", F.size("_k") - k + 1, F.lit(k))) - total(F.slice("_k", 1, k)))
-    return d.withColumn("statistic", statistic).withColumn("is_clear", ~F.coalesce(far, F.lit(False)) & F.coalesce(F.col("statistic") < threshold, F.lit(True))).drop("_k")
+    return d.withColumn("statistic", statistic).withColumn("is_clear", ~F.coalesce(far, F.lit(False)) & F.coalesce(F.col("statistic") < threshold, F.lit(True))).drop("_k", "_b", "_own")
 
 
-def running_median(df: DataFrame, key: list[str], order: list[str], value: str, where: Column, n: int = 9, least: int = 3, seed: float | None = None) -> DataFrame:
+def running_median(df: DataFrame, key: list[str], order: list[str], value: str, where: Column, n: int = 9, least: int = 3, seed: float | None = None, **given) -> DataFrame:
     """Rows that meet where, with v: the median of the last n of them, from least of them on. A seed counts as one value
     before the first and stays until it is pushed out."""
-    d = df.where(where).withColumn("_i", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
-    got = F.collect_list(value).over(W.partitionBy(*key).orderBy(*order).rowsBetween(-(n - 1), 0))
-    if seed is not None:
-        got = F.when(F.col("_i") < n, F.array_append(got, F.lit(float(seed)))).otherwise(got)
+
+    def median(w: WindowSpec) -> dict[str, Column]:
+        got = F.collect_list(value).over(w.rowsBetween(-(n - 1), 0))
+        return {"_g": got if seed is None else F.when(F.col("_i") < n, F.array_append(got, F.lit(float(seed)))).otherwise(got)}
+
     s, m = F.sort_array(F.col("_g")), F.size("_g")
     mid = (F.element_at(s, F.floor((m + 1) / 2).cast("int")) + F.element_at(s, F.floor(m / 2).cast("int") + 1)) / 2
-    return d.withColumn("_g", got).withColumn("v", F.when(m >= least, mid)).drop("_i", "_g")
+    return windowed(df.where(where), key, order, n - 1, 0, median, **given).withColumn("v", F.when(m >= least, mid)).drop("_g")
 
 
 def kalman(df: DataFrame, key: list[str], t: str, u: str, z: str, *, x0=(3.0, -0.00053), p0=(1e-5, 1e-9), q: float = 1e-10, r: float = 10.0) -> DataFrame:
     """key, t, y: a filtered quadratic response y = a u + b u^2, its state updated by each measured z; a null z predicts only.
 
-    Feedback from row to row: each series is one sequential group. A series longer than a task's memory belongs in
-    streaming.kalman_stream, whose state is two vectors.
+    Feedback from row to row makes each series a sequence in one task; it is sorted by Spark and read in batches, and only
+    the state, two vectors, goes from one to the next.
     """
     import numpy as np
-    import pandas as pd
 
     from ..streaming.stateful import kalman_step
 
     names = [*key, t]
     kinds = {f.name: f.dataType.simpleString() for f in df.schema}
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values([t, u])
-        x, cov, last, out = np.array(x0, float), np.diag(p0).astype(float), float("nan"), []
-        for a, b in zip(p[u].to_numpy(float), p[z].to_numpy(float), strict=True):
-            x, cov, last, y = kalman_step(x, cov, last, a, b, q, r)
-            out.append(y)
-        return p[names].assign(y=out)
-
-    return df.groupBy(*key).applyInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "y double"]))
+    def run(batches):
+        last_key = x = cov = last = None
+        for p in batches:
+            p, out = p.astype({u: float, z: float}), []
+            keys = p[key].astype(object).where(p[key].notna(), None).itertuples(index=False, name=None)
+            for k, a, b in zip(keys, p[u].to_numpy(), p[z].to_numpy(), strict=True):
+                if k != last_key:
+                    last_key, x, cov, last = k, np.array(x0, float), np.diag(p0).astype(float), float("nan")
+                x, cov, last, y = kalman_step(x, cov, last, a, b, q, r)
+                out.append(y)
+            yield p[names].assign(y=out)
+
+    d = df.select(*key, t, u, z).repartition(*key).sortWithinPartitions(*key, t, u)
+    return d.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "y double"]))

@@ -113,8 +113,8 @@ d AS (SELECT *, lead(t) OVER (PARTITION BY user_id ORDER BY t) AS nt, lag(t) OVE
 SELECT event_id, t FROM d, q WHERE coalesce(nt, t) >= a AND coalesce(pt, t) <= z""")
 def f9_crop_with_neighbours(spark, sf_dir):
     ends = events(spark, sf_dir, "purchase").agg(F.min("t").alias("a"), F.max("t").alias("z"))
-    w = W.partitionBy("user_id").orderBy("t")
-    d = events(spark, sf_dir, "view").withColumn("nt", F.coalesce(F.lead("t").over(w), "t")).withColumn("pt", F.coalesce(F.lag("t").over(w), "t"))
+    beside = lambda w: {"nt": F.coalesce(F.lead("t").over(w), "t"), "pt": F.coalesce(F.lag("t").over(w), "t")}
+    d = T.windowed(events(spark, sf_dir, "view"), ["user_id"], ["t"], 1, 1, beside)
     return d.crossJoin(F.broadcast(ends)).where("nt >= a AND pt <= z").select("event_id", "t")  # one row
 
 
@@ -373,8 +373,9 @@ def a21_tile_stats(spark, sf_dir):
 # ---- ordered analytics -----------------------------------------------------------------------------
 
 
-def _series(spark, sf_dir):
-    return events(spark, sf_dir), W.partitionBy("user_id").orderBy("ts", "event_id")
+def _over(df: DataFrame, before: int, after: int, columns) -> DataFrame:
+    """columns(w) over the users' series."""
+    return T.windowed(df, ["user_id"], ["t", "event_id"], before, after, columns)
 
 
 OVER = "OVER (PARTITION BY user_id ORDER BY ts, event_id {})".format
@@ -382,8 +383,7 @@ OVER = "OVER (PARTITION BY user_id ORDER BY ts, event_id {})".format
 
 @query(f"WITH {E} SELECT event_id, round(value - lag(value) {OVER('')}, 6) + 0.0 AS step FROM e")
 def w1_difference(spark, sf_dir):
-    e, w = _series(spark, sf_dir)
-    return e.select("event_id", r(F.col("value") - F.lag("value").over(w)).alias("step"))
+    return _over(events(spark, sf_dir), 1, 0, lambda w: {"step": r(F.col("value") - F.lag("value").over(w))}).select("event_id", "step")
 
 
 def _despike_sql() -> str:
@@ -397,20 +397,19 @@ q{i} AS (SELECT *, avg(d) OVER (PARTITION BY user_id) + 2 * stddev_samp(d) OVER
 
 @query(_despike_sql())
 def w2_despike(spark, sf_dir):
-    return T.despike(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", sigmas=2.0).select("event_id", "value")
+    return T.despike(events(spark, sf_dir), ["user_id"], ["t", "event_id"], "value", sigmas=2.0).select("event_id", "value")
 
 
 @query(f"WITH {E}, k AS (SELECT event_id, list(value) {OVER('ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING')} AS k FROM e) SELECT event_id, round(list_median(k), 6) + 0.0 AS v FROM k")
 def w3_median_filter(spark, sf_dir):
-    e, w = _series(spark, sf_dir)
-    return e.select("event_id", r(F.percentile("value", F.lit(0.5)).over(w.rowsBetween(-2, 2))).alias("v"))
+    return _over(events(spark, sf_dir), 2, 2, lambda w: {"v": r(F.percentile("value", F.lit(0.5)).over(w.rowsBetween(-2, 2)))}).select("event_id", "v")
 
 
 @query(f"WITH {E} SELECT event_id, round(avg(value) {OVER('ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING')}, 6) + 0.0 AS smooth, round(stddev_samp(value) {OVER('ROWS BETWEEN 60 PRECEDING AND CURRENT ROW')}, 5) + 0.0 AS sd61, round(avg(value) {OVER('ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING')}, 6) + 0.0 AS history FROM e")
 def w4_moving_statistics(spark, sf_dir):
-    e, w = _series(spark, sf_dir)
     v = F.col("value")
-    return e.select("event_id", r(F.avg(v).over(w.rowsBetween(-2, 2))).alias("smooth"), r(F.stddev_samp(v).over(w.rowsBetween(-60, 0)), 5).alias("sd61"), r(F.avg(v).over(w.rowsBetween(-50, -1))).alias("history"))
+    moving = lambda w: {"smooth": r(F.avg(v).over(w.rowsBetween(-2, 2))), "sd61": r(F.stddev_samp(v).over(w.rowsBetween(-60, 0)), 5), "history": r(F.avg(v).over(w.rowsBetween(-50, -1)))}
+    return _over(events(spark, sf_dir), 60, 2, moving).select("event_id", "smooth", "sd61", "history")
 
 
 @query(f"WITH {FIELD}, a AS (SELECT frame, x, y, max(value) OVER (PARTITION BY frame, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS value FROM f) SELECT frame::BIGINT AS frame, x, y, max(value) OVER (PARTITION BY frame, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)::BIGINT AS value FROM a")
@@ -439,31 +438,37 @@ def w9_saturation_factor(spark, sf_dir):
 
 @query(f"WITH {E}, z AS (SELECT event_id, value < 5 AS low, lag(value < 5) {OVER('')} AS p, lead(value < 5) {OVER('')} AS n FROM e) SELECT event_id FROM z WHERE low AND NOT coalesce(p, true) AND NOT coalesce(n, true)")
 def w11_brief_gaps(spark, sf_dir):
-    e, w = _series(spark, sf_dir)
     low = F.col("value") < 5
-    e = e.select("event_id", low.alias("low"), F.lag(low).over(w).alias("p"), F.lead(low).over(w).alias("n"))
+    e = _over(events(spark, sf_dir), 1, 1, lambda w: {"low": low, "p": F.lag(low).over(w), "n": F.lead(low).over(w)})
     return e.where(F.col("low") & ~F.coalesce("p", F.lit(True)) & ~F.coalesce("n", F.lit(True))).select("event_id")
 
 
 @query(f"WITH {E} SELECT event_id, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) {OVER('ROWS UNBOUNDED PRECEDING')}::BIGINT AS segment FROM e")
 def w12_segment_labels(spark, sf_dir):
-    e, w = _series(spark, sf_dir)
-    return e.select("event_id", F.sum(F.when(F.col("event_type") == "signup", 1).otherwise(0)).over(w.rowsBetween(W.unboundedPreceding, 0)).alias("segment"))
+    starts = F.when(F.col("event_type") == "signup", 1).otherwise(0)
+    return T.running(events(spark, sf_dir), ["user_id"], ["t", "event_id"], starts, "segment").select("event_id", "segment")
 
 
 @query(f"WITH {E}, d AS (SELECT * FROM e WHERE value > 20), k AS (SELECT event_id, list(value) {OVER('ROWS BETWEEN 8 PRECEDING AND CURRENT ROW')} AS k, row_number() {OVER('')} AS i FROM d), g AS (SELECT event_id, CASE WHEN i < 9 THEN list_append(k, 50.0) ELSE k END AS k FROM k) SELECT event_id, CASE WHEN len(k) >= 3 THEN round(list_median(k), 6) + 0.0 END AS v FROM g")
 def w13_running_median(spark, sf_dir):
-    return T.running_median(events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", F.col("value") > 20, seed=50.0).select("event_id", r(F.col("v")).alias("v"))
+    return T.running_median(events(spark, sf_dir), ["user_id"], ["t", "event_id"], "value", F.col("value") > 20, seed=50.0).select("event_id", r(F.col("v")).alias("v"))
 
 
 @query(f"WITH {E}, n AS (SELECT event_id, value, lag(value) {OVER('')} AS p, lead(value) {OVER('')} AS x FROM e) SELECT event_id, round(0.5 * (abs(value - coalesce(x, p)) + abs(value - coalesce(p, x))), 6) + 0.0 AS change FROM n")
 def w16_neighbour_change(spark, sf_dir):
-    e, w = _series(spark, sf_dir)
-    p, x, v = F.lag("value").over(w), F.lead("value").over(w), F.col("value")
-    return e.select("event_id", r(0.5 * (F.abs(v - F.coalesce(x, p)) + F.abs(v - F.coalesce(p, x)))).alias("change"))
-
-
-@query()
+    v = F.col("value")
+    e = _over(events(spark, sf_dir), 1, 1, lambda w: {"p": F.lag("value").over(w), "x": F.lead("value").over(w)})
+    return e.select("event_id", r(0.5 * (F.abs(v - F.coalesce("x", "p")) + F.abs(v - F.coalesce("p", "x")))).alias("change"))
+
+
+@query(f"""WITH RECURSIVE {E}, s AS (SELECT user_id, t, value AS u, CASE WHEN event_type <> 'view' THEN 3 * value END AS z, row_number() OVER (PARTITION BY user_id ORDER BY t, value) AS i FROM e),
+k AS (SELECT user_id, 0::BIGINT AS i, 0::BIGINT AS t, 3.0::DOUBLE AS x1, -0.00053::DOUBLE AS x2, 1e-5::DOUBLE AS a, 0.0::DOUBLE AS b, 1e-9::DOUBLE AS d, NULL::DOUBLE AS l, 0.0::DOUBLE AS y FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, i, t, w1, w2, CASE WHEN z IS NULL THEN a ELSE (1 - g1 * l) * pa - g1 * l * l * pb END, CASE WHEN z IS NULL THEN b ELSE (1 - g1 * l) * pb - g1 * l * l * pd END, CASE WHEN z IS NULL THEN d ELSE (1 - g2 * l * l) * pd - g2 * l * pb END, CASE WHEN z IS NULL THEN l ELSE u END, w1 * u + w2 * u * u
+FROM (SELECT *, CASE WHEN z IS NULL THEN x1 ELSE x1 + g1 * (z - x1 * u - x2 * u * u) END AS w1, CASE WHEN z IS NULL THEN x2 ELSE x2 + g2 * (z - x1 * u - x2 * u * u) END AS w2
+FROM (SELECT *, (pa * l + pb * l * l) / v AS g1, (pb * l + pd * l * l) / v AS g2
+FROM (SELECT *, l * (pa * l + pb * l * l) + l * l * (pb * l + pd * l * l) + 10 AS v
+FROM (SELECT s.user_id, s.i, s.t, s.u, s.z, k.x1, k.x2, k.a, k.b, k.d, k.a + 1e-10 AS pa, k.b AS pb, k.d + 1e-10 AS pd, coalesce(k.l, s.u) AS l FROM k JOIN s ON k.user_id = s.user_id AND s.i = k.i + 1)))))
+SELECT user_id, t, round(y, 6) + 0.0 AS y FROM k WHERE i > 0""")
 def l14_kalman(spark, sf_dir):
     e = events(spark, sf_dir).select("user_id", "t", F.col("value").alias("u"), F.when(F.col("event_type") != "view", 3 * F.col("value")).alias("z"))
     return T.kalman(e, ["user_id"], "t", "u", "z").select("user_id", "t", r(F.col("y")).alias("y"))

@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from heliograph.functions import numeric as N
@@ -213,3 +214,26 @@ def test_streams(spark, tmp_path):
     p = s().select("k", "ts", F.col("u").alias("predicted"))
     t = s().select("k", "ts", F.col("u").alias("actual"))
     assert run(stateful.delayed_scores(p, t, ["k"], "40 SECONDS"), "scored", "append").count() == 58
+
+
+def test_windows_and_sums_over_cut_series_equal_the_whole(spark):
+    rows = [(k, None if i == 7 else (i * 37) % 101 if k else i % 3, i, float((i * i) % 17)) for k in (0, 1, None) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, t long, i long, v double")
+    columns = lambda w: {"p": F.lag("v", 3).over(w), "n": F.lead("v", 2).over(w), "m": F.sum("v").over(w.rowsBetween(-3, 2))}
+    got = series.windowed(df, ["k"], ["t", "i"], 3, 2, columns, size=5, bucket=10)
+    want = df.select("*", *[c.alias(n) for n, c in columns(W.partitionBy("k").orderBy("t", "i")).items()])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    got = series.running(df, ["k"], ["t", "i"], F.col("v"), "s", bucket=10)
+    want = df.withColumn("s", F.sum("v").over(W.partitionBy("k").orderBy("t", "i").rowsBetween(W.unboundedPreceding, 0)))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert series.windowed(df.limit(0), ["k"], ["t", "i"], 3, 2, columns).count() == 0
+    with pytest.raises(ValueError):
+        series.windowed(df, ["k"], ["t"], 9, 0, columns, size=5)
+
+
+def test_kalman_starts_anew_with_every_series_and_null(spark):
+    rows = [(k, t, float(t % 5 + 1), None if t % 3 else 2.0 * t) for k in (None, 1, 2) for t in range(9)]
+    df = spark.createDataFrame(rows, "k long, t long, u double, z double")
+    got = series.kalman(df, ["k"], "t", "u", "z", p0=(1.0, 1e-6)).collect()
+    by = {k: [round(r.y, 9) for r in sorted(got, key=lambda r: r.t) if r.k == k] for k in (None, 1, 2)}
+    assert by[None] == by[1] == by[2] and len(by[1]) == 9
