@@ -157,11 +157,37 @@ def louche_dni(ghi: Column, zenith: Column, doy: Column) -> Column:
     return poly(clearness(ghi, zenith, doy), 0.002, -0.059, 0.994, -5.205, 15.307, -10.627) * extraterrestrial(doy)
 
 
+def kasten_mass(zenith: Column, pressure: Column | float = 101325.0) -> Column:
+    """Air mass by Kasten's formula of 1966, at a pressure in Pa."""
+    return 1 / (cosd(zenith) + 0.15 * F.pow(93.885 - zenith, F.lit(-1.253))) * num(pressure) / 101325
+
+
+def disc_clearness(ghi: Column, zenith: Column, doy: Column) -> Column:
+    """Share of the extraterrestrial irradiance that reaches the ground, as DISC takes it."""
+    i0 = SOLAR_CONSTANT_DISC * distance_factor(2 * math.pi * (doy - 1) / 365)
+    return F.greatest(ghi / (i0 * cosd(zenith)), F.lit(0.0))
+
+
+def clearness_prime(ghi: Column, zenith: Column, doy: Column, pressure: Column | float = 101325.0) -> Column:
+    """The clearness of Perez and others that hardly depends on the zenith, up to 0.82."""
+    am = kasten_mass(zenith, pressure)
+    return F.least(F.lit(0.82), disc_clearness(ghi, zenith, doy) / (1.031 * F.exp(-1.4 / (0.9 + 9.4 / am)) + 0.1))
+
+
+#: Lower ends of DIRINT's classes of clearness, zenith, change of clearness and precipitable water.
+DIRINT_KT, DIRINT_ZENITH = (0.0, 0.24, 0.4, 0.56, 0.7, 0.8), (0.0, 25.0, 40.0, 55.0, 70.0, 80.0)
+DIRINT_CHANGE, DIRINT_WATER = (0.0, 0.015, 0.035, 0.07, 0.15, 0.3), (0.0, 1.0, 2.0, 3.0)
+
+
+def class_of(value: Column, lower: tuple[float, ...]) -> Column:
+    """Number (from 1) of the class whose lower end value reaches; 0 below the first, null for null."""
+    return F.when(value.isNotNull(), sum(((value >= x).cast("int") for x in lower), F.lit(0)))
+
+
 def disc_dni(ghi: Column, zenith: Column, doy: Column, pressure: Column | float = 101325.0) -> Column:
     i0 = SOLAR_CONSTANT_DISC * distance_factor(2 * math.pi * (doy - 1) / 365)
-    z = F.least(zenith, F.lit(87.0))
-    am = 1 / (cosd(z) + 0.15 * F.pow(93.885 - z, F.lit(-1.253))) * num(pressure) / 101325
-    kt = F.greatest(ghi / (i0 * cosd(zenith)), F.lit(0.0))
+    am = kasten_mass(F.least(zenith, F.lit(87.0)), pressure)
+    kt = disc_clearness(ghi, zenith, doy)
     pick = lambda high, low: F.when(kt > 0.6, poly(kt, *high)).otherwise(poly(kt, *low))
     a = pick((-5.743, 21.77, -27.49, 11.56), (0.512, -1.56, 2.286, -2.222))
     b = pick((41.4, -118.5, 66.05, 31.9), (0.37, 0.962))
@@ -276,3 +302,25 @@ def tracker_angle(zenith: Column, azimuth: Column, axis_azimuth: float, most: fl
     that points its modules at the sun as far as its stops allow; null at night."""
     z, a = F.radians(zenith), F.radians(azimuth - axis_azimuth)
     return F.when(zenith < 90, F.greatest(F.lit(-most), F.least(F.lit(most), F.degrees(F.atan2(F.sin(z) * F.sin(a), F.cos(z))))))
+
+
+def sapm(ee: Column, cell: Column, p: dict[str, float], t0: float = 25.0) -> dict[str, Column]:
+    """Five points of the current-voltage curve (isc, imp, voc, vmp, pmp, ix, ixx) by the Sandia array model, at effective
+    irradiance ee (suns) and cell temperature; 0 below a thousandth of a sun.
+
+    p: isc0, imp0, voc0, vmp0, ix0, ixx0, aisc, aimp, bvoc, mbvoc, bvmp, mbvmp, n, ns and c0 to c7. 8.617332478e-5:
+    Boltzmann's constant over the elementary charge.
+    """
+    dt, e = cell - t0, F.greatest(ee, F.lit(1e-3))
+    delta = p["n"] * 8.617332478e-5 * (cell + 273.15)
+    fall = delta * F.log(e)
+    out = {
+        "isc": p["isc0"] * e * (1 + p["aisc"] * dt),
+        "imp": p["imp0"] * (p["c0"] * e + p["c1"] * e * e) * (1 + p["aimp"] * dt),
+        "voc": p["voc0"] + p["ns"] * fall + (p["bvoc"] + p["mbvoc"] * (1 - e)) * dt,
+        "vmp": p["vmp0"] + p["c2"] * p["ns"] * fall + p["c3"] * p["ns"] * fall * fall + (p["bvmp"] + p["mbvmp"] * (1 - e)) * dt,
+        "ix": p["ix0"] * (p["c4"] * e + p["c5"] * e * e) * (1 + p["aisc"] * dt),
+        "ixx": p["ixx0"] * (p["c6"] * e + p["c7"] * e * e) * (1 + p["aisc"] * dt),
+    }
+    out["pmp"] = out["imp"] * out["vmp"]
+    return {k: F.when(ee >= 1e-3, c).when(ee.isNotNull(), 0.0) for k, c in out.items()}

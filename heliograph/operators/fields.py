@@ -164,3 +164,38 @@ def rotation(pairs: DataFrame, a: list[str], b: list[str]) -> list[list[float]]:
     sums = pairs.agg(*[F.sum(F.col(p) * F.col(q)).alias(f"{i}{j}") for i, p in enumerate(b) for j, q in enumerate(a)]).first()
     u, _, v = np.linalg.svd(np.array([[sums[f"{i}{j}"] for j in range(3)] for i in range(3)], float))
     return (u @ np.diag([1, 1, np.sign(np.linalg.det(u @ v))]) @ v).tolist()
+
+
+def signed_distance(field: DataFrame, frame: str, inside: Column) -> DataFrame:
+    """frame, x, y, distance: to the nearest pixel of the other side, positive inside; null in frames of one side only. A frame,
+    an image, is one task: distances along columns first, then the least over each row."""
+    import numpy as np
+    import pandas as pd
+
+    d = field.select(frame, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.coalesce(inside, F.lit(False)).alias("_in"))
+
+    def squared(mask: np.ndarray) -> np.ndarray:
+        """The squared distance of every pixel to the nearest one of the mask."""
+        n, m = mask.shape
+        along = np.abs(np.arange(m)[:, None] - np.arange(m)[None, :]).astype(float) ** 2
+        column = np.stack([np.where(row, along, np.inf).min(axis=1) for row in mask])
+        across = np.abs(np.arange(n)[:, None] - np.arange(n)[None, :]).astype(float) ** 2
+        return np.stack([(column + a[:, None]).min(axis=0) for a in across])
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        x, y = (p["x"] - p["x"].min()).to_numpy(), (p["y"] - p["y"].min()).to_numpy()
+        side = np.zeros((x.max() + 1, y.max() + 1), np.int8)  # 0: no pixel here
+        side[x, y] = np.where(p["_in"], 2, 1)
+        to_out, to_in = np.sqrt(squared(side == 1)), np.sqrt(squared(side == 2))
+        got = np.where(p["_in"], to_out[x, y], -to_in[x, y])
+        return p[[frame, "x", "y"]].assign(distance=pd.Series(got, p.index).where(np.isfinite(got)))
+
+    return d.groupBy(frame).applyInPandas(run, f"`{frame}` {d.schema[frame].dataType.simpleString()}, x long, y long, distance double")
+
+
+def sun_decision(seen: Column, spot: Column, contrast: Column, criteria: list[Column], most_covered: list[float], least_clear: list[float], dark: float) -> Column:
+    """The sun's flag in a frame: -1 outside the image; without a dark spot near its place 1 (covered), or -9 (unclear) if
+    a contrast over dark is elsewhere; with one 2, 4 or 3 as all criteria stay low, all reach those of a clear sun, or neither."""
+    every = lambda f, ends: F.expr("true") if not ends else sum((f(c, e).cast("int") for c, e in zip(criteria, ends, strict=True)), F.lit(0)) == len(ends)
+    low, high = every(lambda c, e: c <= e, most_covered), every(lambda c, e: c >= e, least_clear)
+    return F.when(~seen, -1).when(~spot, F.when(contrast > dark, -9).otherwise(1)).when(low, 2).when(high, 4).otherwise(3)

@@ -219,3 +219,65 @@ def grid_search(df: DataFrame, features: list[str], target: str, id_col: str, pe
             error, count = error + b @ own @ b, count + own[n - 2, n - 2]
         out.append((float(c), float(np.sqrt(max(0.0, error) / max(1.0, count)))))
     return sorted(out, key=lambda x: (x[1], x[0]))
+
+
+def radial_network(df: DataFrame, features: list[str], target: str, centres: list[list[float]], width: float, ridge: float = 1e-6) -> tuple[dict[str, float], Column]:
+    """(coefficients, prediction): a regression on Gaussian units around centres (features scaled by the caller), by one
+    aggregation of units x units sums."""
+    def unit(c: list[float]) -> Column:
+        d = sum(((F.col(f) - v) * (F.col(f) - v) for f, v in zip(features, c, strict=True)), F.lit(0.0))
+        return F.exp(-d / (2 * width * width))
+
+    units = {f"_u{i}": unit(c) for i, c in enumerate(centres)}
+    beta = least_squares(df.withColumns(units), list(units), target, interactions=False, ridge=ridge)
+    return beta, sum((F.lit(beta[k]) * u for k, u in units.items()), F.lit(beta["1"]))
+
+
+def hinge_regression(df: DataFrame, features: list[str], target: str, knots: int = 8, units: int = 6) -> tuple[list[tuple[str, float, int]], dict[str, float], Column]:
+    """(hinges, coefficients, prediction): piecewise linear regression. Hinges max(0, +-(x - knot)) at quantiles of each
+    feature are added one at a time, each the one that lessens the squared error most: all candidates' products are
+    one aggregation over the rows, and the driver chooses among them."""
+    import numpy as np
+    import pandas as pd
+
+    ends = df.agg(*[F.percentile_approx(f, [i / (knots + 1) for i in range(1, knots + 1)], 10000).alias(f) for f in features]).first()
+    hinges = [(f, float(k), s) for f in features for k in sorted(set(ends[f] or [])) for s in (1, -1)]
+    column = lambda h: F.greatest(F.lit(0.0), h[2] * (F.col(h[0]) - h[1]))
+    d = df.where(F.col(target).isNotNull()).dropna(subset=features)
+    cols = [F.lit(1.0), *[column(h) for h in hinges], F.col(target).cast("double")]
+    n = len(cols)
+
+    def products(batches):
+        total = np.zeros((n, n))
+        for p in batches:
+            x = p.to_numpy(float)
+            total += x.T @ x
+        i, j = np.indices((n, n))
+        yield pd.DataFrame({"i": i.ravel(), "j": j.ravel(), "s": total.ravel()})
+
+    parts = d.select(*[c.cast("double").alias(f"_h{i}") for i, c in enumerate(cols)]).mapInPandas(products, "i long, j long, s double")
+    g = np.zeros((n, n))
+    for row in parts.groupBy("i", "j").agg(F.sum("s").alias("s")).collect():  # n x n numbers
+        g[row.i, row.j] = row.s
+    chosen = [0]
+    solve = lambda c: np.linalg.lstsq(g[np.ix_(c, c)], g[c, -1], rcond=None)[0]
+    error = lambda c: g[-1, -1] - g[c, -1] @ solve(c)
+    for _ in range(min(units, len(hinges))):
+        chosen = min(([*chosen, i] for i in range(1, n - 1) if i not in chosen), key=error)
+    beta = dict(zip(chosen, map(float, solve(chosen)), strict=True))
+    out = F.lit(beta[0])
+    for i in chosen[1:]:
+        out = out + beta[i] * column(hinges[i - 1])
+    return [hinges[i - 1] for i in chosen[1:]], {str(i): b for i, b in beta.items()}, out
+
+
+def linear_classifier(df: DataFrame, features: list[str], label: str, rounds: int = 50, penalty: float = 0.01) -> tuple[float, dict[str, float]]:
+    """(intercept, weights) of a linear support vector machine for labels 0 and 1, as for pixels of the sun: MLlib's, whose
+    rounds sum gradients over all rows in tasks."""
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.feature import VectorAssembler
+
+    d = df.where(F.col(label).isNotNull()).dropna(subset=features)
+    d = VectorAssembler(inputCols=features, outputCol="_x").transform(d).select("_x", F.col(label).cast("double").alias("_y"))
+    m = LinearSVC(featuresCol="_x", labelCol="_y", maxIter=rounds, regParam=penalty).fit(d)
+    return float(m.intercept), dict(zip(features, map(float, m.coefficients.toArray()), strict=True))

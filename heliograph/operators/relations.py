@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -57,52 +59,57 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, qid: str, pid: str
     return best(q.join(reach, "_q", "left").withColumn("_b", F.explode(F.sequence(*ends)))).select(F.col("_q").alias(qid), F.col("_p").alias(pid), "distance", "rank")
 
 
+def _columns(c: np.ndarray) -> np.ndarray:
+    """For each row of a square matrix its column, by shortest augmenting paths."""
+    n = len(c)
+    u, v, row = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, -1)  # row[j]: the row of column j; column n is virtual
+    for i in range(n):
+        row[n], j, free, least, back = i, n, np.ones(n, bool), np.full(n, np.inf), np.full(n, n)
+        while row[j] >= 0:
+            if j < n:
+                free[j] = False
+            gap = c[row[j]] - u[row[j]] - v[:n]
+            better = free & (gap < least)
+            least[better], back[better] = gap[better], j
+            to = int(np.where(free, least, np.inf).argmin())
+            step = least[to]
+            done = np.append(~free, True)
+            u[row[done]] += step
+            v[done] -= step
+            least[free] -= step
+            j = to
+        while j < n:
+            row[j], j = row[back[j]], back[j]
+    out = np.zeros(n, np.int64)
+    out[row[:n]] = np.arange(n)
+    return out
+
+
+def least_cost(c: np.ndarray, alone: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of a cost matrix that belong together at the least total, where each one left alone costs alone."""
+    n, m = c.shape
+    full = np.full((n + m, n + m), 1e15)
+    full[:n, :m] = c
+    full[:n, m:], full[n:, :m], full[n:, m:] = np.where(np.eye(n) > 0, alone, 1e15), np.where(np.eye(m) > 0, alone, 1e15), 0
+    col = _columns(full)[:n]
+    return np.flatnonzero(col < m), col[col < m]
+
+
 def assigned(pairs: DataFrame, frame: str, a: str, b: str, cost: str, alone: float) -> DataFrame:
     """frame, a, b: the pairs of least total cost in each frame, every a and b once at most; an a or b left alone costs alone.
 
     pairs: the possible (frame, a, b, cost), a frame's a and b fitting one task, as detections and tracks do; pairs missing
     from it are impossible. Of equal pairs the cheapest counts.
     """
-    import numpy as np
-    import pandas as pd
-
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
 
-    def solve(c: np.ndarray) -> np.ndarray:
-        """For each row of a square matrix its column, by shortest augmenting paths."""
-        n = len(c)
-        u, v, row = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, -1)  # row[j]: the row of column j; column n is virtual
-        for i in range(n):
-            row[n], j, free, least, back = i, n, np.ones(n, bool), np.full(n, np.inf), np.full(n, n)
-            while row[j] >= 0:
-                if j < n:
-                    free[j] = False
-                gap = c[row[j]] - u[row[j]] - v[:n]
-                better = free & (gap < least)
-                least[better], back[better] = gap[better], j
-                to = int(np.where(free, least, np.inf).argmin())
-                step = least[to]
-                done = np.append(~free, True)
-                u[row[done]] += step
-                v[done] -= step
-                least[free] -= step
-                j = to
-            while j < n:
-                row[j], j = row[back[j]], back[j]
-        out = np.zeros(n, np.int64)
-        out[row[:n]] = np.arange(n)
-        return out
-
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values([cost, a, b]).drop_duplicates([a, b])
         left, right = np.unique(g[a]), np.unique(g[b])
-        n, m = len(left), len(right)
-        c = np.full((n + m, n + m), 1e15)
+        c = np.full((len(left), len(right)), 1e15)
         c[np.searchsorted(left, g[a]), np.searchsorted(right, g[b])] = g[cost]
-        c[:n, m:], c[n:, :m], c[n:, m:] = np.where(np.eye(n) > 0, alone, 1e15), np.where(np.eye(m) > 0, alone, 1e15), 0
-        col = solve(c)[:n]
-        hit = col < m
-        return pd.DataFrame({frame: g[frame].iat[0], a: left[hit], b: right[col[hit]]})
+        rows, cols = least_cost(c, alone)
+        return pd.DataFrame({frame: g[frame].iat[0], a: left[rows], b: right[cols]})
 
     return pairs.where(F.col(cost).isNotNull()).groupBy(frame).applyInPandas(run, ", ".join(f"`{x}` {kinds[x]}" for x in (frame, a, b)))
 

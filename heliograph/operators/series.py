@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 
+from ..functions import solar as S
 from ..sources.logs import scratch
+from .relations import lookup
 
 DAY = 86_400_000_000
 
@@ -254,3 +256,26 @@ def kalman(df: DataFrame, key: list[str], t: str, u: str, z: str, *, x0=(3.0, -0
 
     d = df.select(*key, t, u, z).repartition(*key).sortWithinPartitions(*key, t, u)
     return d.mapInPandas(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "y double"]))
+
+
+def lagged(df: DataFrame, key: list[str], order: list[str], values: list[str], lags: list[int], **given) -> DataFrame:
+    """df with value_lag columns, the rows before a series' row: the inputs of an autoregressive model."""
+    return windowed(df, key, order, max(lags), 0, lambda w: {f"{v}_{i}": F.lag(v, i).over(w) for v in values for i in lags}, **given)
+
+
+def dirint(df: DataFrame, key: list[str], order: list[str], ghi: str, zenith: str, doy: str, coefficients: DataFrame, pressure: float = 101325.0, dew_point: str | None = None, **given) -> DataFrame:
+    """df with dni (in place of a column of that name): DISC's beam corrected by a coefficient of the clearness, the zenith, the change of clearness to the rows
+    beside and the water in the air.
+
+    coefficients: kt, z, change, water (classes from 1) and coefficient, the published table of 6 x 6 x 7 x 5 rows; change
+    7: a series of one row, water 5: no dew point. Rows of no class have 0.
+    """
+    prime = S.clearness_prime(F.col(ghi), F.col(zenith), F.col(doy), pressure)
+    d = windowed(df.withColumn("_kt", prime), key, order, 1, 1, lambda w: {"_p": F.lag("_kt").over(w), "_n": F.lead("_kt").over(w)}, **given)
+    p, n = F.coalesce("_p", "_n"), F.coalesce("_n", "_p")
+    change = F.coalesce(S.class_of(0.5 * (F.abs(F.col("_kt") - n) + F.abs(F.col("_kt") - p)), S.DIRINT_CHANGE), F.lit(7))
+    water = F.lit(5) if dew_point is None else F.coalesce(S.class_of(F.exp(0.07 * F.col(dew_point) - 0.075), S.DIRINT_WATER), F.lit(5))
+    at = {"_c1": S.class_of(F.col("_kt"), S.DIRINT_KT), "_c2": S.class_of(F.col(zenith).cast("double"), S.DIRINT_ZENITH), "_c3": change, "_c4": water}
+    table = coefficients.select(F.col("kt").alias("_c1"), F.col("z").alias("_c2"), F.col("change").alias("_c3"), F.col("water").alias("_c4"), F.col("coefficient").alias("_c"))
+    d = lookup(d.withColumns(at), table, list(at))
+    return d.select(*[c for c in df.columns if c != "dni"], (S.disc_dni(F.col(ghi), F.col(zenith), F.col(doy), pressure) * F.coalesce("_c", F.lit(0.0))).alias("dni"))

@@ -15,7 +15,7 @@ from ..operators import relations as R
 from ..operators import series as T
 from ..sources import logs
 from ..streaming import stateful
-from .queries import BRACKET, COS, FIELD, ORACLE_SQL, OVER, QUERIES, REACH, SAMPLES, SIDE, SIN, E, events, field, query, r, samples, table
+from .queries import BRACKET, COS, DISC, FIELD, ORACLE_SQL, OVER, QUERIES, REACH, SAMPLES, SIDE, SIN, E, events, field, query, r, samples, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -163,6 +163,21 @@ def i15_polar(spark, sf_dir):
     return I.polar(field(spark, sf_dir), "frame", (11.5, 12.25), _ANGLES, _RADII).withColumn("value", r(F.col("value")))
 
 
+@query(f"WITH {FIELD}, m AS (SELECT *, value > 128 AS inside FROM f) SELECT a.frame, a.x, a.y, round(CASE WHEN a.inside THEN 1 ELSE -1 END * sqrt(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2)), 6) + 0.0 AS distance FROM m a LEFT JOIN m b ON a.frame = b.frame AND a.inside <> b.inside GROUP BY a.frame, a.x, a.y, a.inside")
+def i7_signed_distance(spark, sf_dir):
+    return I.signed_distance(field(spark, sf_dir), "frame", F.col("value") > 128).withColumn("distance", r(F.col("distance")))
+
+
+_CRITERIA = ["l_discount * 10", "l_tax * 10", "l_quantity / 50"]
+
+
+@query(f"SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 9 = 0 THEN -1 WHEN l_partkey % 4 = 0 THEN CASE WHEN l_quantity > 40 THEN -9 ELSE 1 END WHEN {' AND '.join(f'{c} <= {m}' for c, m in zip(_CRITERIA, (0.7, 0.5, 0.6)))} THEN 2 WHEN {' AND '.join(f'{c} >= {m}' for c, m in zip(_CRITERIA, (0.2, 0.3, 0.4)))} THEN 4 ELSE 3 END AS flag FROM lineitem")
+def i12_sun_decision(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem")
+    flag = I.sun_decision(F.col("l_suppkey") % 9 != 0, F.col("l_partkey") % 4 != 0, F.col("l_quantity"), [F.expr(c) for c in _CRITERIA], [0.7, 0.5, 0.6], [0.2, 0.3, 0.4], 40.0)
+    return n.select("l_orderkey", "l_linenumber", flag.alias("flag"))
+
+
 # ---- learning and physics --------------------------------------------------------------------------
 
 
@@ -186,6 +201,75 @@ def tracker_angle(spark, sf_dir):
     return samples(spark, sf_dir).select("l_orderkey", "l_linenumber", r(S.tracker_angle(F.col("zenith"), F.col("doy").cast("double"), 180.0, 60.0)).alias("angle"))
 
 
+MODULE = {"isc0": 5.1, "imp0": 4.6, "voc0": 43.5, "vmp0": 34.4, "ix0": 5.0, "ixx0": 3.3, "aisc": 0.0006, "aimp": -0.0002, "bvoc": -0.15, "mbvoc": 0.01, "bvmp": -0.16, "mbvmp": 0.02, "n": 1.2, "ns": 72.0, "c0": 1.01, "c1": -0.01, "c2": 0.3, "c3": -7.5, "c4": 0.99, "c5": 0.01, "c6": 1.1, "c7": -0.1}
+_POINT = {
+    "isc": "isc0 * e * (1 + aisc * dt)", "imp": "imp0 * (c0 * e + c1 * e * e) * (1 + aimp * dt)", "voc": "voc0 + ns * fall + (bvoc + mbvoc * (1 - e)) * dt", "vmp": "vmp0 + c2 * ns * fall + c3 * ns * fall * fall + (bvmp + mbvmp * (1 - e)) * dt",
+    "ix": "ix0 * (c4 * e + c5 * e * e) * (1 + aisc * dt)", "ixx": "ixx0 * (c6 * e + c7 * e * e) * (1 + aisc * dt)",
+}
+_POINT["pmp"] = f"({_POINT['imp']}) * ({_POINT['vmp']})"
+
+
+@query(f"""WITH {SAMPLES}, m AS (SELECT {', '.join(f'{v}::DOUBLE AS {k}' for k, v in MODULE.items())}), e AS (SELECT l_orderkey, l_linenumber, (clear - 40) / 1000.0::DOUBLE AS e, (20 + l_linenumber * 5 - 25)::DOUBLE AS dt FROM s),
+d AS (SELECT *, n * 8.617332478e-5::DOUBLE * (dt + 298.15::DOUBLE) * ln(greatest(e, 0.001)) AS fall FROM e, m) SELECT l_orderkey, l_linenumber, {', '.join(f'CASE WHEN e >= 0.001 THEN round({x}, 6) + 0.0 ELSE 0 END AS {k}' for k, x in _POINT.items())} FROM d""")
+def sapm_points(spark, sf_dir):
+    points = S.sapm((F.col("clear") - 40) / 1000, (20 + F.col("l_linenumber") * 5).cast("double"), MODULE)
+    return samples(spark, sf_dir).select("l_orderkey", "l_linenumber", *[r(c).alias(k) for k, c in points.items()])
+
+
+_CLASS = lambda c, lower: "(" + " + ".join(f"({c} >= {x})::INTEGER" for x in lower) + ")"
+
+
+@query(f"""WITH {SAMPLES}, {DISC}, o AS (SELECT *, least(0.82, k / (1.031 * exp(-1.4 / (0.9 + 9.4 / (1 / ({COS('zenith')} + 0.15 * (93.885 - zenith) ** -1.253)))) + 0.1)) AS kp, 10 + l_linenumber * 4 AS dew FROM d),
+b AS (SELECT *, coalesce(lag(kp) OVER w, lead(kp) OVER w) AS p, coalesce(lead(kp) OVER w, lag(kp) OVER w) AS n FROM o WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, ghi, clear)),
+g AS (SELECT *, {_CLASS('kp', S.DIRINT_KT)} AS c1, {_CLASS('zenith', S.DIRINT_ZENITH)} AS c2, CASE WHEN p IS NULL THEN 7 ELSE {_CLASS('0.5 * (abs(kp - n) + abs(kp - p))', S.DIRINT_CHANGE)} END AS c3, CASE WHEN l_linenumber = 3 THEN 5 ELSE {_CLASS('exp(0.07 * dew - 0.075)', S.DIRINT_WATER)} END AS c4 FROM b)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN zenith > 87 OR ghi < 1 OR dn < 0 THEN 0 ELSE dn END * (0.5 + (c1 * 31 + c2 * 17 + c3 * 7 + c4 * 3) % 20 / 20), 3) + 0.0 AS dni FROM g""")
+def dirint_dni(spark, sf_dir):
+    """The classes and the lookup; the coefficients are a rule's, as the published table is the caller's."""
+    upto = lambda n: F.explode(F.sequence(F.lit(1), F.lit(n)))
+    table_ = spark.range(1).select(upto(6).alias("kt")).select("*", upto(6).alias("z")).select("*", upto(7).alias("change")).select("*", upto(5).alias("water"))
+    table_ = table_.withColumn("coefficient", 0.5 + (F.col("kt") * 31 + F.col("z") * 17 + F.col("change") * 7 + F.col("water") * 3) % 20 / 20)
+    s = samples(spark, sf_dir).withColumn("dew", F.when(F.col("l_linenumber") != 3, 10 + F.col("l_linenumber") * 4))
+    return T.dirint(s, ["l_orderkey"], ["l_linenumber", "ghi", "clear"], "ghi", "zenith", "doy", table_, dew_point="dew").select("l_orderkey", "l_linenumber", r(F.col("dni"), 3).alias("dni"))
+
+
+@query(f"WITH {E} SELECT event_id, {', '.join(f'lag(value, {i}) OVER w AS value_{i}, lag(t, {i}) OVER w AS t_{i}' for i in (1, 2, 5))} FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)")
+def l13_lagged_inputs(spark, sf_dir):
+    got = T.lagged(events(spark, sf_dir), ["user_id"], ["t", "event_id"], ["value", "t"], [1, 2, 5])
+    return got.select("event_id", *[f"{v}_{i}" for v in ("value", "t") for i in (1, 2, 5)])
+
+
+@query()
+def l13_autoregression(spark, sf_dir):
+    """A linear model of the value by the values before it, as its coefficients."""
+    got = T.lagged(events(spark, sf_dir), ["user_id"], ["t", "event_id"], ["value"], [1, 2, 3])
+    beta = L.least_squares(got, ["value_1", "value_2", "value_3"], "value", interactions=False)
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in beta.items()], "term string, coefficient double")
+
+
+@query()
+def l12_hinges(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    _, _, f = L.hinge_regression(n, ["l_quantity", "l_discount"], "l_extendedprice")
+    return n.select(F.sqrt(F.avg((f - F.col("l_extendedprice")) ** 2)).alias("rmse"))
+
+
+@query()
+def l12_radial_network(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("d"), "l_extendedprice")
+    _, f = L.radial_network(n, ["q", "d"], "l_extendedprice", [[i / 4, j / 2] for i in range(5) for j in range(3)], 0.3)
+    return n.select(F.sqrt(F.avg((f - F.col("l_extendedprice")) ** 2)).alias("rmse"))
+
+
+@query()
+def l16_sun_pixels(spark, sf_dir):
+    """The linear classifier's share of right pixels; a pixel of the sun is bright and near the middle."""
+    f = field(spark, sf_dir).select((F.col("value") / 255).alias("v"), (F.sqrt((F.col("x") - 12) ** 2 + (F.col("y") - 12) ** 2) / 12).alias("d"))
+    f = f.withColumn("sun", (F.col("v") > 0.3 + F.col("d")).cast("int"))
+    b, w = L.linear_classifier(f, ["v", "d"], "sun")
+    right = ((w["v"] * F.col("v") + w["d"] * F.col("d") + b > 0).cast("int") == F.col("sun")).cast("double")
+    return f.select(F.avg(right).alias("right"))
+
+
 # ---- sources and sinks, as round trips ---------------------------------------------------------------
 
 
@@ -273,6 +357,23 @@ def s19_config(spark, sf_dir):
     return logs.config(spark, path, "plant").select(F.col("_id").cast("long").alias("id"), "name", F.round(F.col("balance").cast("double"), 2).alias("balance"))
 
 
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS start, round(60 * o_totalprice, 4) + 0.0 AS ghi, 60 * (o_orderkey % 7)::DOUBLE AS dni, 60 * (o_orderkey % 5)::DOUBLE AS dhi, o_orderpriority AS place, 'c24' AS last FROM orders")
+def s8_long_clear_sky(spark, sf_dir):
+    o, at = table(spark, sf_dir, "orders"), lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.S")
+    cells = {1: F.concat_ws("/", at("o_orderdate"), at(F.col("o_orderdate") + F.expr("INTERVAL 1 MINUTE"))), 2: F.col("o_orderpriority"), 3: F.col("o_totalprice"), 5: F.col("o_orderkey") % 5, 6: F.col("o_orderkey") % 7}
+    line = F.concat_ws(";", *[cells[i].cast("string") if i in cells else F.lit(f"c{i}") for i in range(1, 25)])
+    got = logs.clear_sky(spark, _lines(spark, o, line, "clear24"), (3, 6, 5), {"place": 2, "last": 24})
+    return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), *[r(F.col(c), 4).alias(c) for c in ("ghi", "dni", "dhi")], "place", "last")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 7 <> 0 UNION ALL SELECT -o_orderkey, -1 FROM orders WHERE o_orderkey % 5 = 0 AND o_orderkey % 7 <> 0")
+def k8_changed_rows(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
+    fifth = o.where(F.col("o_orderkey") % 5 == 0).withColumn("price", F.lit(-1.0))
+    new = fifth.union(fifth.withColumn("o_orderkey", -F.col("o_orderkey")))
+    return logs.changed(o, new, ["o_orderkey"], o.where(F.col("o_orderkey") % 7 == 0).select(F.explode(F.array(F.col("o_orderkey"), -F.col("o_orderkey"))).alias("o_orderkey")))
+
+
 @query("SELECT count(*) AS n, true AS small FROM orders")
 def k2_batches(spark, sf_dir):
     path = logs.scratch(spark, "batches")
@@ -361,3 +462,19 @@ def st_session_stream(spark, sf_dir):
 def st3_bounded_buffer(spark, sf_dir):
     got = _streamed(spark, sf_dir, lambda s: stateful.median_stream(s, "user_id", "ts", "value", 9), "append")
     return got.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r(F.col("v")).alias("v"), "n")
+
+
+@query()
+def st6_forgetting_experts(spark, sf_dir):
+    experts = {"low": F.col("value") - 3, "high": F.col("value") + 8, "some": F.when(F.col("event_id") % 4 != 0, F.col("value") * 1.1)}
+    got = _streamed(spark, sf_dir, lambda s: stateful.forgetting_stream(s.withColumns(experts), "user_id", "ts", list(experts), "value"), "append")
+    return got.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r(F.col("predicted")).alias("predicted"))
+
+
+@query()
+def st7_tracks(spark, sf_dir):
+    """What three kinds of events do before a user's camera: things that move with the days, some frames unseen."""
+    day, kind = F.floor(F.unix_timestamp("ts") / 86400), F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 400).otherwise(800)
+    at = {"ts": F.timestamp_seconds(day * 86400), "x": kind + day % 100 * 2.0, "y": kind + F.col("value") / 100}
+    got = _streamed(spark, sf_dir, lambda s: stateful.track_stream(s.withColumns(at), "user_id", "ts", "x", "y"), "append")
+    return got.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "x", r(F.col("y")).alias("y"), "track")

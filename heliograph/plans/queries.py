@@ -609,11 +609,13 @@ _DF = {
 }
 
 
-@query(f"""WITH {SAMPLES}, k AS (SELECT *, greatest(ghi / ({_EXTRA} * {COS('zenith')}), 0) AS kt, {_EXTRA} AS ea, 1370 * (1.00011 + 0.034221 * cos(2 * pi() * (doy - 1) / 365) + 0.00128 * sin(2 * pi() * (doy - 1) / 365) + 0.000719 * cos(4 * pi() * (doy - 1) / 365) + 0.000077 * sin(4 * pi() * (doy - 1) / 365)) AS i0, 1 / ({COS('least(zenith, 87)')} + 0.15 * (93.885 - least(zenith, 87)) ** -1.253) AS am FROM s),
+DISC = f"""k AS (SELECT *, greatest(ghi / ({_EXTRA} * {COS('zenith')}), 0) AS kt, {_EXTRA} AS ea, 1370 * (1.00011 + 0.034221 * cos(2 * pi() * (doy - 1) / 365) + 0.00128 * sin(2 * pi() * (doy - 1) / 365) + 0.000719 * cos(4 * pi() * (doy - 1) / 365) + 0.000077 * sin(4 * pi() * (doy - 1) / 365)) AS i0, 1 / ({COS('least(zenith, 87)')} + 0.15 * (93.885 - least(zenith, 87)) ** -1.253) AS am FROM s),
 q AS (SELECT *, greatest(ghi / (i0 * {COS('zenith')}), 0) AS k FROM k),
 c AS (SELECT *, CASE WHEN k > 0.6 THEN -5.743 + 21.77 * k - 27.49 * k ** 2 + 11.56 * k ** 3 ELSE 0.512 - 1.56 * k + 2.286 * k ** 2 - 2.222 * k ** 3 END AS a, CASE WHEN k > 0.6 THEN 41.4 - 118.5 * k + 66.05 * k ** 2 + 31.9 * k ** 3 ELSE 0.37 + 0.962 * k END AS b, CASE WHEN k > 0.6 THEN -47.01 + 184.2 * k - 222 * k ** 2 + 73.81 * k ** 3 ELSE -0.28 + 0.932 * k - 2.048 * k ** 2 END AS c FROM q),
-d AS (SELECT *, (0.866 - 0.122 * am + 0.0121 * am ** 2 - 0.000653 * am ** 3 + 0.000014 * am ** 4 - (a + b * exp(c * am))) * i0 AS dn FROM c)
-SELECT l_orderkey, l_linenumber, {', '.join(f"round(({x}) * ghi, 9) + 0.0 AS {m}_dhi, round((ghi - ({x}) * ghi) / {COS('zenith')}, 4) + 0.0 AS {m}_dni" for m, x in _DF.items())},
+d AS (SELECT *, (0.866 - 0.122 * am + 0.0121 * am ** 2 - 0.000653 * am ** 3 + 0.000014 * am ** 4 - (a + b * exp(c * am))) * i0 AS dn FROM c)"""
+
+
+@query(f"""WITH {SAMPLES}, {DISC} SELECT l_orderkey, l_linenumber, {', '.join(f"round(({x}) * ghi, 9) + 0.0 AS {m}_dhi, round((ghi - ({x}) * ghi) / {COS('zenith')}, 4) + 0.0 AS {m}_dni" for m, x in _DF.items())},
 round((0.002 - 0.059 * kt + 0.994 * kt ** 2 - 5.205 * kt ** 3 + 15.307 * kt ** 4 - 10.627 * kt ** 5) * ea, 3) + 0.0 AS louche_dni, round(CASE WHEN zenith > 87 OR ghi < 1 OR dn < 0 THEN 0 ELSE dn END, 3) + 0.0 AS disc_dni FROM d""")
 def decomposition(spark, sf_dir):
     g, z, d = F.col("ghi"), F.col("zenith"), F.col("doy")

@@ -65,6 +65,15 @@ def image_files(spark: SparkSession, path: str, first_hour: int, last_hour: int,
     return f.where((h < last_hour) & ((h >= first_hour) | ((h == first_hour - 1) & (m >= 60 - lead))))
 
 
+def pixels(spark: SparkSession, path: str) -> DataFrame:
+    """origin, x, y (from 0, downwards), red, green, blue of image files, grey ones with three equal values; files that are no
+    images are left out. A read that fails is tried again with its task."""
+    i = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(path).select("image.*")
+    at = lambda k: F.conv(F.hex(F.substring("data", F.lit(1) + F.col("_i") * F.col("nChannels") + F.least(F.lit(k), F.col("nChannels") - 1), F.lit(1))), 16, 10).cast("int")
+    i = i.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)))
+    return i.select("origin", (F.col("_i") % F.col("width")).alias("x"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("y"), at(2).alias("red"), at(1).alias("green"), at(0).alias("blue"))
+
+
 def logger(spark: SparkSession, path: str) -> DataFrame:
     """ts, irr1, irr2, temp1, temp2 of space-separated logger files; lines that don't parse have a null ts and are dropped."""
     schema = "date string, time string, c3 double, c4 double, irr1 double, irr2 double, temp1 double, temp2 double"
@@ -85,13 +94,16 @@ def power(spark: SparkSession, path: str) -> DataFrame:
     return d.select("seconds", sum((F.col(k) for k in p), F.lit(0.0)).alias("p_total"), *p, "all_running")
 
 
-def clear_sky(spark: SparkSession, path: str) -> DataFrame:
-    """start, end, ghi, dni, dhi of a semicolon-separated clear-sky export of one-minute energies (Wh/m2 -> W/m2 by 60)."""
+def clear_sky(spark: SparkSession, path: str, places: tuple[int, int, int] = (6, 7, 8), more: dict[str, int] | None = None) -> DataFrame:
+    """start, end, ghi, dni, dhi of a semicolon-separated clear-sky export of one-minute energies (Wh/m2 -> W/m2 by 60).
+
+    places: those of the three energies, from 1; more: further cells by name, as text, such as those of the long layout.
+    """
     c = F.split("value", ";")
     cell = lambda i: F.try_element_at(c, F.lit(i)).try_cast("double")
     when = lambda i: F.try_to_timestamp(F.split(F.element_at(c, 1), "/")[i]).cast("timestamp_ntz")
     lines = spark.read.text(path).where(~F.col("value").startswith("#") & (F.col("value") != ""))
-    return lines.select(when(0).alias("start"), F.try_element_at(F.split(F.element_at(c, 1), "/"), F.lit(2)).alias("end"), (60 * cell(6)).alias("ghi"), (60 * cell(7)).alias("dni"), (60 * cell(8)).alias("dhi"))
+    return lines.select(when(0).alias("start"), F.try_element_at(F.split(F.element_at(c, 1), "/"), F.lit(2)).alias("end"), *[(60 * cell(i)).alias(k) for k, i in zip(("ghi", "dni", "dhi"), places, strict=True)], *[F.try_element_at(c, F.lit(i)).alias(k) for k, i in (more or {}).items()])
 
 
 def weather(spark: SparkSession, path: str, columns: list[str], sentinel: float = -999.0) -> DataFrame:
@@ -138,6 +150,18 @@ def sql(spark: SparkSession, query: str, **values) -> DataFrame:
     return spark.sql(query, args=values)
 
 
+def changed(old: DataFrame, new: DataFrame, key: list[str], gone: DataFrame | None = None) -> DataFrame:
+    """old with the rows of new in place of those of equal key, or added, and without the keys of gone: rows inserted,
+    updated and deleted as one table, to be written as a new one. Keys are unique in new; a null key equals a null key."""
+
+    def without(df: DataFrame, keys: DataFrame) -> DataFrame:
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+        return df.alias("a").join(keys.select(*key).alias("b"), same, "left_anti")
+
+    out = without(old, new).unionByName(new.select(*old.columns))
+    return out if gone is None else without(out, gone)
+
+
 # ---- sinks ----------------------------------------------------------------------------------------
 
 
@@ -159,6 +183,11 @@ def write_tsv(df: DataFrame, path: str, digits: int | None = 4, nan_as_zero: boo
     df.select(*cells).write.mode("overwrite").csv(path, sep="\t", nullValue="", emptyValue="")
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", writers: int | None = None, **options) -> None:
+    """df into a database's table; at most writers connections at once."""
+    (df if writers is None else df.coalesce(writers)).write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+
+
 def restamped(df: DataFrame, column: str) -> DataFrame:
     """df with an ISO interval 'start/end' as two columns of dd-MM-yyyy HH:mm:ss."""
     at = lambda i: F.date_format(F.try_to_timestamp(F.split(column, "/")[i]), "dd-MM-yyyy HH:mm:ss")

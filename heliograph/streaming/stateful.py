@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relations import least_cost
+
 
 def minute_stream(stream: DataFrame, key: list[str], ts: str, value: str, late: str = "10 minutes") -> DataFrame:
     """key, start, v, n: means per minute of event time, closed by a watermark."""
@@ -116,3 +119,79 @@ def expert_stream(scored: DataFrame, key: str, experts: list[str], actual: str,
 
     kind = scored.schema[key].dataType.simpleString()
     return scored.select(key, *experts, actual).groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, n long, weights array<double>", "n long, weights array<double>", "update", "NoTimeout")
+
+
+def forgetting_stream(scored: DataFrame, key: str, ts: str, experts: list[str], actual: str, forget: float = 0.05, share: float = 0.1) -> DataFrame:
+    """key, ts, predicted: experts' mean weighted by exp(-s / q), s being an expert's forgetting mean of absolute errors above
+    the least one's and q their Hazen quantile at share (0: only the least count), in order of ts per batch and key. The
+    errors count after the prediction; an expert without a value has the others' mean error. Without any expert: null."""
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        s = np.array(state.get[0] if state.exists else [0.0] * len(experts))
+        p, out = pd.concat(list(frames)).sort_values([ts, actual, *experts]), []
+        for f, y in zip(p[experts].to_numpy(float), p[actual].to_numpy(float), strict=True):
+            ok = ~np.isnan(f)
+            if not ok.any():
+                out.append(None)
+                continue
+            over = s[ok] - s[ok].min()
+            q = float(np.quantile(over, share, method="hazen"))
+            w = np.exp(-over / q) if q > 0 else (over == 0).astype(float)
+            out.append(float(w @ f[ok] / w.sum()))
+            if not np.isnan(y):
+                e = np.where(ok, np.abs(f - y), 0.0)
+                s = (1 - forget) * s + forget * np.where(ok, e, e[ok].mean())
+        state.update((s.tolist(),))
+        yield pd.DataFrame({key: [k[0]] * len(p), ts: p[ts].to_numpy(), "predicted": pd.Series(out, dtype="float64")})
+
+    kinds = {f.name: f.dataType.simpleString() for f in scored.schema}
+    return scored.select(key, ts, *experts, actual).groupBy(key).applyInPandasWithState(run, f"`{key}` {kinds[key]}, `{ts}` {kinds[ts]}, predicted double", "s array<double>", "append", "NoTimeout")
+
+
+def track_stream(detections: DataFrame, key: str, ts: str, x: str, y: str, *, order: int = 2, alone: float = 30.0, noise: float = 1.0, drift: float = 0.1, longest: int = 900, young: int = 8, visible: float = 0.8) -> DataFrame:
+    """key, ts, x, y, track: what moves before each camera (key), numbered from 0. Rows of one ts are a frame, frames come in
+    order; a frame without detections is a row without x or y.
+
+    A track predicts its place by a Kalman filter of constant speed (order 2) or acceleration (3). A frame's detections go
+    to the tracks at the least total of normalised squared distances and log variances, or, above alone, begin new ones. A
+    track ends after longest frames unseen, or if younger than young frames and seen in less than visible of them. The
+    state is a camera's open tracks.
+    """
+    step = np.array([[1.0, 1.0, 0.5], [0, 1, 1], [0, 0, 1]])[:order, :order]
+
+    def frame(tracks: list[dict], at: np.ndarray, fresh: int) -> tuple[list[dict], list[int], int]:
+        for t in tracks:
+            t["m"] = step @ np.array(t["m"])  # rows: place, speed, ...; columns: x, y
+            t["c"] = step @ np.array(t["c"]) @ step.T + drift * np.eye(order)
+            t["age"], t["missed"] = t["age"] + 1, t["missed"] + 1
+        ids = [-1] * len(at)
+        if tracks and len(at):
+            var = np.array([t["c"][0, 0] + noise for t in tracks])
+            gap = np.array([((at - t["m"][0]) ** 2).sum(axis=1) for t in tracks])
+            for i, j in zip(*least_cost(gap / var[:, None] + 2 * np.log(var)[:, None], alone / 2), strict=True):
+                t = tracks[i]
+                gain = t["c"][:, :1] / var[i]
+                t["m"] = t["m"] + gain * (at[j] - t["m"][0])
+                t["c"] = t["c"] - gain @ t["c"][:1]
+                t["seen"], t["missed"], ids[j] = t["seen"] + 1, 0, t["id"]
+        kept = [t for t in tracks if t["missed"] < longest and not (t["age"] < young and t["seen"] < visible * t["age"])]
+        for j, place in enumerate(at):
+            if ids[j] < 0:
+                ids[j] = fresh
+                kept.append({"id": fresh, "age": 1, "seen": 1, "missed": 0, "m": np.vstack([place, np.zeros((order - 1, 2))]), "c": np.eye(order) * 10 * noise})
+                fresh += 1
+        return kept, ids, fresh
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        tracks, fresh = json.loads(state.get[0]) if state.exists else ([], 0)
+        p, parts = pd.concat(list(frames)).sort_values([ts, x, y]), []
+        for _, g in p.groupby(ts):
+            g = g.dropna(subset=[x, y])
+            tracks, ids, fresh = frame(tracks, g[[x, y]].to_numpy(float), fresh)
+            parts.append(g.assign(track=np.array(ids, np.int64)))
+        plain = [t | {"m": np.asarray(t["m"]).tolist(), "c": np.asarray(t["c"]).tolist()} for t in tracks]
+        state.update((json.dumps([plain, fresh]),))
+        yield pd.concat([q for q in parts if len(q)] or [p.head(0).assign(track=np.array([], np.int64))])[[key, ts, x, y, "track"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in detections.schema}
+    return detections.select(key, ts, x, y).groupBy(key).applyInPandasWithState(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in (key, ts, x, y)), "track long"]), "s string", "append", "NoTimeout")

@@ -237,3 +237,100 @@ def test_kalman_starts_anew_with_every_series_and_null(spark):
     got = series.kalman(df, ["k"], "t", "u", "z", p0=(1.0, 1e-6)).collect()
     by = {k: [round(r.y, 9) for r in sorted(got, key=lambda r: r.t) if r.k == k] for k in (None, 1, 2)}
     assert by[None] == by[1] == by[2] and len(by[1]) == 9
+
+
+def test_changed_rows_by_key_and_null_key(spark):
+    s = "k long, v string"
+    old, new = spark.createDataFrame([(1, "a"), (2, "b"), (None, "n"), (4, "d")], s), spark.createDataFrame([(2, "B"), (None, "N"), (9, "z")], s)
+    got = logs.changed(old, new, ["k"], spark.createDataFrame([(4,), (9,)], "k long"))
+    assert {(r.k, r.v) for r in got.collect()} == {(1, "a"), (2, "B"), (None, "N")}
+
+
+def test_pixels_of_images_and_other_files(spark, tmp_path):
+    import struct
+    import zlib
+
+    def png(rows, kind):
+        chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+        width = len(rows[0]) // (3 if kind == 2 else 1)
+        return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, kind, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(b"\0" + bytes(r) for r in rows))) + chunk(b"IEND", b"")
+
+    (tmp_path / "a.png").write_bytes(png([[1, 2, 3, 200, 201, 202], [7, 8, 9, 255, 0, 128]], 2))
+    (tmp_path / "g.png").write_bytes(png([[5, 250]], 0))
+    (tmp_path / "broken.png").write_bytes(b"nothing")
+    got = {(r.origin[-5:], r.x, r.y): (r.red, r.green, r.blue) for r in logs.pixels(spark, str(tmp_path)).collect()}
+    assert got == {("a.png", 0, 0): (1, 2, 3), ("a.png", 1, 0): (200, 201, 202), ("a.png", 0, 1): (7, 8, 9), ("a.png", 1, 1): (255, 0, 128), ("g.png", 0, 0): (5, 5, 5), ("g.png", 1, 0): (250, 250, 250)}
+
+
+def test_signed_distance_of_one_sided_and_odd_frames(spark):
+    rows = [("one", 0, 0, True), ("one", 5, 1, True), ("two", 3, 3, True), ("two", 6, 7, False), ("two", 3, 4, None)]
+    got = fields.signed_distance(spark.createDataFrame(rows, "frame string, x long, y long, m boolean"), "frame", F.col("m"))
+    assert {(r.frame, r.x): r.distance for r in got.where("frame = 'one' or y <> 4").collect()} == {("one", 0): None, ("one", 5): None, ("two", 3): 1.0, ("two", 6): -5.0}
+
+
+def test_hinges_units_and_hyperplane_find_what_made_the_data(spark):
+    rows = [(float(i % 40), float(i % 7), 3.0 + 2 * max(0, i % 40 - 20) - (i % 7)) for i in range(600)]
+    df = spark.createDataFrame(rows, "a double, b double, y double")
+    hinges, _, f = learning.hinge_regression(df, ["a", "b"], "y", knots=39, units=5)
+    assert len(hinges) == 5 and df.agg(F.max(F.abs(f - F.col("y")))).first()[0] < 1.5
+    _, g = learning.radial_network(df.select(F.col("a") / 40, F.col("b") / 7, "y").toDF("a", "b", "y"), ["a", "b"], "y", [[i / 4, j / 2] for i in range(5) for j in range(3)], 0.4)
+    assert df.select((F.col("a") / 40).alias("a"), (F.col("b") / 7).alias("b"), "y").agg(F.sqrt(F.avg((g - F.col("y")) ** 2))).first()[0] < 2.5
+    b, w = learning.linear_classifier(df.withColumn("s", (F.col("a") > 19.5).cast("int")), ["a", "b"], "s")
+    assert df.where(((w["a"] * F.col("a") + w["b"] * F.col("b") + b) > 0) == (F.col("a") > 19.5)).count() > 570
+
+
+def test_least_cost_equals_all_permutations():
+    from itertools import permutations
+
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n, m = rng.integers(1, 5, 2)
+        c, alone = rng.integers(0, 20, (n, m)).astype(float), 6.0
+        full = np.block([[c, np.where(np.eye(n) > 0, alone, 1e9)], [np.where(np.eye(m) > 0, alone, 1e9), np.zeros((m, n))]])
+        best = min(sum(full[i, p] for i, p in enumerate(q)) for q in permutations(range(n + m)))
+        i, j = relations.least_cost(c, alone)
+        assert c[i, j].sum() + alone * (n + m - 2 * len(i)) == best
+
+
+def test_streams_of_tracks_and_forgetting_experts(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    def run(transform, rows, schema, name):
+        path = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, schema).write.parquet(f"{path}/in")
+        s = transform(spark.readStream.schema(schema).parquet(f"{path}/in"))
+        s.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/at").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.parquet(f"{path}/out").collect()
+
+    at = lambda i: datetime(2020, 1, 1) + timedelta(seconds=i)
+    moving = [(1, at(i), 3.0 * i, 0.0) for i in range(30) if i != 12] + [(1, at(i), 90.0 - 3 * i, 40.0) for i in range(30)] + [(1, at(5), 500.0, 500.0), (1, at(40), None, None)]
+    for order in (2, 3):
+        got = run(lambda s, o=order: stateful.track_stream(s, "k", "ts", "x", "y", order=o), moving, "k long, ts timestamp, x double, y double", f"tracks{order}")
+        assert len(got) == 60 and len({r.track for r in got}) == 3
+        assert all(len({r.track for r in got if r.y == v}) == 1 for v in (0.0, 40.0, 500.0))
+    rows = [(1, at(i), 10.0 + i % 3, None if i % 5 == 0 else 10.5 + i % 3, 30.0, 10.0 + i % 3) for i in range(25)] + [(1, at(30), None, None, None, 1.0), (1, at(31), 5.0, 9.0, 40.0, None)]
+    got = sorted(run(lambda s: stateful.forgetting_stream(s, "k", "ts", ["a", "b", "c"], "y"), rows, "k long, ts timestamp, a double, b double, c double, y double", "experts"), key=lambda r: r.ts)
+    s = np.zeros(3)
+    for r, row in zip(got, sorted(rows, key=lambda r: r[1]), strict=True):
+        f, ok = np.array([np.nan if v is None else v for v in row[2:5]]), [v is not None for v in row[2:5]]
+        if not any(ok):
+            assert r.predicted is None
+            continue
+        over = s[ok] - min(s[ok])
+        q = np.quantile(over, 0.1, method="hazen")
+        w = np.exp(-over / q) if q > 0 else (over == 0) * 1.0
+        assert math.isclose(r.predicted, (w * f[ok]).sum() / w.sum())
+        if row[5] is not None:
+            e = np.abs(f - row[5])
+            s = 0.95 * s + 0.05 * np.where(ok, e, np.nanmean(e))
+
+
+def test_dirint_of_lone_rows_and_rows_of_no_class(spark):
+    s = spark.createDataFrame([(1, 0, 500.0, 40.0, 150, "kept"), (2, 0, 500.0, 40.0, 150, None), (2, 1, 900.0, 30.0, 150, None), (3, 0, None, 40.0, 150, None)], "k long, t long, ghi double, z double, doy int, dni string")
+    c = spark.createDataFrame([(k, z, d, 5, 0.5 if d == 7 else 0.25) for k in range(1, 7) for z in range(1, 7) for d in range(1, 8)], "kt int, z int, change int, water int, coefficient double")
+    got = series.dirint(s, ["k"], ["t"], "ghi", "z", "doy", c)
+    disc = {(r.k, r.t): r.v for r in s.select("k", "t", S.disc_dni(F.col("ghi"), F.col("z"), F.col("doy")).alias("v")).collect()}
+    have = {(r.k, r.t): r.dni for r in got.collect()}
+    assert have[1, 0] == pytest.approx(0.5 * disc[1, 0]) and have[2, 1] == pytest.approx(0.25 * disc[2, 1]) and have[2, 0] == pytest.approx(0.25 * disc[2, 0])
+    assert not have[3, 0] and len(have) == 4
+    assert [r.t_1 for r in series.lagged(s, ["k"], ["t"], ["t"], [1]).orderBy("k", "t").collect()] == [None, None, 0, None]
