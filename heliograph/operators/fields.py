@@ -199,3 +199,17 @@ def sun_decision(seen: Column, spot: Column, contrast: Column, criteria: list[Co
     every = lambda f, ends: F.expr("true") if not ends else sum((f(c, e).cast("int") for c, e in zip(criteria, ends, strict=True)), F.lit(0)) == len(ends)
     low, high = every(lambda c, e: c <= e, most_covered), every(lambda c, e: c >= e, least_clear)
     return F.when(~seen, -1).when(~spot, F.when(contrast > dark, -9).otherwise(1)).when(low, 2).when(high, 4).otherwise(3)
+
+
+def template_match(field: DataFrame, frame: str, template: dict[tuple[int, int], float], value: str = "value") -> DataFrame:
+    """frame, x, y, score: where the template, values at offsets (dx, dy), correlates most with the field; ties take the
+    smallest x, then y. Places where it isn't wholly inside, or the field is flat below it, don't count."""
+    n, s, ss = len(template), sum(template.values()), sum(w * w for w in template.values())
+    part = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(w)).alias("w")) for (dx, dy), w in template.items()]))
+    v = F.col(value).cast("double")
+    d = field.where(v.isNotNull()).select(frame, "x", "y", v.alias("_v"), part.alias("_t"))
+    d = d.groupBy(frame, (F.col("x") - F.col("_t.dx")).alias("x"), (F.col("y") - F.col("_t.dy")).alias("y")).agg(F.count(F.lit(1)).alias("_n"), F.sum("_v").alias("_s"), F.sum(F.col("_v") * F.col("_v")).alias("_ss"), F.sum(F.col("_v") * F.col("_t.w")).alias("_sw"))
+    spread = (n * F.col("_ss") - F.col("_s") * F.col("_s")) * (n * ss - s * s)
+    d = d.where((F.col("_n") == n) & (spread > 0)).withColumn("score", F.round((n * F.col("_sw") - s * F.col("_s")) / F.sqrt(spread), 9))
+    best = d.groupBy(frame).agg(F.min(F.struct((-F.col("score")).alias("s"), "x", "y")).alias("m"))
+    return best.select(frame, F.col("m.x").alias("x"), F.col("m.y").alias("y"), (-F.col("m.s")).alias("score"))

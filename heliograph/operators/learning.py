@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -22,10 +23,8 @@ def terms(features: list[str], interactions: bool = True) -> dict[str, Column]:
     return out | {f"{a}:{b}": F.col(a).cast("double") * F.col(b) for a, b in combinations(features, 2) if interactions}
 
 
-def least_squares(df: DataFrame, features: list[str], target: str, interactions: bool = True, ridge: float = 0.0, weight: Column | None = None) -> dict[str, float]:
-    """Coefficients by term. All of X'X and X'y is one aggregation over the rows; the driver solves terms x terms numbers."""
-    import numpy as np
-
+def normal_equations(df: DataFrame, features: list[str], target: str, interactions: bool = True, weight: Column | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(terms, X'X, X'y), by one aggregation over the rows."""
     x, w = terms(features, interactions), F.lit(1.0) if weight is None else weight
     names, y = list(x), F.col(target).cast("double")
     cells = {f"{i}_{j}": F.sum(w * x[names[i]] * x[names[j]]) for i in range(len(names)) for j in range(i, len(names))}
@@ -34,10 +33,30 @@ def least_squares(df: DataFrame, features: list[str], target: str, interactions:
     for c in features:
         ok = ok & F.col(c).isNotNull()
     got = df.where(ok).agg(*[c.alias(k) for k, c in cells.items()]).first()
-    if got["0_0"] is None:
-        return dict.fromkeys(names, 0.0)
-    a = np.array([[got[f"{min(i, j)}_{max(i, j)}"] for j in range(len(names))] for i in range(len(names))])
-    beta = np.linalg.lstsq(a + ridge * np.eye(len(names)), np.array([got[f"y_{i}"] for i in range(len(names))]), rcond=None)[0]
+    a = np.array([[got[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(names))] for i in range(len(names))])
+    return names, a, np.array([got[f"y_{i}"] or 0.0 for i in range(len(names))])
+
+
+def least_squares(df: DataFrame, features: list[str], target: str, interactions: bool = True, ridge: float = 0.0, weight: Column | None = None) -> dict[str, float]:
+    """Coefficients by term, 0 where there are no rows; the driver solves terms x terms numbers."""
+    names, a, b = normal_equations(df, features, target, interactions, weight)
+    beta = np.linalg.lstsq(a + ridge * np.eye(len(names)), b, rcond=None)[0]
+    return dict(zip(names, map(float, beta), strict=True))
+
+
+def bounded_least_squares(df: DataFrame, features: list[str], target: str, low: dict[str, float], high: dict[str, float], weight: Column | None = None, rounds: int = 5000, ridge: float = 1e-9) -> dict[str, float]:
+    """Coefficients by term of the least weighted squared error within bounds of some terms ("1": the intercept), by
+    coordinate descent over terms x terms numbers on the driver."""
+    names, a, b = normal_equations(df, features, target, False, weight)
+    a = a + ridge * np.eye(len(names))
+    ends = [(low.get(n, -np.inf), high.get(n, np.inf)) for n in names]
+    beta = np.clip(np.linalg.solve(a, b), *np.array(ends).T)
+    for _ in range(rounds):
+        before = beta.copy()
+        for i, (lo, hi) in enumerate(ends):
+            beta[i] = min(max(beta[i] + (b[i] - a[i] @ beta) / a[i, i], lo), hi)
+        if np.abs(beta - before).max() <= 1e-13 * (1 + np.abs(beta).max()):
+            break
     return dict(zip(names, map(float, beta), strict=True))
 
 
@@ -127,8 +146,6 @@ def forward_selection(df: DataFrame, features: list[str], target: str, least_gai
 
     All candidates of a round come from one cached matrix of sums: a single pass over the rows serves the whole search.
     """
-    import numpy as np
-
     x = terms(features, False)
     names, y = [*x, "y"], F.col(target).cast("double")
     cols = [*x.values(), y]
@@ -155,7 +172,6 @@ def kernel_regression(df: DataFrame, features: list[str], target: str, gamma: fl
     Stands in for a kernel machine: width cosines of the features approximate the kernel, the fit is one summing pass over
     Arrow batches (width x width sums per task), so that training scales with the rows.
     """
-    import numpy as np
     import pandas as pd
 
     rng = np.random.default_rng(seed)
@@ -203,8 +219,6 @@ def grid_search(df: DataFrame, features: list[str], target: str, id_col: str, pe
 
     One pass: each fold's sums of products suffice for every penalty and every training set.
     """
-    import numpy as np
-
     cols = [F.col(c).cast("double") for c in features] + [F.lit(1.0), F.col(target).cast("double")]
     n = len(cols)
     ok = df.where(F.expr(" and ".join(f"`{c}` is not null" for c in [*features, target])))
@@ -237,7 +251,6 @@ def hinge_regression(df: DataFrame, features: list[str], target: str, knots: int
     """(hinges, coefficients, prediction): piecewise linear regression. Hinges max(0, +-(x - knot)) at quantiles of each
     feature are added one at a time, each the one that lessens the squared error most: all candidates' products are
     one aggregation over the rows, and the driver chooses among them."""
-    import numpy as np
     import pandas as pd
 
     ends = df.agg(*[F.percentile_approx(f, [i / (knots + 1) for i in range(1, knots + 1)], 10000).alias(f) for f in features]).first()

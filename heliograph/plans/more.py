@@ -168,6 +168,16 @@ def i7_signed_distance(spark, sf_dir):
     return I.signed_distance(field(spark, sf_dir), "frame", F.col("value") > 128).withColumn("distance", r(F.col("distance")))
 
 
+_STAR = {(0, 0): 9.0, (1, 0): 4.0, (-1, 0): 4.0, (0, 1): 4.0, (0, -1): 4.0, (2, 2): 1.0, (-2, -2): 1.0}
+_STAR_SUMS = f"{len(_STAR)} * sum(value * w) - sum(value) * {sum(_STAR.values())}", f"({len(_STAR)} * sum(value * value) - sum(value) ** 2) * ({len(_STAR)} * {sum(w * w for w in _STAR.values())} - {sum(_STAR.values())} ** 2)"
+
+
+@query(f"""WITH {FIELD}, w AS (SELECT * FROM (VALUES {', '.join(f'({a}, {b}, {w})' for (a, b), w in _STAR.items())}) t(dx, dy, w)), c AS (SELECT frame, x - dx AS x, y - dy AS y, {_STAR_SUMS[0]} AS top, {_STAR_SUMS[1]} AS spread FROM f, w GROUP BY ALL HAVING count(*) = {len(_STAR)}),
+k AS (SELECT frame, x, y, round((top / sqrt(spread::DOUBLE))::DOUBLE, 9) + 0.0 AS score FROM c WHERE spread > 0) SELECT frame, x, y, score FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY score DESC, x, y) AS i FROM k) WHERE i = 1""")
+def i17_template_match(spark, sf_dir):
+    return I.template_match(field(spark, sf_dir), "frame", _STAR).withColumn("score", r(F.col("score"), 9))
+
+
 _CRITERIA = ["l_discount * 10", "l_tax * 10", "l_quantity / 50"]
 
 
@@ -246,6 +256,12 @@ def l13_autoregression(spark, sf_dir):
     return spark.createDataFrame([(k, round(v, 6)) for k, v in beta.items()], "term string, coefficient double")
 
 
+@query()
+def i11_bounded_fit(spark, sf_dir):
+    beta = L.bounded_least_squares(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", {"l_discount": 0.0, "l_tax": 0.0}, {"1": 100.0, "l_quantity": 1000.0}, weight=F.col("l_linenumber"))
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in beta.items()], "term string, coefficient double")
+
+
 @query()
 def l12_hinges(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
@@ -478,3 +494,9 @@ def st7_tracks(spark, sf_dir):
     at = {"ts": F.timestamp_seconds(day * 86400), "x": kind + day % 100 * 2.0, "y": kind + F.col("value") / 100}
     got = _streamed(spark, sf_dir, lambda s: stateful.track_stream(s.withColumns(at), "user_id", "ts", "x", "y"), "append")
     return got.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "x", r(F.col("y")).alias("y"), "track")
+
+
+@query(f"SELECT event_id, {_AT('ts')} AS ts FROM events WHERE strftime(ts, '%H:%M') >= '20:30' OR strftime(ts, '%H:%M') < '05:15'")
+def st9_hours_stream(spark, sf_dir):
+    got = _streamed(spark, sf_dir, lambda s: stateful.within_hours(s, "ts", "20:30", "05:15"), "append")
+    return got.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"))

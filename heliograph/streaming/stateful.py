@@ -19,6 +19,13 @@ def minute_stream(stream: DataFrame, key: list[str], ts: str, value: str, late:
     return w.select(*key, F.col("window.start").alias("start"), "v", "n")
 
 
+def within_hours(stream: DataFrame, ts: str, first: str, last: str) -> DataFrame:
+    """The rows from first up to before last ("HH:mm") of each day; over midnight where last is earlier. When to run is the
+    trigger's matter."""
+    at = F.date_format(ts, "HH:mm")
+    return stream.where((at >= first) & (at < last) if first <= last else (at >= first) | (at < last))
+
+
 def sliding_stream(stream: DataFrame, key: list[str], ts: str, value: str, length: str, step: str, late: str = "10 minutes") -> DataFrame:
     """key, start, v, n: means per window of event time that begins every step."""
     w = stream.withWatermark(ts, late).groupBy(F.window(ts, length, step), *key).agg(F.avg(value).alias("v"), F.count(value).alias("n"))

@@ -334,3 +334,17 @@ def test_dirint_of_lone_rows_and_rows_of_no_class(spark):
     assert have[1, 0] == pytest.approx(0.5 * disc[1, 0]) and have[2, 1] == pytest.approx(0.25 * disc[2, 1]) and have[2, 0] == pytest.approx(0.25 * disc[2, 0])
     assert not have[3, 0] and len(have) == 4
     assert [r.t_1 for r in series.lagged(s, ["k"], ["t"], ["t"], [1]).orderBy("k", "t").collect()] == [None, None, 0, None]
+
+
+def test_bounded_least_squares_is_where_no_step_inside_the_bounds_helps(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 3))
+    y = x @ [2.0, -1.0, 0.5] + 4 + rng.normal(size=200) * 0.1
+    df = spark.createDataFrame([(*map(float, a), float(b), 1.0 + i % 3) for i, (a, b) in enumerate(zip(x, y, strict=True))], "a double, b double, c double, y double, w double")
+    got = learning.bounded_least_squares(df, ["a", "b", "c"], "y", {"b": 0.0}, {"1": 3.0}, weight=F.col("w"))
+    w, full = np.array([1.0 + i % 3 for i in range(200)]), np.column_stack([np.ones(200), x])
+    slope = full.T @ (w * (full @ [got[k] for k in ("1", "a", "b", "c")] - y))
+    assert got["b"] == 0 and got["1"] == 3 and slope[2] > 0 and slope[0] < 0 and abs(slope[1]) < 1e-5 and abs(slope[3]) < 1e-5
+    free = learning.bounded_least_squares(df, ["a", "b", "c"], "y", {}, {})
+    assert all(v == pytest.approx(learning.least_squares(df, ["a", "b", "c"], "y", interactions=False)[k], abs=1e-6) for k, v in free.items())
+    assert set(learning.bounded_least_squares(df.limit(0), ["a"], "y", {"a": 1.0}, {}).values()) == {0.0, 1.0}
