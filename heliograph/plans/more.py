@@ -480,10 +480,17 @@ def st3_bounded_buffer(spark, sf_dir):
     return got.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r(F.col("v")).alias("v"), "n")
 
 
-@query()
+@query(f"""WITH RECURSIVE {E}, d AS (SELECT user_id, ts, value AS y, value - 3 AS a, value + 8 AS b, CASE WHEN event_id % 4 <> 0 THEN value * 1.1::DOUBLE END AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS i FROM e),
+k AS (SELECT user_id, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2, 0.0::DOUBLE AS s3, NULL::DOUBLE AS predicted FROM (SELECT DISTINCT user_id FROM e)
+UNION ALL SELECT user_id, i, ts, 0.95::DOUBLE * s1 + 0.05::DOUBLE * abs(a - y), 0.95::DOUBLE * s2 + 0.05::DOUBLE * abs(b - y), 0.95::DOUBLE * s3 + 0.05::DOUBLE * coalesce(abs(c - y), (abs(a - y) + abs(b - y)) / 2), (w1 * a + w2 * b + coalesce(w3 * c, 0)) / (w1 + w2 + coalesce(w3, 0))
+FROM (SELECT *, CASE WHEN q > 0 THEN exp(-o1 / q) ELSE (o1 = 0)::DOUBLE END AS w1, CASE WHEN q > 0 THEN exp(-o2 / q) ELSE (o2 = 0)::DOUBLE END AS w2, CASE WHEN q > 0 THEN exp(-o3 / q) ELSE (o3 = 0)::DOUBLE END AS w3
+FROM (SELECT *, CASE WHEN c IS NULL THEN greatest(o1, o2) / 2 ELSE list_sort([o1, o2, o3])[2] END AS q
+FROM (SELECT *, s1 - m AS o1, s2 - m AS o2, CASE WHEN c IS NOT NULL THEN s3 - m END AS o3
+FROM (SELECT d.*, k.s1, k.s2, k.s3, least(k.s1, k.s2, CASE WHEN d.c IS NOT NULL THEN k.s3 END) AS m FROM k JOIN d ON k.user_id = d.user_id AND d.i = k.i + 1)))))
+SELECT user_id, {_AT('ts')} AS ts, round(predicted, 6) + 0.0 AS predicted FROM k WHERE i > 0""")
 def st6_forgetting_experts(spark, sf_dir):
     experts = {"low": F.col("value") - 3, "high": F.col("value") + 8, "some": F.when(F.col("event_id") % 4 != 0, F.col("value") * 1.1)}
-    got = _streamed(spark, sf_dir, lambda s: stateful.forgetting_stream(s.withColumns(experts), "user_id", "ts", list(experts), "value"), "append")
+    got = _streamed(spark, sf_dir, lambda s: stateful.forgetting_stream(s.withColumns(experts), "user_id", "ts", list(experts), "value", share=0.5), "append")
     return got.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r(F.col("predicted")).alias("predicted"))
 
 
