@@ -118,6 +118,20 @@ def camera_ray(row: Column, col: Column, centre: tuple[float, float], affine: tu
     return [x / n, y / n, z / n]
 
 
+def camera_pixel(ray: tuple[Column, Column, Column], centre: tuple[float, float], affine: tuple[float, float, float], inverse: list[float]) -> tuple[Column, Column]:
+    """(row, column) where an omnidirectional camera sees a ray (x, y, z): the radius is a polynomial (lowest power first)
+    of the angle to the image plane, then the affine c, d, e applies. A ray along the axis is the centre."""
+    x, y, z = ray
+    n = F.sqrt(x * x + y * y)
+    angle = F.atan2(z, n)
+    rho = F.lit(float(inverse[-1]))
+    for p in reversed(inverse[:-1]):
+        rho = rho * angle + float(p)
+    u, v = (F.when(n > 0, k / n * rho).when(n == 0, 0.0) for k in (x, y))
+    c, d, e = affine
+    return u * c + v * d + centre[0], u * e + v + centre[1]
+
+
 def on_plane(ray: tuple[Column, Column, Column], height: float) -> tuple[Column, Column]:
     """Where a ray (x, y, z) from the origin meets the plane z = height; null if it doesn't."""
     x, y, z = ray

@@ -294,3 +294,15 @@ def linear_classifier(df: DataFrame, features: list[str], label: str, rounds: in
     d = VectorAssembler(inputCols=features, outputCol="_x").transform(d).select("_x", F.col(label).cast("double").alias("_y"))
     m = LinearSVC(featuresCol="_x", labelCol="_y", maxIter=rounds, regParam=penalty).fit(d)
     return float(m.intercept), dict(zip(features, map(float, m.coefficients.toArray()), strict=True))
+
+
+def tree_ensemble(df: DataFrame, features: list[str], target: str, trees: int = 20, depth: int = 6, seed: int = 5) -> DataFrame:
+    """df with prediction: the mean of regression trees, MLlib's, grown on samples of the rows level by level in tasks. Rows
+    with a null feature are left out, those without a target are only predicted."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    d = VectorAssembler(inputCols=features, outputCol="_x").transform(df.dropna(subset=features))
+    known = d.where(F.col(target).isNotNull()).select("_x", F.col(target).cast("double").alias("_y"))
+    forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(known)
+    return forest.transform(d).drop("_x")

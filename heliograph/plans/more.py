@@ -168,6 +168,14 @@ def i7_signed_distance(spark, sf_dir):
     return I.signed_distance(field(spark, sf_dir), "frame", F.col("value") > 128).withColumn("distance", r(F.col("distance")))
 
 
+@query(f"""WITH {FIELD}, k AS (SELECT frame, x, y, (x - 12)::DOUBLE AS u, (y - 12)::DOUBLE AS v, (value - 100) / 10.0::DOUBLE AS w FROM f), a AS (SELECT *, sqrt(u * u + v * v) AS n, atan2(w, sqrt(u * u + v * v)) AS t FROM k), b AS (SELECT *, 300.0::DOUBLE + 170 * t + 12 * t * t - 3 * t * t * t AS rho FROM a),
+c AS (SELECT *, CASE WHEN n > 0 THEN u / n * rho ELSE 0 END AS p, CASE WHEN n > 0 THEN v / n * rho ELSE 0 END AS q FROM b) SELECT frame, x, y, round(p * 0.999::DOUBLE + q * 0.002::DOUBLE + 310, 6) + 0.0 AS row, round(p * 0.001::DOUBLE + q + 305, 6) + 0.0 AS col FROM c""")
+def i1_camera_pixel(spark, sf_dir):
+    ray = tuple(c.cast("double") for c in (F.col("x") - 12, F.col("y") - 12, (F.col("value") - 100) / 10))
+    row, col = N.camera_pixel(ray, (310.0, 305.0), (0.999, 0.002, 0.001), [300.0, 170.0, 12.0, -3.0])
+    return field(spark, sf_dir).select("frame", "x", "y", r(row).alias("row"), r(col).alias("col"))
+
+
 _STAR = {(0, 0): 9.0, (1, 0): 4.0, (-1, 0): 4.0, (0, 1): 4.0, (0, -1): 4.0, (2, 2): 1.0, (-2, -2): 1.0}
 _STAR_SUMS = f"{len(_STAR)} * sum(value * w) - sum(value) * {sum(_STAR.values())}", f"({len(_STAR)} * sum(value * value) - sum(value) ** 2) * ({len(_STAR)} * {sum(w * w for w in _STAR.values())} - {sum(_STAR.values())} ** 2)"
 
@@ -262,6 +270,35 @@ def i11_bounded_fit(spark, sf_dir):
     return spark.createDataFrame([(k, round(v, 4)) for k, v in beta.items()], "term string, coefficient double")
 
 
+@query("""WITH d AS (SELECT q.p_partkey AS id, p.p_partkey AS pid, abs(q.p_retailprice - p.p_retailprice) AS far, p.p_retailprice - q.p_retailprice AS dx, p.p_size::DOUBLE AS y FROM part q JOIN part p ON q.p_partkey % 100 = 0),
+k AS (SELECT *, max(far) OVER (PARTITION BY id) AS f FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY far, pid) AS i FROM d) WHERE i <= 20),
+w AS (SELECT *, (1 - CASE WHEN f > 0 THEN (far / (f * 1.0001)) ** 3 ELSE 0 END) ** 3 AS w FROM k),
+s AS (SELECT id, sum(w) AS s0, sum(w * dx) AS s1, sum(w * dx * dx) AS s2, sum(w * y) AS t0, sum(w * dx * y) AS t1 FROM w GROUP BY id)
+SELECT id, round(CASE WHEN s0 * s2 - s1 * s1 > 1e-9 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END, 4) + 0.0 AS y FROM s""")
+def l12_local_lines(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    q = p.where("p_partkey % 100 = 0").select(F.col("p_partkey").alias("id"), "p_retailprice")
+    return L.local_linear(q, p, "id", "p_partkey", "p_retailprice", "p_size").select("id", r(F.col("y"), 4).alias("y"))
+
+
+@query()
+def l12_tree_ensemble(spark, sf_dir):
+    n = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
+    return L.tree_ensemble(n, ["l_quantity", "l_discount"], "l_extendedprice").select(F.sqrt(F.avg((F.col("prediction") - F.col("l_extendedprice")) ** 2)).alias("rmse"))
+
+
+@query()
+def l2_robust_fit(spark, sf_dir):
+    beta = L.robust_least_squares(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+    return spark.createDataFrame([(k, round(v, 3)) for k, v in beta.items()], "term string, coefficient double")
+
+
+@query(f"WITH {SAMPLES} SELECT l_orderkey, l_linenumber, round(100 * ((44331.514 - clear) / 11880.516) ** (1 / 0.1902632::DOUBLE), 4) + 0.0 AS pressure, round(44331.5 - 4946.62 * (90000 + clear) ** 0.190263::DOUBLE, 6) + 0.0 AS altitude FROM s")
+def pressure_altitude(spark, sf_dir):
+    clear = F.col("clear").cast("double")
+    return samples(spark, sf_dir).select("l_orderkey", "l_linenumber", r(S.pressure_of(clear), 4).alias("pressure"), r(S.altitude_of(90000 + clear)).alias("altitude"))
+
+
 @query()
 def l12_hinges(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")

@@ -65,6 +65,14 @@ def image_files(spark: SparkSession, path: str, first_hour: int, last_hour: int,
     return f.where((h < last_hour) & ((h >= first_hour) | ((h == first_hour - 1) & (m >= 60 - lead))))
 
 
+def listed(spark: SparkSession, path: str, kept: str, first_hour: int = 0, last_hour: int = 24) -> DataFrame:
+    """image_files of a folder as a table kept at a shared path: listed once, then read from there."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(f"{kept}/_SUCCESS")
+    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+        image_files(spark, path, first_hour, last_hour).write.mode("overwrite").parquet(kept)
+    return spark.read.parquet(kept)
+
+
 def pixels(spark: SparkSession, path: str) -> DataFrame:
     """origin, x, y (from 0, downwards), red, green, blue of image files, grey ones with three equal values; files that are no
     images are left out. A read that fails is tried again with its task."""

@@ -348,3 +348,15 @@ def test_bounded_least_squares_is_where_no_step_inside_the_bounds_helps(spark):
     free = learning.bounded_least_squares(df, ["a", "b", "c"], "y", {}, {})
     assert all(v == pytest.approx(learning.least_squares(df, ["a", "b", "c"], "y", interactions=False)[k], abs=1e-6) for k, v in free.items())
     assert set(learning.bounded_least_squares(df.limit(0), ["a"], "y", {"a": 1.0}, {}).values()) == {0.0, 1.0}
+
+
+def test_file_list_is_kept_and_trees_predict_rows_without_target(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("cam_2015_08_01_09_30_00.jpeg", "cam_2015_08_01_23_30_00.jpeg", "other.jpeg"):
+        (tmp_path / "in" / name).write_bytes(b"x")
+    assert logs.listed(spark, f"{tmp_path}/in", f"{tmp_path}/kept", 6, 20).count() == 1
+    (tmp_path / "in" / "cam_2015_08_01_09_30_08.jpeg").write_bytes(b"x")
+    assert logs.listed(spark, f"{tmp_path}/in", f"{tmp_path}/kept", 6, 20).count() == 1
+    df = spark.createDataFrame([(float(i), None if i == 50 else float(i > 30)) for i in range(100)] + [(None, 1.0)], "a double, y double")
+    got = {r.a: r.prediction for r in learning.tree_ensemble(df, ["a"], "y", trees=5).collect()}
+    assert len(got) == 100 and got[5.0] < 0.2 and got[50.0] > 0.8
