@@ -43,6 +43,20 @@ def running(df: DataFrame, key: list[str], order: list[str], value: Column, name
     return joined.select(*[F.col(f"d.{c}") for c in df.columns], (F.col("_o") + F.col("_c")).alias(name))
 
 
+def beside(df: DataFrame, key: list[str], order: list[str], value: str, bucket: int = 30 * DAY) -> DataFrame:
+    """df with _p and _n: the value of the rows just before and after each row of a series, in order, which begins with a
+    number. Rows are ordered within buckets of that number, and a row per series and bucket gives the values beyond: one
+    shuffle of the rows, where windowed takes two."""
+    d = df.withColumn("_k", F.floor(F.col(order[0]) / bucket))
+    v, at = F.struct(F.col(value).alias("v")), F.struct(*order)  # a struct tells a null value from no row
+    across = W.partitionBy(*key).orderBy("_k")
+    ends = d.groupBy(*key, "_k").agg(F.max_by(v, at).alias("_l"), F.min_by(v, at).alias("_f"))
+    ends = ends.select(*key, "_k", F.lag("_l").over(across).alias("_lp"), F.lead("_f").over(across).alias("_fn"))
+    own = W.partitionBy(*key, "_k").orderBy(*order)
+    joined = d.withColumn("_p", F.lag(v).over(own)).withColumn("_n", F.lead(v).over(own)).alias("d").join(ends.alias("e"), _same([*key, "_k"], "d", "e"))
+    return joined.select(*[F.col(f"d.{c}") for c in df.columns], F.coalesce("_p", "_lp")["v"].alias("_p"), F.coalesce("_n", "_fn")["v"].alias("_n"))
+
+
 def windowed(df: DataFrame, key: list[str], order: list[str], before: int, after: int, columns: Callable[[WindowSpec], dict[str, Column]], size: int = 1 << 16, **given) -> DataFrame:
     """df with columns(w), where w is the window of a series' rows in order and no column looks further than before rows
     back or after rows ahead; _i is a row's place in its series, from 1.
@@ -182,15 +196,12 @@ def despike(df: DataFrame, key: list[str], order: list[str], value: str, passes:
     Each pass writes its distances, as both their statistics and the rows are read from them.
     """
 
-    def distance(w: WindowSpec) -> dict[str, Column]:
-        p, n, v = F.lag(value).over(w), F.lead(value).over(w), F.col(value)
-        median = p + n + v - F.greatest(p, n, v) - F.least(p, n, v)
-        return {"_d": F.when(p.isNotNull() & n.isNotNull(), F.abs(median - v))}
-
+    p, n, v = F.col("_p"), F.col("_n"), F.col(value)
+    distance = F.when(p.isNotNull() & n.isNotNull(), F.abs(p + n + v - F.greatest(p, n, v) - F.least(p, n, v) - v))
     spark, names = df.sparkSession, df.columns
     for _ in range(passes):
         path = scratch(spark, "despike")
-        windowed(df, key, order, 1, 1, distance, **given).write.parquet(path)
+        beside(df, key, order, value, **given).withColumn("_d", distance).drop("_p", "_n").write.parquet(path)
         d = spark.read.parquet(path)
         limit = d.groupBy(*key).agg((F.avg("_d") + sigmas * F.stddev_samp("_d")).alias("_m"))
         joined = d.alias("d").join(limit.alias("l"), _same(key, "d", "l"))

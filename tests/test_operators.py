@@ -226,6 +226,10 @@ def test_windows_and_sums_over_cut_series_equal_the_whole(spark):
     got = series.running(df, ["k"], ["t", "i"], F.col("v"), "s", bucket=10)
     want = df.withColumn("s", F.sum("v").over(W.partitionBy("k").orderBy("t", "i").rowsBetween(W.unboundedPreceding, 0)))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    got = series.beside(df, ["k"], ["t", "i"], "v", bucket=10)
+    w = W.partitionBy("k").orderBy("t", "i")
+    want = df.withColumn("_p", F.lag("v").over(w)).withColumn("_n", F.lead("v").over(w))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert series.windowed(df.limit(0), ["k"], ["t", "i"], 3, 2, columns).count() == 0
     with pytest.raises(ValueError):
         series.windowed(df, ["k"], ["t"], 9, 0, columns, size=5)
