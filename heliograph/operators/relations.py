@@ -60,38 +60,42 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, qid: str, pid: str
 
 
 def _columns(c: np.ndarray) -> np.ndarray:
-    """For each row of a square matrix its column, by shortest augmenting paths."""
-    n = len(c)
-    u, v, row = np.zeros(n + 1), np.zeros(n + 1), np.full(n + 1, -1)  # row[j]: the row of column j; column n is virtual
+    """For each row of a matrix with at least as many columns its column, by shortest augmenting paths."""
+    n, m = c.shape
+    u, v, row = np.zeros(n), np.zeros(m), np.full(m + 1, -1)  # row[j]: the row of column j; column m is virtual
     for i in range(n):
-        row[n], j, free, least, back = i, n, np.ones(n, bool), np.full(n, np.inf), np.full(n, n)
+        row[m], j, free, least, back = i, m, np.ones(m, bool), np.full(m, np.inf), np.full(m, m)
         while row[j] >= 0:
-            if j < n:
+            if j < m:
                 free[j] = False
-            gap = c[row[j]] - u[row[j]] - v[:n]
+            gap = c[row[j]] - u[row[j]] - v
             better = free & (gap < least)
             least[better], back[better] = gap[better], j
             to = int(np.where(free, least, np.inf).argmin())
             step = least[to]
-            done = np.append(~free, True)
-            u[row[done]] += step
-            v[done] -= step
+            u[row[np.append(~free, True)]] += step
+            v[~free] -= step
             least[free] -= step
             j = to
-        while j < n:
+        while j < m:
             row[j], j = row[back[j]], back[j]
     out = np.zeros(n, np.int64)
-    out[row[:n]] = np.arange(n)
+    used = np.flatnonzero(row[:m] >= 0)
+    out[row[used]] = used
     return out
 
 
 def least_cost(c: np.ndarray, alone: float) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, columns) of a cost matrix that belong together at the least total, where each one left alone costs alone."""
+    """(rows, columns) of a cost matrix that belong together at the least total, where each one left alone costs alone.
+
+    A pair saves its column's cost alone, so only the rows of the shorter side are placed: in a column, or in one of their own.
+    """
     n, m = c.shape
-    full = np.full((n + m, n + m), 1e15)
-    full[:n, :m] = c
-    full[:n, m:], full[n:, :m], full[n:, m:] = np.where(np.eye(n) > 0, alone, 1e15), np.where(np.eye(m) > 0, alone, 1e15), 0
-    col = _columns(full)[:n]
+    if n > m:
+        cols, rows = least_cost(c.T, alone)
+        order = rows.argsort()
+        return rows[order], cols[order]
+    col = _columns(np.hstack([c - alone, np.where(np.eye(n) > 0, alone, 1e15)]))
     return np.flatnonzero(col < m), col[col < m]
 
 
@@ -99,19 +103,27 @@ def assigned(pairs: DataFrame, frame: str, a: str, b: str, cost: str, alone: flo
     """frame, a, b: the pairs of least total cost in each frame, every a and b once at most; an a or b left alone costs alone.
 
     pairs: the possible (frame, a, b, cost), a frame's a and b fitting one task, as detections and tracks do; pairs missing
-    from it are impossible. Of equal pairs the cheapest counts.
+    from it are impossible, as are those with a null. Of equal pairs the cheapest counts.
     """
     kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([cost, a, b]).drop_duplicates([a, b])
-        left, right = np.unique(g[a]), np.unique(g[b])
-        c = np.full((len(left), len(right)), 1e15)
-        c[np.searchsorted(left, g[a]), np.searchsorted(right, g[b])] = g[cost]
-        rows, cols = least_cost(c, alone)
-        return pd.DataFrame({frame: g[frame].iat[0], a: left[rows], b: right[cols]})
-
-    return pairs.where(F.col(cost).isNotNull()).groupBy(frame).applyInPandas(run, ", ".join(f"`{x}` {kinds[x]}" for x in (frame, a, b)))
+    def run(parts):
+        for p in parts:
+            xs, ys = [], []
+            for left, right, costs in zip(p["_a"], p["_b"], p["_c"], strict=True):
+                (x, i), (y, j) = np.unique(left, return_inverse=True), np.unique(right, return_inverse=True)
+                c = np.full((len(x), len(y)), 1e15)
+                np.minimum.at(c, (i, j), costs)
+                rows, cols = least_cost(c, alone)
+                xs.append(x[rows])
+                ys.append(y[cols])
+            if xs:
+                yield pd.DataFrame({frame: p[frame].repeat([len(x) for x in xs]), a: np.concatenate(xs), b: np.concatenate(ys)})
+
+    one = F.collect_list(F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(cost).cast("double").alias("c")))
+    frames = pairs.dropna(subset=[a, b, cost]).groupBy(frame).agg(one.alias("_x"))  # many frames a batch, not a call a frame
+    frames = frames.select(frame, F.col("_x.a").alias("_a"), F.col("_x.b").alias("_b"), F.col("_x.c").alias("_c"))
+    return frames.mapInPandas(run, ", ".join(f"`{x}` {kinds[x]}" for x in (frame, a, b)))
 
 
 def nearest_cell(queries: DataFrame, points: DataFrame, qid: str, pid: str, x: str, y: str, reach: float, own: bool = True) -> DataFrame:

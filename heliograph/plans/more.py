@@ -15,7 +15,7 @@ from ..operators import relations as R
 from ..operators import series as T
 from ..sources import logs
 from ..streaming import stateful
-from .queries import BRACKET, COS, DISC, FIELD, ORACLE_SQL, OVER, QUERIES, REACH, SAMPLES, SIDE, SIN, E, events, field, query, r, samples, table
+from .queries import BRACKET, COS, DISC, FIELD, ORACLE_SQL, OVER, PLACE, QUERIES, REACH, SAMPLES, SIDE, SIN, E, events, field, query, r, samples, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -256,7 +256,14 @@ def l13_lagged_inputs(spark, sf_dir):
     return got.select("event_id", *[f"{v}_{i}" for v in ("value", "t") for i in (1, 2, 5)])
 
 
-@query()
+_DET = "a{0} * (b{1} * c{2} - b{2} * c{1}) - a{1} * (b{0} * c{2} - b{2} * c{0}) + a{2} * (b{0} * c{1} - b{1} * c{0})".format  # of columns a, b, c
+_CO = lambda i, j: f"covar_pop(v{i}, v{j})"
+
+
+@query(f"""WITH e AS (SELECT user_id, ts, event_id, value AS v0, {", ".join(f"lag(value, {k}) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS v{k}" for k in (1, 2, 3))} FROM events),
+m AS (SELECT {", ".join(f"{_CO(i, j)} AS {x}{i}" for j, x in ((1, "a"), (2, "b"), (3, "c"), (0, "y")) for i in (1, 2, 3))}, avg(v0) AS m0, avg(v1) AS m1, avg(v2) AS m2, avg(v3) AS m3 FROM e WHERE v0 IS NOT NULL AND v1 IS NOT NULL AND v2 IS NOT NULL AND v3 IS NOT NULL),
+s AS (SELECT *, {", ".join(f"({_DET(1, 2, 3).replace(x, 'y')}) / ({_DET(1, 2, 3)}) AS k{n}" for n, x in enumerate("abc", 1))} FROM m)
+SELECT '1' AS term, round(m0 - k1 * m1 - k2 * m2 - k3 * m3, 6) + 0.0 AS coefficient FROM s {" ".join(f"UNION ALL SELECT 'value_{n}', round(k{n}, 6) + 0.0 FROM s" for n in (1, 2, 3))}""")
 def l13_autoregression(spark, sf_dir):
     """A linear model of the value by the values before it, as its coefficients."""
     got = T.lagged(events(spark, sf_dir), ["user_id"], ["t", "event_id"], ["value"], [1, 2, 3])
@@ -293,6 +300,31 @@ def l2_robust_fit(spark, sf_dir):
     return spark.createDataFrame([(k, round(v, 3)) for k, v in beta.items()], "term string, coefficient double")
 
 
+_P = PLACE["latitude"]
+_SERIES = lambda kind: "(" + " + ".join(f"({' + '.join(f'{float(a)} * cos({float(b)} + {float(c)} * jme)' for a, b, c in rows)}) * jme ** {k}" for k, rows in enumerate(S.EARTH[kind])) + ") / 1e8"
+_TURN = lambda n: "radians(" + " + ".join(f"({k}) * x{i}" for i, k in enumerate(n)) + ")"
+_POWERS = lambda x, cs: " + ".join(f"({c!r}::DOUBLE) * {x} ** {k}" for k, c in enumerate(cs))
+
+
+@query(f"""WITH {E}, a AS (SELECT *, date_diff('day', DATE '2000-01-01', ts::DATE) - 0.5::DOUBLE + (hour(ts) + minute(ts) / 60 + second(ts) / 3600) / 24 AS d FROM e),
+b AS (SELECT *, d / 36525 AS jc, (d + (66.3::DOUBLE + 0.6175::DOUBLE * (year(ts) - 2012)) / 86400) / 36525 AS jce FROM a),
+c AS (SELECT *, jce / 10 AS jme, {", ".join(f"{_POWERS('jce', cs)} AS x{i}" for i, cs in enumerate(S.ANGLES))} FROM b),
+f AS (SELECT *, degrees({_SERIES("longitude")}) AS l, -degrees({_SERIES("latitude")}) AS beta, {_SERIES("distance")} AS far,
+ ({" + ".join(f"({p}::DOUBLE + {q}::DOUBLE * jce) * sin({_TURN(n)})" for n, p, q, _, _ in S.NUTATION)}) / 36000000 AS psi, ({_POWERS("(jme / 10)", S.OBLIQUITY)}) / 3600 + ({" + ".join(f"({p}::DOUBLE + {q}::DOUBLE * jce) * cos({_TURN(n)})" for n, _, _, p, q in S.NUTATION)}) / 36000000 AS eps FROM c),
+g AS (SELECT *, l + 180 + psi - 20.4898::DOUBLE / (3600 * far) AS lam, 8.794::DOUBLE / (3600 * far) AS xi, 280.46061837::DOUBLE + 360.98564736629::DOUBLE * d + 0.000387933::DOUBLE * jc * jc - jc ** 3 / 38710000 + psi * cos(radians(eps)) AS nu FROM f),
+h AS (SELECT *, degrees(atan2(sin(radians(lam)) * cos(radians(eps)) - tan(radians(beta)) * sin(radians(eps)), cos(radians(lam)))) AS ra, asin(sin(radians(beta)) * cos(radians(eps)) + cos(radians(beta)) * sin(radians(eps)) * sin(radians(lam))) AS dec,
+ cos(atan(0.99664719::DOUBLE * tan(radians({_P})))) + {PLACE["altitude"]} / 6378140 * cos(radians({_P})) AS ox, 0.99664719::DOUBLE * sin(atan(0.99664719::DOUBLE * tan(radians({_P})))) + {PLACE["altitude"]} / 6378140 * sin(radians({_P})) AS oy FROM g),
+i AS (SELECT *, radians(nu + {PLACE["longitude"]} - ra) AS ha FROM h), j AS (SELECT *, atan2(-ox * sin(radians(xi)) * sin(ha), cos(dec) - ox * sin(radians(xi)) * cos(ha)) AS da FROM i),
+k AS (SELECT *, atan2((sin(dec) - oy * sin(radians(xi))) * cos(da), cos(dec) - ox * sin(radians(xi)) * cos(ha)) AS dt, ha - da AS ht FROM j),
+m AS (SELECT *, degrees(asin(sin(radians({_P})) * sin(dt) + cos(radians({_P})) * cos(dt) * cos(ht))) AS el, 180 + degrees(atan2(sin(ht), cos(ht) * sin(radians({_P})) - tan(dt) * cos(radians({_P})))) AS az FROM k)
+SELECT event_id, round(az - 360 * floor(az / 360), 5) + 0.0 AS azimuth, round(el, 5) + 0.0 AS elevation, round(el + CASE WHEN el >= -0.83337::DOUBLE THEN 100 * ((44331.514::DOUBLE - {PLACE["altitude"]}) / 11880.516::DOUBLE) ** (1 / 0.1902632::DOUBLE) / 101000 * 283 / 285 * 1.02::DOUBLE / (60 * tan(radians(el + 10.3::DOUBLE / (el + 5.11::DOUBLE)))) ELSE 0 END, 5) + 0.0 AS apparent_elevation FROM m""")
+def precise_sun_position(spark, sf_dir):
+    ts = F.col("ts")
+    days = F.datediff(F.to_date(ts), F.lit("2000-01-01").cast("date")) - 0.5 + (F.hour(ts) + F.minute(ts) / 60 + F.second(ts) / 3600) / 24
+    e = S.with_precise_sun_position(events(spark, sf_dir), days, PLACE["latitude"], PLACE["longitude"], PLACE["altitude"], S.pressure_of(PLACE["altitude"]))
+    return e.select("event_id", *[r(F.col(c), 5).alias(c) for c in ("azimuth", "elevation", "apparent_elevation")])
+
+
 @query(f"WITH {SAMPLES} SELECT l_orderkey, l_linenumber, round(100 * ((44331.514 - clear) / 11880.516) ** (1 / 0.1902632::DOUBLE), 4) + 0.0 AS pressure, round(44331.5 - 4946.62 * (90000 + clear) ** 0.190263::DOUBLE, 6) + 0.0 AS altitude FROM s")
 def pressure_altitude(spark, sf_dir):
     clear = F.col("clear").cast("double")

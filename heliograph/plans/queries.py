@@ -724,7 +724,18 @@ def l1_line(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(r(F.regr_slope(y, x), 5).alias("slope"), r(F.regr_intercept(y, x), 4).alias("intercept"), r(F.regr_r2(y, x)).alias("r2"))
 
 
-@query()
+def _residual_sql(source: str, columns: list[str], target: str) -> str:
+    """CTEs that end in r(y, e): the target and its residual, by centring and making the columns orthogonal one after another."""
+    names = [f"x{i}" for i in range(len(columns))]
+    steps = [f"r0 AS (SELECT y, y - avg(y) OVER () AS e, {', '.join(f'{n} - avg({n}) OVER () AS {n}' for n in names)} FROM (SELECT {target}::DOUBLE AS y, {', '.join(f'({c})::DOUBLE AS {n}' for c, n in zip(columns, names, strict=True))} FROM {source}))"]
+    for k, z in enumerate(names):
+        less = lambda c: f"{c} - {z} * (sum({c} * {z}) OVER () / sum({z} * {z}) OVER ()) AS {c}"  # noqa: E731, B023
+        steps.append(f"r{k + 1} AS (SELECT y, {', '.join(less(c) for c in ('e', *names[k + 1 :]))} FROM r{k})")
+    return ", ".join(steps) + f", r AS (SELECT y, e FROM r{len(names)})"
+
+
+@query(f"""WITH {_residual_sql("lineitem", ["l_quantity", "l_discount", "l_tax", "l_quantity * l_discount", "l_quantity * l_tax", "l_discount * l_tax"], "l_extendedprice")}, d AS (SELECT y, greatest(y - e, 0) - y AS e FROM r)
+SELECT count(*) AS n, round(sqrt(avg(e * e)), 2) + 0.0 AS rmse, round(1 - sum(e * e) / (sum(y * y) - sum(y) * sum(y) / count(*)), 4) + 0.0 AS r2 FROM d""")
 def l1_interactions(spark, sf_dir):
     d, x = table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"]
     y = L.linear_prediction(L.least_squares(d, x, "l_extendedprice"), x)

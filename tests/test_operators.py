@@ -364,3 +364,48 @@ def test_file_list_is_kept_and_trees_predict_rows_without_target(spark, tmp_path
     df = spark.createDataFrame([(float(i), None if i == 50 else float(i > 30)) for i in range(100)] + [(None, 1.0)], "a double, y double")
     got = {r.a: r.prediction for r in learning.tree_ensemble(df, ["a"], "y", trees=5).collect()}
     assert len(got) == 100 and got[5.0] < 0.2 and got[50.0] > 0.8
+
+
+def test_precise_sun_position_of_the_published_example(spark):
+    from heliograph.functions import solar
+
+    d = spark.sql("SELECT datediff(DATE '2003-10-17', DATE '2000-01-01') - 0.5D + (19 + 30 / 60D + 30 / 3600D) / 24 AS d UNION ALL SELECT NULL")
+    got = solar.with_precise_sun_position(d, F.col("d"), 39.742476, -105.1786, 1830.14, 82000.0, 11.0, 67.0).orderBy(F.col("d").desc()).collect()
+    assert abs(got[0]["azimuth"] - 194.34024) < 0.003 and abs(90 - got[0]["apparent_elevation"] - 50.11162) < 0.003
+    assert got[1]["azimuth"] is None and got[1]["elevation"] is None
+
+
+def test_precise_sun_position_takes_fuller_tables(spark):
+    from heliograph.functions import solar
+
+    d = spark.range(200).select((F.col("id") * 37.123).alias("d"))
+    plain = lambda **k: [(r["azimuth"], r["elevation"]) for r in solar.with_precise_sun_position(d, F.col("d"), 43.5, 11.4, **k).orderBy("d").collect()]
+    zeros = {k: [[*rows, (0.0, 1.0, 2.0)] for rows in v] for k, v in solar.EARTH.items()}
+    assert plain(earth=zeros) == plain()
+    moved = {**solar.EARTH, "longitude": [[*solar.EARTH["longitude"][0], (1e6, 0.0, 0.0)], *solar.EARTH["longitude"][1:]]}
+    assert max(abs(a[1] - b[1]) for a, b in zip(plain(earth=moved), plain(), strict=True)) > 0.1
+
+
+def test_assignment_of_many_frames_equals_all_permutations(spark):
+    import itertools
+    import random
+
+    from heliograph.operators import relations
+
+    rng, rows = random.Random(3), []
+    for f in range(60):
+        n, m = rng.randint(1, 4), rng.randint(1, 4)
+        rows += [(f, a, b, rng.random() * 10) for a in range(n) for b in range(m) if rng.random() < 0.8]
+    rows += [(0, None, 1, 0.0), (1, 1, None, 0.0), (2, 1, 1, None), (3, 0, 0, 9.0), (3, 0, 0, 0.5)]
+    got = relations.assigned(spark.createDataFrame(rows, "f long, a long, b long, c double"), "f", "a", "b", "c", alone=4.0).collect()
+    for f in range(60):
+        cost = {}
+        for g, a, b, c in rows:
+            if g == f and None not in (a, b, c):
+                cost[a, b] = min(c, cost.get((a, b), 99))
+        left, right = sorted({a for a, _ in cost}), sorted({b for _, b in cost})
+        picked = [(r["a"], r["b"]) for r in got if r["f"] == f]
+        assert len({a for a, _ in picked}) == len({b for _, b in picked}) == len(picked)
+        total = lambda p, cost=cost, k=len(left) + len(right): sum(cost.get(x, 1e9) for x in p) + 4.0 * (k - 2 * len(p))
+        best = min((total(list(zip(x, y, strict=True))) for k in range(min(len(left), len(right)) + 1) for x in itertools.combinations(left, k) for y in itertools.permutations(right, k)), default=0)
+        assert abs(total(picked) - best) < 1e-9
