@@ -338,8 +338,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Documents whose sets of k-word shingles have den * intersection >= num * union are linked; component_id is the
     smallest id reachable, kept marks the row that bears it. Equal sets form a class (class_id: its smallest id) that is
     searched once. Defined cases: null or blank texts have no shingles, link with nothing and are kept; texts of fewer
-    than k words have one shingle; rows that repeat an id each get a row; a null id is its class's component; empty
-    tables give no rows; other columns of docs are ignored.
+    than k words have one shingle; a very long text is read whole, a block of its bytes after the other; rows that repeat
+    an id each get a row; a null id is its class's component; empty tables give no rows; other columns of docs are ignored.
     """
     sk = written(sketches(docs, id_col, text_col, k), "sketch")
     classes = sk.where("n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("class_id"))

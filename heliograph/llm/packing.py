@@ -176,8 +176,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 4096, end
 
     tokenizer is the path of a word-level `tokenizers` file (white space separates what is encoded). Longer documents are
     cut into whole sequences and a rest. The histogram on the driver has capacity entries at most, whatever the input.
-    Defined cases: null and empty texts are one piece of end_id alone; repeated rows are packed each; empty tables give
-    no rows; other columns of docs are ignored.
+    Defined cases: null and empty texts are one piece of end_id alone; a very long text is encoded whole and cut; repeated
+    rows are packed each; a null id is kept; empty tables give no rows; other columns of docs are ignored.
     """
     pieces = written(cut_pieces(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # capacity rows at most
