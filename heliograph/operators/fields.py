@@ -213,3 +213,44 @@ def template_match(field: DataFrame, frame: str, template: dict[tuple[int, int],
     d = d.where((F.col("_n") == n) & (spread > 0)).withColumn("score", F.round((n * F.col("_sw") - s * F.col("_s")) / F.sqrt(spread), 9))
     best = d.groupBy(frame).agg(F.min(F.struct((-F.col("score")).alias("s"), "x", "y")).alias("m"))
     return best.select(frame, F.col("m.x").alias("x"), F.col("m.y").alias("y"), (-F.col("m.s")).alias("score"))
+
+
+def threshold_separation(field: DataFrame, frame: str, level: Column, levels: int, radius: float, half_gap: int, tile: int) -> DataFrame:
+    """frame, tile_x, tile_y, level, n, separated for every level 1..levels of every tile that has pixels.
+
+    n: the tile's pixels of the level. separated: the pairs of pixels within radius of each other of which one is more than
+    half_gap below the level and one more than half_gap above, as a good threshold between sky and cloud has many; a pair
+    over two tiles counts half to each. Pixels with a null level or one outside 1..levels don't count. A frame, an image
+    with x and y from 0, is one group; levels are counted by differences, not one by one for each pair.
+    """
+    import numpy as np
+    import pandas as pd
+
+    at = range(-int(radius), int(radius) + 1)
+    offsets = [(i, j) for i in at for j in at if (i, j) > (0, 0) and i * i + j * j <= radius * radius]
+    d = field.select(frame, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), level.cast("long").alias("_l")).where(F.col("_l").between(1, levels))
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        x, y = p["x"].to_numpy(), p["y"].to_numpy()
+        seen = np.zeros((x.max() + 1, y.max() + 1), np.int64)  # 0: no pixel here
+        seen[x, y] = p["_l"]
+        wide, high = seen.shape
+        down = high // tile + 1
+        tiles = np.arange(wide)[:, None] // tile * down + np.arange(high)[None, :] // tile
+        cells = (tiles.max() + 1) * (levels + 2)
+        change = np.zeros(cells)
+        for i, j in offsets:
+            if i >= wide or abs(j) >= high:
+                continue
+            here = np.s_[: wide - i, max(0, -j) : high - max(0, j)]
+            there = np.s_[i:, max(0, j) : high - max(0, -j)]
+            low, top = np.minimum(seen[here], seen[there]), np.maximum(seen[here], seen[there])
+            on = (low > 0) & (top - low >= 2 * half_gap + 2)
+            for t in (tiles[here][on], tiles[there][on]):
+                change += 0.5 * (np.bincount(t * (levels + 2) + low[on] + half_gap + 1, minlength=cells) - np.bincount(t * (levels + 2) + top[on] - half_gap, minlength=cells))
+        own = np.bincount(tiles[x, y] * (levels + 2) + p["_l"].to_numpy(), minlength=cells).reshape(-1, levels + 2)
+        some, k = np.flatnonzero(own.sum(axis=1)), np.arange(1, levels + 1)
+        sums = change.reshape(-1, levels + 2).cumsum(axis=1)
+        return pd.DataFrame({frame: p[frame].iat[0], "tile_x": np.repeat(some // down, levels), "tile_y": np.repeat(some % down, levels), "level": np.tile(k, len(some)), "n": own[some][:, k].ravel(), "separated": sums[some][:, k].ravel()})
+
+    return d.groupBy(frame).applyInPandas(run, f"`{frame}` {d.schema[frame].dataType.simpleString()}, tile_x long, tile_y long, level long, n long, separated double")

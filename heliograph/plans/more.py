@@ -355,6 +355,17 @@ def l16_sun_pixels(spark, sf_dir):
     return f.select(F.avg(right).alias("right"))
 
 
+@query(f"""WITH {FIELD}, p AS (SELECT frame::BIGINT AS frame, x, y, x // 10 AS tile_x, y // 10 AS tile_y, value // 16 AS lv FROM f WHERE value >= 16),
+a AS (SELECT a.frame, a.tile_x AS ax, a.tile_y AS ay, b.tile_x AS bx, b.tile_y AS bb, least(a.lv, b.lv) AS lo, greatest(a.lv, b.lv) AS hi FROM p a JOIN p b ON a.frame = b.frame AND (b.x > a.x OR b.x = a.x AND b.y > a.y) AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 12.25 WHERE abs(a.lv - b.lv) >= 4),
+h AS (SELECT frame, ax AS tile_x, ay AS tile_y, lo, hi, count(*) AS c FROM a GROUP BY ALL UNION ALL SELECT frame, bx, bb, lo, hi, count(*) FROM a GROUP BY ALL),
+k AS (SELECT *, unnest(range(1, 16)) AS level FROM (SELECT DISTINCT frame, tile_x, tile_y FROM p)),
+s AS (SELECT frame, tile_x, tile_y, level, sum(c) / 2 AS separated FROM k JOIN h USING (frame, tile_x, tile_y) WHERE lo + 1 < level AND level < hi - 1 GROUP BY ALL),
+n AS (SELECT frame, tile_x, tile_y, lv AS level, count(*) AS n FROM p GROUP BY ALL)
+SELECT frame, tile_x::BIGINT AS tile_x, tile_y::BIGINT AS tile_y, level::BIGINT AS level, coalesce(n, 0)::BIGINT AS n, coalesce(separated, 0)::DOUBLE AS separated FROM k LEFT JOIN s USING (frame, tile_x, tile_y, level) LEFT JOIN n USING (frame, tile_x, tile_y, level)""")
+def i10_threshold_separation(spark, sf_dir):
+    return I.threshold_separation(field(spark, sf_dir), "frame", F.floor(F.col("value") / 16), 15, 3.5, 1, 10)
+
+
 # ---- sources and sinks, as round trips ---------------------------------------------------------------
 
 

@@ -784,9 +784,15 @@ def l11_recalibration(spark, sf_dir):
     return L.recalibration(d, "x", "y").select("bin", r(F.col("slope"), 4).alias("slope"), r(F.col("intercept"), 2).alias("intercept"), "n")
 
 
-@query()
+_CHOICE = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+_SUBSET = lambda m: _residual_sql("lineitem", [c for i, c in enumerate(_CHOICE) if m >> i & 1], "l_extendedprice")
+_STEP = lambda k: f"g{k + 1} AS (SELECT arg_min(t.m, t.sse) AS m, min(t.sse) AS sse, g.m AS before FROM g{k} g JOIN t ON (t.m & g.m) = g.m AND bit_count(t.m) = {k + 1} GROUP BY g.m, g.sse HAVING (SELECT count(*) FROM lineitem) * (ln(g.sse) - ln(min(t.sse))) >= 0.708)"
+
+
+@query(f"""WITH t AS ({" UNION ALL ".join(f"SELECT {m} AS m, (WITH {_SUBSET(m)} SELECT sum(e * e) FROM r) AS sse" for m in range(1, 1 << len(_CHOICE)))}), g0 AS (SELECT 0 AS m, (SELECT var_pop(l_extendedprice) * count(*) FROM lineitem) AS sse), {", ".join(map(_STEP, range(len(_CHOICE))))}
+{" UNION ALL ".join(f"SELECT {k}::BIGINT AS step, {_CHOICE!r}[log2(m - before)::INT + 1] AS feature FROM g{k + 1}" for k in range(len(_CHOICE)))}""")
 def l7_forward_selection(spark, sf_dir):
-    got = L.forward_selection(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax", "l_linenumber"], "l_extendedprice")
+    got = L.forward_selection(table(spark, sf_dir, "lineitem"), _CHOICE, "l_extendedprice")
     return spark.createDataFrame([(i, c) for i, c in enumerate(got)], "step long, feature string")
 
 

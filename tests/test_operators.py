@@ -409,3 +409,23 @@ def test_assignment_of_many_frames_equals_all_permutations(spark):
         total = lambda p, cost=cost, k=len(left) + len(right): sum(cost.get(x, 1e9) for x in p) + 4.0 * (k - 2 * len(p))
         best = min((total(list(zip(x, y, strict=True))) for k in range(min(len(left), len(right)) + 1) for x in itertools.combinations(left, k) for y in itertools.permutations(right, k)), default=0)
         assert abs(total(picked) - best) < 1e-9
+
+
+def test_threshold_separation_counts_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(f, x, y, rng.choice([None, 0, 1, 2, 3, 4, 5, 6, 9])) for f in range(3) for x in range(7) for y in range(5)]
+    got = fields.threshold_separation(spark.createDataFrame(rows, "f long, x int, y int, v int"), "f", F.col("v"), 6, 2.3, 1, 3).collect()
+    want = {}
+    for f in range(3):
+        px = [(x, y, v) for g, x, y, v in rows if g == f and v and v <= 6]
+        for x, y, v in px:
+            for k in range(1, 7):
+                want.setdefault((f, x // 3, y // 3, k), [0, 0.0])[0] += v == k
+                for u, w, o in px:
+                    if 0 < (x - u) ** 2 + (y - w) ** 2 <= 2.3**2 and (v < k - 1 and k + 1 < o or o < k - 1 and k + 1 < v):
+                        want[f, x // 3, y // 3, k][1] += 0.5
+    assert {(r["f"], r["tile_x"], r["tile_y"], r["level"]): [r["n"], r["separated"]] for r in got} == want
+    assert any(w[1] for w in want.values())
+    assert fields.threshold_separation(spark.createDataFrame([], "f long, x int, y int, v int"), "f", F.col("v"), 6, 2.3, 1, 3).count() == 0
