@@ -158,19 +158,19 @@ def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
 def topological_levels(edges: DataFrame, a: str, b: str, most: int = 100) -> DataFrame:
     """node, level: the length of the longest path that ends in each node of an acyclic graph of depth below most.
 
-    Every round drops the nodes without an edge into them; raises ValueError where a cycle remains.
+    Every round keeps the edges from nodes that still have one into them, so a node's level is the last round that has an
+    edge into it. Raises ValueError where a cycle remains, as soon as a round keeps all edges.
     """
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).distinct()
-    out = None
-    for level in range(most):
-        first = nodes.join(e.select(F.col("b").alias("node")), "node", "left_anti").checkpoint()
-        done = first.withColumn("level", F.lit(level).cast("long"))
-        out = done if out is None else out.union(done)
-        nodes = nodes.join(first, "node", "left_anti").checkpoint()
-        if nodes.isEmpty():
-            return out
-        if first.isEmpty():
-            break
-        e = e.join(first.withColumnRenamed("node", "a"), "a", "left_anti").checkpoint()
-    raise ValueError("the graph has a cycle, or more levels than allowed")
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct().checkpoint()
+    nodes = e.select(F.col("a").alias("node")).union(e.select("b")).withColumn("level", F.lit(0).cast("long"))
+    level, n = 0, e.count()
+    while n:
+        level += 1
+        if level == most:
+            raise ValueError("the graph has more levels than allowed")
+        nodes = nodes.union(e.select("b", F.lit(level).cast("long")))
+        e = e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").checkpoint()
+        before, n = n, e.count()
+        if n == before:
+            raise ValueError("the graph has a cycle")
+    return nodes.groupBy("node").agg(F.max("level").alias("level"))
