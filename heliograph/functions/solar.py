@@ -116,7 +116,8 @@ def with_precise_sun_position(df: DataFrame, days: Column, latitude: float | Col
     """df with azimuth, elevation and apparent_elevation by the long series of the earth's path, as seen from a place.
 
     days: UT days since noon of 2000-01-01; delta_t: seconds of terrestrial time ahead of UT, by default a line through
-    2012. The terms given here hold to about 0.003 degrees; earth and nutation take fuller tables in the same form. Sums run
+    2012. The terms given here are the leading ones, within
+    0.003 degrees of the published example; earth and nutation take fuller tables in the same form. Sums run
     over literal arrays, so that long tables don't grow the generated code. The parallax is a difference of vectors: the
     sun's less the observer's, in units of the sun's distance. Null inputs give nulls.
     """
