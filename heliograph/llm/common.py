@@ -36,6 +36,19 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """df, a table that is written already, with idx: a row's place, from 0, among those of its key in the given order.
+
+    Rows are dealt by ranges of (key, order), so a key of any number of rows is many tasks; equal rows are told apart by
+    their place in the table. The sums that are carried across are a row for each range and key.
+    """
+    at = df.withColumn("_u", F.monotonically_increasing_id()).repartitionByRange(key, *order, "_u").sortWithinPartitions(key, *order, "_u")
+    at = written(at.drop("_u").withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_p", F.shiftright("_at", 33))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(key).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = at.groupBy(key, "_p").agg(F.count("*").alias("_n"), F.min("_at").alias("_first")).select(key, "_p", (before - F.col("_first")).alias("_shift"))
+    return at.join(starts, [key, "_p"]).withColumn("idx", F.col("_at") + F.col("_shift")).drop("_at", "_p", "_shift")
+
+
 def kept_as(name: str, results: list[str]) -> str:
     """The name that a column carried along gets beside an operator's results."""
     return f"{name}_of_docs" if name in results else name

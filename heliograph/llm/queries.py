@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, crf, embgraph, langid, linededup, minhash, mixing, omh, packing, warc
+from . import chat, crf, embgraph, langid, linededup, merkle, minhash, mixing, omh, packing, warc
 from .common import held_out, table
 
 
@@ -63,5 +63,10 @@ def op10_embeddings(spark, sf_dir):
     return embgraph.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_mixing, op4_warc, op5_lines, op6_fingerprints, op7_quality, op8_chat, op9_language, op10_embeddings)}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_warc": warc.SQL, "op5_lines": linededup.SQL}
+def op11_merkle(spark, sf_dir):
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered={"text": merkle.ascii_lower("text")}, where=changed)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_mixing, op4_warc, op5_lines, op6_fingerprints, op7_quality, op8_chat, op9_language, op10_embeddings, op11_merkle)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_warc": warc.SQL, "op5_lines": linededup.SQL, "op11_merkle": merkle.SQL}
