@@ -36,6 +36,16 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Takes a table made by written() off the shared folder, once nothing will read it again; other files stay."""
+    spark, own = df.sparkSession, lambda p: re.sub(r"^\w+:(//[^/]*)?", "", p).rstrip("/")
+    root = own(shared_dir(spark))
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if own(path).startswith(f"{root}/"):
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """df, a table that is written already, with idx: a row's place, from 0, among those of its key in the given order.
 

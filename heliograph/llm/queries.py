@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, crf, embgraph, langid, linededup, merkle, minhash, mixing, omh, packing, warc
+from . import chat, codes, crf, embgraph, langid, linededup, merkle, minhash, mixing, omh, packing, warc
 from .common import held_out, table
 
 
@@ -68,5 +68,9 @@ def op11_merkle(spark, sf_dir):
     return merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered={"text": merkle.ascii_lower("text")}, where=changed)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_mixing, op4_warc, op5_lines, op6_fingerprints, op7_quality, op8_chat, op9_language, op10_embeddings, op11_merkle)}
-ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_warc": warc.SQL, "op5_lines": linededup.SQL, "op11_merkle": merkle.SQL}
+def op12_codes(spark, sf_dir):
+    return codes.encode(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_mixing, op4_warc, op5_lines, op6_fingerprints, op7_quality, op8_chat, op9_language, op10_embeddings, op11_merkle, op12_codes)}
+ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_warc": warc.SQL, "op5_lines": linededup.SQL, "op11_merkle": merkle.SQL, "op12_codes": codes.SQL}
