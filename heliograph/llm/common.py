@@ -29,11 +29,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: its lineage ends here and lost executors don't redo it."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
+FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, tag: str, release: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: its lineage ends here and lost executors don't redo it. release: the job's
+    shuffle files go with its end, not when the driver next collects its garbage."""
+    spark = df.sparkSession
+    path, before = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", spark.conf.get(FREE, None)
+    try:
+        if release:
+            spark.conf.set(FREE, "true")
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if release:
+            spark.conf.set(FREE, before) if before else spark.conf.unset(FREE)
+    return spark.read.parquet(path)
+
+
+def bucketed(df: DataFrame, key: str, tag: str) -> DataFrame:
+    """df as a table in buckets of key in the shared folder: joins and groups by key need no shuffle of it.
+
+    It has a bucket for each of spark.sql.shuffle.partitions, so that what joins it is dealt alike."""
+    spark, name = df.sparkSession, f"{tag}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
 
 
 def removed(df: DataFrame) -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, codes, crf, embgraph, langid, linededup, merkle, minhash, mixing, omh, packing, warc
+from . import chat, codes, crf, embgraph, langid, linededup, merkle, minhash, mixing, omh, packing, suffixes, warc
 from .common import held_out, table
 
 
@@ -72,5 +72,9 @@ def op12_codes(spark, sf_dir):
     return codes.encode(table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_mixing, op4_warc, op5_lines, op6_fingerprints, op7_quality, op8_chat, op9_language, op10_embeddings, op11_merkle, op12_codes)}
+def op13_suffixes(spark, sf_dir):
+    return suffixes.drop_repeats(table(spark, sf_dir, "documents"), length=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_minhash, op3_mixing, op4_warc, op5_lines, op6_fingerprints, op7_quality, op8_chat, op9_language, op10_embeddings, op11_merkle, op12_codes, op13_suffixes)}
 ORACLE_SQL: dict[str, str] = {"op3_mixing": mixing.SQL, "op4_warc": warc.SQL, "op5_lines": linededup.SQL, "op11_merkle": merkle.SQL, "op12_codes": codes.SQL}
