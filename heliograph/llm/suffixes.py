@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import _BYTE, _powers, blocks, bucketed, mix64, numbered, removed, utf8, written
 
 GRAM, BLOCK = 24, 8  # bytes of an anchor and of a symbol
-BATCH = 1 << 23  # bytes of text that are searched for anchors at once
+BATCH = 1 << 21  # bytes of text that are searched for anchors at once
 PLACE = 1 << 7  # a run is its first string's place times PLACE plus its number of strings
 WIDE = 2000  # an anchor of more distinct contexts is not one shard's: its strings are compared one by one, by 128-bit hashes
 SHARD = 1 << 19  # bytes of contexts, and the rest of an anchor, in a suffix array

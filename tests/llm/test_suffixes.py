@@ -108,7 +108,7 @@ def test_long_texts_in_pieces(spark, monkeypatch):
     g = np.random.default_rng(8)
     base = "".join(chr(x) for x in g.integers(97, 123, 6000))
     rows = [(1, base), (2, base[3000:] + base[:2500]), (3, "q" * 50 + base[100:5000])]
-    small = suffixes._pieces
+    small, whole = suffixes._pieces, suffixes.BATCH
 
     def pieces(texts, length):
         suffixes.BATCH = 1500
@@ -123,7 +123,7 @@ def test_long_texts_in_pieces(spark, monkeypatch):
             text, lo, n, _, _ = suffixes.runs(data, at, 100)
             seen += [(int(rows_[i]), int(x - at[i] + base_ + k)) for i, x, m in zip(text, lo, n, strict=True) for k in range(m)]
     finally:
-        suffixes.BATCH = 1 << 23
+        suffixes.BATCH = whole
     assert sorted(seen) == [(i, k) for i, (_, t) in enumerate(rows) for k in range(len(t) - 99)]
     assert removed(suffixes.drop_repeats(frame(spark, rows))) == plain(rows)
 
