@@ -153,7 +153,8 @@ def _pieces(texts, length: int):
 
 def anchored(docs: DataFrame, length: int) -> DataFrame:
     """docs (key, text) -> a row for each run: anchor, c, key, place, b: hashes of its gram and context, where it is, and how
-    far behind its first string the anchor is."""
+    far behind its first string the anchor is; again, if an earlier run of the same batch has its context: such a run is a
+    repeat wherever else the context is, so a context of any number of runs is one a batch from here on."""
 
     def run(batches):
         import pyarrow as pa
@@ -165,9 +166,12 @@ def anchored(docs: DataFrame, length: int) -> DataFrame:
                 raw = data.tobytes()
                 c = np.array([xxh3_64_intdigest(raw[x:y], 1) for x, y in zip(lo.tolist(), (lo + n + length - 1).tolist(), strict=True)], np.uint64)
                 key = np.asarray(batch.column("key"))[rows[text]]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(key, pa.int64()), pa.array((lo - at[text] + base) * PLACE + n), pa.array((anchor - lo).astype(np.int8), pa.int8())], ["anchor", "c", "key", "place", "b"])
+                place = (lo - at[text] + base) * PLACE + n
+                by, again = np.lexsort((place, key, c, h)), np.zeros(len(h), bool)
+                again[by[1:]] = (h[by[1:]] == h[by[:-1]]) & (c[by[1:]] == c[by[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(key, pa.int64()), pa.array(place), pa.array((anchor - lo).astype(np.int8), pa.int8()), pa.array(again)], ["anchor", "c", "key", "place", "b", "again"])
 
-    return docs.select("key", "text").mapInArrow(run, "anchor long, c long, key long, place long, b byte")
+    return docs.select("key", "text").mapInArrow(run, "anchor long, c long, key long, place long, b byte, again boolean")
 
 
 def _met(batches):
@@ -354,10 +358,11 @@ def spans(docs: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
     """docs (key, doc_id, text) -> them, written in buckets of key, and (key, a, z): bytes a to z of the text are repeats."""
     found = written(anchored(docs, length), "runs")
     by = ["anchor", "c", "key", "place"]
-    met = written(found.repartitionByRange("anchor", "c").sortWithinPartitions(*by).mapInArrow(_met, "kind byte, anchor long, key long, place long, b byte"), "met", release=True)
+    again = written(found.where("again").select("key", "place"), "again")
+    met = written(found.where("not again").drop("again").repartitionByRange("anchor", "c").sortWithinPartitions(*by).mapInArrow(_met, "kind byte, anchor long, key long, place long, b byte"), "met", release=True)
     removed(found)
     first = F.floor(F.col("place") / PLACE)
-    whole = met.where("kind = 0").select("key", first.alias("a"), (first + F.col("place") % PLACE + (length - 1)).alias("z"))
+    whole = met.where("kind = 0").select("key", "place").union(again).select("key", first.alias("a"), (first + F.col("place") % PLACE + (length - 1)).alias("z"))
     many = met.where("kind = 1").groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > WIDE).alias("wide"))
     firsts = met.where("kind = 1").select("anchor", "key", "place", "b").join(many, "anchor")
     laid = bucketed(docs, "key", "laid")
