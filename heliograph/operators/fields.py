@@ -82,31 +82,46 @@ def enclosed(field: DataFrame, frame: str, contour: Column, inside: Column) -> D
 
 def components(pixels: DataFrame, frame: str) -> DataFrame:
     """pixels (frame, x, y, ...) of a mask with component: the smallest x, then y, of the pixels joined to it by touching
-    sides or corners, as a struct. A frame, an image, is labelled in one task."""
+    sides or corners, as a struct. Many frames are labelled at once; a frame, an image, is one task's."""
     import numpy as np
     import pandas as pd
 
-    kind = pixels.schema[frame].dataType.simpleString()
-
-    def label(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.drop_duplicates().sort_values(["x", "y"])
-        x, y = p["x"].to_numpy(), p["y"].to_numpy()
-        at = {k: i for i, k in enumerate(zip(x.tolist(), y.tolist(), strict=True))}
-        pairs = [(i, j) for (u, v), i in at.items() for d, e in ((0, 1), (1, -1), (1, 0), (1, 1)) if (j := at.get((u + d, v + e))) is not None]
-        a, b = np.array(pairs, np.int64).reshape(-1, 2).T
-        up = np.arange(len(p))
-        while True:
-            low = up.copy()
-            np.minimum.at(low, a, up[b])
-            np.minimum.at(low, b, up[a])
-            low = low[low]
-            if (low == up).all():
-                break
-            up = low
-        return p.assign(cx=x[up], cy=y[up])
-
-    found = pixels.select(frame, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).groupBy(frame).applyInPandas(label, f"`{frame}` {kind}, x long, y long, cx long, cy long")
-    return pixels.join(found, [frame, "x", "y"]).withColumn("component", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))).drop("cx", "cy")
+    def label(parts):
+        for p in parts:
+            n = np.array([len(v) for v in p["_x"]], np.int64)
+            if not n.sum():
+                continue
+            f, x, y = np.repeat(np.arange(len(n)), n), np.concatenate(list(p["_x"])), np.concatenate(list(p["_y"]))
+            high = int(y.max() - y.min()) + 3  # a column, and a pixel on either side that is none
+            wide = int(x.max() - x.min()) + 3
+            key, back = np.unique((f * wide + x - x.min()) * high + y - y.min(), return_inverse=True)
+            a, b = [], []
+            for step in (1, high - 1, high, high + 1):
+                at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
+                hit = np.flatnonzero(key[at] == key + step)
+                a.append(hit)
+                b.append(at[hit])
+            a, b = np.concatenate(a), np.concatenate(b)
+            up = np.arange(len(key))
+            while True:
+                low = up.copy()
+                np.minimum.at(low, up[a], up[b])
+                np.minimum.at(low, up[b], up[a])
+                np.minimum.at(low, a, up[b])
+                np.minimum.at(low, b, up[a])
+                while (low[low] != low).any():
+                    low = low[low]
+                if (low == up).all():
+                    break
+                up = low
+            root = key[up[back]]
+            yield pd.DataFrame({frame: p[frame].repeat(n).to_numpy(), "x": x, "y": y, "cx": root // high % wide + x.min(), "cy": root % high + y.min()})
+
+    place = F.collect_list(F.struct(F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))).alias("_p")
+    whole = set(pixels.columns) == {frame, "x", "y"}
+    d = (pixels if whole else pixels.select(frame, "x", "y").distinct()).groupBy(frame).agg(place).select(frame, F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
+    found = d.mapInPandas(label, f"`{frame}` {pixels.schema[frame].dataType.simpleString()}, x long, y long, cx long, cy long")
+    return (found if whole else pixels.join(found, [frame, "x", "y"])).withColumn("component", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))).drop("cx", "cy")
 
 
 def areas(labelled: DataFrame, frame: str, least: int = 1, most: int | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from ..functions import numeric as N
 from ..functions import solar as S
 from ..operators import aggregates as A
 from ..operators import fields as I
+from ..operators import frames as V
 from ..operators import learning as L
 from ..operators import relations as R
 from ..operators import series as T
@@ -196,6 +197,47 @@ def i12_sun_decision(spark, sf_dir):
     return n.select("l_orderkey", "l_linenumber", flag.alias("flag"))
 
 
+_SKY = f"{FIELD}, sky AS (SELECT frame, x, y, value % 12 AS noise, (x - 5 - frame % 12) ** 2 + (y - 13) ** 2 <= 25 + frame % 20 AS cloud FROM f)"
+
+
+def _pictures(spark, sf_dir) -> str:
+    """Sky images with a round cloud each, as files."""
+    x, y, f = F.col("x"), F.col("y"), F.col("frame")
+    cloud = (x - 5 - f % 12) ** 2 + (y - 13) ** 2 <= 25 + f % 20
+    sky = lambda a, b: F.when(cloud, a).otherwise(b) + F.col("value") % 12
+    path = logs.scratch(spark, "sky")
+    logs.write_pixmaps(field(spark, sf_dir).select(f.alias("name"), "x", "y", sky(170, 50).alias("red"), sky(175, 90).alias("green"), sky(180, 200).alias("blue")), "name", path)
+    return path
+
+
+@query(f"WITH {_SKY} SELECT frame, x, y, cloud FROM sky WHERE (x - 20) ** 2 + (y - 3) ** 2 > 4")
+def i13_cloud_mask(spark, sf_dir):
+    """From image files to cloud masks; the SQL has the clouds that were painted."""
+    p = logs.pixmaps(spark, _pictures(spark, sf_dir)).withColumn("frame", F.regexp_extract("path", r"name=(\d+)", 1).cast("long")).drop("path")
+    s = V.Segmentation(tile=8, reach=2, half_gap=1, step=0.2, resolution=0.4, pad=0.4, sun_radius=2, wide_sun_radius=4, clear_radius=2, outer_radius=10.0)
+    suns = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("frame"), F.lit(20.0).alias("sun_x"), F.lit(3.0).alias("sun_y"), F.lit(1).alias("flag"))
+    return V.segment(p, suns, "frame", s, (24, 24)).where("cloud is not null").select("frame", "x", "y", "cloud")
+
+
+_SPOT = "4 + frame % 15 AS sx, 5 + frame % 13 AS sy"
+
+
+@query(f"""WITH {FIELD}, g AS (SELECT frame, x, y, {_SPOT}, unnest([0, 1, 2]) AS channel, unnest([value, (value * 7 + x) % 256, (value * 5 + y) % 256]) AS v FROM f),
+a AS (SELECT * FROM g WHERE abs(x - sx) <= 9 AND abs(y - sy) <= 9),
+m AS (SELECT a.frame, a.channel, a.x, a.y, a.sx, a.sy, median(b.v)::DOUBLE AS v FROM a JOIN a b ON a.frame = b.frame AND a.channel = b.channel AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL),
+h AS (SELECT * EXCLUDE (v), avg(v) OVER (PARTITION BY frame, channel, y ORDER BY x ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM m), k AS (SELECT * EXCLUDE (v), avg(v) OVER (PARTITION BY frame, channel, x ORDER BY y ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS v FROM h),
+n AS (SELECT *, min(round(v, 9)) OVER (PARTITION BY frame, channel) AS low FROM k WHERE (x - sx) ** 2 + (y - sy) ** 2 <= 25),
+p AS (SELECT frame, channel, sx, sy, round(avg(x))::BIGINT AS spot_x, round(avg(y))::BIGINT AS spot_y, min(low) AS low FROM n WHERE round(v, 9) <= low + 5 GROUP BY ALL)
+SELECT p.frame, p.channel, spot_x, spot_y, round(median(k.v) - any_value(p.low), 6) + 0.0 AS contrast, round(sqrt((spot_x - p.sx) ** 2 + (spot_y - p.sy) ** 2), 6) + 0.0 AS error FROM p JOIN k ON p.frame = k.frame AND p.channel = k.channel AND (k.x - spot_x) ** 2 + (k.y - spot_y) ** 2 BETWEEN 4 AND 16 GROUP BY p.frame, p.channel, spot_x, spot_y, p.sx, p.sy""")
+def i12_sun_spots(spark, sf_dir):
+    v, x, y = F.col("value"), F.col("x"), F.col("y")
+    p = field(spark, sf_dir).select("frame", "x", "y", v.alias("red"), ((v * 7 + x) % 256).alias("green"), ((v * 5 + y) % 256).alias("blue"))
+    k = F.col("s_suppkey")
+    places = table(spark, sf_dir, "supplier").select(k.alias("frame"), (4 + k % 15).cast("double").alias("sun_x"), (5 + k % 13).cast("double").alias("sun_y"))
+    got = V.sun_spots(p, places, "frame", V.SunSearch(reach=5, core=1, inner=2, outer=4))
+    return got.select("frame", "channel", "spot_x", "spot_y", r(F.col("contrast")).alias("contrast"), r(F.col("error")).alias("error"))
+
+
 # ---- learning and physics --------------------------------------------------------------------------
 
 

@@ -26,6 +26,13 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared}/{tag}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder, so that what follows doesn't make it again."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def config(spark: SparkSession, path: str, row: str) -> DataFrame:
     """The elements named row of XML files, attributes as columns _name and children as columns."""
     return spark.read.format("xml").option("rowTag", row).load(path)
@@ -82,6 +89,25 @@ def pixels(spark: SparkSession, path: str) -> DataFrame:
     return i.select("origin", (F.col("_i") % F.col("width")).alias("x"), F.floor(F.col("_i") / F.col("width")).cast("int").alias("y"), at(2).alias("red"), at(1).alias("green"), at(0).alias("blue"))
 
 
+def write_pixmaps(field: DataFrame, name: str, path: str) -> None:
+    """Images as text pixmaps (P3), one in each folder name=...; field: (name, x, y, red, green, blue), x and y from 0."""
+    row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "red", "green", "blue"))), lambda p: F.concat_ws(" ", p["red"], p["green"], p["blue"])), "\n")
+    head = F.concat_ws("\n", F.lit("P3"), F.concat_ws(" ", F.max("x") + 1, F.max("y") + 1), F.lit("255"), row)
+    field.groupBy(name).agg(head.alias("value")).write.partitionBy(name).text(path)
+
+
+def pixmaps(spark: SparkSession, path: str) -> DataFrame:
+    """path, x, y (from 0, downwards), red, green, blue of text pixmaps (P3) of any folder below path; comments are skipped, and
+    files that are no such images left out. A read that fails is tried again with its task."""
+    d = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.decode("content", "UTF-8").alias("_t"))
+    d = d.where(F.col("_t").rlike("^P3[\\s#]")).select("path", F.split(F.trim(F.regexp_replace("_t", "#[^\n]*", "")), "\\s+").alias("_c"))
+    cell = lambda i: F.try_element_at("_c", i).try_cast("int")
+    width, height = cell(F.lit(2)), cell(F.lit(3))
+    d = d.select("path", "_c", width.alias("_w"), F.explode(F.sequence(F.lit(0), width * height - 1)).alias("_i"))
+    at = lambda k: cell(F.col("_i") * 3 + 5 + k)
+    return d.select("path", (F.col("_i") % F.col("_w")).cast("long").alias("x"), F.floor(F.col("_i") / F.col("_w")).alias("y"), at(0).alias("red"), at(1).alias("green"), at(2).alias("blue"))
+
+
 def logger(spark: SparkSession, path: str) -> DataFrame:
     """ts, irr1, irr2, temp1, temp2 of space-separated logger files; lines that don't parse have a null ts and are dropped."""
     schema = "date string, time string, c3 double, c4 double, irr1 double, irr2 double, temp1 double, temp2 double"
