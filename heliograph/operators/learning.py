@@ -203,15 +203,61 @@ def kernel_regression(df: DataFrame, features: list[str], target: str, gamma: fl
     return predict
 
 
+def least_absolute(x: np.ndarray, y: np.ndarray, few: int = 64) -> tuple[float, float, float]:
+    """(error, intercept, slope) of the line of least total absolute error; of equal ones the flattest, then the lowest.
+
+    For a slope the best intercept is the median of what it leaves, and the error is convex in the slope: a section search
+    over it ends at the samples the best line passes through, of which there are few. A few samples are tried in all pairs.
+    """
+    def best(slopes, xs, ys):
+        c = np.concatenate([ys - slopes * xs])
+        e = np.array([np.abs(y - d - m * x).sum() for m, d in zip(slopes, c, strict=True)])
+        i = np.lexsort((c, np.abs(slopes), np.round(e, 9)))[0]
+        return float(np.round(e[i], 9)), float(c[i]), float(slopes[i])
+
+    if len(x) > few and np.ptp(x) > 0:
+        gap = np.diff(np.unique(x)).min()
+        lo, hi = -np.ptp(y) / gap, np.ptp(y) / gap
+        error = lambda m: np.abs((r := y - m * x) - np.median(r)).sum()
+        g = (5**0.5 - 1) / 2
+        u, v = hi - g * (hi - lo), lo + g * (hi - lo)
+        eu, ev = error(u), error(v)
+        while hi - lo > 1e-13 * max(1.0, abs(lo), abs(hi)) and u < v:
+            if eu <= ev:
+                hi, v, ev = v, u, eu
+                u = hi - g * (hi - lo)
+                eu = error(u)
+            else:
+                lo, u, eu = u, v, ev
+                v = lo + g * (hi - lo)
+                ev = error(v)
+        m = (lo + hi) / 2
+        r = y - m * x
+        near = np.argsort(np.abs(r - np.median(r)), kind="stable")[:few]
+        xs, ys = x[near], y[near]
+    else:
+        xs, ys = x, y
+    i, j = np.nonzero(xs[None] > xs[:, None])
+    slopes = np.concatenate([np.zeros(len(xs)), (ys[j] - ys[i]) / (xs[j] - xs[i])])
+    return best(slopes, np.concatenate([xs, xs[i]]), np.concatenate([ys, ys[i]]))
+
+
 def absolute_line(df: DataFrame, key: list[str], x: str, y: str) -> DataFrame:
-    """key, slope, intercept, error: the line of least total absolute error of each group, a pixel's few samples; of equal
-    ones the flattest, then the lowest. Such a line passes through two samples, or is flat through one where x never varies."""
+    """key, slope, intercept, error: the line of least total absolute error of each group; of equal ones the flattest, then
+    the lowest. Such a line passes through two samples, or is flat through one where x never varies. A group, a pixel's
+    samples, is one task's; many groups are a batch, and the work grows with a group's samples, not their pairs."""
+    import pandas as pd
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
     p = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*key, F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("p"))
-    g = p.groupBy(*key).agg(F.collect_list("p").alias("g"))  # a pixel's samples
-    slopes = F.flatten(F.transform("g", lambda a: F.transform(F.filter("g", lambda b: b["x"] > a["x"]), lambda b: F.struct(((b["y"] - a["y"]) / (b["x"] - a["x"])).alias("m"), a["x"].alias("x"), a["y"].alias("y")))))
-    flat = F.transform("g", lambda a: F.struct(F.lit(0.0).alias("m"), a["x"].alias("x"), a["y"].alias("y")))
-    line = F.transform(F.concat(slopes, flat), lambda c: F.struct(F.round(F.aggregate("g", F.lit(0.0), lambda s, q: s + F.abs(q["y"] - c["y"] - c["m"] * (q["x"] - c["x"]))), 9).alias("error"), F.abs(c["m"]).alias("steep"), (c["y"] - c["m"] * c["x"]).alias("intercept"), c["m"].alias("slope")))
-    return g.select(*key, F.array_min(line).alias("l")).select(*key, "l.slope", "l.intercept", "l.error")
+    g = p.groupBy(*key).agg(F.collect_list("p").alias("g")).select(*key, F.col("g.x").alias("_x"), F.col("g.y").alias("_y"))
+
+    def run(parts):
+        for b in parts:
+            got = [least_absolute(u, v) for u, v in zip(b["_x"], b["_y"], strict=True)]
+            yield pd.concat([b[key].reset_index(drop=True), pd.DataFrame(got, columns=["error", "intercept", "slope"])[["slope", "intercept", "error"]]], axis=1)
+
+    return g.mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", slope double, intercept double, error double")
 
 
 def grid_search(df: DataFrame, features: list[str], target: str, id_col: str, penalties: list[float], folds: int = 5) -> list[tuple[float, float]]:

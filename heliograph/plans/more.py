@@ -134,14 +134,16 @@ def i2_plane_projection(spark, sf_dir):
     return field(spark, sf_dir).select("frame", "x", "y", *[r(c).alias(n) for c, n in zip(N.on_plane(ray, 300.0), ("px", "py"), strict=True)])
 
 
-@query("""WITH p AS (SELECT l_partkey % 50 AS pixel, l_suppkey % 7 AS shade, row_number() OVER (PARTITION BY l_partkey % 50, l_suppkey % 7 ORDER BY l_orderkey, l_linenumber) AS i, l_quantity AS x, (l_extendedprice / 100) AS y FROM lineitem), d AS (SELECT * FROM p WHERE i <= 12),
-c AS (SELECT a.pixel, a.shade, (b.y - a.y) / (b.x - a.x) AS slope, a.x, a.y FROM d a JOIN d b ON a.pixel = b.pixel AND a.shade = b.shade AND b.x > a.x UNION ALL SELECT pixel, shade, 0, x, y FROM d),
-e AS (SELECT c.pixel, c.shade, c.slope, c.y - c.slope * c.x AS intercept, round(sum(abs(d.y - c.y - c.slope * (d.x - c.x))), 9) AS error FROM c JOIN d ON c.pixel = d.pixel AND c.shade = d.shade GROUP BY c.pixel, c.shade, c.slope, c.x, c.y)
+@query("""WITH d AS (SELECT l_partkey % 50 AS pixel, l_suppkey % 7 AS shade, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS i, l_quantity::DOUBLE AS x, (l_extendedprice / 100)::DOUBLE AS y FROM lineitem),
+s AS (SELECT a.pixel, a.shade, a.i, a.x, a.y, (b.y - a.y) / (b.x - a.x) AS m, sum(abs(b.x - a.x)) AS w FROM d a JOIN d b ON a.pixel = b.pixel AND a.shade = b.shade AND b.x <> a.x GROUP BY ALL),
+c AS (SELECT *, sum(w) OVER (PARTITION BY i ORDER BY m) AS upto, sum(w) OVER (PARTITION BY i) AS whole FROM s),
+l AS (SELECT pixel, shade, i, x, y, min(m) AS m FROM c WHERE 2 * upto >= whole GROUP BY ALL UNION ALL SELECT pixel, shade, i, x, y, 0 FROM d),
+e AS (SELECT l.pixel, l.shade, l.i, l.m, sum(abs(d.y - l.y - l.m * (d.x - l.x))) AS error FROM l JOIN d ON l.pixel = d.pixel AND l.shade = d.shade GROUP BY ALL)
 SELECT pixel, shade, round(min(error), 4) + 0.0 AS error FROM e GROUP BY ALL""")
 def i8_absolute_lines(spark, sf_dir):
-    """The least-error lines of the first twelve samples of each pixel, as a camera's buffer holds them."""
-    i = F.row_number().over(W.partitionBy("pixel", "shade").orderBy("l_orderkey", "l_linenumber"))
-    d = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("pixel"), (F.col("l_suppkey") % 7).alias("shade"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 100).alias("y")).withColumn("i", i).where("i <= 12")
+    """The least-error lines of all samples of each pixel; the SQL tries every sample as a pivot, whose best slope is a
+    weighted median."""
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 50).alias("pixel"), (F.col("l_suppkey") % 7).alias("shade"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 100).alias("y"))
     return L.absolute_line(d, ["pixel", "shade"], "x", "y").select("pixel", "shade", r(F.col("error"), 4).alias("error"))
 
 
