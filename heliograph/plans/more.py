@@ -12,6 +12,7 @@ from ..operators import aggregates as A
 from ..operators import fields as I
 from ..operators import frames as V
 from ..operators import learning as L
+from ..operators import machines as M
 from ..operators import relations as R
 from ..operators import series as T
 from ..sources import logs
@@ -375,6 +376,37 @@ def pressure_altitude(spark, sf_dir):
     return samples(spark, sf_dir).select("l_orderkey", "l_linenumber", r(S.pressure_of(clear), 4).alias("pressure"), r(S.altitude_of(90000 + clear)).alias("altitude"))
 
 
+def _scaled(spark, sf_dir) -> DataFrame:
+    n = table(spark, sf_dir, "lineitem")
+    return n.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"), (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("d"), (F.col("l_extendedprice") / 1000).cast("double").alias("y"))
+
+
+def _fit(df: DataFrame) -> DataFrame:
+    m = A.error_metrics(F.col("y"), F.col("y_hat"))
+    return df.agg(m["n"].alias("n"), r(m["rmse"], 2).alias("rmse"), r(m["r2"], 3).alias("r2"))
+
+
+@query()
+def l5_epsilon_machine(spark, sf_dir):
+    """Fitted on up to 800 rows, in blocks of 200, with the published penalty; every row is predicted."""
+    d = _scaled(spark, sf_dir)
+    return _fit(M.epsilon_machine(d, ["q", "d"], "y", "id", c=250.0, epsilon=4.0, gamma=2.0, most=800, block=200, gap=0.01).predict(d, ["q", "d"]))
+
+
+@query()
+def l6_machine_grid(spark, sf_dir):
+    """Cross-validated errors over the grid of margins, widths and penalties."""
+    got = M.machine_grid(_scaled(spark, sf_dir), ["q", "d"], "y", "id", [1.0, 4.0, 9.0], [0.5, 2.0, 8.0], [50.0, 250.0], most=250)
+    return got.select("epsilon", "gamma", "c", r(F.col("rmse"), 3).alias("rmse"))
+
+
+@query()
+def l12_relevance(spark, sf_dir):
+    """Fitted on up to 600 rows; every row is predicted."""
+    d = _scaled(spark, sf_dir)
+    return _fit(M.relevance(d, ["q", "d"], "y", "id", gamma=1.0, most=600)[0].predict(d, ["q", "d"]))
+
+
 @query()
 def l12_hinges(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
