@@ -15,6 +15,7 @@ from ..operators import learning as L
 from ..operators import machines as M
 from ..operators import relations as R
 from ..operators import series as T
+from ..operators import trees as R5
 from ..sources import logs
 from ..streaming import stateful
 from .queries import BRACKET, COS, DISC, FIELD, ORACLE_SQL, OVER, PLACE, QUERIES, REACH, SAMPLES, SIDE, SIN, E, events, field, query, r, samples, table
@@ -407,6 +408,38 @@ def l12_relevance(spark, sf_dir):
     return _fit(M.relevance(d, ["q", "d"], "y", "id", gamma=1.0, most=600)[0].predict(d, ["q", "d"]))
 
 
+_KNOTS = {"l_quantity": [5.0, 10.0, 15.0, 20.0, 25.0, 30.0, 35.0, 40.0, 45.0], "l_discount": [0.025, 0.055, 0.075], "l_linenumber": [1.5, 2.5, 4.5]}
+_CUTS = " UNION ALL ".join(f"SELECT {100 * i + j} AS o, {k}::DOUBLE AS k, i, p, {f}::DOUBLE <= {k}::DOUBLE AS l, y FROM LEVEL" for i, (f, ks) in enumerate(_KNOTS.items()) for j, k in enumerate(ks))
+_SPLIT = lambda n: f"""g{n} AS (SELECT p, o, k, sum(c) AS c, max(sd_all) - sum(c * sd) / sum(c) AS gain, min(c) AS least, count(*) AS sides FROM (SELECT p, o, k, l, count(*) AS c, coalesce(stddev_pop(y), 0) AS sd FROM ({_CUTS.replace("LEVEL", f"x{n}")}) GROUP BY ALL) JOIN (SELECT p, stddev_pop(y) AS sd_all FROM x{n} GROUP BY p) USING (p) GROUP BY p, o, k),
+b{n} AS (SELECT p, o, k FROM g{n} WHERE sides = 2 AND least >= 50 AND round(gain, 9) > 0 QUALIFY row_number() OVER (PARTITION BY p ORDER BY round(gain, 9) DESC, o) = 1),
+x{n + 1} AS (SELECT x.* EXCLUDE (p), x.p || CASE WHEN b.p IS NULL THEN '' WHEN CASE o // 100 {" ".join(f"WHEN {i} THEN {f}::DOUBLE" for i, f in enumerate(_KNOTS))} END <= k THEN 'l' ELSE 'r' END AS p FROM x{n} x LEFT JOIN b{n} b ON x.p = b.p)"""
+
+
+@query(f"WITH x0 AS (SELECT row_number() OVER () AS i, l_quantity, l_discount, l_linenumber, l_extendedprice::DOUBLE AS y, '' AS p FROM lineitem), {_SPLIT(0)}, {_SPLIT(1)}, {_SPLIT(2)} SELECT p AS leaf, count(*) AS n, round(avg(y), 3) + 0.0 AS mean, round(stddev_pop(y), 3) + 0.0 AS sd FROM x3 GROUP BY p")
+def l12_model_tree(spark, sf_dir):
+    """The leaves of a tree of three levels by given knots, as paths from the root; the SQL searches all splits."""
+    n = table(spark, sf_dir, "lineitem").select(*[F.col(c).cast("double").alias(c) for c in (*_KNOTS, "l_extendedprice")])
+    root = R5.model_tree(n, list(_KNOTS), "l_extendedprice", knots=_KNOTS, depth=3, least=50, flat=0.0, linear=False, prune=False, smoothing=0)
+    path = {}
+
+    def walk(node, p):
+        path[id(node)] = p
+        if node.feature is not None:
+            walk(node.left, p + "l")
+            walk(node.right, p + "r")
+
+    walk(root, "")
+    return n.groupBy(root.column(lambda leaf: F.lit(path[id(leaf)])).alias("leaf")).agg(F.count(F.lit(1)).alias("n"), r(F.avg("l_extendedprice"), 3).alias("mean"), r(F.stddev_pop("l_extendedprice"), 3).alias("sd"))
+
+
+@query()
+def l12_model_tree_fit(spark, sf_dir):
+    """A pruned and smoothed model tree with linear leaves; every row is predicted."""
+    d = _scaled(spark, sf_dir)
+    root = R5.model_tree(d, ["q", "d"], "y", depth=4)
+    return _fit(d.withColumn("y_hat", R5.tree_prediction(root)))
+
+
 @query()
 def l12_hinges(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
