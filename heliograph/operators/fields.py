@@ -269,3 +269,43 @@ def threshold_separation(field: DataFrame, frame: str, level: Column, levels: in
         return pd.DataFrame({frame: p[frame].iat[0], "tile_x": np.repeat(some // down, levels), "tile_y": np.repeat(some % down, levels), "level": np.tile(k, len(some)), "n": own[some][:, k].ravel(), "separated": sums[some][:, k].ravel()})
 
     return d.groupBy(frame).applyInPandas(run, f"`{frame}` {d.schema[frame].dataType.simpleString()}, tile_x long, tile_y long, level long, n long, separated double")
+
+
+def moved_by(field: DataFrame, motion: DataFrame, frame: str, scale: int = 1, value: str = "value") -> DataFrame:
+    """The field moved by each frame's (u, v) / scale, bilinear between pixels; pixels that come from outside in part are left
+    out. motion: (frame, u, v), a row a frame."""
+    m = motion.select(frame, (F.col("u") / scale).alias("_u"), (F.col("v") / scale).alias("_v"))
+    m = m.select(frame, F.floor("_u").alias("_i"), F.floor("_v").alias("_j"), (F.col("_u") - F.floor("_u")).alias("_fu"), (F.col("_v") - F.floor("_v")).alias("_fv"))
+    corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
+    share = lambda f, k: F.when(F.col(k) == 1, F.col(f)).otherwise(1 - F.col(f))
+    d = field.join(m, frame).select(frame, "x", "y", F.col(value).alias("_value"), "_i", "_j", "_fu", "_fv", corner.alias("_c"))
+    d = d.select(frame, (F.col("x") + F.col("_i") + F.col("_c.i")).alias("x"), (F.col("y") + F.col("_j") + F.col("_c.j")).alias("y"), "_value", (share("_fu", "_c.i") * share("_fv", "_c.j")).alias("_w"))
+    d = d.groupBy(frame, "x", "y").agg(F.sum(F.col("_value") * F.col("_w")).alias(value), F.sum("_w").alias("_w"))
+    return d.where(F.col("_w") > 1 - 1e-9).drop("_w")
+
+
+def fine_motion(before: DataFrame, after: DataFrame, frame: str, scales: tuple[int, ...] = (4, 2, 1), rounds: int = 4, value: str = "value") -> DataFrame:
+    """frame, u, v: the motion, to fractions of a pixel, that takes the earlier field nearest to the later one.
+
+    From coarse to fine boxes, each round moves the earlier field by what is known and adds the Gauss-Newton step that
+    five sums over a frame's pixels give: of its slopes' products, and of these with what is left. A motion so large that
+    fields don't overlap at the coarsest scale isn't found; frames without slopes stay at 0. A round is a table in
+    spark.checkpoint.dir, a row a frame.
+    """
+    from ..sources.logs import kept
+
+    m = before.select(frame).distinct().withColumns({"u": F.lit(0.0), "v": F.lit(0.0)})
+    for k in scales:
+        b, a = (kept(downscale(f, frame, k, value) if k > 1 else f.select(frame, "x", "y", F.col(value).cast("double").alias(value)), "scaled") for f in (before, after))
+        for _ in range(rounds):
+            d = moved_by(b, m, frame, k, value)
+            side = lambda w: F.when(F.lead(w[1]).over(w[0]) - F.lag(w[1]).over(w[0]) == 2, (F.lead(value).over(w[0]) - F.lag(value).over(w[0])) / 2)
+            d = d.withColumn("_gx", side((W.partitionBy(frame, "y").orderBy("x"), "x"))).withColumn("_gy", side((W.partitionBy(frame, "x").orderBy("y"), "y"))).where("_gx is not null and _gy is not null")
+            d = d.join(a.select(frame, "x", "y", F.col(value).alias("_a")), [frame, "x", "y"])
+            rest, x, y = F.col("_a") - F.col(value), F.col("_gx"), F.col("_gy")
+            s = d.groupBy(frame).agg(F.sum(x * x).alias("_xx"), F.sum(x * y).alias("_xy"), F.sum(y * y).alias("_yy"), F.sum(x * rest).alias("_xr"), F.sum(y * rest).alias("_yr"))
+            det = F.col("_xx") * F.col("_yy") - F.col("_xy") * F.col("_xy")
+            ok = det > 1e-9 * F.col("_xx") * F.col("_yy")
+            step = lambda p, q, r, t: F.coalesce(F.when(ok, -k * (F.col(p) * F.col(r) - F.col(q) * F.col(t)) / det), F.lit(0.0))  # noqa: B023, E731
+            m = kept(m.join(s, frame, "left").select(frame, (F.col("u") + step("_yy", "_xy", "_xr", "_yr")).alias("u"), (F.col("v") + step("_xx", "_xy", "_yr", "_xr")).alias("v")), "motion")
+    return m

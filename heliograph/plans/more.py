@@ -242,6 +242,26 @@ def i12_sun_spots(spark, sf_dir):
     return got.select("frame", "channel", "spot_x", "spot_y", r(F.col("contrast")).alias("contrast"), r(F.col("error")).alias("error"))
 
 
+_WAVES = "100 + 40 * sin((x - {u}) / 5.0::DOUBLE) * cos((y - {v}) / 4.0::DOUBLE) + 30 * cos((x - {u}) / 7.0::DOUBLE + (y - {v}) / 6.0::DOUBLE)".format
+
+
+def _move(n: int) -> str:
+    """One round of the motion search in SQL, from m{n} to m{n + 1}."""
+    return f"""w{n} AS (SELECT b.frame, b.x + floor(u)::BIGINT + i AS x, b.y + floor(v)::BIGINT + j AS y, sum(b.value * CASE i WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END * CASE j WHEN 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS value, count(*) FILTER (CASE i WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END * CASE j WHEN 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END > 0) AS c, sum(CASE i WHEN 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END * CASE j WHEN 1 THEN v - floor(v) ELSE 1 - (v - floor(v)) END) AS s FROM b JOIN m{n} m USING (frame), (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) t(i, j) GROUP BY ALL),
+g{n} AS (SELECT frame, x, y, value, CASE WHEN lead(x) OVER h - lag(x) OVER h = 2 THEN (lead(value) OVER h - lag(value) OVER h) / 2 END AS gx, CASE WHEN lead(y) OVER k - lag(y) OVER k = 2 THEN (lead(value) OVER k - lag(value) OVER k) / 2 END AS gy FROM w{n} WHERE s > 1 - 1e-9 WINDOW h AS (PARTITION BY frame, y ORDER BY x), k AS (PARTITION BY frame, x ORDER BY y)),
+s{n} AS (SELECT frame, sum(gx * gx) AS xx, sum(gx * gy) AS xy, sum(gy * gy) AS yy, sum(gx * (a.value - g.value)) AS xr, sum(gy * (a.value - g.value)) AS yr FROM g{n} g JOIN a USING (frame, x, y) WHERE gx IS NOT NULL AND gy IS NOT NULL GROUP BY frame),
+m{n + 1} AS (SELECT m.frame, u - (yy * xr - xy * yr) / (xx * yy - xy * xy) AS u, v - (xx * yr - xy * xr) / (xx * yy - xy * xy) AS v FROM m{n} m JOIN s{n} USING (frame))"""
+
+
+@query(f"""WITH {FIELD}, b AS (SELECT frame, x, y, {_WAVES(u="0", v="0")} AS value FROM f), a AS (SELECT frame, x, y, {_WAVES(u="(frame % 9) / 5.0::DOUBLE", v="(frame % 7) / -4.0::DOUBLE")} AS value FROM f), m0 AS (SELECT DISTINCT frame, 0.0::DOUBLE AS u, 0.0::DOUBLE AS v FROM f), {_move(0)}, {_move(1)}, {_move(2)} SELECT frame, round(u, 6) + 0.0 AS u, round(v, 6) + 0.0 AS v FROM m3""")
+def i6_fine_motion(spark, sf_dir):
+    f, x, y = (F.col(c) for c in ("frame", "x", "y"))
+    look = lambda u, v: 100 + 40 * F.sin((x - u) / 5.0) * F.cos((y - v) / 4.0) + 30 * F.cos((x - u) / 7.0 + (y - v) / 6.0)
+    p = field(spark, sf_dir)
+    before, after = p.withColumn("value", look(F.lit(0), F.lit(0))), p.withColumn("value", look((f % 9) / 5.0, (f % 7) / -4.0))
+    return I.fine_motion(before, after, "frame", (1,), 3).select("frame", r(F.col("u")).alias("u"), r(F.col("v")).alias("v"))
+
+
 # ---- learning and physics --------------------------------------------------------------------------
 
 

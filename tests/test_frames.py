@@ -241,3 +241,17 @@ def test_star_of_six_points():
     round_fill, round_free, _, _ = frames.star_shape(w.astype(float), (31, 29), (30.0, 30.0), s)
     assert free > 0.2 > round_free and round_fill > 0.85 and fill > 0.6 and middle == (31, 29)
     assert frames.star_shape(np.full((40, 40), 200.0), (20, 20), (20.0, 20.0), s) is None
+
+
+def test_motion_below_a_pixel(spark):
+    """Planted shifts, found to a twentieth of a pixel; a flat frame stays."""
+    x, y = np.meshgrid(np.arange(32), np.arange(32), indexing="ij")
+    look = lambda u, v: 100 + 40 * np.sin((x - u) / 5) * np.cos((y - v) / 4) + 30 * np.cos((x - u) / 7 + (y - v) / 6)
+    shifts = {1: (0.0, 0.0), 2: (0.35, -0.6), 3: (2.3, 1.7), 4: (-3.8, 0.45)}
+    make = lambda s: [(f, int(i), int(j), float(w)) for f, (u, v) in s.items() for i, j, w in zip(x.ravel(), y.ravel(), look(u, v).ravel(), strict=True)]
+    flat = [(9, i, j, 5.0) for i in range(8) for j in range(8)]
+    before = spark.createDataFrame(make({f: (0.0, 0.0) for f in shifts}) + flat, "frame long, x long, y long, value double")
+    after = spark.createDataFrame(make(shifts) + flat, "frame long, x long, y long, value double")
+    got = {r["frame"]: (r["u"], r["v"]) for r in fields.fine_motion(before, after, "frame", rounds=3).collect()}
+    assert got.pop(9) == (0.0, 0.0)
+    assert all(abs(got[f][k] - shifts[f][k]) < 0.05 for f in shifts for k in (0, 1))
