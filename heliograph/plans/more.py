@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,7 +19,7 @@ from ..operators import relations as R
 from ..operators import series as T
 from ..operators import trees as R5
 from ..sources import logs
-from ..streaming import stateful
+from ..streaming import stateful, timers
 from .queries import BRACKET, COS, DISC, FIELD, ORACLE_SQL, OVER, PLACE, QUERIES, REACH, SAMPLES, SIDE, SIN, E, events, field, query, r, samples, table
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
@@ -657,8 +659,9 @@ def _streamed(spark, sf_dir, transform, mode: str) -> DataFrame:
         if mode == "complete":
             out = out.outputMode(mode).foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{path}/out"))
         else:
-            out = out.outputMode(mode).format("parquet").option("path", f"{path}/out")
-        out.start().awaitTermination()
+            out = out.outputMode("append" if mode == "timers" else mode).format("parquet").option("path", f"{path}/out")
+        with timers.timer_state(spark) if mode == "timers" else nullcontext():
+            out.start().awaitTermination()
     return spark.read.parquet(f"{path}/out")
 
 
@@ -712,6 +715,15 @@ def st7_tracks(spark, sf_dir):
     return got.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "x", r(F.col("y")).alias("y"), "track")
 
 
+@query(f"""WITH g AS (SELECT user_id, ts, value, CASE WHEN ts < lag(ts) OVER o + INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)), k AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+SELECT user_id, {_AT('min(ts)')} AS start, {_AT('max(ts)')} AS last, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM k GROUP BY user_id, k HAVING max(ts) + INTERVAL 12 HOURS <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)""")
+def st2_episodes(spark, sf_dir):
+    """Episodes that end by a timer, with or without a further row of their user."""
+    got = _streamed(spark, sf_dir, lambda s: timers.episode_stream(s, "user_id", "ts", "value", "12 HOURS"), "timers")
+    at = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return got.select("user_id", at("start"), at("last"), "n", r(F.col("total"), 4).alias("total"))
+
+
 @query(f"SELECT event_id, {_AT('ts')} AS ts FROM events WHERE strftime(ts, '%H:%M') >= '20:30' OR strftime(ts, '%H:%M') < '05:15'")
 def st9_hours_stream(spark, sf_dir):
     got = _streamed(spark, sf_dir, lambda s: stateful.within_hours(s, "ts", "20:30", "05:15"), "append")
