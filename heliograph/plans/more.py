@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from contextlib import nullcontext
 
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ from ..operators import machines as M
 from ..operators import relations as R
 from ..operators import series as T
 from ..operators import trees as R5
-from ..sources import logs
+from ..sources import database, logs
 from ..streaming import stateful, timers
 from .queries import BRACKET, COS, DISC, FIELD, ORACLE_SQL, OVER, PLACE, QUERIES, REACH, SAMPLES, SIDE, SIN, E, events, field, query, r, samples, table
 
@@ -644,6 +645,21 @@ def k7_libsvm(spark, sf_dir):
     return spark.read.text(path).select("value")
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE round(o_totalprice, 2) END AS price, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderpriority END AS priority FROM orders WHERE o_orderkey % 7 <> 0")
+def k8_database_rows(spark, sf_dir):
+    """Rows inserted, replaced and deleted in a database, and read back in ranges."""
+    path = logs.scratch(spark, "rows").removeprefix("file://")
+    at = {"database": f"{path}.db", "timeout": 300}
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    database.execute(at, "CREATE TABLE prices (o_orderkey BIGINT PRIMARY KEY, price DOUBLE, priority TEXT)")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.round("o_totalprice", 2).cast("double").alias("price"), F.col("o_orderpriority").alias("priority"))
+    database.change_rows(o, at, "prices", "insert")
+    database.change_rows(o.where("o_orderkey % 5 = 0").select("o_orderkey", F.lit(-1.0).alias("price"), F.lit(None).cast("string").alias("priority")), at, "prices", "replace", ["o_orderkey"])
+    database.change_rows(o.where("o_orderkey % 7 = 0").select("o_orderkey"), at, "prices", "delete", ["o_orderkey"])
+    most = database.execute(at, "SELECT max(o_orderkey) FROM prices")[0][0] or 0
+    return database.read_query(spark, at, "SELECT * FROM prices", "o_orderkey long, price double, priority string", column="o_orderkey", low=0, high=most, parts=4)
+
+
 # ---- streams ---------------------------------------------------------------------------------------
 
 
