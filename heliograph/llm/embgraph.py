@@ -309,7 +309,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     vectors are compared whole; empty tables give no rows; other columns are ignored.
     """
     ok = usable(vectors, id_col, vector_col, label_col).where("vec_id is not null")
-    ok = written(ok.withColumn("key", F.sha2(F.concat_ws(",", "label", F.col("v").cast("array<string>")).cast("binary"), 256)).dropDuplicates(["vec_id", "key"]), "vectors")
+    ok = written(ok.withColumn("key", F.sha2(F.concat_ws(",", F.octet_length("label").cast("string"), "label", F.col("v").cast("array<string>")).cast("binary"), 256)).dropDuplicates(["vec_id", "key"]), "vectors")
     classes = written(ok.groupBy("key").agg(F.min("vec_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "classes")
     reps = ok.join(classes.select(F.col("class_id").alias("vec_id"), "key", "n").hint("merge"), ["vec_id", "key"]).select("vec_id", "label", "v", "n")
     found = written(links(reps, least, **given), "links")
