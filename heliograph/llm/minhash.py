@@ -20,7 +20,7 @@ TREES, DEPTH, LEAST = 24, 8, 4  # trees; MinHash values in a label; those that n
 NEAR = 12  # a region of so many rows at most is compared whole at once
 BLOCK = 512  # rows of a dense region that are compared together
 SALTS = 16  # a dense region's rows are dealt over so many keys in the join with its sizes
-SLACK = 5.5  # standard deviations below the similarity at which equal MinHash values rule a pair out (once in 10^7)
+SLACK = 5.5  # standard deviations below the similarity at which equal MinHash values rule a pair out (once in 10^7); None: never
 _G = np.random.default_rng(11)
 _XOR = _G.integers(0, 1 << 32, TREES * DEPTH, dtype=np.uint32)
 _MUL = _G.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -193,7 +193,7 @@ def _common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _open_pairs(tree: int, g: dict, x: np.ndarray, y: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+def _open_pairs(tree: int, g: dict, x: np.ndarray, y: np.ndarray, num: int, den: int, slack: float | None = SLACK) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows x with rows y, of two components, that meet in no earlier tree and that sizes and MinHash values allow."""
     v, n, c = g["values"], g["n_shingles"], g["component"]
     ok = c[x][:, None] != c[y][None]
@@ -201,11 +201,11 @@ def _open_pairs(tree: int, g: dict, x: np.ndarray, y: np.ndarray, num: int, den:
     start = np.ascontiguousarray(v.reshape(len(v), TREES, DEPTH)[:, :, :LEAST]).view(np.uint64)[:, :, 0]
     for t in range(tree):
         ok &= start[x, t][:, None] != start[y, t][None]
-    if ok.any():
+    if slack is not None and ok.any():
         equal, share, of = np.zeros(ok.shape, np.int16), num / den, TREES * DEPTH
         for k in range(of):
             equal += v[x, k][:, None] == v[y, k][None]
-        ok &= equal >= of * share - SLACK * np.sqrt(of * share * (1 - share))
+        ok &= equal >= of * share - slack * np.sqrt(of * share * (1 - share))
     i, j = np.nonzero(ok)
     return x[i], y[j]
 
@@ -228,7 +228,7 @@ def _joined(pairs: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 2)
 
 
-def dense_links(near: DataFrame, reps: DataFrame, label: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+def dense_links(near: DataFrame, reps: DataFrame, label: DataFrame, texts: DataFrame, k: int, num: int, den: int, slack: float | None = SLACK) -> DataFrame:
     """Links (a, b) between the components of label (id, component) that all pairs in dense regions near (tree, prefix,
     doc_id) give; texts (doc_id, text).
 
@@ -273,7 +273,7 @@ def dense_links(near: DataFrame, reps: DataFrame, label: DataFrame, texts: DataF
         left = t["left"].to_numpy()
         one = t["i"][0].as_py() == t["j"][0].as_py()
         x, y = (np.arange(len(t)),) * 2 if one else (np.flatnonzero(left), np.flatnonzero(~left))
-        a, b = _open_pairs(t["tree"][0].as_py(), g, x, y, num, den)
+        a, b = _open_pairs(t["tree"][0].as_py(), g, x, y, num, den, slack)
         return (a[a < b], b[a < b], g) if one else (a, b, g)
 
     def possible(batches):
@@ -332,12 +332,13 @@ def joined(label: DataFrame, more: DataFrame) -> DataFrame:
     return old.union(more.join(label.select("id"), "id", "left_anti").select("id", "component"))
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100, slack: float | None = SLACK) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept for every row of docs.
 
     Documents whose sets of k-word shingles have den * intersection >= num * union are linked; component_id is the
     smallest id reachable, kept marks the row that bears it. Equal sets form a class (class_id: its smallest id) that is
-    searched once. Defined cases: null or blank texts have no shingles, link with nothing and are kept; texts of fewer
+    searched once. slack None compares all sets of dense regions whose sizes allow a link, exactly and for more work; by
+    default MinHash values rule some out first. Defined cases: null or blank texts have no shingles, link with nothing and are kept; texts of fewer
     than k words have one shingle; a very long text is read whole, a block of its bytes after the other; rows that repeat
     an id each get a row; a null id is its class's component; empty tables give no rows; other columns of docs are ignored.
     """
@@ -354,7 +355,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     texts = every.join(wanted.hint("merge"), "doc_id", "left_semi")
     label = components(confirmed(pairs, written(texts, "texts"), k, num, den))
     near = met.where("b is null").select("tree", "prefix", F.col("a").alias("doc_id"))
-    label = joined(label, components(dense_links(near, reps, label, every, k, num, den)))
+    label = joined(label, components(dense_links(near, reps, label, every, k, num, den, slack)))
     of = label.select(F.col("id").alias("class_id"), "component")
     classes = classes.join(of, "class_id", "left").select("h1", "h2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component"))
     out = sk.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"], "left")

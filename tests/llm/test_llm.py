@@ -579,3 +579,20 @@ def test_stages_of_an_empty_table(spark, odd):
     import corpus_pipeline
 
     assert all(stage(spark, odd.limit(0), SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
+def test_labels_and_vectors_are_kept_apart(spark):
+    rows = [(1, [2.0, 3.0], "1"), (2, [3.0], "1,2.0"), (3, [2.0, 3.0], "1"), (4, [5.0], "1,2.0")]
+    got = {r["vec_id"]: r for r in embgraph.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert [(got[i]["n_links"], got[i]["component_id"]) for i in (1, 2, 3, 4)] == [(1, 1), (1, 2), (1, 1), (1, 2)]
+
+
+def test_dense_regions_compared_without_values_give_the_same(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:40] + [f"x{i}_{j}" for j in range(i % 12)] + base[40:])) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = (sorted(tuple(r) for r in minhash.near_duplicates(d, k=2, slack=s).collect()) for s in (minhash.SLACK, None))
+    assert a == b
+    sets = {i: shingles(t, 2) for i, t in rows}
+    linked = [(i, j) for i, s in sets.items() for j, t in sets.items() if i < j and 100 * len(s & t) >= 80 * len(s | t)]
+    assert {r[0]: r[3] for r in a} == smallest_reachable(sets, linked)
