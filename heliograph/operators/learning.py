@@ -352,3 +352,54 @@ def tree_ensemble(df: DataFrame, features: list[str], target: str, trees: int =
     known = d.where(F.col(target).isNotNull()).select("_x", F.col(target).cast("double").alias("_y"))
     forest = RandomForestRegressor(featuresCol="_x", labelCol="_y", numTrees=trees, maxDepth=depth, seed=seed).fit(known)
     return forest.transform(d).drop("_x")
+
+
+def principal_components(df: DataFrame, vector: str, k: int, rounds: int = 100, gap: float = 1e-8, spare: int = 12, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, components (k, d), variances) of a column of vectors of one length, by the power method with deflation.
+
+    A round is one pass over the rows: each task adds up its rows' products with the current directions, the sums meet in
+    Spark, and the driver, which holds k directions and some spare ones that hasten the rounds, turns them to the axes of
+    the variance they span and takes what lies along earlier ones out of later ones. It ends when what a product has beside
+    its own direction is below gap of the first variance. Vectors that are null or hold a null or NaN are left out.
+    """
+    import pandas as pd
+
+    ok = df.where(F.col(vector).isNotNull() & ~F.exists(F.col(vector), lambda x: x.isNull() | F.isnan(x))).select(F.col(vector).cast("array<double>").alias("_v"))
+    first = ok.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("_v")).alias("d"), F.min(F.size("_v")).alias("least")).first()
+    n, d = first["n"], first["d"] or 0
+    if n and first["least"] != d:
+        raise ValueError("the vectors' lengths differ")
+    if not n or not d:
+        return np.zeros(d), np.zeros((0, d)), np.zeros(0)
+
+    def summed(make, rows: int) -> np.ndarray:
+        """The sum over tasks of make(vectors): rows x d numbers."""
+
+        def run(parts):
+            total = np.zeros((rows, d))
+            for p in parts:
+                if len(p):
+                    total += make(np.stack(p["_v"].to_numpy()))
+            yield pd.DataFrame({"i": np.arange(rows), "s": list(total)})
+
+        parts = ok.mapInPandas(run, "i int, s array<double>").select("i", F.posexplode("s").alias("j", "s")).groupBy("i", "j").agg(F.sum("s").alias("s"))
+        out = np.zeros((rows, d))
+        for r in parts.collect():  # rows x d numbers
+            out[r["i"], r["j"]] = r["s"]
+        return out
+
+    mean = summed(lambda x: x.sum(0)[None], 1)[0] / n
+    k, m = min(k, d), min(k + spare, d)
+    v = np.linalg.qr(np.random.default_rng(seed).normal(size=(d, m)))[0].T
+    for _ in range(rounds):
+        w = summed(lambda x, v=v: ((x - mean) @ v.T).T @ (x - mean), m) / max(1, n - 1)
+        size, turn = np.linalg.eigh((v @ w.T + w @ v.T) / 2)
+        size, turn = size[::-1], turn[:, ::-1].T
+        v, w = turn @ v, turn @ w  # w: the covariance times v
+        beside = np.linalg.norm(w[:k] - size[:k, None] * v[:k], axis=1).max()
+        if beside <= gap * max(size[0], 1e-300):
+            break
+        v = np.linalg.qr(w.T)[0].T  # each direction less what lies along those before it
+    v, size = v[:k], size[:k]
+    largest = np.abs(v).argmax(1)
+    return mean, v * np.where(v[np.arange(k), largest] < 0, -1, 1)[:, None], size

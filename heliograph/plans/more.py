@@ -19,7 +19,7 @@ from ..operators import machines as M
 from ..operators import relations as R
 from ..operators import series as T
 from ..operators import trees as R5
-from ..sources import database, logs
+from ..sources import database, logs, matfiles
 from ..streaming import stateful, timers
 from .queries import BRACKET, COS, DISC, FIELD, ORACLE_SQL, OVER, PLACE, QUERIES, REACH, SAMPLES, SIDE, SIN, E, events, field, query, r, samples, table
 
@@ -660,6 +660,30 @@ def k8_database_rows(spark, sf_dir):
     return database.read_query(spark, at, "SELECT * FROM prices", "o_orderkey long, price double, priority string", column="o_orderkey", low=0, high=most, parts=4)
 
 
+@query("SELECT s_nationkey::BIGINT AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, s_suppkey::DOUBLE AS key, s_acctbal::DOUBLE AS balance FROM supplier")
+def s12_mat_files(spark, sf_dir):
+    """A nation's suppliers as two variables of a MAT file, read back."""
+
+    def packed(p):
+        import pandas as pd
+
+        p = p.sort_values("s_suppkey")
+        return pd.DataFrame({"name": [f"nation{p['s_nationkey'].iat[0]}.mat"], "content": [matfiles.mat_bytes({"key": p["s_suppkey"].to_numpy(float), "balance": p["s_acctbal"].to_numpy(float)})]})
+
+    path = logs.scratch(spark, "mat")
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.col("s_acctbal").cast("double").alias("s_acctbal"))
+    logs.write_files(s.groupBy("s_nationkey").applyInPandas(packed, "name string, content binary"), path)
+    m = matfiles.mat(spark, path).withColumn("nation", F.regexp_extract("path", r"nation(\d+)", 1).cast("long"))
+    return m.groupBy("nation", "i").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in ("key", "balance")])
+
+
+@query()
+def l18_components(spark, sf_dir):
+    """The three directions in which the embeddings vary most."""
+    _, parts, size = L.principal_components(table(spark, sf_dir, "embeddings"), "embedding", 3)
+    return spark.createDataFrame([(i, j, round(float(size[i]), 5), round(float(v), 3)) for i, row in enumerate(parts) for j, v in enumerate(row)], "component long, position long, variance double, weight double")
+
+
 # ---- streams ---------------------------------------------------------------------------------------
 
 

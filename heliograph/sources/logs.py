@@ -96,6 +96,28 @@ def write_pixmaps(field: DataFrame, name: str, path: str) -> None:
     field.groupBy(name).agg(head.alias("value")).write.partitionBy(name).text(path)
 
 
+def write_files(df: DataFrame, path: str) -> None:
+    """The rows of df (name, content) as files of a folder that driver and executors share as a file system; each is written
+    beside its place and then moved there, so that a task that runs again leaves the same."""
+    folder = re.sub("^file:(//)?", "", path)
+    if re.match(r"\w+:", folder):
+        raise ValueError("binary files are written to a shared file system")
+
+    def run(parts):
+        import os
+
+        os.makedirs(folder, exist_ok=True)
+        for p in parts:
+            for name, content in zip(p["name"], p["content"], strict=True):
+                own = f"{folder}/.{uuid.uuid4().hex}"
+                with open(own, "wb") as f:
+                    f.write(content)
+                os.replace(own, f"{folder}/{name}")
+            yield p[["name"]]
+
+    df.select("name", "content").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
+
+
 def pixmaps(spark: SparkSession, path: str) -> DataFrame:
     """path, x, y (from 0, downwards), red, green, blue of text pixmaps (P3) of any folder below path; comments are skipped, and
     files that are no such images left out. A read that fails is tried again with its task."""

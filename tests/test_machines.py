@@ -82,3 +82,18 @@ def test_relevance_machine_is_sparse_and_near(spark):
     assert len(m.beta) < 40 and np.sqrt(np.mean((m.values(x) - y) ** 2)) < 0.7 and 0.1 < noise < 0.6
     empty, _ = machines.relevance(table(spark, x[:0], y[:0]), ["a", "b"], "y", "id")
     assert len(empty.beta) == 0
+
+
+def test_components_equal_an_exact_decomposition(spark):
+    from heliograph.operators import learning
+
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    x = np.array([r["embedding"] for r in e.select("embedding").collect()])
+    value, vector = np.linalg.eigh(np.cov(x.T))
+    mean, parts, size = learning.principal_components(e, "embedding", 3)
+    assert np.allclose(mean, x.mean(0)) and np.allclose(size, value[::-1][:3], rtol=1e-6)
+    assert all(abs(parts[i] @ vector[:, -1 - i]) > 1 - 1e-6 for i in range(3))
+    odd = spark.createDataFrame([([1.0, 2.0],), (None,), ([float("nan"), 1.0],), ([3.0, 6.0],)], "v array<double>")
+    mean, parts, size = learning.principal_components(odd, "v", 5)
+    assert mean.tolist() == [2.0, 4.0] and abs(size[0] - 10) < 1e-9 and abs(size[1]) < 1e-9
+    assert len(learning.principal_components(odd.limit(0), "v", 2)[2]) == 0
