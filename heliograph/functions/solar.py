@@ -359,6 +359,25 @@ def adr_inverter(vdc: Column, pdc: Column, p: dict) -> Column:
     return F.when((vdc == 0) | (ac < night), night).otherwise(F.least(ac, F.lit(float(p["pacmax"]))))
 
 
+def with_single_axis(df: DataFrame, zenith: str, azimuth: str, axis_tilt: float = 0.0, axis_azimuth: float = 180.0, most: float = 90.0, cover: float | None = None) -> DataFrame:
+    """df with theta, incidence, surface_tilt, surface_azimuth of a tracker that turns about one axis of any tilt, in degrees;
+    null while the sun is down. cover, the share of the ground that rows cover, turns rows back so that none shades the next."""
+    t, o = math.radians(axis_tilt), math.radians(axis_azimuth - 180)
+    z, a, bound = F.radians(zenith), F.radians(F.col(azimuth) - 180), lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    d = df.withColumns({"_x": F.sin(z) * F.sin(a), "_y": F.sin(z) * F.cos(a), "_up": F.cos(z)})
+    x, y, up = F.col("_x"), F.col("_y"), F.col("_up")
+    d = d.withColumns({"_xp": x * math.cos(o) - y * math.sin(o), "_zp": x * math.sin(t) * math.sin(o) + y * math.sin(t) * math.cos(o) + up * math.cos(t)})  # across the axis, and away from it
+    d = d.withColumn("_wide", F.atan2("_xp", "_zp"))
+    if cover is not None:
+        d = d.withColumn("_back", F.acos(bound(F.cos("_wide") / cover))).withColumn("_wide", F.when(F.col("_wide") < 0, F.col("_wide") + F.col("_back")).otherwise(F.col("_wide") - F.col("_back"))).drop("_back")
+    d = d.withColumn("_theta", F.greatest(F.lit(-math.radians(most)), F.least(F.lit(math.radians(most)), F.col("_wide")))).withColumns({"_nx": F.sin("_theta"), "_nz": F.cos("_theta")})
+    nx, nz = F.col("_nx"), F.col("_nz")
+    d = d.withColumn("_turn", F.degrees(F.atan2(nx * math.cos(o) + nz * math.sin(t) * math.sin(o), -nx * math.sin(o) + nz * math.sin(t) * math.cos(o))) + 180)
+    up_now = F.col(zenith) < 90
+    out = {"theta": F.degrees("_theta"), "incidence": F.degrees(F.acos(bound(F.abs(F.col("_xp") * nx + F.col("_zp") * nz)))), "surface_tilt": F.degrees(F.acos(bound(nz * math.cos(t)))), "surface_azimuth": F.col("_turn") - 360 * F.floor(F.col("_turn") / 360)}
+    return d.withColumns({k: F.when(up_now, c) for k, c in out.items()}).drop("_x", "_y", "_up", "_xp", "_zp", "_wide", "_theta", "_nx", "_nz", "_turn")
+
+
 def tracker_angle(zenith: Column, azimuth: Column, axis_azimuth: float, most: float = 90.0) -> Column:
     """Rotation (degrees, positive to the west of a north-south axis seen from the south) of a horizontal single-axis tracker
     that points its modules at the sun as far as its stops allow; null at night."""

@@ -93,6 +93,21 @@ def j14_assignment(spark, sf_dir):
     return R.assigned(pairs, "l_orderkey", "line", "slot", "cost", alone=20.0)
 
 
+_DP = lambda i: f"d{i + 1} AS (SELECT l_orderkey, mask, min(cost) AS cost FROM (SELECT d.l_orderkey, mask, cost + CASE WHEN q IS NULL THEN 0 ELSE 20 END AS cost FROM d{i} d LEFT JOIN n ON n.l_orderkey = d.l_orderkey AND i = {i + 1} UNION ALL SELECT d.l_orderkey, mask + (1 << slot), cost + abs(q - 10 * slot - 5) FROM d{i} d JOIN n ON n.l_orderkey = d.l_orderkey AND i = {i + 1}, (SELECT unnest(range(5))::INTEGER AS slot) WHERE mask & (1 << slot) = 0) GROUP BY ALL)"
+
+
+@query(f"WITH n AS (SELECT l_orderkey, l_quantity::DOUBLE AS q, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS i FROM (SELECT DISTINCT l_orderkey, l_linenumber, max(l_quantity) OVER (PARTITION BY l_orderkey, l_linenumber) AS l_quantity FROM lineitem)), d0 AS (SELECT DISTINCT l_orderkey, 0 AS mask, 0.0::DOUBLE AS cost FROM n), {', '.join(map(_DP, range(8)))} SELECT l_orderkey, round(min(cost + 20 * (5 - bit_count(mask))), 4) + 0.0 AS cost FROM d8 GROUP BY l_orderkey")
+def j14_assignment_cost(spark, sf_dir):
+    """The least total difference of an order's assignment, each line or quantity left alone at 20; the SQL goes through all
+    subsets of quantities, line by line."""
+    n = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("line")).agg(F.max("l_quantity").cast("double").alias("q"))
+    pairs = n.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")))).withColumn("cost", F.abs(F.col("q") - 10 * F.col("slot") - 5))
+    taken = R.assigned(pairs, "l_orderkey", "line", "slot", "cost", alone=20.0).join(pairs, ["l_orderkey", "line", "slot"]).groupBy("l_orderkey").agg(F.sum("cost").alias("c"), F.count(F.lit(1)).alias("k"))
+    lines = n.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+    alone = 20.0 * (F.col("n") + 5 - 2 * F.coalesce("k", F.lit(0)))
+    return lines.join(taken, "l_orderkey", "left").select("l_orderkey", r(F.coalesce("c", F.lit(0.0)) + alone, 4).alias("cost"))
+
+
 @query("SELECT l_returnflag, count(*) AS n, sum(l_discount) FILTER (l_discount <> 0.05) AS total, round(avg(l_discount) FILTER (l_discount <> 0.05), 9) + 0.0 AS mean, round(var_samp(l_discount) FILTER (l_discount <> 0.05), 9) + 0.0 AS variance FROM lineitem GROUP BY ALL".replace("sum(l_discount) FILTER (l_discount <> 0.05)", "round(sum(l_discount) FILTER (l_discount <> 0.05), 4) + 0.0"))
 def a4_without_nan(spark, sf_dir):
     v = A.present(F.when(F.col("l_discount") == 0.05, float("nan")).otherwise(F.col("l_discount")))
@@ -288,6 +303,20 @@ def tracker_angle(spark, sf_dir):
     return samples(spark, sf_dir).select("l_orderkey", "l_linenumber", r(S.tracker_angle(F.col("zenith"), F.col("doy").cast("double"), 180.0, 60.0)).alias("angle"))
 
 
+_T, _O = "radians(12.0)", "radians(-25.0)"
+_AXIS = f"""n AS (SELECT *, sin(theta) AS nx, cos(theta) AS nz FROM (SELECT *, greatest(radians(-55.0), least(radians(55.0), CASE WHEN wide < 0 THEN wide + back ELSE wide - back END)) AS theta FROM (SELECT *, acos(least(1, greatest(-1, cos(wide) / 0.4))) AS back FROM (SELECT *, atan2(xp, zp) AS wide FROM (SELECT l_orderkey, l_linenumber, zenith, x * cos({_O}) - y * sin({_O}) AS xp, x * sin({_T}) * sin({_O}) + y * sin({_T}) * cos({_O}) + up * cos({_T}) AS zp
+FROM (SELECT *, sin(radians(zenith)) * sin(radians(doy::DOUBLE - 180)) AS x, sin(radians(zenith)) * cos(radians(doy::DOUBLE - 180)) AS y, cos(radians(zenith)) AS up FROM s))))))"""
+
+
+@query(f"""WITH {SAMPLES}, {_AXIS}, k AS (SELECT *, degrees(atan2(nx * cos({_O}) + nz * sin({_T}) * sin({_O}), -nx * sin({_O}) + nz * sin({_T}) * cos({_O}))) + 180 AS turn FROM n WHERE zenith < 90)
+SELECT l_orderkey, l_linenumber, round(degrees(theta), 4) + 0.0 AS theta, round(degrees(acos(least(1, abs(xp * nx + zp * nz)))), 4) + 0.0 AS incidence, round(degrees(acos(nz * cos({_T}))), 4) + 0.0 AS surface_tilt, round(turn - 360 * floor(turn / 360), 4) + 0.0 AS surface_azimuth FROM k""")
+def tracker_tilted(spark, sf_dir):
+    """A tracker of a tilted axis whose rows turn back from each other's shade."""
+    s = samples(spark, sf_dir).where("zenith < 90").withColumn("azimuth", F.col("doy").cast("double"))
+    got = S.with_single_axis(s, "zenith", "azimuth", 12.0, 155.0, 55.0, 0.4)
+    return got.select("l_orderkey", "l_linenumber", *[r(F.col(k), 4).alias(k) for k in ("theta", "incidence", "surface_tilt", "surface_azimuth")])
+
+
 MODULE = {"isc0": 5.1, "imp0": 4.6, "voc0": 43.5, "vmp0": 34.4, "ix0": 5.0, "ixx0": 3.3, "aisc": 0.0006, "aimp": -0.0002, "bvoc": -0.15, "mbvoc": 0.01, "bvmp": -0.16, "mbvmp": 0.02, "n": 1.2, "ns": 72.0, "c0": 1.01, "c1": -0.01, "c2": 0.3, "c3": -7.5, "c4": 0.99, "c5": 0.01, "c6": 1.1, "c7": -0.1}
 _POINT = {
     "isc": "isc0 * e * (1 + aisc * dt)", "imp": "imp0 * (c0 * e + c1 * e * e) * (1 + aimp * dt)", "voc": "voc0 + ns * fall + (bvoc + mbvoc * (1 - e)) * dt", "vmp": "vmp0 + c2 * ns * fall + c3 * ns * fall * fall + (bvmp + mbvmp * (1 - e)) * dt",
@@ -660,6 +689,44 @@ def k8_database_rows(spark, sf_dir):
     return database.read_query(spark, at, "SELECT * FROM prices", "o_orderkey long, price double, priority string", column="o_orderkey", low=0, high=most, parts=4)
 
 
+def _image_folder(spark, sf_dir) -> str:
+    """A file for one event of each day, named by its time as cameras do."""
+    path = logs.scratch(spark, "images")
+    first = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.min_by("ts", F.col("event_id") * 7919 % 1000003).alias("ts"))
+    logs.write_files(first.select(F.concat(F.lit("cam_"), F.date_format("ts", "yyyy_MM_dd_HH_mm_ss"), F.lit("_x.jpeg")).alias("name"), F.encode(F.col("day").cast("string"), "UTF-8").alias("content")), path)
+    return path
+
+
+_IMAGES = "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 10::BIGINT AS length FROM (SELECT arg_min(ts, event_id * 7919 % 1000003) AS ts FROM events GROUP BY ts::DATE) WHERE hour(ts) < 3 AND (hour(ts) >= 1 OR hour(ts) = 0 AND minute(ts) >= 30)"
+
+
+@query(_IMAGES)
+def s3_image_list(spark, sf_dir):
+    got = logs.image_files(spark, _image_folder(spark, sf_dir), 1, 3, lead=30)
+    return got.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "length")
+
+
+@query("SELECT count(*) AS n, true AS same FROM (SELECT arg_min(ts, event_id * 7919 % 1000003) AS ts FROM events GROUP BY ts::DATE) WHERE hour(ts) < 5")
+def s4_kept_list(spark, sf_dir):
+    """A folder's list, read again from where it is kept after the folder has grown."""
+    path, kept = _image_folder(spark, sf_dir), logs.scratch(spark, "list")
+    n = logs.listed(spark, path, kept, 0, 5).count()
+    logs.write_files(spark.createDataFrame([("cam_2030_01_01_01_00_00_x.jpeg", b"later")], "name string, content binary"), path)
+    return logs.listed(spark, path, kept, 0, 5).agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) == n).alias("same"))
+
+
+@query("SELECT unnest([0, 1, 2])::BIGINT AS i, round(unnest([cos(0.3), sin(0.3), 0]), 6) + 0.0 AS c0, round(unnest([-sin(0.3) * cos(0.2), cos(0.3) * cos(0.2), sin(0.2)]), 6) + 0.0 AS c1, round(unnest([sin(0.3) * sin(0.2), -cos(0.3) * sin(0.2), cos(0.2)]), 6) + 0.0 AS c2")
+def i3_rotation(spark, sf_dir):
+    """The rotation between two sets of directions; the SQL has the one that made the second."""
+    import math
+
+    c, s, d, e = math.cos(0.3), math.sin(0.3), math.cos(0.2), math.sin(0.2)
+    x, y, z = F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double") * 3, F.col("l_discount").cast("double") * 100
+    n = table(spark, sf_dir, "lineitem").select(x.alias("x"), y.alias("y"), z.alias("z"), (c * x - s * d * y + s * e * z).alias("u"), (s * x + c * d * y - c * e * z).alias("v"), (e * y + d * z).alias("w"))
+    rows = I.rotation(n, ["x", "y", "z"], ["u", "v", "w"])
+    return spark.createDataFrame([(i, *[round(v, 6) + 0.0 for v in row]) for i, row in enumerate(rows)], "i long, c0 double, c1 double, c2 double")
+
+
 @query("SELECT s_nationkey::BIGINT AS nation, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS i, s_suppkey::DOUBLE AS key, s_acctbal::DOUBLE AS balance FROM supplier")
 def s12_mat_files(spark, sf_dir):
     """A nation's suppliers as two variables of a MAT file, read back."""
