@@ -213,15 +213,16 @@ def test_equal_records_have_an_order(spark):
 
 
 def test_fingerprints(spark):
-    got = {r["doc_id"]: r for r in omh.fingerprint_edits(docs(spark)).collect()}
-    texts = {i: t or "" for i, t in TEXTS}
-    order = sorted(texts, key=lambda i: (i is not None, i or 0), reverse=True)
-    for i, n in zip(order, order[1:] + order[:1], strict=True):
-        t, half = texts[i], len(texts[i]) // 2
-        edited = t[: len(t) - half] + texts[n][:half]
-        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+    rows = omh.fingerprint_edits(docs(spark)).collect()
+    got = {r["doc_id"]: r for r in rows}
+    order = sorted([(i, t or "") for i, t in TEXTS], key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)  # each row; the two of id 6 are equal
+    want = []
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        half = len(t) // 2
+        want.append((str(i), len(t), hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()))
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in rows) == sorted(want)
     assert got[6]["fingerprint"] == got[11]["fingerprint"] and got[3]["fingerprint"] == got[4]["fingerprint"]
-    assert 0.05 < got[7]["near_edited"] <= 1 and got[8]["near_next"] > 0.9 - 0.3 * (order[order.index(8) + 1] != 7)
+    assert 0.05 < got[7]["near_edited"] <= 1 and got[8]["near_next"] > 0.9 - 0.3 * ([i for i, _ in order][[i for i, _ in order].index(8) + 1] != 7)
 
 
 def test_order_matters_to_fingerprints(spark):
@@ -596,3 +597,20 @@ def test_dense_regions_compared_without_values_give_the_same(spark):
     sets = {i: shingles(t, 2) for i, t in rows}
     linked = [(i, j) for i, s in sets.items() for j, t in sets.items() if i < j and 100 * len(s & t) >= 80 * len(s | t)]
     assert {r[0]: r[3] for r in a} == smallest_reachable(sets, linked)
+
+
+def test_every_row_has_a_fingerprint_of_its_own(spark):
+    """Rows that share an id or have none are documents each; the least possible id is one like others."""
+    rows = [(5, "alpha beta gamma delta " * 3), (5, "one two three four"), (None, "no id at all here"), (None, "another one without"), (-(1 << 63), "the least id"), (9, None), (7, "alpha beta gamma delta " * 3), (5, "one two three four")]
+    got = omh.fingerprint_edits(docs(spark, rows)).collect()
+    assert len(got) == 8
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, len(r[1] or ""), r[1] != "one two three four"))
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"]) for r in got) == sorted((i is not None, i or 0, len(t or "")) for i, t in rows)
+    texts = [t or "" for _, t in order][::-1]  # descending
+    want = []
+    for k, t in enumerate(texts):
+        following, half = texts[(k + 1) % 8], len(t) // 2
+        want.append(hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest())
+    assert sorted(r["edited_sha256"] for r in got) == sorted(want)
+    same = {r["fingerprint"] for r in got if r["n_chars"] == len(rows[0][1])}
+    assert len(same) == 1
