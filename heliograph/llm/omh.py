@@ -65,15 +65,16 @@ def next_ids(ids: DataFrame) -> DataFrame:
     return r.select("k", F.coalesce("next_k", "next_first").alias("next_k"), before["k"].alias("before_k"), before["n_chars"].alias("before_chars"))
 
 
-def told_apart(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k, doc_id, text, n_chars), a row for each of docs: k is the id, or where ids repeat or are null the row's place in order
-    of id (null first), length and text's hash."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
-    if d.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
-        return d.withColumn("k", F.col("doc_id"))
-    d = written(d.withColumn("row", F.monotonically_increasing_id()), "rows")
+def told_apart(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """(k, text, n_chars), a row for each of docs, and None where k is the id; where ids repeat or are null, k is the row's place
+    in order of id (null first), length and text's hash, and (k, doc_id) comes with it."""
+    d = docs.select(F.col(id_col).cast("long").alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    if d.groupBy("k").count().where("k is null or count > 1").isEmpty():
+        return d, None
+    d = written(d.withColumnRenamed("k", "doc_id").withColumn("row", F.monotonically_increasing_id()), "rows")
     ids = written(d.select("row", "doc_id", "n_chars", F.xxhash64("text").alias("th"), F.lit(0).alias("all")), "ids")
-    return d.join(numbered(ids, "all", ["doc_id", "n_chars", "th", "row"]).select("row", F.col("idx").alias("k")), "row").drop("row")
+    names = written(numbered(ids, "all", ["doc_id", "n_chars", "th", "row"]).select("row", "doc_id", F.col("idx").alias("k")), "names")
+    return d.join(names.select("row", "k"), "row").select("k", "text", "n_chars"), names.select("k", "doc_id")
 
 
 def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,16 +86,19 @@ def fingerprint_edits(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     texts' hashes within the id; a lone document is its own next; a null id counts as the smallest; empty tables give no
     rows; other columns of docs are ignored.
     """
-    d = told_apart(docs, id_col, text_col)
-    own = d.join(next_ids(d.select("k", "n_chars")).hint("merge"), "k")
+    d, names = told_apart(docs, id_col, text_col)
+    ids = next_ids(d.select("k", "n_chars"))
+    # every k is one row; the window asks for whole rows, so that one shuffle of the texts serves all that follows
+    own = d.join(ids.hint("merge"), "k").withColumn("r", F.row_number().over(W.partitionBy("k").orderBy("n_chars", "text"))).where("r = 1").drop("r")
     lent = own.select(F.col("before_k").alias("k"), F.expr("substring(text, 1, cast(before_chars div 2 as int))").alias("lent"))
-    both = own.select("k", "doc_id", "next_k", "n_chars", "text").join(lent.hint("merge"), "k")
-    both = both.select("k", "doc_id", "next_k", "n_chars", "text", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), lent)").alias("edited"))
+    both = own.select("k", "next_k", "n_chars", "text").join(lent.hint("merge"), "k")
+    both = both.select("k", "next_k", "n_chars", "text", F.expr("concat(substring(text, 1, cast(n_chars - n_chars div 2 as int)), lent)").alias("edited"))
     two = both.select("k", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("x")).select("k", "x.v", "x.t")
     prints = fingerprints(two, ["k", "v"], "t").groupBy("k").agg(F.max(F.when(F.col("v") == 0, F.col("fingerprint"))).alias("a"), F.max(F.when(F.col("v") == 1, F.col("fingerprint"))).alias("b"))
     none = F.lit(NONE * SIZE)
-    done = both.select("k", "doc_id", "next_k", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).join(prints.hint("merge"), "k", "left")
-    done = written(done.select("k", "doc_id", "next_k", "n_chars", "edited_sha256", F.coalesce("a", none).alias("fingerprint"), F.coalesce("b", none).alias("edited_fingerprint")), "prints")
+    done = both.select("k", "next_k", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")).join(prints.hint("merge"), "k", "left")
+    done = written(done.select("k", "next_k", "n_chars", "edited_sha256", F.coalesce("a", none).alias("fingerprint"), F.coalesce("b", none).alias("edited_fingerprint")), "prints")
     following = done.select(F.col("k").alias("next_k"), F.col("fingerprint").alias("next_fingerprint"))
     out = done.join(following.hint("merge"), "next_k")
+    out = out.withColumn("doc_id", F.col("k")) if names is None else out.join(names, "k")
     return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))
