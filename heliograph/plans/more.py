@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from contextlib import nullcontext
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -16,6 +17,7 @@ from ..operators import fields as I
 from ..operators import frames as V
 from ..operators import learning as L
 from ..operators import machines as M
+from ..operators import networks as N5
 from ..operators import relations as R
 from ..operators import series as T
 from ..operators import trees as R5
@@ -369,6 +371,33 @@ def l13_autoregression(spark, sf_dir):
     return spark.createDataFrame([(k, round(v, 6)) for k, v in beta.items()], "term string, coefficient double")
 
 
+_WEIGHTS = [0.7, -0.4, 0.1, -0.3, 0.9, 0.2, 0.8, -0.6, 0.05]  # of two units over two lags
+_SCALED = "({} / 100 - 1)".format
+_UNITS = lambda a, b: f"(0.8::DOUBLE * tanh(0.7::DOUBLE * {_SCALED(a)} - 0.4::DOUBLE * {_SCALED(b)} + 0.1::DOUBLE) - 0.6::DOUBLE * tanh(-0.3::DOUBLE * {_SCALED(a)} + 0.9::DOUBLE * {_SCALED(b)} + 0.2::DOUBLE) + 0.05::DOUBLE + 1) * 100"
+
+
+@query(f"""WITH RECURSIVE {E}, l AS (SELECT user_id, value::DOUBLE AS a, lag(value::DOUBLE) OVER (PARTITION BY user_id ORDER BY t, event_id) AS b, row_number() OVER (PARTITION BY user_id ORDER BY t DESC, event_id DESC) AS i FROM e),
+k AS (SELECT user_id, 0 AS step, a, b FROM l WHERE i = 1 UNION ALL SELECT user_id, step + 1, {_UNITS("a", "b")}, a FROM k WHERE step < 6)
+SELECT user_id, step, round(a, 6) + 0.0 AS y_hat FROM k WHERE step > 0""")
+def l13_closed_loop(spark, sf_dir):
+    """Six rows beyond each user's events by a network of given weights, fed with its own output."""
+    ends = {"value_1": (0.0, 200.0), "value_2": (0.0, 200.0), "value": (0.0, 200.0)}
+    net = N5.Network(["value_1", "value_2"], "value", ends, 2, np.array(_WEIGHTS), [])
+    e = events(spark, sf_dir).select("user_id", "t", "event_id", "value")
+    return N5.forecast(e, net, ["user_id"], ["t", "event_id"], "value", [1, 2], 6).select("user_id", "step", r(F.col("y_hat")).alias("y_hat"))
+
+
+@query()
+def l13_network(spark, sf_dir):
+    """The next value by the three before and the hours since the event before: root mean squared errors of a fitted network
+    and of the mean over the rows that have all inputs."""
+    e = events(spark, sf_dir).select("user_id", "t", "event_id", "value", (F.col("t") / 3.6e9).alias("hour"))
+    e = T.lagged(e, ["user_id"], ["t", "event_id"], ["hour"], [1]).select("user_id", "t", "event_id", "value", (F.col("hour") - F.col("hour_1")).alias("gap"))
+    _, got = N5.autoregressive_network(e, ["user_id"], ["t", "event_id"], "value", [1, 2, 3], "event_id", ["gap"], [1], hidden=6, rounds=20)
+    got = got.where("y_hat is not null and value is not null")
+    return got.agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((F.col("y_hat") - F.col("value")) ** 2)).alias("rmse"), F.stddev_pop("value").alias("spread"))
+
+
 @query()
 def i11_bounded_fit(spark, sf_dir):
     beta = L.bounded_least_squares(table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", {"l_discount": 0.0, "l_tax": 0.0}, {"1": 100.0, "l_quantity": 1000.0}, weight=F.col("l_linenumber"))
