@@ -137,44 +137,40 @@ def resample(series: DataFrame, clock: DataFrame, key: list[str], t: str, value:
     return interpolate(clock.select(*key, t).distinct(), series, key, t, value, **given)
 
 
-def ewma(df: DataFrame, key: list[str], order: list[str], value: str, share: float, start: float) -> DataFrame:
-    """df with v: (1 - share) of the row before's v (at first: start) and share of value; a null value leaves v as it is.
+def ewma(df: DataFrame, key: list[str], order: list[str], value: str, share: float, start: float, bucket: int = 30 * DAY) -> DataFrame:
+    """df with v: (1 - share) of the row before's v (at first: start) and share of value; a null or NaN value leaves v as it
+    is. Share is above 0 and 1 at most; order begins with a number.
 
-    A series is cut into ranges of its order. In a range v is linear in the v before it, so each range gives two numbers;
-    their chain, a row a range, gives every range its start.
+    v is a sum of the values, each weighted by a power of 1 - share. The powers count within pieces of a bucket of that
+    number, of as many values as leave 1e-249 of what was before, so that they stay within a double's range; the pieces' ends,
+    a row each, are summed up by the same rule in blocks, of which only the last two have a digit left.
     """
-    import numpy as np
-    import pandas as pd
+    from math import log
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    d = df.repartitionByRange(*key, *order).sortWithinPartitions(*key, *order).withColumn("_r", F.spark_partition_id())
+    x = F.col(value).cast("double")
+    some, decay = x.isNotNull() & ~F.isnan(x), -log(max(1 - share, 1e-249))
+    size = max(1, int(573 / decay))
 
-    def factors(batches):
-        """own: v if the range began at 0; left: the share of the v before the range that is left in v."""
-        last, own, left = None, 0.0, 1.0
-        for p in batches:
-            a, b = np.zeros(len(p)), np.zeros(len(p))
-            for i, (k, x) in enumerate(zip(p[key].itertuples(index=False, name=None), p[value].to_numpy(float), strict=True)):
-                if k != last:
-                    last, own, left = k, 0.0, 1.0
-                if x == x:
-                    own, left = (1 - share) * own + share * x, (1 - share) * left
-                a[i], b[i] = own, left
-            yield p.assign(_own=a, _left=b)
-
-    d = d.mapInPandas(factors, f"{kinds}, _r int, _own double, _left double")
-    ends = d.groupBy("_r", *key).agg(F.max_by(F.struct("_own", "_left"), F.struct(*order)).alias("e"))
-
-    def chain(p: pd.DataFrame) -> pd.DataFrame:
-        p, v, out = p.sort_values("_r"), start, []
-        for own, left in zip(p["_own"], p["_left"], strict=True):
-            out.append(v)
-            v = own + left * v
-        return p[["_r", *key]].assign(_start=out)
-
-    of = ", ".join(["_r int", *(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in key), "_start double"])
-    starts = ends.select("_r", *key, "e.*").groupBy(*key).applyInPandas(chain, of)  # a row a range and key
-    return d.join(starts, ["_r", *key]).select(*df.columns, (F.col("_own") + F.col("_left") * F.col("_start")).alias("v"))
+    def faded(d: DataFrame, w: list[str], by: list[str], add: Column, at: Column) -> Column:
+        """The sum of add over w's rows up to each, which fade as at, from 0 to size within w, goes on."""
+        total = F.sum(add * F.exp(decay * (at - size))).over(W.partitionBy(*w).orderBy(*by).rowsBetween(W.unboundedPreceding, 0))
+        return F.coalesce(total, F.lit(0.0)) * F.exp(-decay * (at - size))
+
+    d = df.withColumn("_k", F.floor(F.col(order[0]) / bucket))
+    d = d.withColumn("_n", F.count(F.when(some, 1)).over(W.partitionBy(*key, "_k").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    d = d.withColumn("_b", F.greatest(F.lit(0), F.floor((F.col("_n") - 1) / size))).withColumn("_at", F.col("_n") - F.col("_b") * size)
+    d = d.withColumn("_own", faded(d, [*key, "_k", "_b"], order, F.when(some, share * x), F.col("_at")))
+    e = d.groupBy(*key, "_k", "_b").agg(F.max_by(F.struct("_own", "_at"), F.struct(*order)).alias("e")).select(*key, "_k", "_b", "e.*")
+    along = W.partitionBy(*key).orderBy("_k", "_b")
+    e = e.withColumn("_n", F.sum("_at").over(along.rowsBetween(W.unboundedPreceding, 0))).withColumn("_c", F.floor(F.col("_n") / size))
+    e = e.withColumn("_s", faded(e, [*key, "_c"], ["_k", "_b"], F.col("_own"), F.col("_n") - F.col("_c") * size))
+    last = e.groupBy(*key, "_c").agg(F.max_by(F.struct("_s", "_n"), F.struct("_k", "_b")).alias("_l")).select(*key, (F.col("_c") + 1).alias("_c"), "_l")
+    e = e.alias("e").join(last.alias("l"), _same([*key, "_c"], "e", "l"), "left").select(*[F.col(f"e.{c}") for c in e.columns], "_l")
+    older = F.coalesce(F.col("_l")["_s"] * F.exp(-decay * (F.col("_n") - F.col("_l")["_n"])), F.lit(0.0))
+    v = F.col("_s") + older + start * F.exp(-decay * F.col("_n"))
+    e = e.withColumn("_v", v).select(*key, "_k", "_b", F.coalesce(F.lag("_v").over(along), F.lit(float(start))).alias("_start"))
+    joined = d.alias("d").join(e.alias("e"), _same([*key, "_k", "_b"], "d", "e"))
+    return joined.select(*[F.col(f"d.{c}") for c in df.columns], (F.col("_own") + F.exp(-decay * F.col("_at")) * F.col("_start")).alias("v"))
 
 
 def regular_suffix(df: DataFrame, key: list[str], t: str, step: float, noise: float, **given) -> DataFrame:

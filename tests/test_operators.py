@@ -161,6 +161,22 @@ def test_smoothing_goes_on_across_ranges_and_nulls(spark):
             assert got[(k, t)] == pytest.approx(v)
 
 
+@pytest.mark.parametrize("share", [1e-6, 0.3, 0.9, 1.0])
+def test_smoothing_over_many_blocks_and_buckets(spark, share):
+    rng = np.random.default_rng(8)
+    rows = [(k, int(t), float("nan") if t % 13 == 5 else None if t % 7 == 3 or t < 2 else float(rng.normal() * 10.0 ** int(rng.integers(-9, 9)))) for k in ("a", None) for t in range(1500)]
+    rows += [("void", t, None) for t in range(3)]
+    df = spark.createDataFrame(rows, "k string, t long, x double").repartition(3)
+    got = {(r["k"], r["t"]): r["v"] for r in series.ewma(df, ["k"], ["t"], "x", share, 5.0, bucket=100).collect()}
+    assert len(got) == len(rows)
+    for k in ("a", None, "void"):
+        v, size = 5.0, 5.0
+        for _, t, x in (r for r in rows if r[0] == k):
+            if x is not None and x == x:
+                v, size = (1 - share) * v + share * x, (1 - share) * size + share * abs(x)
+            assert abs(got[(k, t)] - v) <= 1e-11 * size
+
+
 def test_neighbours_equal_brute_force_in_blocks(spark):
     rng = np.random.default_rng(4)
     pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(zip(np.append(rng.exponential(5, 300), [50.0] * 20), rng.normal(size=320)))]
