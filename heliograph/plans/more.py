@@ -20,6 +20,7 @@ from ..operators import machines as M
 from ..operators import networks as N5
 from ..operators import relations as R
 from ..operators import series as T
+from ..operators import splines as P
 from ..operators import trees as R5
 from ..sources import database, logs, matfiles
 from ..streaming import stateful, timers
@@ -521,6 +522,28 @@ def l12_model_tree_fit(spark, sf_dir):
     return _fit(d.withColumn("y_hat", R5.tree_prediction(root)))
 
 
+_HINGES = " UNION ALL ".join(f"SELECT {100 * i + j} AS o, '{f}' AS feature, {k}::DOUBLE AS knot, greatest(0, {f}::DOUBLE - {k}) AS u, greatest(0, {k} - {f}::DOUBLE) AS v, l_extendedprice::DOUBLE AS y FROM lineitem" for i, (f, ks) in enumerate(_KNOTS.items()) for j, k in enumerate(ks))
+_MOMENTS = ", ".join(f"covar_pop({a}, {b}) AS {a}{b}" for a, b in ("uu", "vv", "uv", "uy", "vy"))
+
+
+@query(f"""WITH m AS (SELECT o, feature, knot, {_MOMENTS}, avg(u) AS mu, avg(v) AS mv, avg(y) AS my FROM ({_HINGES}) GROUP BY ALL),
+b AS (SELECT *, uu * vv - uv * uv AS det FROM m), k AS (SELECT *, (uy * vv - vy * uv) / det AS above, (vy * uu - uy * uv) / det AS below FROM b),
+w AS (SELECT * FROM k ORDER BY above * uy + below * vy DESC, o LIMIT 1)
+SELECT feature, knot, round(above, 4) + 0.0 AS above, round(below, 4) + 0.0 AS below, round(my - above * mu - below * mv, 4) + 0.0 AS intercept FROM w""")
+def l12_first_splines(spark, sf_dir):
+    """The first pair of hinges, of all features' given knots, and its coefficients over all rows; the SQL tries every pair."""
+    m = P.adaptive_splines(table(spark, sf_dir, "lineitem"), list(_KNOTS), "l_extendedprice", _KNOTS, most=3, prune=False)
+    (i, knot, _), side = m.terms[1][0], {t[0][2]: c for t, c in zip(m.terms[1:], m.coefficients[1:], strict=True)}
+    return spark.createDataFrame([(m.features[i], knot, round(side[1], 4), round(side[-1], 4), round(m.coefficients[0], 4))], "feature string, knot double, above double, below double, intercept double")
+
+
+@query()
+def l12_splines(spark, sf_dir):
+    """Products of hinges at quantiles, pruned; every row is predicted."""
+    d = _scaled(spark, sf_dir)
+    return _fit(d.withColumn("y_hat", P.adaptive_splines(d, ["q", "d"], "y", most=11).column()))
+
+
 @query()
 def l12_hinges(spark, sf_dir):
     n = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
