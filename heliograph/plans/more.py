@@ -532,7 +532,7 @@ w AS (SELECT * FROM k ORDER BY above * uy + below * vy DESC, o LIMIT 1)
 SELECT feature, knot, round(above, 4) + 0.0 AS above, round(below, 4) + 0.0 AS below, round(my - above * mu - below * mv, 4) + 0.0 AS intercept FROM w""")
 def l12_first_splines(spark, sf_dir):
     """The first pair of hinges, of all features' given knots, and its coefficients over all rows; the SQL tries every pair."""
-    m = P.adaptive_splines(table(spark, sf_dir, "lineitem"), list(_KNOTS), "l_extendedprice", _KNOTS, most=3, prune=False)
+    m = P.adaptive_splines(table(spark, sf_dir, "lineitem"), list(_KNOTS), "l_extendedprice", _KNOTS, most=3, least_gain=0.0, prune=False)
     (i, knot, _), side = m.terms[1][0], {t[0][2]: c for t, c in zip(m.terms[1:], m.coefficients[1:], strict=True)}
     return spark.createDataFrame([(m.features[i], knot, round(side[1], 4), round(side[-1], 4), round(m.coefficients[0], 4))], "feature string, knot double, above double, below double, intercept double")
 
