@@ -851,6 +851,15 @@ def st3_bounded_buffer(spark, sf_dir):
     return got.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r(F.col("v")).alias("v"), "n")
 
 
+@query(f"""WITH {E}, k AS (SELECT user_id, ts, list(value) OVER (PARTITION BY user_id ORDER BY t, value ROWS BETWEEN 8 PRECEDING AND CURRENT ROW) AS k FROM e),
+w AS (SELECT max(ts) - INTERVAL 10 MINUTES AS until FROM events)
+SELECT user_id, {_AT('ts')} AS ts, round(list_median(k), 6) + 0.0 AS v, len(k)::BIGINT AS n FROM k, w WHERE (epoch_ms(ts) // 21600000 + 1) * 21600000 <= epoch_ms(until)""")
+def st3_ordered_buffer(spark, sf_dir):
+    """Medians of a user's last nine values, rows taken in order of time by pieces of six hours that the watermark has passed."""
+    got = _streamed(spark, sf_dir, lambda s: timers.ordered_medians(s, "user_id", "ts", "value", 9, width="6 HOURS"), "timers")
+    return got.select("user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), r(F.col("v")).alias("v"), "n")
+
+
 @query(f"""WITH RECURSIVE {E}, d AS (SELECT user_id, ts, value AS y, value - 3 AS a, value + 8 AS b, CASE WHEN event_id % 4 <> 0 THEN value * 1.1::DOUBLE END AS c, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS i FROM e),
 k AS (SELECT user_id, 0::BIGINT AS i, NULL::TIMESTAMP AS ts, 0.0::DOUBLE AS s1, 0.0::DOUBLE AS s2, 0.0::DOUBLE AS s3, NULL::DOUBLE AS predicted FROM (SELECT DISTINCT user_id FROM e)
 UNION ALL SELECT user_id, i, ts, 0.95::DOUBLE * s1 + 0.05::DOUBLE * abs(a - y), 0.95::DOUBLE * s2 + 0.05::DOUBLE * abs(b - y), 0.95::DOUBLE * s3 + 0.05::DOUBLE * coalesce(abs(c - y), (abs(a - y) + abs(b - y)) / 2), (w1 * a + w2 * b + coalesce(w3 * c, 0)) / (w1 + w2 + coalesce(w3, 0))

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from .stateful import kalman_step
+
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
@@ -114,3 +118,88 @@ def episode_stream(stream: DataFrame, key: str, ts: str, value: str, gap: str, l
     out = d.groupBy("_key").transformWithStateInPandas(statefulProcessor=Episodes(length), outputStructType=f"_key {kind}, start long, last long, n long, total double", outputMode="Append", timeMode="EventTime", initialState=first)
     at = lambda c: F.timestamp_millis(F.col(c)).alias(c)
     return out.select(F.col("_key").alias(key), at("start"), at("last"), "n", "total")
+
+
+class InOrder(StatefulProcessor):
+    """Folds a key's rows in order of event time, a piece of it at a time; see ordered_stream."""
+
+    def __init__(self, width_ms: int, fold: Callable, begin, columns: list[str]) -> None:
+        self.width, self.fold, self.begin, self.columns = width_ms, fold, begin, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("kept", "s string")
+        self.waiting = handle.getMapState("waiting", "piece long", "rows string")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for p in rows:  # _key, _ts, _us, values
+            new: dict[int, list] = {}
+            for us, *v in zip(*(p.iloc[:, i] for i in range(2, p.shape[1])), strict=True):
+                if us // 1000 > passed:
+                    new.setdefault(int(us) // 1000 // self.width, []).append([int(us), *(float(x) if x is not None else float("nan") for x in v)])
+            for piece, more in new.items():
+                if self.waiting.containsKey((piece,)):
+                    more = json.loads(self.waiting.getValue((piece,))[0]) + more
+                else:
+                    self.handle.registerTimer((piece + 1) * self.width)
+                self.waiting.updateValue((piece,), (json.dumps(more),))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        due = expiredTimerInfo.getExpiryTimeInMs() // self.width
+        for piece in sorted(k[0] for k in self.waiting.keys() if k[0] < due):  # earlier ones too, should their timers come later
+            rows = sorted(json.loads(self.waiting.getValue((piece,))[0]))
+            state, out = self.fold(json.loads(self.kept.get()[0]) if self.kept.exists() else self.begin, rows)
+            self.kept.update((json.dumps(state),))
+            self.waiting.removeKey((piece,))
+            yield pd.DataFrame([(*key, r[0], *o) for r, o in zip(rows, out, strict=True)], columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def ordered_stream(stream: DataFrame, key: str, ts: str, values: list[str], fold: Callable, begin, out: str, width: str = "1 HOUR", late: str = "10 minutes") -> DataFrame:
+    """key, ts and the columns of out (as a schema) for each row, by fold(state, rows) -> (state, a tuple for each row), which
+    sees a key's rows, [microseconds, values as floats], in order of time, then values, however batches were cut.
+
+    Rows wait in state, by pieces of width, until the watermark, late behind the latest row seen, passes their piece. A piece
+    of a key, not its whole micro-batch or backlog, is in memory at a time; rows behind the watermark are dropped. A state
+    is what JSON holds, at first begin. A null value is NaN; rows with a null key or time are left out. Start the stream
+    within timer_state().
+    """
+    length = int(stream.sparkSession.sql(f"SELECT unix_millis(timestamp'1970-01-01 00:00:00Z' + INTERVAL {width}) AS m").first()[0])
+    kind = stream.schema[key].dataType.simpleString()
+    d = stream.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).withWatermark(ts, late)
+    d = d.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), *[F.col(c).cast("double").alias(f"_v{i}") for i, c in enumerate(values)])
+    names = [c.strip().split(" ")[0] for c in out.split(",")]
+    got = d.groupBy("_key").transformWithStateInPandas(statefulProcessor=InOrder(length, fold, begin, ["_key", "_us", *names]), outputStructType=f"_key {kind}, _us long, {out}", outputMode="Append", timeMode="EventTime")
+    return got.select(F.col("_key").alias(key), F.timestamp_micros("_us").alias(ts), *names)
+
+
+def ordered_medians(stream: DataFrame, key: str, ts: str, value: str, n: int, **given) -> DataFrame:
+    """key, ts, v, n: the median of the last n values at each row; rows without a value are left out."""
+
+    def fold(last: list[float], rows: list) -> tuple[list[float], list[tuple]]:
+        out = []
+        for _, x in rows:
+            last = [*last, x][-n:]
+            out.append((float(np.median(last)), len(last)))
+        return last, out
+
+    return ordered_stream(stream.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))), key, ts, [value], fold, [], "v double, n long", **given)
+
+
+def ordered_kalman(stream: DataFrame, key: str, ts: str, u: str, z: str, x0=(3.0, -0.00053), p0=(1e-5, 1e-9), q: float = 1e-10, r: float = 10.0, **given) -> DataFrame:
+    """key, ts, y: the filter of two states that kalman runs over tables; a row without z only predicts, one without u is
+    left out."""
+
+    def fold(s: list, rows: list) -> tuple[list, list[tuple]]:
+        x, cov, last, out = np.array(s[0]), np.array(s[1]), s[2], []
+        for _, a, b in rows:
+            x, cov, last, y = kalman_step(x, cov, last, a, b, q, r)
+            out.append((y,))
+        return [x.tolist(), cov.tolist(), float(last)], out
+
+    begin = [list(map(float, x0)), np.diag(p0).astype(float).tolist(), float("nan")]
+    return ordered_stream(stream.where(F.col(u).isNotNull() & ~F.isnan(F.col(u).cast("double"))), key, ts, [u, z], fold, begin, "y double", **given)

@@ -76,4 +76,42 @@ def test_batches_of_any_size_give_the_same(spark, tmp_path):
     few = [rows[i : i + 20] for i in range(0, 60, 20)]
     many = run(spark, tmp_path / "many", make, [list(reversed(b)) for b in few] + [end, [("z", at(9000), 0.0)]], timers_=True)[-1]
     assert one == many and len(one) > 4 and sum(r[3] for r in one if r[0] in "ab") == 60
-    assert F is not None
+
+
+def test_rows_are_folded_in_order_however_batches_were_cut(spark, tmp_path):
+    import numpy as np
+
+    g = np.random.default_rng(2)
+    times = np.cumsum(g.integers(1, 9, 80))
+    rows = [("ab"[i % 2], at(int(t)), float(g.normal()) if i % 9 else None) for i, t in enumerate(times)]
+    rows += [("a", at(int(times[3])), -50.0), (None, at(3), 1.0), ("b", None, 1.0)]
+    end = [[("z", at(5000), 0.0)], [("z", at(9000), 0.0)]]
+    make = lambda s: timers.ordered_medians(s, "k", "ts", "v", 5, width="25 MINUTES", late="1000 minutes")
+    one = run(spark, tmp_path / "one", make, [rows, *end], timers_=True)[-1]
+    few = [list(reversed(rows[i : i + 30])) for i in range(0, 90, 30)]
+    late = [("a", at(1), 1000.0)]
+    many = run(spark, tmp_path / "many", make, [rows[60:], few[1], few[0], end[0], late, end[1]], timers_=True)[-1]
+    assert one == many
+    want = []
+    for k in "ab":
+        last = []
+        for _, t, v in sorted(r for r in rows if r[0] == k and r[1] is not None and r[2] is not None):
+            last = [*last, v][-5:]
+            want.append((k, t, float(np.median(last)), len(last)))
+    assert [r for r in one if r[0] != "z"] == sorted(want)
+
+
+def test_the_filter_of_a_stream_equals_that_of_a_table(spark, tmp_path):
+    import numpy as np
+
+    x, cov, last, want = np.array([3.0, -0.00053]), np.diag([1e-5, 1e-9]), float("nan"), []
+    rows = [("a", at(3 * i), float(20 + 10 * np.sin(i)) if i % 5 else None) for i in range(40)]
+    for _, t, v in rows:
+        u = (t - T0).seconds / 600.0 + 1
+        x, cov, last, y = stateful.kalman_step(x, cov, last, u, float("nan") if v is None else v, 1e-10, 10.0)
+        want.append((t, y))
+    level = F.unix_timestamp("ts") - F.lit(int(T0.replace(tzinfo=dt.timezone.utc).timestamp()))
+    make = lambda s: timers.ordered_kalman(s.withColumn("u", F.when(F.col("k") == "a", level / 600.0 + 1).otherwise(1.0)), "k", "ts", "u", "v", width="10 MINUTES")
+    got = run(spark, tmp_path, make, [rows[20:10:-1] + rows[:11], rows[21:], [("z", at(900), 0.0)], [("z", at(5000), 0.0)]], timers_=True)[-1]
+    got = [(r[1], r[2]) for r in got if r[0] == "a"]
+    assert [t for t, _ in got] == [t for t, _ in want] and np.allclose([y for _, y in got], [y for _, y in want])
