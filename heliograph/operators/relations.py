@@ -155,8 +155,8 @@ def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.join(front, [x, y], "left_semi")
 
 
-def topological_levels(edges: DataFrame, a: str, b: str, most: int = 100) -> DataFrame:
-    """node, level: the length of the longest path that ends in each node of an acyclic graph of depth below most.
+def topological_levels(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """node, level: the length of the longest path that ends in each node of an acyclic graph of any depth.
 
     Every round keeps the edges from nodes that still have one into them, so a node's level is the last round that has an
     edge into it. Raises ValueError where a cycle remains, as soon as a round keeps all edges.
@@ -166,8 +166,6 @@ def topological_levels(edges: DataFrame, a: str, b: str, most: int = 100) -> Dat
     level, n = 0, e.count()
     while n:
         level += 1
-        if level == most:
-            raise ValueError("the graph has more levels than allowed")
         nodes = nodes.union(e.select("b", F.lit(level).cast("long")))
         e = e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi").checkpoint()
         before, n = n, e.count()
