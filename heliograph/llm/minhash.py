@@ -165,7 +165,7 @@ def candidates(reps: DataFrame, num: int, den: int) -> DataFrame:
             if len(p):
                 yield p.reindex(columns=columns).astype({c: "Int64" for c in ("tree", "doc_id", "n_shingles", "a", "b")})
 
-    met = written(rows.mapInPandas(run, schema), "met")
+    met = written(rows.mapInPandas(run, schema), "met", release=True)
     prefix = F.expr(f"substring(label, 1, {2 * LEAST})").alias("prefix")
 
     few = met.where(F.col("kind").isin(FEW, END)).select("kind", "tree", prefix, "label", "doc_id", "n_shingles").groupBy("tree", "prefix").applyInPandas(lambda p: edges(p, num, den), "tree int, prefix binary, a long, b long")
@@ -230,7 +230,7 @@ def _joined(pairs: np.ndarray) -> np.ndarray:
 
 def dense_links(near: DataFrame, reps: DataFrame, label: DataFrame, texts: DataFrame, k: int, num: int, den: int, slack: float | None = SLACK) -> DataFrame:
     """Links (a, b) between the components of label (id, component) that all pairs in dense regions near (tree, prefix,
-    doc_id) give; texts (doc_id, text).
+    doc_id) give; texts (doc_id, text), those of near's rows at least.
 
     In a region, pairs within a component are known. So rows of the region's largest component meet only the others, and
     those meet all: both are dealt over blocks, and pairs of blocks are compared. First by MinHash values, and the rows
@@ -299,9 +299,9 @@ def dense_links(near: DataFrame, reps: DataFrame, label: DataFrame, texts: DataF
 
     sort = lambda df: df.repartition(*key).sortWithinPartitions(*key)
     schema = "tree int, prefix binary, i int, j int, left boolean, doc_id long, component long, n_shingles long, labels binary"
-    rows = sort(rows.join(reps.select("doc_id", "n_shingles", "labels"), "doc_id").select(*[c.split()[0] for c in schema.split(", ")]))
-    rows = written(rows.mapInArrow(possible, schema), "possible")
-    return sort(rows.join(texts, "doc_id")).mapInArrow(exact, "a long, b long")
+    rows = sort(rows.join(reps.select("doc_id", "n_shingles", "labels").hint("merge"), "doc_id").select(*[c.split()[0] for c in schema.split(", ")]))
+    rows = written(rows.mapInArrow(possible, schema), "possible", release=True)
+    return sort(rows.join(texts.hint("merge"), "doc_id")).mapInArrow(exact, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -347,15 +347,16 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = written(classes, "classes")
     first = classes.where("class_id is not null").select(F.col("class_id").alias("doc_id"), "h1", "h2", "n_shingles")
     reps = sk.join(first.hint("merge"), ["doc_id", "h1", "h2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])
-    reps = written(reps.select("doc_id", "n_shingles", "labels"), "reps")
+    reps = written(reps.select("doc_id", "n_shingles", "labels"), "reps", release=True)
     met = candidates(reps, num, den)
     pairs = written(met.where("b is not null").select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    every = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = every.join(wanted.hint("merge"), "doc_id", "left_semi")
-    label = components(confirmed(pairs, written(texts, "texts"), k, num, den))
-    near = met.where("b is null").select("tree", "prefix", F.col("a").alias("doc_id"))
-    label = joined(label, components(dense_links(near, reps, label, every, k, num, den, slack)))
+    near = written(met.where("b is null").select("tree", "prefix", F.col("a").alias("doc_id")), "dense")
+    # all texts are dealt once, for pairs and dense regions together, and their shuffle goes with the job
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).union(near.select("doc_id")).distinct()
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(wanted.hint("merge"), "doc_id", "left_semi")
+    texts = written(texts, "texts", release=True)
+    label = components(confirmed(pairs, texts, k, num, den))
+    label = joined(label, components(dense_links(near, reps, label, texts, k, num, den, slack)))
     of = label.select(F.col("id").alias("class_id"), "component")
     classes = classes.join(of, "class_id", "left").select("h1", "h2", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component"))
     out = sk.select("doc_id", "h1", "h2", "n_shingles").join(classes, ["h1", "h2", "n_shingles"], "left")

@@ -599,6 +599,34 @@ def test_dense_regions_compared_without_values_give_the_same(spark):
     assert {r[0]: r[3] for r in a} == smallest_reachable(sets, linked)
 
 
+def test_minhash_reads_texts_twice_and_merges_them_at_any_size(spark, monkeypatch, capsys):
+    """Texts are read for the sketches and dealt out once more, for pairs and dense regions together; none is broadcast, or
+    meets broadcast rows, where tables are small, so that the shuffle follows the input."""
+    base, plans = [f"w{i}" for i in range(60)], {}
+    rows = [(i, " ".join(base[:40] + [f"x{i}_{j}" for j in range(i % 12)] + base[40:])) for i in range(60)] + [(60 + i, f"alone {i} " * 3) for i in range(40)]
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    def planned(links):
+        capsys.readouterr()
+        links.explain()
+        plans["links"] = capsys.readouterr().out
+        return links
+
+    links = minhash.dense_links
+    monkeypatch.setattr(minhash, "dense_links", lambda *a: planned(links(*a)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(counted, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(d, k=2).collect()}
+    sets = {i: shingles(t, 2) for i, t in rows}
+    assert got == smallest_reachable(sets, [(i, j) for i, s in sets.items() for j, t in sets.items() if i < j and 100 * len(s & t) >= 80 * len(s | t)])
+    assert seen.value == 2 * len(rows)
+    assert "SortMergeJoin" in plans["links"] and "BroadcastHashJoin" not in plans["links"]
+
+
 def test_every_row_has_a_fingerprint_of_its_own(spark):
     """Rows that share an id or have none are documents each; the least possible id is one like others."""
     rows = [(5, "alpha beta gamma delta " * 3), (5, "one two three four"), (None, "no id at all here"), (None, "another one without"), (-(1 << 63), "the least id"), (9, None), (7, "alpha beta gamma delta " * 3), (5, "one two three four")]
