@@ -70,7 +70,8 @@ def siblings(leaves: DataFrame, tree: DataFrame, bits: int) -> DataFrame:
     last = F.least(first + F.call_function("shiftleft", F.lit(1).cast("long"), width) - 1, F.col("n") - 1)
     given = tree.where(F.col("n") > F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level") * bits))
     given = given.select("tree", F.explode(F.sequence(F.shiftright(first, block), F.shiftright(last, block))).alias("block"), "level", "at", "digest")
-    found = asked.join(given, ["tree", "block", "level", "at"])
+    # both sides are exploded, which Spark's sizes leave out: either could be taken for small enough to broadcast
+    found = asked.join(given.hint("merge"), ["tree", "block", "level", "at"])
     proof = F.array_sort(F.collect_list(F.struct("level", "at", "digest")))
     return found.groupBy("tree", "idx").agg(F.transform(proof, lambda x: F.struct(x["level"].alias("level"), x["at"].alias("at"), _hex(x["digest"]).alias("digest"))).alias("proof"))
 

@@ -90,3 +90,10 @@ def test_query_and_sql(spark):
     got = c.execute(queries.ORACLE_SQL["op11_merkle"])
     assert [d[0] for d in got.description] == df.columns
     assert sorted(got.fetchall(), key=str) == rows
+
+
+def test_proofs_are_looked_up_without_a_broadcast(spark):
+    """Explodes are not in Spark's sizes, so a table that looks small may be thirty times as large."""
+    leaves = spark.range(5000).select(F.lit(0).cast("long").alias("tree"), F.lit(5000).cast("long").alias("n"), F.col("id").alias("idx"), F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("digest"))
+    plan = merkle.siblings(leaves, merkle.nodes(leaves, 5, 3), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
