@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def meet(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """left joined with right, both sorted. Pixels are often exploded from small tables or packed well in files, so Spark takes
+    many of them for few and would broadcast them."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def downscale(field: DataFrame, frame: str, k: int, value: str = "value", how=F.avg) -> DataFrame:
     """Boxes of k x k pixels as one, by mean (or how)."""
     cell = lambda c: F.floor(F.col(c) / k).cast("long").alias(c)
@@ -26,7 +34,7 @@ def crop(field: DataFrame, x: tuple[int, int], y: tuple[int, int]) -> DataFrame:
 def shift(field: DataFrame, frame: str, dx: int, dy: int, value: str = "value") -> DataFrame:
     """The field moved by whole pixels; what comes from outside is null."""
     moved = field.select(frame, (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), value)
-    return field.select(frame, "x", "y").join(moved, [frame, "x", "y"], "left")
+    return meet(field.select(frame, "x", "y"), moved, [frame, "x", "y"], "left")
 
 
 def box_filter(field: DataFrame, frame: str, n: int, value: str = "value", how=F.avg) -> DataFrame:
@@ -121,7 +129,7 @@ def components(pixels: DataFrame, frame: str) -> DataFrame:
     whole = set(pixels.columns) == {frame, "x", "y"}
     d = (pixels if whole else pixels.select(frame, "x", "y").distinct()).groupBy(frame).agg(place).select(frame, F.col("_p.x").alias("_x"), F.col("_p.y").alias("_y"))
     found = d.mapInPandas(label, f"`{frame}` {pixels.schema[frame].dataType.simpleString()}, x long, y long, cx long, cy long")
-    return (found if whole else pixels.join(found, [frame, "x", "y"])).withColumn("component", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))).drop("cx", "cy")
+    return (found if whole else meet(pixels, found, [frame, "x", "y"])).withColumn("component", F.struct(F.col("cx").alias("x"), F.col("cy").alias("y"))).drop("cx", "cy")
 
 
 def areas(labelled: DataFrame, frame: str, least: int = 1, most: int | None = None) -> DataFrame:

@@ -1,6 +1,7 @@
 """Readers, writers, streams and edge cases on small rows."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -445,3 +446,18 @@ def test_threshold_separation_counts_pairs(spark):
     assert {(r["f"], r["tile_x"], r["tile_y"], r["level"]): [r["n"], r["separated"]] for r in got} == want
     assert any(w[1] for w in want.values())
     assert fields.threshold_separation(spark.createDataFrame([], "f long, x int, y int, v int"), "f", F.col("v"), 6, 2.3, 1, 3).count() == 0
+
+
+# ---- fields much larger than the tables they are made from ------------------------------------------
+
+QUERIES_OF_PIXELS = {"i5_shift": "SortMergeJoin [frame"}
+
+
+@pytest.mark.parametrize("name", QUERIES_OF_PIXELS)
+def test_pixels_are_not_broadcast(spark, name):
+    """Pixels are exploded from a small table, so Spark takes them for few."""
+    import __spark_entry__ as e
+
+    plan = e.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert QUERIES_OF_PIXELS[name] in plan
+    assert not re.search(r"Broadcast\w*Join \[[^\]]*\b(x|_k)#", plan)
