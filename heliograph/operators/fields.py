@@ -176,7 +176,7 @@ def polar(field: DataFrame, frame: str, centre: tuple[float, float], angles: lis
     at = at.withColumn("_c", corner).withColumn("x", F.col("_i") + F.col("_c.i")).withColumn("y", F.col("_j") + F.col("_c.j"))
     share = lambda t, u, c: F.when(F.col(c) == 0, 1 - (F.col(t) - F.col(u))).otherwise(F.col(t) - F.col(u))
     at = at.withColumn("_w", share("_x", "_i", "_c.i") * share("_y", "_j", "_c.j")).where("_w > 0")
-    got = at.join(field.select(frame, "x", "y", F.col(value).alias("_v")), [frame, "x", "y"], "left")
+    got = meet(at, field.select(frame, "x", "y", F.col(value).alias("_v")), [frame, "x", "y"], "left")
     return got.groupBy(frame, F.col("a").cast("long").alias("a"), F.col("r").cast("long").alias("r")).agg(F.when(F.count("_v") == F.count(F.lit(1)), F.sum(F.col("_v") * F.col("_w"))).alias(value))
 
 
