@@ -15,6 +15,32 @@ def meet(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inn
     return left.join(right.hint("merge"), on, how)
 
 
+def in_frames(d: DataFrame, frame: str, found: Callable, schema: str, rows: int = 100_000) -> DataFrame:
+    """What found makes of Arrow tables that hold whole frames, as batches of frame and the columns of schema; a table has about
+    so many rows, or one frame's. d is dealt by frame: a frame, an image, is one task's."""
+    import numpy as np
+    import pyarrow as pa
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held, n = [*held, batch], n + batch.num_rows
+            if n >= rows and held[0][frame][0] != batch[frame][-1]:  # up to the last frame, which may go on
+                t = pa.Table.from_batches(held)
+                codes = t[frame].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+                cut = int(np.searchsorted(codes, codes[-1]))
+                yield found(t.slice(0, cut))
+                held = t.slice(cut).combine_chunks().to_batches()
+                n -= cut
+        if n:
+            yield found(pa.Table.from_batches(held))
+
+    d = d.repartition(frame).sortWithinPartitions(frame)
+    return d.mapInArrow(run, f"`{frame}` {d.schema[frame].dataType.simpleString()}, {schema}")
+
+
 def downscale(field: DataFrame, frame: str, k: int, value: str = "value", how=F.avg) -> DataFrame:
     """Boxes of k x k pixels as one, by mean (or how)."""
     cell = lambda c: F.floor(F.col(c) / k).cast("long").alias(c)
@@ -55,13 +81,50 @@ def median_filter(field: DataFrame, frame: str, n: int, value: str = "value") ->
 def best_motion(before: DataFrame, after: DataFrame, frame: str, reach: int, value: str = "value") -> DataFrame:
     """frame, dx, dy, error: the whole-pixel motion within reach of the least mean squared error; ties take the smallest.
 
-    The candidates are a fixed list that the earlier field is moved by; pixels meet by position.
+    The candidates are a fixed list that the earlier field is moved by; pixels meet by position, those of many frames at
+    once. Both fields are dealt by frame, a frame, an image, to one task.
     """
-    step = F.sequence(F.lit(-reach), F.lit(reach))
-    c = before.select(frame, "x", "y", F.col(value).alias("_v"), F.explode(step).alias("dx")).select("*", F.explode(step).alias("dy"))
-    c = c.select(frame, (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"), "_v", "dx", "dy")
-    e = c.join(after, [frame, "x", "y"]).groupBy(frame, "dx", "dy").agg(F.avg((F.col(value) - F.col("_v")) * (F.col(value) - F.col("_v"))).alias("error"))
-    return e.groupBy(frame).agg(F.min(F.struct("error", "dx", "dy")).alias("m")).select(frame, F.col("m.dx").cast("long").alias("dx"), F.col("m.dy").cast("long").alias("dy"), F.col("m.error").alias("error"))
+    import numpy as np
+    import pyarrow as pa
+
+    part = lambda f, side: f.where(F.col(frame).isNotNull()).select(frame, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(value).cast("double").alias("_v"), F.lit(side).alias("_after")).dropna(subset=["x", "y"])
+    d = part(before, False).union(part(after, True))
+    steps = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        key = t[frame].combine_chunks().dictionary_encode()
+        g, frames = key.indices.to_numpy(), len(key.dictionary)
+        x, y, later = (t[c].to_numpy() for c in ("x", "y", "_after"))
+        known, v = t["_v"].is_valid().to_numpy(), t["_v"].fill_null(0.0).to_numpy()
+        wide, high = (int(c.max() - c.min()) + 2 * reach + 1 for c in (x, y))
+        at = (g * wide + x - x.min() + reach) * high + y - y.min() + reach  # without a step to another row or frame
+        order = np.argsort(at, kind="stable")
+        b, a = order[~later[order]], order[later[order]]
+        once = (np.diff(at[b]) > 0).all()
+        error, any_pair = np.full((len(steps), frames), np.nan), np.zeros((len(steps), frames), bool)
+        for k, (i, j) in enumerate(steps):
+            to = at[a] - i * high - j
+            p = np.searchsorted(at[b], to)
+            if once:
+                q = np.flatnonzero(at[b][np.minimum(p, len(b) - 1)] == to) if len(b) else np.zeros(0, int)
+                p = p[q]
+            else:  # rows of one place all meet
+                n = np.searchsorted(at[b], to, "right") - p
+                q = np.repeat(np.arange(len(a)), n)
+                p = p[q] + np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n)
+            one, two = b[p], a[q]
+            any_pair[k] = np.bincount(g[two], minlength=frames) > 0
+            ok = known[one] & known[two]
+            n = np.bincount(g[two], ok, frames)
+            e = np.where(ok, v[two] - v[one], 0.0)
+            error[k] = np.divide(np.bincount(g[two], e * e, frames), n, out=np.full(frames, np.nan), where=n > 0)
+            any_pair[k] |= n > 0
+        best = np.where(any_pair, np.where(np.isnan(error), np.finfo(float).max, error), np.inf).argmin(axis=0)  # the first of equal ones
+        some = np.flatnonzero(any_pair.any(axis=0))
+        move, least = np.array(steps, np.int64)[best[some]], error[best[some], some]
+        return pa.RecordBatch.from_arrays([key.dictionary.take(pa.array(some)), pa.array(move[:, 0]), pa.array(move[:, 1]), pa.array(least, from_pandas=True)], names=[frame, "dx", "dy", "error"])
+
+    return in_frames(d, frame, found, "dx long, dy long, error double")
 
 
 def otsu(levels: DataFrame, frame: str, level: str, n: str) -> DataFrame:

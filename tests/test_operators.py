@@ -450,7 +450,7 @@ def test_threshold_separation_counts_pairs(spark):
 
 # ---- fields much larger than the tables they are made from ------------------------------------------
 
-QUERIES_OF_PIXELS = {"i5_shift": "SortMergeJoin [frame", "i15_polar": "SortMergeJoin [frame"}
+QUERIES_OF_PIXELS = {"i5_shift": "SortMergeJoin [frame", "i15_polar": "SortMergeJoin [frame", "i6_motion": "MapInArrow"}
 
 
 @pytest.mark.parametrize("name", QUERIES_OF_PIXELS)
@@ -461,3 +461,31 @@ def test_pixels_are_not_broadcast(spark, name):
     plan = e.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert QUERIES_OF_PIXELS[name] in plan
     assert not re.search(r"Broadcast\w*Join \[[^\]]*\b(x|_k)#", plan)
+
+
+def _uneven(seed, frames=7):
+    """Fields with gaps, nulls, places that occur twice, negative places, and a null frame."""
+    rng = np.random.default_rng(seed)
+    rows = [(f"f{f}", x - 3, y - 2, None if rng.random() < 0.1 else float(rng.integers(0, 9))) for f in range(frames) for x in range(6 + f) for y in range(9 - f) for _ in range(1 + (rng.random() < 0.05)) if rng.random() < 0.85]
+    return [*rows, (None, 0, 0, 1.0), ("far", 5_000_000, -9, 2.0)]
+
+
+@pytest.mark.parametrize("rows_a_block", [100_000, 20])
+def test_best_motion_of_uneven_fields(spark, monkeypatch, rows_a_block):
+    """Ties, gaps and places that occur twice, frames in one block or several."""
+    monkeypatch.setattr(fields.in_frames, "__defaults__", (rows_a_block,))
+    before, after = _uneven(2), [(f, x + 1, y - 1, v) for f, x, y, v in _uneven(3)]
+    errors = {}
+    for f, x, y, v in before:
+        for g, a, b, w in after:
+            if f == g and f is not None and abs(a - x) <= 2 and abs(b - y) <= 2:
+                errors.setdefault((f, a - x, b - y), []).extend([(w - v) ** 2] if None not in (v, w) else [])
+    best = {}
+    for (f, i, j), e in errors.items():
+        best[f] = min(best.get(f, (2, 0, 0, 0)), (0, sum(e) / len(e), i, j) if e else (1, 0, i, j))
+    kind = "frame string, x long, y long, value double"
+    got = fields.best_motion(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind), "frame", 2).collect()
+    assert {r["frame"] for r in got} == set(best) and len(got) == len(best)
+    for r in got:
+        none, error, i, j = best[r["frame"]]
+        assert (r["dx"], r["dy"]) == (i, j) and (r["error"] is None if none else abs(r["error"] - error) < 1e-9)
