@@ -450,7 +450,7 @@ def test_threshold_separation_counts_pairs(spark):
 
 # ---- fields much larger than the tables they are made from ------------------------------------------
 
-QUERIES_OF_PIXELS = {"i5_shift": "SortMergeJoin [frame", "i15_polar": "SortMergeJoin [frame", "i6_motion": "MapInArrow"}
+QUERIES_OF_PIXELS = {"i5_shift": "SortMergeJoin [frame", "i15_polar": "SortMergeJoin [frame", "w5_median_filter": "MapInArrow", "i6_motion": "MapInArrow"}
 
 
 @pytest.mark.parametrize("name", QUERIES_OF_PIXELS)
@@ -470,6 +470,17 @@ def _uneven(seed, frames=7):
     return [*rows, (None, 0, 0, 1.0), ("far", 5_000_000, -9, 2.0)]
 
 
+def test_median_filter_of_uneven_fields(spark):
+    rows = _uneven(1)
+    want = {}
+    for f, x, y, _ in rows:
+        near = [v for g, a, b, v in rows if g == f and abs(a - x) <= 2 and abs(b - y) <= 2 and v is not None]
+        if f is not None:
+            want[f, x, y] = float(np.median(near)) if near else None
+    got = fields.median_filter(spark.createDataFrame(rows, "frame string, x long, y long, value double"), "frame", 2).collect()
+    assert len(got) == len(want) and {tuple(r)[:3]: r["value"] for r in got} == want
+
+
 @pytest.mark.parametrize("rows_a_block", [100_000, 20])
 def test_best_motion_of_uneven_fields(spark, monkeypatch, rows_a_block):
     """Ties, gaps and places that occur twice, frames in one block or several."""
