@@ -381,7 +381,7 @@ def moved_by(field: DataFrame, motion: DataFrame, frame: str, scale: int = 1, va
     m = m.select(frame, F.floor("_u").alias("_i"), F.floor("_v").alias("_j"), (F.col("_u") - F.floor("_u")).alias("_fu"), (F.col("_v") - F.floor("_v")).alias("_fv"))
     corner = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)]))
     share = lambda f, k: F.when(F.col(k) == 1, F.col(f)).otherwise(1 - F.col(f))
-    d = field.join(m, frame).select(frame, "x", "y", F.col(value).alias("_value"), "_i", "_j", "_fu", "_fv", corner.alias("_c"))
+    d = meet(field, m, frame).select(frame, "x", "y", F.col(value).alias("_value"), "_i", "_j", "_fu", "_fv", corner.alias("_c"))
     d = d.select(frame, (F.col("x") + F.col("_i") + F.col("_c.i")).alias("x"), (F.col("y") + F.col("_j") + F.col("_c.j")).alias("y"), "_value", (share("_fu", "_c.i") * share("_fv", "_c.j")).alias("_w"))
     d = d.groupBy(frame, "x", "y").agg(F.sum(F.col("_value") * F.col("_w")).alias(value), F.sum("_w").alias("_w"))
     return d.where(F.col("_w") > 1 - 1e-9).drop("_w")
@@ -390,25 +390,68 @@ def moved_by(field: DataFrame, motion: DataFrame, frame: str, scale: int = 1, va
 def fine_motion(before: DataFrame, after: DataFrame, frame: str, scales: tuple[int, ...] = (4, 2, 1), rounds: int = 4, value: str = "value") -> DataFrame:
     """frame, u, v: the motion, to fractions of a pixel, that takes the earlier field nearest to the later one.
 
-    From coarse to fine boxes, each round moves the earlier field by what is known and adds the Gauss-Newton step that
-    five sums over a frame's pixels give: of its slopes' products, and of these with what is left. A motion so large that
-    fields don't overlap at the coarsest scale isn't found; frames without slopes stay at 0. A round is a table in
-    spark.checkpoint.dir, a row a frame.
+    From coarse to fine boxes, each round moves the earlier field by what is known, as moved_by does, and adds the
+    Gauss-Newton step that five sums over a frame's pixels give: of its slopes' products, and of these with what is left. A
+    motion so large that fields don't overlap at the coarsest scale isn't found; frames without slopes stay at 0. Fields are
+    dealt once, and rounds run over many frames at a time; a frame, an image, is one task's.
     """
-    from ..sources.logs import kept
-
-    m = before.select(frame).distinct().withColumns({"u": F.lit(0.0), "v": F.lit(0.0)})
-    for k in scales:
-        b, a = (kept(downscale(f, frame, k, value) if k > 1 else f.select(frame, "x", "y", F.col(value).cast("double").alias(value)), "scaled") for f in (before, after))
-        for _ in range(rounds):
-            d = moved_by(b, m, frame, k, value)
-            side = lambda w: F.when(F.lead(w[1]).over(w[0]) - F.lag(w[1]).over(w[0]) == 2, (F.lead(value).over(w[0]) - F.lag(value).over(w[0])) / 2)
-            d = d.withColumn("_gx", side((W.partitionBy(frame, "y").orderBy("x"), "x"))).withColumn("_gy", side((W.partitionBy(frame, "x").orderBy("y"), "y"))).where("_gx is not null and _gy is not null")
-            d = d.join(a.select(frame, "x", "y", F.col(value).alias("_a")), [frame, "x", "y"])
-            rest, x, y = F.col("_a") - F.col(value), F.col("_gx"), F.col("_gy")
-            s = d.groupBy(frame).agg(F.sum(x * x).alias("_xx"), F.sum(x * y).alias("_xy"), F.sum(y * y).alias("_yy"), F.sum(x * rest).alias("_xr"), F.sum(y * rest).alias("_yr"))
-            det = F.col("_xx") * F.col("_yy") - F.col("_xy") * F.col("_xy")
-            ok = det > 1e-9 * F.col("_xx") * F.col("_yy")
-            step = lambda p, q, r, t: F.coalesce(F.when(ok, -k * (F.col(p) * F.col(r) - F.col(q) * F.col(t)) / det), F.lit(0.0))  # noqa: B023, E731
-            m = kept(m.join(s, frame, "left").select(frame, (F.col("u") + step("_yy", "_xy", "_xr", "_yr")).alias("u"), (F.col("v") + step("_xx", "_xy", "_yr", "_xr")).alias("v")), "motion")
-    return m
+    import numpy as np
+    import pyarrow as pa
+
+    part = lambda f, side: f.select(frame, F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col(value).cast("double").alias("_v"), F.lit(side).alias("_after"))
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        key = t[frame].combine_chunks().dictionary_encode(null_encoding="encode")
+        g, n, later = key.indices.to_numpy(), len(key.dictionary), t["_after"].to_numpy()
+        asked = np.flatnonzero(np.bincount(g, ~later, n) > 0)  # frames of the earlier field
+        on = (t["x"].is_valid().to_numpy()) & (t["y"].is_valid().to_numpy()) & key.dictionary.is_valid().to_numpy(zero_copy_only=False)[g]
+        g, later, known, v = g[on], later[on], t["_v"].is_valid().to_numpy()[on], t["_v"].fill_null(0.0).to_numpy()[on]
+        place = [t[c].fill_null(0).to_numpy()[on] for c in ("x", "y")]
+        u = np.zeros((2, n))
+        for k in scales if len(g) else ():
+            x, y = (c // k for c in place)
+            x0, y0 = (np.full(n, np.iinfo(np.int64).max) for _ in range(2))
+            np.minimum.at(x0, g, x)
+            np.minimum.at(y0, g, y)
+            x, y = x - x0[g] + 1, y - y0[g] + 1  # a pixel that is none on every side
+            wide, high = int(x.max()) + 2, int(y.max()) + 2
+            cell, size = (g * wide + x) * high + y, n * wide * high
+
+            def grid(side):  # whether a pixel is there, is known, and its value
+                there = np.bincount(cell[side], minlength=size)  # noqa: B023
+                count = np.bincount(cell[side], known[side], size)  # noqa: B023
+                mean = np.divide(np.bincount(cell[side], v[side], size), count, out=np.zeros(size), where=count > 0)  # noqa: B023
+                return there.reshape(n, wide, high) > 0, count.reshape(n, wide, high) > 0, mean.reshape(n, wide, high)  # noqa: B023
+
+            (b_there, b_known, b), (a_there, a_known, a) = grid(~later), grid(later)
+            for _ in range(rounds):
+                low = np.floor(u / k)
+                part_of = u / k - low
+                low = np.clip(low, -(2**40), 2**40).astype(np.int64)
+                weight, seen, moved = np.zeros(b.shape), np.zeros(b.shape, bool), np.zeros(b.shape)
+                for i in (0, 1):
+                    for j in (0, 1):
+                        xs, ys = np.arange(wide)[None, :] - low[0][:, None] - i, np.arange(high)[None, :] - low[1][:, None] - j
+                        inside = ((xs >= 0) & (xs < wide))[:, :, None] & ((ys >= 0) & (ys < high))[:, None, :]
+                        at = (np.arange(n)[:, None, None], np.clip(xs, 0, wide - 1)[:, :, None], np.clip(ys, 0, high - 1)[:, None, :])
+                        w = ((part_of[0] if i else 1 - part_of[0]) * (part_of[1] if j else 1 - part_of[1]))[:, None, None]
+                        weight += w * (inside & b_there[at])
+                        ok = inside & b_known[at]
+                        moved += np.where(ok, w * b[at], 0.0)
+                        seen |= ok
+                there = weight > 1 - 1e-9
+                seen &= there
+                gx, gy, slope = np.zeros(b.shape), np.zeros(b.shape), there & a_there
+                gx[:, 1:-1] = (moved[:, 2:] - moved[:, :-2]) / 2
+                gy[:, :, 1:-1] = (moved[:, :, 2:] - moved[:, :, :-2]) / 2
+                slope[:, 1:-1] &= seen[:, 2:] & seen[:, :-2]
+                slope[:, :, 1:-1] &= seen[:, :, 2:] & seen[:, :, :-2]
+                slope[:, [0, -1]], slope[:, :, [0, -1]] = False, False
+                gx, gy, rest = np.where(slope, gx, 0.0), np.where(slope, gy, 0.0), np.where(slope & seen & a_known, a - moved, 0.0)
+                xx, xy, yy, xr, yr = (np.einsum("gij,gij->g", p, q) for p, q in ((gx, gx), (gx, gy), (gy, gy), (gx, rest), (gy, rest)))
+                det = xx * yy - xy * xy
+                ok = det > 1e-9 * xx * yy
+                u = u - k * np.divide([yy * xr - xy * yr, xx * yr - xy * xr], det, out=np.zeros((2, n)), where=ok)
+        return pa.RecordBatch.from_arrays([key.dictionary.take(pa.array(asked)), pa.array(u[0][asked]), pa.array(u[1][asked])], names=[frame, "u", "v"])
+
+    return in_frames(part(before, False).union(part(after, True)), frame, found, "u double, v double")
