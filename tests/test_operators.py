@@ -450,7 +450,7 @@ def test_threshold_separation_counts_pairs(spark):
 
 # ---- fields much larger than the tables they are made from ------------------------------------------
 
-QUERIES_OF_PIXELS = {"i5_shift": "SortMergeJoin [frame", "i15_polar": "SortMergeJoin [frame", "w5_median_filter": "MapInArrow", "i6_motion": "MapInArrow", "i6_fine_motion": "MapInArrow"}
+QUERIES_OF_PIXELS = {"i5_shift": "SortMergeJoin [frame", "i15_polar": "SortMergeJoin [frame", "w5_median_filter": "MapInArrow", "i6_motion": "MapInArrow", "i6_fine_motion": "MapInArrow", "i12_sun_spots": "SortMergeJoin [frame"}
 
 
 @pytest.mark.parametrize("name", QUERIES_OF_PIXELS)
