@@ -142,6 +142,7 @@ class StagedWriter(DataSourceWriter):
                 k.execute(f"INSERT INTO {LEDGER} (name, written) VALUES ({self.link.marks(2)})", (self.name, sum(m.rows for m in done)))
                 good = " OR ".join(f"(_part = {m.part} AND _attempt = {m.attempt})" for m in done) or "1 = 0"
                 if self.mode != "insert":
+                    k.execute(f"CREATE INDEX {self.stage}_keys ON {self.stage} ({', '.join(map(quoted, self.keys))})")  # else each row of the table reads the whole stage
                     same = " AND ".join(f"s.{quoted(x)} = {quoted(self.table)}.{quoted(x)}" for x in self.keys)
                     k.execute(f"DELETE FROM {quoted(self.table)} WHERE EXISTS (SELECT 1 FROM {self.stage} s WHERE {same} AND ({good}))")
                 if self.mode != "delete":

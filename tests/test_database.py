@@ -81,3 +81,23 @@ def test_a_failed_job_leaves_nothing_and_can_be_run_again(spark, at):
     assert all_rows(at) == [] and not db.execute(at, "SELECT name FROM sqlite_master WHERE name LIKE 'stage%'")
     db.change_rows(d, at, "my table", "insert", name="n")
     assert all_rows(at) == sorted(ROWS, key=str)
+
+
+def test_changes_by_key_do_not_read_the_stage_for_each_row(at):
+    import json
+    import sqlite3
+
+    schema, rows, steps = StructType().add("id", "long").add("name", "string").add("the value", "double"), [(i, "a", 0.5) for i in range(3000)], []
+    for mode in ("insert", "replace", "delete"):
+        w = db.StagedWriter({"connect": json.dumps(at), "table": "my table", "mode": mode, "keys": '["id"]'}, schema)
+        message = w.put(iter(rows), 0, 1)
+
+        def counted():
+            c = sqlite3.connect(**at)
+            c.set_progress_handler(lambda: steps.append(1), 1000)
+            return c
+
+        w.link.open = counted
+        w.commit([message])
+        assert len(all_rows(at)) == (0 if mode == "delete" else 3000)
+    assert len(steps) < 1000  # a million of SQLite's instructions
