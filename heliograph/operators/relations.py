@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,12 +30,56 @@ def first_match(left: DataFrame, right: DataFrame, on: list[str], order: list[st
     return left.join(first.select(*on, *[F.col("_m")[c].alias(c) for c in others]), on), left.join(first.select(*on), on, "left_anti")
 
 
+def _nearest(width: int, k: int, p: float, own: bool) -> Callable:
+    """Of Arrow batches of rows (_b, _s, _side, _q, _p, _id, features), in that order, the k nearest points of each query among
+    the points of its part in a batch; of equally near ones the first. A part's queries are held, its points pass by."""
+    import pyarrow as pa
+
+    def met(q: pa.Table, x: pa.Table):
+        a, b = ([t[f"_f{i}"].to_numpy() for i in range(width)] for t in (q, x))
+        codes = None if own else pa.chunked_array([*q["_id"].chunks, *x["_id"].chunks]).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        rows = max(1, 2_000_000 // len(x))
+        for at in range(0, len(q), rows):
+            d = 0.0
+            for u, v in zip(a, b, strict=True):
+                gap = np.abs(u[at : at + rows, None] - v[None, :])
+                d = d + (gap if p == 1 else gap * gap if p == 2 else gap**p)
+            d = d if p == 1 else np.sqrt(d) if p == 2 else d ** (1 / p)
+            if codes is not None:
+                d[codes[: len(q)][at : at + rows, None] == codes[None, len(q) :]] = np.nan
+            most = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if len(x) > k else np.full((len(d), 1), np.inf)
+            i, j = np.nonzero(d <= np.where(np.isnan(most), np.inf, most))
+            order = np.lexsort((j, d[i, j], i))
+            i, j = i[order], j[order]
+            some = np.arange(len(i)) - np.searchsorted(i, i) < k
+            i, j = i[some], j[some]
+            yield pa.RecordBatch.from_arrays([q["_q"].combine_chunks().take(pa.array(i + at)), x["_p"].combine_chunks().take(pa.array(j)), pa.array(d[i, j])], names=["_q", "_p", "distance"])
+
+    def run(batches):
+        held, part = [], None
+        for batch in batches:
+            keys = np.stack([batch[c].to_numpy() for c in ("_b", "_s", "_side")], axis=1)
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+            for start, end in zip(edges[:-1], edges[1:], strict=True):
+                if start == end:
+                    continue
+                *here, side = keys[start].tolist()
+                if here != part:
+                    held, part = [], here
+                if side == 0:
+                    held.append(batch.slice(start, end - start))
+                elif held:
+                    yield from met(pa.Table.from_batches(held), pa.Table.from_batches([batch.slice(start, end - start)]))
+
+    return run
+
+
 def nearest_neighbours(queries: DataFrame, points: DataFrame, qid: str, pid: str, features: list[str], k: int, p: float = 1.0, per_block: int = 2000, own: bool = True) -> DataFrame:
     """qid, pid, distance, rank: the k nearest points of each query by a Minkowski distance (p >= 1); ties take the smaller pid.
 
     Exact in two rounds over blocks of equal width along the first feature. A query's k-th distance in its own block bounds
     its search: no nearer point differs more in one feature. So it then meets only the blocks within that distance, or all
-    where its own has fewer than k points. Nulls in features match nothing; own=False leaves out points whose pid is the
+    where its own has fewer than k points. A block's rows meet in tasks, which keep k points a query. Nulls and NaN in features match nothing; own=False leaves out points whose pid is the
     query's id.
     """
     first = features[0]
@@ -43,14 +89,17 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, qid: str, pid: str
     block = lambda c: F.greatest(F.lit(0), F.least(F.lit(blocks - 1), F.floor((c - low) / width))).cast("int")
     q = queries.select(F.col(qid).alias("_q"), *[F.col(c).cast("double").alias(f"q_{c}") for c in features])
     x = points.select(F.col(pid).alias("_p"), *[F.col(c).cast("double").alias(f"p_{c}") for c in features]).dropna().withColumn("_b", block(F.col(f"p_{first}")))
-    d: Column = F.lit(0.0)
-    for c in features:
-        gap = F.abs(F.col(f"q_{c}") - F.col(f"p_{c}"))
-        d = d + (gap if p == 1 else gap * gap if p == 2 else F.pow(gap, F.lit(p)))
-    d = d if p == 1 else F.sqrt(d) if p == 2 else F.pow(d, F.lit(1 / p))
+    sizes = x.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / (8 * per_block)).alias("_n"))  # a row a block; full ones are parted
+    x = x.join(F.broadcast(sizes), "_b").withColumn("_s", F.pmod(F.xxhash64("_p"), F.col("_n")))
+    kinds = ", ".join(f"`{n}` {d.schema[n].dataType.simpleString()}" for d, n in ((q, "_q"), (x, "_p")))
 
     def best(q: DataFrame) -> DataFrame:
-        pairs = q.join(x, "_b").where(F.lit(True) if own else ~F.col("_q").eqNullSafe(F.col("_p"))).select("_q", "_p", d.alias("distance")).where("distance is not null")
+        q = q.join(F.broadcast(sizes), "_b").withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+        value = lambda side: [F.col(f"{side}_{c}").alias(f"_f{i}") for i, c in enumerate(features)]
+        both = q.dropna(subset=[f"q_{c}" for c in features]).select("_b", "_s", F.lit(0).alias("_side"), "_q", F.lit(None).cast(x.schema["_p"].dataType).alias("_p"), F.col("_q").alias("_id"), *value("q"))
+        both = both.union(x.select("_b", "_s", F.lit(1), F.lit(None).cast(q.schema["_q"].dataType), "_p", F.col("_p"), *value("p")))
+        # points arrive after the queries of their part, by pid
+        pairs = both.repartition("_b", "_s").sortWithinPartitions("_b", "_s", "_side", "_p").mapInArrow(_nearest(len(features), k, p, own), f"{kinds}, distance double")
         return pairs.withColumn("rank", F.row_number().over(W.partitionBy("_q").orderBy("distance", "_p")).cast("long")).where(F.col("rank") <= k)
 
     reach = best(q.withColumn("_b", block(F.col(f"q_{first}")))).groupBy("_q").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_d"))

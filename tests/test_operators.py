@@ -500,3 +500,32 @@ def test_best_motion_of_uneven_fields(spark, monkeypatch, rows_a_block):
     for r in got:
         none, error, i, j = best[r["frame"]]
         assert (r["dx"], r["dy"]) == (i, j) and (r["error"] is None if none else abs(r["error"] - error) < 1e-9)
+
+
+@pytest.mark.parametrize("p", [1.0, 2.0, 3.0])
+@pytest.mark.parametrize("own", [True, False])
+def test_nearest_neighbours_of_uneven_points(spark, p, own):
+    """Many equal points in one block that is parted, ties, nulls, NaN, ids that repeat; no pair of rows leaves a task but the
+    nearest ones."""
+    rng = np.random.default_rng(4)
+    nan = float("nan")
+    points = [(i % 500, float(rng.integers(0, 4)), float(rng.integers(0, 3))) for i in range(600)] + [(700, None, 1.0), (701, nan, 1.0), (702, 90.0, 0.0)]
+    queries = [(i, float(rng.integers(0, 5)), float(rng.integers(0, 3))) for i in range(40)] + [(90, None, 0.0), (91, 95.0, nan)]
+    got = relations.nearest_neighbours(spark.createDataFrame(queries, "q long, a double, b double"), spark.createDataFrame(points, "p int, a double, b double"), "q", "p", ["a", "b"], 7, p, per_block=20, own=own)
+    assert "Join [_b" not in got._jdf.queryExecution().executedPlan().toString().replace("BroadcastHashJoin", "")
+    want = {}
+    for q, a, b in queries[:40]:
+        d = sorted(((abs(x - a) ** p + abs(y - b) ** p) ** (1 / p), i) for i, x, y in points if x is not None and x == x and (own or i != q))
+        want |= {(q, k + 1): (i, pytest.approx(e)) for k, (e, i) in enumerate(d[:7])}
+    rows = got.collect()
+    assert len(rows) == len(want) and {(r["q"], r["rank"]): (r["p"], r["distance"]) for r in rows} == want
+
+
+def test_classifier_counts_alike_rows_once(spark, monkeypatch):
+    rows = [(i / 10, j / 10, int(i > j)) for i in range(10) for j in range(10) for _ in range(1 + i % 3)] + [(None, 0.1, 1), (0.1, 0.2, None)]
+    seen = []
+    monkeypatch.setattr(learning, "kept", lambda d, tag: seen.append(d) or d)
+    b, w = learning.linear_classifier(spark.createDataFrame(rows, "v double, d double, y int"), ["v", "d"], "y")
+    assert seen[0].count() == 100 and w["v"] > 0 > w["d"]
+    right = [(w["v"] * v + w["d"] * d + b > 0) == y for v, d, y in rows if None not in (v, y)]
+    assert np.mean(right) > 0.9
