@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.logs import kept
 from .relations import nearest_neighbours
 
 
@@ -332,13 +333,14 @@ def hinge_regression(df: DataFrame, features: list[str], target: str, knots: int
 
 def linear_classifier(df: DataFrame, features: list[str], label: str, rounds: int = 50, penalty: float = 0.01) -> tuple[float, dict[str, float]]:
     """(intercept, weights) of a linear support vector machine for labels 0 and 1, as for pixels of the sun: MLlib's, whose
-    rounds sum gradients over all rows in tasks."""
+    rounds sum gradients over all rows in tasks. Rows that are alike count as one with their number as its weight."""
     from pyspark.ml.classification import LinearSVC
     from pyspark.ml.feature import VectorAssembler
 
     d = df.where(F.col(label).isNotNull()).dropna(subset=features)
-    d = VectorAssembler(inputCols=features, outputCol="_x").transform(d).select("_x", F.col(label).cast("double").alias("_y"))
-    m = LinearSVC(featuresCol="_x", labelCol="_y", maxIter=rounds, regParam=penalty).fit(d)
+    d = d.groupBy(*features, F.col(label).cast("double").alias("_y")).agg(F.count(F.lit(1)).cast("double").alias("_w"))
+    d = kept(VectorAssembler(inputCols=features, outputCol="_x").transform(d).select("_x", "_y", "_w"), "alike")
+    m = LinearSVC(featuresCol="_x", labelCol="_y", weightCol="_w", maxIter=rounds, regParam=penalty).fit(d)
     return float(m.intercept), dict(zip(features, map(float, m.coefficients.toArray()), strict=True))
 
 
