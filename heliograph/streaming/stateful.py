@@ -191,14 +191,17 @@ def track_stream(detections: DataFrame, key: str, ts: str, x: str, y: str, *, or
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         tracks, fresh = json.loads(state.get[0]) if state.exists else ([], 0)
-        p, parts = pd.concat(list(frames)).sort_values([ts, x, y]), []
-        for _, g in p.groupby(ts):
-            g = g.dropna(subset=[x, y])
-            tracks, ids, fresh = frame(tracks, g[[x, y]].to_numpy(float), fresh)
-            parts.append(g.assign(track=np.array(ids, np.int64)))
+        p = pd.concat(list(frames)).sort_values([ts, x, y])
+        p = p[p[ts].notna()]
+        at, found = p[[x, y]].to_numpy(float), []
+        known, new = ~np.isnan(at).any(axis=1), p[ts].ne(p[ts].shift()).to_numpy()
+        edges = [*np.flatnonzero(new), len(p)]
+        for i, j in zip(edges[:-1], edges[1:], strict=True):  # arrays only: a frame has few rows
+            tracks, ids, fresh = frame(tracks, at[i:j][known[i:j]], fresh)
+            found += ids
         plain = [t | {"m": np.asarray(t["m"]).tolist(), "c": np.asarray(t["c"]).tolist()} for t in tracks]
         state.update((json.dumps([plain, fresh]),))
-        yield pd.concat([q for q in parts if len(q)] or [p.head(0).assign(track=np.array([], np.int64))])[[key, ts, x, y, "track"]]
+        yield p[known].assign(track=np.array(found, np.int64))[[key, ts, x, y, "track"]]
 
     kinds = {f.name: f.dataType.simpleString() for f in detections.schema}
     return detections.select(key, ts, x, y).groupBy(key).applyInPandasWithState(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in (key, ts, x, y)), "track long"]), "s string", "append", "NoTimeout")

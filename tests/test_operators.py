@@ -529,3 +529,20 @@ def test_classifier_counts_alike_rows_once(spark, monkeypatch):
     assert seen[0].count() == 100 and w["v"] > 0 > w["d"]
     right = [(w["v"] * v + w["d"] * d + b > 0) == y for v, d, y in rows if None not in (v, y)]
     assert np.mean(right) > 0.9
+
+
+def test_tracks_make_no_data_frame_for_each_frame(monkeypatch):
+    """A camera's frames are many and small: what pandas takes for one is more than its tracks do."""
+    import pandas as pd
+
+    class Detections:
+        def __init__(self):
+            self.schema = [type("F", (), {"name": n, "dataType": type("T", (), {"simpleString": lambda _: "double"})()}) for n in ("k", "ts", "x", "y")]
+            self.select = self.groupBy = lambda *_: self
+            self.applyInPandasWithState = lambda run, *_: run
+
+    state = type("State", (), {"exists": False, "update": lambda self, v: None})()
+    p = pd.DataFrame({"k": 1, "ts": [3, 1, 2, 1, 2, 4], "x": [2.0, 0.0, 1.0, 50.0, None, 300.0], "y": [0.0, 0.0, 0.0, 9.0, 1.0, None]})
+    monkeypatch.setattr(pd.DataFrame, "groupby", None)
+    got = pd.concat(stateful.track_stream(Detections(), "k", "ts", "x", "y")((1,), iter([p]), state))
+    assert got[["ts", "x", "track"]].to_numpy().tolist() == [[1, 0, 0], [1, 50, 1], [2, 1, 0], [3, 2, 0]]
