@@ -115,3 +115,44 @@ def test_the_filter_of_a_stream_equals_that_of_a_table(spark, tmp_path):
     got = run(spark, tmp_path, make, [rows[20:10:-1] + rows[:11], rows[21:], [("z", at(900), 0.0)], [("z", at(5000), 0.0)]], timers_=True)[-1]
     got = [(r[1], r[2]) for r in got if r[0] == "a"]
     assert [t for t, _ in got] == [t for t, _ in want] and np.allclose([y for _, y in got], [y for _, y in want])
+
+
+def test_a_key_has_one_timer_however_many_pieces_wait():
+    """Calls to the state store are what such a stream costs."""
+    import pandas as pd
+
+    class Values(dict):
+        def containsKey(self, k):
+            return k in self
+
+        def removeKey(self, k):
+            del self[k]
+
+        exists, get, update = (lambda self: () in self), (lambda self: self[()]), (lambda self, v: self.__setitem__((), v))
+        updateValue, getValue = dict.__setitem__, dict.__getitem__
+
+    class Handle:
+        def __init__(self):
+            self.timers, self.calls = [], 0
+
+        getValueState = getMapState = lambda self, *_: Values()
+
+        def registerTimer(self, t):
+            self.calls += 1
+            self.timers.append(t)
+
+        def deleteTimer(self, t):
+            self.timers.remove(t)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    h, p = Handle(), timers.InOrder(10, lambda s, rows: (s + len(rows), [(s + i,) for i in range(len(rows))]), 0, ["_key", "_us", "n"])
+    p.init(h)
+    rows = pd.DataFrame([(1, None, us * 1000, 0.5) for us in (95, 5, 33, 31, 58)])
+    assert not list(p.handleInputRows((1,), iter([rows]), Now(0))) and h.timers == [10] and h.calls == 1
+    h.timers.clear()
+    got = pd.concat(p.handleExpiredTimer((1,), Now(60), Now(10)))
+    assert got["_us"].tolist() == [5000, 31000, 33000, 58000] and got["n"].tolist() == [0, 1, 2, 3] and h.timers == [100]
+    assert not list(p.handleInputRows((1,), iter([rows[:1].assign(**{})]), Now(60))) and h.timers == [100]
